@@ -24,8 +24,9 @@ def ratio(a, b) -> Column:
 
 
 def safe_ln(c) -> Column:
-    c = col(c)
-    return F.ln(F.when(c > 0, c))
+    """Spark's ``ln`` is NULL for zero and below.  Guarding it again would name a window argument twice, and
+    Spark computes every mention of a window function anew."""
+    return F.ln(col(c))
 
 
 def finite(c) -> Column:

@@ -105,9 +105,9 @@ def rolling_z(c, n: int = TRADING_DAYS, min_rows: int | None = None, by=BY, orde
     For many columns at once use ``operators.rolling.rolling_z_all``, whose cost does not grow with ``n``.
     """
     need = n // 2 if min_rows is None else min_rows
-    mean = gated(F.avg(col(c)), c, n, need, by, order)
-    std = gated(F.stddev_samp(col(c)), c, n, need, by, order)
-    return (col(c) - mean) / (std + EPS)
+    c, w = col(c), last_rows(by, n, order)
+    score = (c - F.avg(c).over(w)) / (F.stddev_samp(c).over(w) + EPS)
+    return F.when(F.count(c).over(w) >= need, score)
 
 
 def rolling_corr(a, b, n: int, by=BY, order="date") -> Column:

@@ -1,68 +1,19 @@
-"""Rolling moments whose cost per row does not grow with the window length.
+"""Rolling z-scores of a whole feature table.
 
-Spark recomputes a sliding frame for every row, so a 252-row mean and deviation of a hundred features costs
-tens of thousands of updates per row.  Here each symbol's rows are cut into blocks of exactly ``n`` rows:
-any window of ``n`` rows is then the tail of one block plus the head of the next.  Heads and tails are plain
-running aggregates (one update per row); the two halves are merged with the pairwise update for counts,
-means and squared deviations, which keeps full precision.  The result equals the sliding frame.
-
-All windows partition by the symbol or by (symbol, block), so one shuffle on the symbol serves them all.
+Spark recomputes a sliding frame for every row: a 252-row mean and deviation of a hundred features is tens
+of thousands of updates per row.  The Arrow kernel below updates each feature in constant time per row and
+is several times faster than window expressions on a wide table.  It follows the symbol's windows on the
+same partitioning, so it adds no shuffle; its group is one symbol's history, at most one row per day.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-from ..functions.expr import EPS, TRADING_DAYS, as_list, ordered
-
-
-def _merge(na, ma, sa, nb, mb, sb):
-    n = na + nb
-    delta = mb - ma
-    mean = F.when(na == 0, mb).when(nb == 0, ma).otherwise(ma + delta * nb / n)
-    m2 = F.when(na == 0, sb).when(nb == 0, sa).otherwise(sa + sb + delta * delta * na * nb / n)
-    return n, mean, m2
-
-
-def rolling_moments(
-    df: DataFrame, columns: Sequence[str], n: int = TRADING_DAYS, by: Sequence[str] = ("symbol",), order: str = "date"
-) -> DataFrame:
-    """Adds ``{c}__n``, ``{c}__mean`` and ``{c}__m2`` over the last ``n`` rows for every column."""
-    by = as_list(by)
-    in_symbol = ordered(by, order)
-    block = by + ["__block"]
-    head = Window.partitionBy(*block).orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
-    tail = Window.partitionBy(*block).orderBy(F.col("__pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
-
-    df = df.withColumn("__pos", F.row_number().over(in_symbol) - 1)
-    df = df.withColumn("__block", F.floor(F.col("__pos") / F.lit(float(n))).cast("int"))
-
-    def running(c: str, w) -> Column:
-        x = F.col(c)
-        return F.struct(
-            F.count(x).over(w).alias("n"), F.avg(x).over(w).alias("mean"),
-            (F.var_pop(x).over(w) * F.count(x).over(w)).alias("m2"),
-        )
+import pandas as pd
+from pyspark.sql import DataFrame
 
-    df = df.withColumns({f"{c}__tail": running(c, tail) for c in columns})
-    df = df.withColumns({f"{c}__head": running(c, head) for c in columns})
-    # The tail of the block before starts n - 1 rows back; a window that ends with its block has none.
-    in_order = Window.partitionBy(*by).orderBy("__pos")
-    whole_block = F.col("__pos") % n == n - 1
-    df = df.withColumns({f"{c}__tail": F.lag(f"{c}__tail", n - 1).over(in_order) for c in columns})
-
-    out = {}
-    for c in columns:
-        t, h = F.when(~whole_block, F.col(f"{c}__tail")), F.col(f"{c}__head")
-        cnt, mean, m2 = _merge(
-            F.coalesce(t["n"], F.lit(0)), t["mean"], t["m2"], h["n"], h["mean"], h["m2"],
-        )
-        out.update({f"{c}__n": cnt, f"{c}__mean": mean, f"{c}__m2": m2})
-    drop = ["__pos", "__block"] + [f"{c}__{part}" for c in columns for part in ("head", "tail")]
-    return df.withColumns(out).drop(*drop)
+from ..functions.expr import EPS, TRADING_DAYS, as_list
 
 
 def rolling_z_all(
@@ -72,15 +23,15 @@ def rolling_z_all(
     min_rows: int | None = None,
     by: Sequence[str] = ("symbol",),
     order: str = "date",
-    suffix: str = "",
 ) -> DataFrame:
-    """Rolling z-score of many columns in one pass (I8 for F0); replaces the columns unless a suffix is given."""
-    need = n // 2 if min_rows is None else min_rows
-    others = [c for c in df.columns if suffix or c not in set(columns)]
-    wide = rolling_moments(df, columns, n, by, order)
-    scores = []
-    for c in columns:
-        cnt, mean, m2 = F.col(f"{c}__n"), F.col(f"{c}__mean"), F.col(f"{c}__m2")
-        std = F.sqrt(F.when(cnt > 1, F.greatest(m2, F.lit(0.0)) / (cnt - 1)))
-        scores.append(F.when(cnt >= need, (F.col(c) - mean) / (std + EPS)).alias(f"{c}{suffix}"))
-    return wide.select(*others, *scores)
+    """Replaces double columns by (x - mean) / (std + eps) over the last ``n`` rows, half of them filled (I8)."""
+    columns, need = list(columns), n // 2 if min_rows is None else min_rows
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        x = pdf[columns]
+        frame = x.rolling(n, min_periods=need)
+        pdf[columns] = (x - frame.mean()) / (frame.std() + EPS)
+        return pdf
+
+    return df.groupBy(*as_list(by)).applyInPandas(score, df.schema)

@@ -4,7 +4,10 @@ A feature names its stage, because window functions do not nest: stage 1 reads t
 later stage reads the columns of the stages before it.  Every stage is one ``withColumns`` over the same
 partitioning and order, so the whole table is built on one shuffle by symbol.  Features whose inputs are
 absent are left out, block by block.  All but the raw ones end as 252-row z-scores, taken together in one
-pass whose cost does not depend on the window.
+pass.
+
+Market-wide series (macro, positioning, holdings, interest) do not depend on the symbol: their features are
+built and scored once on the trading calendar, one row per day, and broadcast to the panel by date.
 """
 
 from __future__ import annotations
@@ -154,34 +157,41 @@ def holdings_block(name: str = "holdings") -> list[Feature]:
 
 
 def interest_block(name: str = "attention") -> list[Feature]:
-    chase = lambda by: ind.difference(name, 4, by) / (F.abs(ind.log_return("close", 21, by)) + 0.01)
-    return level_block(name, changes=(4,)) + [_f("attention_chase", 1, chase, name, "close")]
+    return level_block(name, changes=(4,))
 
 
-def divergence(name: str) -> list[Feature]:
-    """Score of the symbol's 5-row return less the score of a series' 5-row change, scored again."""
-    return [
-        _step(f"_{name}_zr", 2, lambda by: ind.rolling_z(F.col("_r5"), by=by), "_r5"),
-        _step("_r5", 1, lambda by: ind.log_return("close", 5, by), "close"),
-        _step(f"_{name}_c5", 1, lambda by: ind.difference(name, 5, by), name),
-        _step(f"_{name}_zc", 2, lambda by: ind.rolling_z(f"_{name}_c5", by=by), f"_{name}_c5"),
-        _f(f"{name}_divergence", 3, lambda by: F.col(f"_{name}_zr") - F.col(f"_{name}_zc"), f"_{name}_zr", f"_{name}_zc"),
-    ]
+def chase_block(change: str = "attention_raw_chg4") -> list[Feature]:
+    """Change of attention per unit of the symbol's own monthly move."""
+    chase = lambda by: F.col(change) / (F.abs(ind.log_return("close", 21, by)) + 0.01)
+    return [_f("attention_chase", 1, chase, change, "close")]
+
+
+def divergence_block(macro: Sequence[str]) -> list[Feature]:
+    """Score of the 5-row return less the score of a series' 5-row change (I24); built on scored columns and
+    scored again."""
+    return [_f(f"{m}_divergence", 1, lambda by, m=m: F.col("r5") - F.col(f"{m}_chg5"), "r5", f"{m}_chg5") for m in macro]
+
+
+@dataclass(frozen=True)
+class Variant:
+    """Feature lists of one family of instruments: per symbol, market-wide, and on scored columns."""
 
+    symbol: tuple[Feature, ...]
+    market: tuple[Feature, ...]
+    rescored: tuple[Feature, ...] = ()
 
-def variant(kind: str, anchor: str = "anchor", macro: Sequence[str] = ("gpr",)) -> list[Feature]:
-    """Feature lists of the three families of instruments."""
-    base = price_block() + relation_block(anchor)
+
+def variant(kind: str, anchor: str = "anchor", macro: Sequence[str] = ("gpr",)) -> Variant:
+    symbol = price_block() + relation_block(anchor) + chase_block()
+    market = interest_block()
     for m in macro:
-        base += level_block(m, changes=(5, 21))
+        market += level_block(m, changes=(5, 21))
     if kind == "metals":
-        for m in macro:
-            base += divergence(m)
-        return base + positions_block() + holdings_block() + interest_block()
+        return Variant(tuple(symbol), tuple(market + positions_block() + holdings_block()), tuple(divergence_block(macro)))
     if kind == "technology":
-        return base + momentum_block() + interest_block()
+        return Variant(tuple(symbol + momentum_block()), tuple(market))
     if kind == "energy":
-        return base + season_block() + positions_block() + interest_block()
+        return Variant(tuple(symbol + season_block()), tuple(market + positions_block()))
     raise ValueError(f"unknown variant {kind!r}")
 
 
@@ -214,17 +224,46 @@ def build_features(
 ) -> tuple[DataFrame, list[str]]:
     """``symbol, date, features..., target`` and the feature names; incomplete rows are kept for the caller.
 
-    Features that read the MACD histogram need ``indicators.macd`` to have added it to the panel.
+    Features that read the MACD histogram need ``indicators.macd`` to have added it to the panel.  ``carry``
+    names columns to pass through.
     """
     df, kept = raw_features(panel, features, by)
     df = df.withColumn("target", ind.smoothed_target("close", target_horizons, by))
     names = [f.name for f in kept]
-    df = df.select(*by, date, *carry, "target", *names)
-    return rolling_z_all(df, [f.name for f in kept if f.score], window, by=by, order=date).select(
-        *by, date, *carry, *names, "target"
-    ), names
+    df = df.select(*by, date, *carry, *names, "target")
+    return rolling_z_all(df, [f.name for f in kept if f.score], window, by=by, order=date), names
+
+
+def market_features(days: DataFrame, features: Sequence[Feature], date: str = "date", carry: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """Scored market-wide features, one row per trading day; the only group is the calendar itself."""
+    board = ["__board"]
+    df, kept = raw_features(days.withColumn("__board", F.lit(1)), features, board)
+    names = [f.name for f in kept]
+    df = df.select(*board, date, *carry, *names)
+    return rolling_z_all(df, [f.name for f in kept if f.score], by=board, order=date).drop(*board), names
 
 
-def attach_series(panel: DataFrame, series: DataFrame, name: str, value: str = "value", by: Sequence[str] = (), lag_bdays: int = 0) -> DataFrame:
-    """Adds a market-wide (or per-key) series as a column, as of each date, after its publication lag."""
-    return asof_join(panel, series.withColumnRenamed(value, name), [name], by, lag_bdays=lag_bdays)
+def attach_series(days: DataFrame, series: DataFrame, name: str, value: str = "value", lag_bdays: int = 0) -> DataFrame:
+    """Adds a market-wide series as a column, as of each date, after its publication lag."""
+    return asof_join(days, series.withColumnRenamed(value, name), [name], lag_bdays=lag_bdays)
+
+
+def build_variant(panel: DataFrame, market_days: DataFrame, kind: Variant, anchor: str = "anchor") -> tuple[DataFrame, list[str]]:
+    """The full table of a variant from a price panel and the market-wide series per trading day.
+
+    Both the raw market columns a symbol feature reads and the scored market features come from one broadcast
+    table of the calendar's size; the panel is shuffled by symbol only.
+    """
+    days = market_days
+    if "attention" in days.columns:
+        keyed = days.withColumn("__b", F.lit(1))
+        days = keyed.withColumn("attention_raw_chg4", ind.difference("attention", 4, ["__b"])).drop("__b")
+    raw = [c for c in (anchor, "attention_raw_chg4") if c in days.columns]
+    scored, market_names = market_features(days, kind.market, carry=raw)
+    joined = panel.join(F.broadcast(scored), "date", "left")
+    df, names = build_features(joined, kind.symbol, carry=market_names)
+    extra = usable(kind.rescored, df.columns)
+    if extra:
+        df = df.withColumns({f.name: f.build(["symbol"]) for f in extra})
+        df = rolling_z_all(df, [f.name for f in extra])
+    return df, [*names, *market_names, *[f.name for f in extra]]

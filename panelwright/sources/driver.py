@@ -46,7 +46,7 @@ def prices(spark: SparkSession, sf_dir: str, kind: str = SUPPLIER) -> DataFrame:
 
 def bars(spark: SparkSession, sf_dir: str, kind: str = SUPPLIER) -> DataFrame:
     """``symbol, date, open, high, low, close, volume`` from the unit prices of each day's line items."""
-    unit = F.round(F.col("l_extendedprice") / F.col("l_quantity"), PRICE_DIGITS)
+    unit = F.col("l_extendedprice") / F.col("l_quantity")
     rank = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     rows = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") > 0)
     return rows.groupBy(symbol_of(kind).alias("symbol"), F.to_date("l_shipdate").alias("date")).agg(
@@ -81,7 +81,7 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``series, date, value``: mean order value per day."""
     return table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(
-        r(F.avg("o_totalprice"), 4).alias("value")
+        (F.round(F.sum("o_totalprice"), 2) / F.count(F.lit(1))).alias("value")
     ).select(F.lit("order_value").alias("series"), "date", "value")
 
 

@@ -111,7 +111,9 @@ def _fuzzy(columns: Sequence[str]) -> dict[str, tuple[str, ...]]:
 def report_date(df: DataFrame):
     """First date column present whose text parses: ISO, YYMMDD (zero-filled), ``report_date``, any ``*date*``."""
     iso = lambda c: F.to_date(F.try_to_timestamp(F.substring(F.col(f"`{c}`").cast("string"), 1, 10), F.lit("yyyy-MM-dd")))
-    short = lambda c: F.to_date(F.try_to_timestamp(F.lpad(F.trim(F.col(f"`{c}`").cast("string")), 6, "0"), F.lit("yyMMdd")))
+    parsed = lambda c: F.to_date(F.try_to_timestamp(F.lpad(F.trim(F.col(f"`{c}`").cast("string")), 6, "0"), F.lit("yyMMdd")))
+    # Two-digit years from 69 on belong to the last century.
+    short = lambda c: F.when(F.year(parsed(c)) > 2068, F.add_months(parsed(c), -1200)).otherwise(parsed(c))
     parts = []
     if ISO_DATE in df.columns:
         parts.append(iso(ISO_DATE))
