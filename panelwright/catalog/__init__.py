@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import indicators, ledgers, panels, selections, sources  # noqa: F401
+from . import flows, forecasts, indicators, ledgers, panels, rotations, selections, sources  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

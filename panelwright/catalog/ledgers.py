@@ -201,9 +201,9 @@ def l7_equity(spark, sf):
     return out(bench(spark, sf), "symbol date", log_capital=F.ln("capital"))
 
 
-@query("L7_benchmark_from_returns", PRED + SEL + rnd("sum(actual/20) OVER (PARTITION BY strategy, symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "log_growth") + " FROM predictions")
+@query("L7_benchmark_from_returns", PRED + SEL + rnd("exp(sum(actual/20) OVER (PARTITION BY strategy, symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))", "growth") + " FROM predictions")
 def l7_returns(spark, sf):
-    return out(led.benchmark_from_returns(preds(spark, sf)), KEYS, log_growth=F.ln(F.col("capital") / led.CAPITAL))
+    return out(led.benchmark_from_returns(preds(spark, sf)), KEYS, growth=F.col("capital") / led.CAPITAL)
 
 
 @query("L8_alpha", BENCH + ", " + signals_sql() + ", " + ledger_sql() + ", " + perf_sql() + " SELECT symbol, " + rnd("total_return_pct-bh_total_return_pct", "alpha_pct", 5) + ", " + rnd("annual_return_pct-bh_annual_return_pct", "alpha_annual_pct", 5) + " FROM perf JOIN bp USING (symbol)")
@@ -246,9 +246,9 @@ def l12(spark, sf):
     return led.ret_hist(preds(spark, sf))
 
 
-@query("L13_cum_signal", PRED + SEL + rnd("sum(sign(pred)*actual) OVER u", "cum_strategy") + ", " + rnd("sum(actual) OVER u", "cum_long") + " FROM predictions WINDOW u AS (PARTITION BY strategy, symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+@query("L13_cum_signal", PRED + SEL + rnd("exp(sum(sign(pred)*actual) OVER u)", "growth_strategy") + ", " + rnd("exp(sum(actual) OVER u)", "growth_long") + " FROM predictions WINDOW u AS (PARTITION BY strategy, symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 def l13(spark, sf):
-    return out(led.cum_signal(preds(spark, sf)), KEYS, cum_strategy="cum_strategy", cum_long="cum_long")
+    return out(led.cum_signal(preds(spark, sf)), KEYS, growth_strategy=F.exp("cum_strategy"), growth_long=F.exp("cum_long"))
 
 
 @query("L14_extend_ledger", LED + """, la AS (SELECT symbol, max(date) AS d, arg_max(capital,date) AS cap, arg_max(position,date) AS pos FROM ledger GROUP BY 1),

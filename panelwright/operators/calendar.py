@@ -93,5 +93,4 @@ def last_window(df: DataFrame, days: int, by: Sequence[str] = (), date: str = "d
         return df.withColumn("__latest", latest).filter(
             F.col(date) >= F.date_sub("__latest", days)
         ).drop("__latest")
-    latest = df.agg(F.max(date).alias("__latest"))
-    return df.join(F.broadcast(latest), F.col(date) >= F.date_sub(F.col("__latest"), days)).drop("__latest")
+    return df.filter(F.col(date) >= F.date_sub(df.agg(F.max(date)).scalar(), days))

@@ -4,29 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import distributed_rank
+
 METRICS = ("annual_return_pct", "sharpe", "max_drawdown_pct", "win_rate_pct")
 
 
-def leaderboard(candidates: DataFrame, metrics: Sequence[str] = METRICS, by: Sequence[str] = ("board",), name: str = "candidate") -> DataFrame:
+def leaderboard(candidates: DataFrame, metrics: Sequence[str] = METRICS, by: Sequence[str] = ("board",)) -> DataFrame:
     """Ranks by Sharpe, growth and drawdown; identical metrics are flagged as duplicates.
 
-    The duplicate count is an aggregation joined back by the metrics, so any number of identical candidates
-    combines map-side.  A board holds one row per trained candidate.
+    A board may hold any number of candidates: ranks are taken in slices, and the duplicate count is an
+    aggregation joined back by the metrics.
     """
     by = list(by)
-    rank = lambda c: F.rank().over(Window.partitionBy(*by).orderBy(F.desc_nulls_last(c)))
     same = candidates.groupBy(*by, *metrics).agg(F.count(F.lit(1)).alias("n_same"))
-    on = [candidates[k].eqNullSafe(same[k]) for k in [*by, *metrics]]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    joined = candidates.join(same, cond).select(candidates["*"], same["n_same"])
-    return joined.withColumns(
-        {
-            "rank_sharpe": rank("sharpe"), "rank_return": rank("annual_return_pct"), "rank_drawdown": rank("max_drawdown_pct"),
-            "duplicate": F.col("n_same") > 1,
-        }
-    )
+    renamed = same.withColumnsRenamed({k: f"__{k}" for k in [*by, *metrics]})
+    on = F.lit(True)
+    for k in [*by, *metrics]:
+        on = on & candidates[k].eqNullSafe(renamed[f"__{k}"])
+    out = candidates.join(renamed, on).drop(*[f"__{k}" for k in [*by, *metrics]]).withColumn("duplicate", F.col("n_same") > 1)
+    for metric, name in (("sharpe", "rank_sharpe"), ("annual_return_pct", "rank_return"), ("max_drawdown_pct", "rank_drawdown")):
+        out = distributed_rank(out, metric, name, by)
+    return out

@@ -215,9 +215,8 @@ def lookup0(df: DataFrame, table: DataFrame, on: Sequence[str], value: str) -> D
 
 def union_dates(a: DataFrame, b: DataFrame, date: str = "date") -> DataFrame:
     """Dates of either table from the later of the two first dates on."""
-    firsts = a.agg(F.min(date).alias("f")).unionByName(b.agg(F.min(date).alias("f"))).agg(F.max("f").alias("__from"))
-    days = a.select(date).unionByName(b.select(date)).distinct()
-    return days.join(F.broadcast(firsts), F.col(date) >= F.col("__from")).select(date)
+    start = F.greatest(a.agg(F.min(date)).scalar(), b.agg(F.min(date)).scalar())
+    return a.select(date).unionByName(b.select(date)).filter(F.col(date) >= start).distinct()
 
 
 def common_window(df: DataFrame, by: Sequence[str], date: str = "date") -> DataFrame:

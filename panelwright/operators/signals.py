@@ -51,7 +51,7 @@ def confidence(
 
 def confidence_against(
     df: DataFrame, reference: DataFrame, by: Sequence[str] = BY, pred: str = "pred", name: str = "conf_pct",
-    default: float = 0.5,
+    default: float = 0.5, ref_pred: str = "pred",
 ) -> DataFrame:
     """Share of the reference's |pred| that is strictly smaller, ``default`` without a reference (G1).
 
@@ -59,7 +59,7 @@ def confidence_against(
     """
     by = as_list(by)
     ask = df.select(*by, F.abs(col(pred)).alias("__v")).distinct().withColumn("__ref", F.lit(0))
-    ref = reference.select(*by, F.abs(col(pred)).alias("__v")).groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__ref"))
+    ref = reference.select(*by, F.abs(col(ref_pred)).alias("__v")).groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__ref"))
     along = ordered(by, "__v")
     both = ask.withColumn("__ask", F.lit(True)).unionByName(ref.withColumn("__ask", F.lit(False)))
     both = both.groupBy(*by, "__v").agg(F.sum("__ref").alias("__ref"), F.max("__ask").alias("__ask"))
