@@ -123,8 +123,8 @@ def g8_path(spark, sf):
     """Soft and hard overlays hold the previous position: folded paths, checked against a replay in the tests."""
     above = led.above_average(driver.prices(spark, sf), 50).select("symbol", "date", "above_ma")
     df = signals(spark, sf).join(above, ["symbol", "date"])
-    soft = led.path_ledger(df, stop=None, trend="soft").select(*KEYS.split(), F.lit("soft").alias("trend"), "position")
-    hard = led.path_ledger(df, stop=None, trend="hard").select(*KEYS.split(), F.lit("hard").alias("trend"), "position")
+    soft = led.path_ledger(df, led.PathRules(stop=None, trend="soft")).select(*KEYS.split(), F.lit("soft").alias("trend"), "position")
+    hard = led.path_ledger(df, led.PathRules(stop=None, trend="hard")).select(*KEYS.split(), F.lit("hard").alias("trend"), "position")
     return soft.unionByName(hard)
 
 
@@ -159,7 +159,7 @@ def l4(spark, sf):
 @query("L4_no_stop_path", LED + SEL + "position, " + rnd("ln(capital)", "log_capital") + " FROM ledger")
 def l4_no_stop(spark, sf):
     """The folded path without a stop equals the window ledger."""
-    return out(led.path_ledger(signals(spark, sf), stop=None), KEYS + " position", log_capital="log_capital")
+    return out(led.path_ledger(signals(spark, sf), led.PathRules(stop=None)), KEYS + " position", log_capital="log_capital")
 
 
 @query("L5_perf", PERF + " SELECT strategy, symbol, n_trades, total_days, " + cols(*PERF_COLUMNS, digits=5) + " FROM perf")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import EPS, TRADING_DAYS, as_list, avg_rank, col
+from ..session import materialize
 from .panel import keep_by_max
 
 
@@ -60,18 +61,20 @@ def ml_walk_forward(
 ) -> DataFrame:
     """Pooled fit of any ``pyspark.ml`` regressor per fold, forecasts on its validation rows (M4).
 
-    The driver loops over the handful of folds; every fit and transform is distributed.
+    The driver loops over the handful of folds; every fit and transform is distributed.  The rows are written
+    once, partitioned by fold and role, so that no pass of a fit recomputes the features or reads another
+    fold's rows.
     """
-    clean = folded.dropna("any", subset=[*features, target])
-    vectors = VectorAssembler(inputCols=list(features), outputCol="features").transform(clean)
-    vectors = vectors.select(*keys, "fold", "role", "features", F.col(target).alias("label"))
+    clean = folded.dropna("any", subset=[*features, target]).select(*keys, *features, target, "fold", "role")
+    rows = materialize(clean, "folds", ("fold", "role"))
+    assemble = VectorAssembler(inputCols=list(features), outputCol="features")
     out = None
     for fold in range(n_folds):
-        part = vectors.filter(F.col("fold") == fold)
+        part = assemble.transform(rows.filter(F.col("fold") == fold)).withColumn("label", F.col(target))
         train = part.filter("role = 'train'")
         if not train.head(1):
             continue
-        model = estimator.fit(train)
+        model = estimator.fit(train.select("features", "label"))
         scored = model.transform(part.filter("role = 'val'")).select(
             *keys, "fold", F.col("prediction").alias("pred"), F.col("label").alias("actual")
         )

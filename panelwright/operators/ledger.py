@@ -9,15 +9,14 @@ groups are folded in a small helper, in parallel over groups.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.expr import EPS, TRADING_DAYS, as_list, ordered, ratio, safe_ln, up_to_now
+from ..functions.grouped import with_group_columns
 from ..functions.indicators import rolling_mean
 from .panel import asof_join
 from .signals import BOND_YIELD, TIERS, build_signals, confidence
@@ -88,98 +87,102 @@ def days_held(df: DataFrame, by: Sequence[str] = BY, date: str = "date", positio
     return df.withColumn("days_held", F.row_number().over(ordered([*as_list(by), "run_id"], date)))
 
 
-_PATH_COLUMNS = [
-    ("held", T.DoubleType()), ("stopped", T.BooleanType()), ("stop_loss_pct", T.DoubleType()),
-    ("ret_gross", T.DoubleType()), ("ret_net", T.DoubleType()), ("capital", T.DoubleType()),
-]
+_PATH_COLUMNS = {
+    "position": "double", "stopped": "boolean", "stop_loss_pct": "double", "ret_gross": "double",
+    "ret_net": "double", "capital": "double",
+}
+CONFIG_BATCH = 16
 
 
-def _walk(pdf: pd.DataFrame, hold: int, initial: float, rebal_days: int, threshold: float) -> pd.DataFrame:
-    """One strategy's path: hold rules, stop and capital, a few scalars carried from day to day."""
-    n = len(pdf)
-    target, size, side = (pdf[c].to_numpy(float) for c in ("position", "size_frac", "direction"))
-    raw, conf, actual = (pdf[c].to_numpy(float) for c in ("raw_direction", "conf_pct", "actual"))
-    above = pdf["above_ma"].fillna(False).to_numpy(bool)
-    first = pdf.iloc[0]
-    cost, stop, floor, trend, mode = first["cost"], first["stop"], first["floor"], first["trend"], first["mode"]
-    has_stop = stop is not None and not math.isnan(stop)
-    held, loss = np.zeros(n), np.full(n, np.nan)
-    gross, net, capital, stopped = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n, bool)
+@dataclass(frozen=True)
+class PathRules:
+    """What one configuration adds to the positions: costs, stop and trend overlay."""
+
+    cost: float = COST + SLIPPAGE
+    stop: float | None = 0.08
+    trend: str = "off"
+    floor: float = 0.25
+    mode: str = "cash_long"
+    hold: int = HOLD
+    capital: float = CAPITAL
+    rebal_days: int = 10
+    threshold: float = 0.25
+
+
+def _walk(days: Iterable[tuple], rules: PathRules) -> list[tuple]:
+    """One strategy's path, a few scalars carried from day to day, one output tuple per day."""
+    trend, floor, hold, cost, limit = rules.trend, rules.floor, rules.hold, rules.cost, rules.stop
+    flat = BOND_DAILY if rules.mode == "cash_bonds" else 0.0
     pos = last_size = last_side = 0.0
-    cap = entry = initial
-    age = 0
-    for i in range(n):
-        want, want_size, want_side = target[i], size[i], side[i]
-        keep = pos > 0 and above[i] and (
-            (trend == "soft" and raw[i] < 0 and conf[i] < 0.40) or (trend == "hard" and raw[i] <= 0)
-        )
-        if keep:
-            want, want_size, want_side = pos, last_size, last_side
-        elif trend == "floor" and above[i] and raw[i] < 0 and want < floor:
-            want = want_size = floor
-            want_side = 1.0
-        elif trend == "hard" and not above[i] and pos == 0:
-            want = want_size = want_side = 0.0
-        if has_stop and abs(pos) > 1e-6 and cap / entry - 1 < -stop:
-            stopped[i], loss[i] = True, (cap / entry - 1) * 100
-            want = want_size = want_side = 0.0
-        due = (
-            age >= rebal_days
-            or (want_side != last_side and want_side != 0 and last_side != 0)
-            or abs(want_size - last_size) >= threshold
-            or (pos == 0) != (want == 0)
-            or stopped[i]
-        )
+    cap = entry = rules.capital
+    age, out = 0, []
+    for want, size, side, raw, conf, actual, above in days:
+        if above and pos > 0 and ((trend == "soft" and raw < 0 and conf < 0.40) or (trend == "hard" and raw <= 0)):
+            want, size, side = pos, last_size, last_side
+        elif trend == "floor" and above and raw < 0 and want < floor:
+            want = size = floor
+            side = 1
+        elif trend == "hard" and not above and pos == 0:
+            want = size = side = 0.0
+        stopped, loss = False, None
+        if limit is not None and abs(pos) > 1e-6 and cap / entry - 1 < -limit:
+            stopped, loss = True, (cap / entry - 1) * 100
+            want = size = side = 0.0
         paid = 0.0
-        if due and abs(want - pos) > 1e-6:
+        if abs(want - pos) > 1e-6 and (
+            stopped or (pos == 0) != (want == 0) or abs(size - last_size) >= rules.threshold
+            or side * last_side < 0 or age >= rules.rebal_days
+        ):
             paid = abs(want - pos) * cost
-            pos, last_size, last_side, age, entry = want, want_size, want_side, 0, cap
+            pos, last_size, last_side, age, entry = want, size, side, 0, cap
         age += 1
-        gross[i] = BOND_DAILY if pos == 0 and mode == "cash_bonds" else pos * actual[i] / hold
-        nxt = max(cap * (math.exp(gross[i]) - paid), 1.0)
-        net[i] = math.log(nxt / cap)
-        cap = capital[i] = nxt
-        held[i] = pos
-    return pdf.assign(held=held, stopped=stopped, stop_loss_pct=loss, ret_gross=gross, ret_net=net, capital=capital)
+        gross = pos * actual / hold if pos else flat
+        nxt = max(cap * (math.exp(gross) - paid), 1.0)
+        out.append((pos, stopped, loss, gross, math.log(nxt / cap), nxt))
+        cap = nxt
+    return out
+
+
+_WALKED = ("position", "size_frac", "direction", "raw_direction", "conf_pct", "actual", "above_ma")
 
 
 def path_ledger(
-    signals: DataFrame,
-    by: Sequence[str] = BY,
-    hold: int = HOLD,
-    cost=COST + SLIPPAGE,
-    stop=0.08,
-    trend="off",
-    floor=0.25,
-    mode="cash_long",
-    capital: float = CAPITAL,
-    rebal_days: int = 10,
-    threshold: float = 0.25,
-    date: str = "date",
+    signals: DataFrame, rules: PathRules = PathRules(), by: Sequence[str] = BY, date: str = "date",
+    configs: dict[str, PathRules] | None = None,
 ) -> DataFrame:
     """Ledger with a hard stop and trend overlays (L4, G8 soft/hard/floor).
 
     A stop leaves the position for the day once capital is more than ``stop`` below the capital at the last
-    trade.  ``cost``, ``stop``, ``trend``, ``floor`` and ``mode`` may be columns that are constant per group.
+    trade.  ``configs`` maps the values of a ``config`` key column to their rules; configurations are walked
+    together in batches of at most ``CONFIG_BATCH`` per symbol, which bounds a task's group whatever the grid.
     """
     by = as_list(by)
-    stop = F.lit(None).cast("double") if stop is None else _lit(stop).cast("double")
-    rows = signals.withColumns(
-        {"cost": _lit(cost).cast("double"), "stop": stop, "trend": _lit(trend), "floor": _lit(floor).cast("double"),
-         "mode": _lit(mode)}
-    )
-    if "above_ma" not in rows.columns:
-        rows = rows.withColumn("above_ma", F.lit(True))
-    schema = T.StructType(list(rows.schema.fields) + [T.StructField(n, t) for n, t in _PATH_COLUMNS])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _walk(pdf.sort_values(date), hold, capital, rebal_days, threshold)
-
-    out = rows.groupBy(*by).applyInPandas(fold, schema)
-    w = ordered(by, date)
-    out = out.withColumn("position", F.col("held")).drop("held")
-    change = F.col("position") - F.coalesce(F.lag("position").over(w), F.lit(0.0))
-    return out.withColumn("pos_change", change).withColumn("log_capital", F.ln("capital"))
+    rows = signals if "above_ma" in signals.columns else signals.withColumn("above_ma", F.lit(True))
+    group, order = by, [date]
+    if configs is not None:
+        batch = {c: i // CONFIG_BATCH for i, c in enumerate(configs)}
+        if max(batch.values()) > 0:
+            index = F.create_map(*[F.lit(x) for c, i in batch.items() for x in (c, i)])
+            rows = rows.withColumn("__batch", F.element_at(index, F.col("config")))
+        else:
+            rows = rows.withColumn("__batch", F.lit(0))
+        group, order = [k for k in by if k != "config"] + ["__batch"], ["config", date]
+
+    def walk(table):
+        days = list(zip(*(table.column(c).to_pylist() for c in _WALKED)))
+        path: list[tuple] = []
+        if configs is None:
+            path = _walk(days, rules)
+        else:
+            start = 0
+            for run in table.column("config").combine_chunks().value_counts().to_pylist():
+                path += _walk(days[start:start + run["counts"]], configs[run["values"]])
+                start += run["counts"]
+        return dict(zip(_PATH_COLUMNS, zip(*path)))
+
+    out = with_group_columns(rows, group, order, _PATH_COLUMNS, walk)
+    change = F.col("position") - F.coalesce(F.lag("position").over(ordered(by, date)), F.lit(0.0))
+    return out.drop("__batch").withColumn("pos_change", change).withColumn("log_capital", F.ln("capital"))
 
 
 def stops(led: DataFrame, by: Sequence[str] = BY, date: str = "date") -> DataFrame:
@@ -335,11 +338,9 @@ def sweep(
         with_configs(ranked, configs), F.col("min_signal"), F.col("mode"), F.col("max_pos"), TIERS, None, keys
     )
     if use_stops:
-        grid = grid.withColumnRenamed("mode", "__mode")
-        led = path_ledger(
-            grid, keys, hold, F.col("tc") + SLIPPAGE, F.col("stop_pct"), F.col("trend_mode"), F.col("trend_floor"),
-            F.col("__mode"),
-        )
+        rules = {c[0]: PathRules(c[4] + SLIPPAGE, c[5], c[6], c[7], c[3], hold) for c in configs}
+        slim = grid.select(*keys, "date", *[c for c in _WALKED if c in grid.columns])
+        led = path_ledger(slim, by=keys, configs=rules)
     else:
         led = ledger(grid, keys, hold, F.col("tc") + SLIPPAGE, mode=F.col("mode"))
     return perf(led, keys)

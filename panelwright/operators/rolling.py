@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..functions.expr import EPS, TRADING_DAYS, as_list
+from ..functions.expr import EPS, TRADING_DAYS
+from ..functions.grouped import with_group_columns
 
 
 def rolling_z_all(
@@ -27,11 +27,10 @@ def rolling_z_all(
     """Replaces double columns by (x - mean) / (std + eps) over the last ``n`` rows, half of them filled (I8)."""
     columns, need = list(columns), n // 2 if min_rows is None else min_rows
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x = pdf[columns]
+    def score(table):
+        x = table.select(columns).to_pandas()
         frame = x.rolling(n, min_periods=need)
-        pdf[columns] = (x - frame.mean()) / (frame.std() + EPS)
-        return pdf
+        z = (x - frame.mean()) / (frame.std() + EPS)
+        return {c: z[c] for c in columns}
 
-    return df.groupBy(*as_list(by)).applyInPandas(score, df.schema)
+    return with_group_columns(df, by, order, dict.fromkeys(columns, "double"), score)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.dates import bday_index
 from ..functions.expr import as_list, ordered, up_to_now
+from ..functions.grouped import with_group_columns
 
 BY = ("strategy", "symbol")
 METRICS = ("ic", "win_rate", "pct_return")
@@ -42,23 +43,24 @@ def non_overlapping(
     if mode in ("cash_long", "long_only"):
         enters = enters & (F.col("pred") > 0)
     picked = df.filter(enters).withColumns(
-        {"bday_idx": bday_index(date), "side": F.when(F.col("pred") > 0, 1.0).otherwise(-1.0)}
+        {
+            "bday_idx": bday_index(date), "side": F.when(F.col("pred") > 0, 1.0).otherwise(-1.0),
+            "__weekend": (F.weekday(date) >= 5).cast("int"),
+        }
     )
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(date)
+    def walk(table):
         # An entry on a weekend frees up on the business day `hold` after the Friday before it; a weekend
         # day is free from the Saturday after that day on.
-        idx = pdf["bday_idx"].to_numpy()
-        weekend = (pd.to_datetime(pdf[date]).dt.weekday >= 5).to_numpy()
-        at = idx * 2 + weekend
-        keep, i = [], 0
+        idx = table.column("bday_idx").to_numpy()
+        at = idx * 2 + table.column("__weekend").to_numpy()
+        taken, i = np.zeros(len(at), bool), 0
         while i < len(at):
-            keep.append(i)
+            taken[i] = True
             i = max(i + 1, int(np.searchsorted(at, (idx[i] + hold) * 2, side="left")))
-        return pdf.iloc[keep]
+        return {"__taken": taken}
 
-    out = picked.groupBy(*by).applyInPandas(walk, picked.schema)
+    out = with_group_columns(picked, by, date, {"__taken": "boolean"}, walk).filter("__taken").drop("__taken", "__weekend")
     return out.withColumn("trade_ret", F.col("side") * F.col("actual"))
 
 

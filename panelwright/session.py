@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -42,3 +42,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not root:
         root = tempfile.mkdtemp(prefix="panelwright-")
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+
+
+def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: cuts lineage so that a lost executor costs a
+    re-read, and lets later passes skip the partitions they do not need."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
