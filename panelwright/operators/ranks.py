@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,36 +10,43 @@ from pyspark.sql import functions as F
 from ..functions.expr import as_list
 
 # Slices a value range is cut into; also the most rows the table of slice totals has per key.
-SLICES = 256
+SLICES = 64
 
 
-def distributed_rank(
-    df: DataFrame, value: str, name: str, by: Sequence[str] = (), descending: bool = True, slices: int = SLICES
+def distributed_ranks(
+    df: DataFrame, columns: Mapping[str, str], by: Sequence[str] = (), descending: bool = True, slices: int = SLICES
 ) -> DataFrame:
-    """``rank()`` of a double column without gathering a key's rows in one task.
+    """``rank()`` of double columns, ``{value: new name}``, without gathering a key's rows in one task.
 
     Values are counted first (ties, however many, become one row map-side) and cut at approximate quantiles
     into slices of about equal size.  Counts run within (key, slice); the totals of the slices before give
-    the offset.  The cut points only balance the work: any cut gives the same ranks.  NULLs rank last.
+    the offset.  The cut points only balance the work: any cut gives the same ranks.  NULLs rank last.  The
+    input is read once for the cut points of all columns and once per column.
     """
     by = as_list(by)
-    counted = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
     shares = [i / slices for i in range(1, slices)]
-    cuts = counted.agg(F.percentile_approx(value, shares, 10_000).alias("c")).first()["c"] or []
-    points = sorted(set(cuts))
+    cuts = df.agg(*[F.percentile_approx(c, shares, 10_000).alias(c) for c in columns]).first()
+    out = df
+    for value, name in columns.items():
+        table = _rank_table(df, value, name, by, descending, slices, sorted(set(cuts[value] or [])))
+        on = df[value].eqNullSafe(table["__v"])
+        for b in by:
+            on = on & (df[b] == table[f"__k_{b}"])
+        out = out.join(table, on).drop("__v", *[f"__k_{b}" for b in by])
+    return out
+
+
+def _rank_table(df, value, name, by, descending, slices, points) -> DataFrame:
+    counted = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
     key = F.col(value)
     below = F.size(F.filter(F.array(*[F.lit(float(p)) for p in points]), lambda p: p < key)) if points else F.lit(0)
     part = F.when(key.isNull(), F.lit(slices + 1)).otherwise(F.lit(slices) - below if descending else below)
-    sliced = counted.withColumn("__slice", part)
-    order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+    order = key.desc_nulls_last() if descending else key.asc_nulls_last()
     earlier = Window.partitionBy(*by, "__slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sliced = counted.withColumn("__slice", part)
     sliced = sliced.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-    totals = sliced.groupBy(*by, "__slice").agg(F.sum("__n").alias("__total"))
+    totals = counted.groupBy(*by, part.alias("__slice")).agg(F.sum("__n").alias("__total"))
     ahead = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "__slice", F.coalesce(F.sum("__total").over(ahead), F.lit(0)).alias("__offset"))
-    ranked = sliced.join(offsets, [*by, "__slice"])
-    ranked = ranked.select(*[F.col(b).alias(f"__k_{b}") for b in by], F.col(value).alias("__v"), (F.col("__offset") + F.col("__before") + 1).alias(name))
-    on = df[value].eqNullSafe(ranked["__v"])
-    for b in by:
-        on = on & (df[b] == ranked[f"__k_{b}"])
-    return df.join(ranked, on).drop("__v", *[f"__k_{b}" for b in by])
+    keys = [F.col(b).alias(f"__k_{b}") for b in by]
+    return sliced.join(offsets, [*by, "__slice"]).select(*keys, key.alias("__v"), (F.col("__offset") + F.col("__before") + 1).alias(name))

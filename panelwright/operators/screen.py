@@ -56,44 +56,52 @@ def regimes(df: DataFrame, value: str = "anchor_fwd") -> DataFrame:
     return df.withColumn("regime", F.explode(hits))
 
 
-def regime_stats(joint: DataFrame, by: Sequence[str] = ("symbol",), min_rows: int = MIN_REGIME) -> DataFrame:
-    """Statistics of candidate forward returns per anchor regime (X2); NULL below ``min_rows`` rows.
+def _inside(v) -> dict:
+    return {"losing": v < LOSING, "flat": (v >= FLAT_LOW) & (v <= FLAT_HIGH), "weak": v < WEAK}
 
-    One aggregation over the joint rows gives the overall mean and every regime; nothing is joined back.
-    """
-    v = F.col("anchor_fwd")
-    inside = {
-        "losing": v < LOSING, "flat": (v >= FLAT_LOW) & (v <= FLAT_HIGH), "weak": v < WEAK,
-    }
-    aggs = [F.avg("fwd").alias("overall_mean")]
-    for name, cond in inside.items():
-        x = F.when(cond, F.col("fwd"))
-        aggs.append(
+
+def _moments(fwd) -> list:
+    """One struct of plain moments per regime over a candidate's joint forward returns."""
+    out = []
+    for name, cond in _inside(F.col("anchor_fwd")).items():
+        x = F.when(cond, fwd)
+        out.append(
             F.struct(
                 F.lit(name).alias("regime"), F.count(x).alias("n"), F.avg(x).alias("mean"),
                 F.stddev_samp(x).alias("std"), F.avg((x > 0).cast("double")).alias("hit"),
             ).alias(name)
         )
-    stats = joint.filter(F.col("fwd").isNotNull() & v.isNotNull()).groupBy(*by).agg(*aggs)
-    long = stats.select(*by, "overall_mean", F.explode(F.array(*inside)).alias("s")).select(*by, "overall_mean", "s.*")
-    return _regime_columns(long, min_rows).drop("mean", "std", "hit", "overall_mean")
+    return out
 
 
-def _regime_columns(long: DataFrame, min_rows: int) -> DataFrame:
-    alpha, std_pct = (F.col("mean") - F.col("overall_mean")) * 100, F.col("std") * 100
-    enough = F.col("n") >= min_rows
-    keep = lambda c: F.when(enough, c)
+def _figures(s, overall_mean, min_rows: int) -> dict:
+    """Regime figures from its moments; NULL below the smallest sample."""
+    mean, std = s["mean"], s["std"]
+    alpha, std_pct = (mean - overall_mean) * 100, std * 100
+    keep = lambda c: F.when(s["n"] >= min_rows, c)
+    moving = std > 0
     sign = F.when(alpha >= 0, 1.0).otherwise(-1.0)
-    return long.withColumns(
-        {
-            "mean_pct": keep(F.col("mean") * 100),
-            "hit_rate_pct": keep(F.col("hit") * 100),
-            "sharpe": keep(F.when(F.col("std") > 0, F.col("mean") / F.col("std")).otherwise(0.0)),
-            "alpha_pct": keep(alpha),
-            "std_pct": keep(F.when(F.col("std") > 0, std_pct).otherwise(0.0)),
-            "score": keep(F.when(F.col("std") > 0, sign * F.abs(alpha) * F.sqrt(std_pct)).otherwise(0.0)),
-        }
-    )
+    return {
+        "n": s["n"],
+        "mean_pct": keep(mean * 100),
+        "hit_rate_pct": keep(s["hit"] * 100),
+        "sharpe": keep(F.when(moving, mean / std).otherwise(0.0)),
+        "alpha_pct": keep(alpha),
+        "std_pct": keep(F.when(moving, std_pct).otherwise(0.0)),
+        "score": keep(F.when(moving, sign * F.abs(alpha) * F.sqrt(std_pct)).otherwise(0.0)),
+    }
+
+
+def regime_stats(joint: DataFrame, by: Sequence[str] = ("symbol",), min_rows: int = MIN_REGIME) -> DataFrame:
+    """Statistics of candidate forward returns per anchor regime (X2); NULL below ``min_rows`` rows.
+
+    One aggregation over the joint rows gives the overall mean and every regime; nothing is joined back.
+    """
+    both = F.col("fwd").isNotNull() & F.col("anchor_fwd").isNotNull()
+    stats = joint.filter(both).groupBy(*by).agg(F.avg("fwd").alias("__mean"), *_moments(F.col("fwd")))
+    long = stats.select(*by, "__mean", F.explode(F.array(*REGIMES)).alias("s"))
+    figures = _figures(F.col("s"), F.col("__mean"), min_rows)
+    return long.select(*by, F.col("s.regime").alias("regime"), *[c.alias(n) for n, c in figures.items()])
 
 
 def screen(
@@ -104,38 +112,43 @@ def screen(
     min_obs: int = MIN_OBS,
     attributes: DataFrame | None = None,
 ) -> DataFrame:
-    """One wide row per candidate: overall, per-regime and liquidity figures, correlation with the anchor."""
-    returns = returns_panel(panel, horizon)
-    both = against_anchor(returns, anchor)
+    """One wide row per candidate: overall, per-regime and liquidity figures, correlation with the anchor.
+
+    All figures come from one aggregation of the candidate rows beside the broadcast anchor.
+    """
+    both = against_anchor(returns_panel(panel, horizon), anchor)
     joint = F.col("fwd").isNotNull() & F.col("anchor_fwd").isNotNull()
     pair = F.col("daily").isNotNull() & F.col("anchor_daily").isNotNull()
     fwd = F.when(joint, F.col("fwd"))
-    overall = both.groupBy("symbol").agg(
+    volume = F.coalesce(F.avg("dollar_volume"), F.lit(0.0))
+    corr = F.corr(F.when(pair, F.col("daily")), F.when(pair, F.col("anchor_daily")))
+    stats = both.groupBy("symbol").agg(
         F.count(fwd).alias("n_obs"),
-        (F.coalesce(F.avg("dollar_volume"), F.lit(0.0)) / 1e6).alias("avg_daily_dollar_vol_M"),
-        (F.coalesce(F.avg("dollar_volume"), F.lit(0.0)) >= min_dollar_volume).alias("passes_liquidity"),
+        (volume / 1e6).alias("avg_daily_dollar_vol_M"),
+        (volume >= min_dollar_volume).alias("passes_liquidity"),
         (F.avg(fwd) * 100).alias("overall_mean_pct"),
         (F.stddev_samp(fwd) * 100).alias("overall_std_pct"),
-        F.when(F.count(F.when(pair, 1)) > MIN_CORR, F.corr(F.when(pair, F.col("daily")), F.when(pair, F.col("anchor_daily")))).alias("corr_with_anchor"),
+        F.when(F.count(F.when(pair, 1)) > MIN_CORR, corr).alias("corr_with_anchor"),
+        F.avg(fwd).alias("__mean"),
+        *_moments(fwd),
     ).filter(F.col("n_obs") >= min_obs)
-    stats = regime_stats(both)
-    wide = stats.groupBy("symbol").pivot("regime", list(REGIMES)).agg(*[F.first(f).alias(f) for f in REGIME_FIELDS])
-    out = overall.join(wide, "symbol", "left")
+    wide = {
+        f"{g}_{n}": c for g in REGIMES for n, c in _figures(F.col(g), F.col("__mean"), MIN_REGIME).items()
+    }
+    out = stats.withColumns(wide).drop("__mean", *REGIMES)
     return out if attributes is None else out.join(attributes, "symbol", "left")
 
 
 def top_k(screened: DataFrame, by: str = "score", k: int = 10, regimes: Sequence[str] = REGIMES) -> DataFrame:
-    """Best liquid candidates per regime by score or alpha."""
+    """Best liquid candidates per regime by score or alpha.
+
+    Spark turns the bound on the row number into a top-k per task before the shuffle, so a regime's group
+    holds ``k`` rows of each task and not all candidates.
+    """
     cols = ", ".join(f"'{r}', {r}_{by}" for r in regimes)
     long = screened.filter("passes_liquidity").selectExpr("symbol", f"stack({len(regimes)}, {cols}) AS (regime, value)")
-    best = []
-    for name in regimes:
-        part = long.filter((F.col("regime") == name) & F.col("value").isNotNull())
-        best.append(part.orderBy(F.desc("value"), "symbol").limit(k))
-    out = best[0]
-    for part in best[1:]:
-        out = out.unionByName(part)
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("regime").orderBy(F.desc("value"), "symbol")))
+    place = F.row_number().over(Window.partitionBy("regime").orderBy(F.desc("value"), "symbol"))
+    return long.filter(F.col("value").isNotNull()).withColumn("rank", place).filter(F.col("rank") <= k)
 
 
 def lowest_correlation(screened: DataFrame, k: int = 10) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.dates import bday_index
 from ..functions.expr import as_list, ordered, up_to_now
 from ..functions.grouped import with_group_columns
+from ..session import materialize
 
 BY = ("strategy", "symbol")
 METRICS = ("ic", "win_rate", "pct_return")
@@ -161,11 +162,15 @@ def bootstrap(
     preds: DataFrame, n_boot: int = 300, seed: int = 42, hold: int = 20, min_signal: float = 0.008,
     gap: int = 30, by: Sequence[str] = BY, date: str = "date",
 ) -> DataFrame:
-    """Metrics of every out-of-fold block (``is_oof``) and of every bootstrap chunk (V4)."""
+    """Metrics of every out-of-fold block (``is_oof``) and of every bootstrap chunk (V4).
+
+    The predictions and the drawn rows are written once to the shared folder: both are read several times.
+    """
     by = as_list(by)
+    preds = materialize(preds.select(*by, date, "pred", "actual", "is_oof"), "predictions")
     oof = blocks(preds.filter("is_oof"), gap, by, date).withColumnRenamed("block", "chunk")
     a = chunk_metrics(oof, [*by, "chunk"], hold, min_signal, date).withColumn("is_oof", F.lit(True))
-    b = bootstrap_chunks(preds, n_boot, seed, gap, by, date)
+    b = materialize(bootstrap_chunks(preds, n_boot, seed, gap, by, date), "chunks")
     b = chunk_metrics(b, [*by, "chunk"], hold, min_signal, date).withColumn("is_oof", F.lit(False))
     return a.unionByName(b.withColumn("chunk", F.col("chunk").cast("bigint")).select(*a.columns))
 
