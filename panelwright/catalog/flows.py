@@ -1,4 +1,4 @@
-"""End-to-end flows E0-E3."""
+"""End-to-end flows E0-E4."""
 
 from __future__ import annotations
 
@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions.expr import r
 from ..plans import flows
 from ..sources import driver
-from .base import PERF_COLUMNS, cols, ledger_sql, out, perf_sql, prices_sql, query, signals_sql, windows, zscore
+from .base import ORACLES, PERF_COLUMNS, cols, ledger_sql, out, perf_sql, prices_sql, query, rnd, signals_sql, windows, zscore
 from .forecasts import FEATS, FOLDS, regression_rows
+from .ledgers import BENCH
+from .rotations import FLOOR, primary_prices, screen_panel, sleeves
 
 E0_SQL = "WITH " + prices_sql() + """, d AS (SELECT DISTINCT date FROM prices), s AS (SELECT symbol, min(date) AS lo FROM prices GROUP BY 1), grid AS (SELECT symbol, date FROM d JOIN s ON date>=lo),
     al AS (SELECT g.symbol, g.date, p.close FROM grid g ASOF JOIN prices p ON g.symbol=p.symbol AND g.date>=p.date),
@@ -29,12 +31,33 @@ def e1(spark, sf):
     return summary.select("symbol", "n_folds", "best_fold", "passes", F.concat_ws(";", "failed").alias("failed"), r("ic_mean", 5).alias("ic_mean"))
 
 
-@query("E2_backtest_report")
+LAGGED_SQL = BENCH + ", lagged AS (SELECT * FROM (SELECT strategy, symbol, date, pred, lead(actual) OVER (PARTITION BY strategy, symbol ORDER BY date) AS actual FROM predictions) WHERE actual IS NOT NULL), " + signals_sql("lagged") + ", " + ledger_sql() + ", " + perf_sql()
+
+
+@query("E2_backtest_report", LAGGED_SQL + " SELECT strategy, symbol, " + rnd("total_return_pct-bh_total_return_pct", "alpha_pct", 5) + ", " + cols("sharpe", "max_drawdown_pct", digits=5) + " FROM perf JOIN bp USING (symbol)")
 def e2(spark, sf):
     report = flows.backtest_report(driver.predictions(spark, sf), driver.prices(spark, sf))
     return report.select("strategy", "symbol", r("alpha_pct", 5).alias("alpha_pct"), r("sharpe", 5).alias("sharpe"), r("max_drawdown_pct", 5).alias("max_drawdown_pct"))
 
 
+@query("E2_validation_report")
+def e2_validation(spark, sf):
+    v = flows.validation_report(driver.predictions(spark, sf, "cell"))
+    return v.select("strategy", "symbol", "n_trades", "verdict", r("sharpe", 5).alias("sharpe"), r("ic", 5).alias("ic"))
+
+
+@query("E3_rotation_report", ORACLES["R4_yearly"])
+def e3_rotation(spark, sf):
+    y = flows.rotation_report(sleeves(spark, sf), primary_prices(spark, sf))
+    return out(y, "book year", 5, **{c: c for c in ("primary_long_pct", "invested_pct", "bh_ret_pct", "rotation_ret_pct", "primary_ret_pct")})
+
+
+@query("E4_diversifier_report", ORACLES["X4_top_k"])
+def e4(spark, sf):
+    best = flows.diversifier_report(screen_panel(spark, sf), "AF", min_dollar_volume=FLOOR)
+    return out(best, "symbol regime rank", 5, value="value")
+
+
 @query("E3_live_signals")
 def e3(spark, sf):
     folds = driver.fold_predictions(spark, sf)

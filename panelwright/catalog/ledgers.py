@@ -131,12 +131,13 @@ def g8_path(spark, sf):
 TRADES = LED + """, tr AS (SELECT *, coalesce(lag(position) OVER (PARTITION BY strategy, symbol ORDER BY date),0) AS old_pos, coalesce(lag(capital) OVER (PARTITION BY strategy, symbol ORDER BY date),100000) AS before FROM ledger)"""
 
 
-@query("L1_trades", TRADES + SEL + """CAST(old_pos AS DOUBLE) AS old_pos, position AS new_pos, CASE WHEN old_pos=0 THEN 'BUY' WHEN position=0 THEN 'SELL' WHEN position>old_pos THEN 'ADD' ELSE 'TRIM' END AS trade,
-    CASE WHEN old_pos=0 THEN 'entering' WHEN position=0 THEN 'exiting' ELSE 'size_chg' END AS reason, """ + rnd("abs(position-old_pos)*0.0015*before", "cost", 4) + ", " + rnd("before*position", "stock_value", 2) + " FROM tr WHERE abs(position-old_pos)>1e-6")
+@query("L1_trades", TRADES + """, ag AS (SELECT *, rn-coalesce(max(CASE WHEN abs(position-old_pos)>1e-6 THEN rn END) OVER (PARTITION BY strategy, symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),1) AS age
+    FROM (SELECT *, row_number() OVER (PARTITION BY strategy, symbol ORDER BY date) AS rn FROM tr))""" + SEL + """CAST(old_pos AS DOUBLE) AS old_pos, position AS new_pos, CASE WHEN old_pos=0 THEN 'BUY' WHEN position=0 THEN 'SELL' WHEN position>old_pos THEN 'ADD' ELSE 'TRIM' END AS trade,
+    CASE WHEN age>=10 THEN 'weekly' WHEN old_pos=0 THEN 'entering' WHEN position=0 THEN 'exiting' ELSE 'size_chg' END AS reason, CASE WHEN position=0 THEN 'flat' WHEN conf_pct>=0.75 THEN 'top quartile' WHEN conf_pct>=0.5 THEN 'third quartile' WHEN conf_pct>=0.25 THEN 'second quartile' ELSE 'bottom quartile' END AS size_reason,
+    """ + rnd("abs(position-old_pos)*0.0015*before", "cost", 4) + ", " + rnd("before*position", "stock_value", 2) + " FROM ag WHERE abs(position-old_pos)>1e-6")
 def l1(spark, sf):
-    return out(led.trades(ledger(spark, sf)), KEYS + " old_pos new_pos trade reason", 4, cost="cost").join(
-        out(led.trades(ledger(spark, sf)), KEYS, 2, stock_value="stock_value"), KEYS.split()
-    )
+    t = led.trades(ledger(spark, sf))
+    return t.select(*KEYS.split(), "old_pos", "new_pos", "trade", "reason", "size_reason", r("cost", 4).alias("cost"), r("stock_value", 2).alias("stock_value"))
 
 
 @query("L2_ledger", LED + SEL + "position, " + cols("ret_gross", "ret_net") + ", " + rnd("ln(capital)", "log_capital") + " FROM ledger")

@@ -58,25 +58,39 @@ def ledger(
     )
 
 
-def trades(led: DataFrame, by: Sequence[str] = BY, cost=COST + SLIPPAGE, initial: float = CAPITAL, date="date") -> DataFrame:
-    """One row per position change: type, reason, cost and the split after it (L1)."""
+def trades(
+    led: DataFrame, by: Sequence[str] = BY, cost=COST + SLIPPAGE, initial: float = CAPITAL, rebal_days: int = 10, date="date"
+) -> DataFrame:
+    """One row per position change: type, reason, sizing note, cost and the split after it (L1).
+
+    Reasons in order of precedence: a stop (path ledgers), a change of side, a rebalance due after
+    ``rebal_days`` rows without a trade, then entering, exiting or a change of size.
+    """
     w = ordered(by, date)
     old = F.coalesce(F.lag("position").over(w), F.lit(0.0))
     before = F.coalesce(F.lag("capital").over(w), F.lit(float(initial)))
-    rows = led.withColumns({"old_pos": old, "capital_before": before}).withColumnRenamed("position", "new_pos")
-    rows = rows.filter(F.abs(F.col("new_pos") - F.col("old_pos")) > 1e-6)
+    rows = led.withColumns({"old_pos": old, "capital_before": before, "__rn": F.row_number().over(w)})
+    rows = rows.withColumnRenamed("position", "new_pos")
+    rows = rows.withColumn("__moved", F.abs(F.col("new_pos") - F.col("old_pos")) > 1e-6)
+    last_trade = F.max(F.when(F.col("__moved"), F.col("__rn"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("__age", F.col("__rn") - F.coalesce(last_trade, F.lit(1))).filter("__moved")
     entering = (F.col("old_pos") == 0) & (F.col("new_pos") != 0)
     exiting = (F.col("old_pos") != 0) & (F.col("new_pos") == 0)
     flip = F.signum("old_pos") * F.signum("new_pos") < 0
+    stopped = F.col("stopped") if "stopped" in led.columns else F.lit(False)
+    conf = F.col("conf_pct")
+    quartile = F.when(conf >= 0.75, "top").when(conf >= 0.50, "third").when(conf >= 0.25, "second").otherwise("bottom")
     return rows.withColumns(
         {
-            "trade": F.when(entering, "BUY").when(exiting, "SELL").when(F.col("new_pos") > F.col("old_pos"), "ADD").otherwise("TRIM"),
-            "reason": F.when(flip, "dir_flip").when(entering, "entering").when(exiting, "exiting").otherwise("size_chg"),
+            "trade": F.when(entering, "BUY").when(exiting | stopped, "SELL").when(F.col("new_pos") > F.col("old_pos"), "ADD").otherwise("TRIM"),
+            "reason": F.when(stopped, "stop_loss").when(flip, "dir_flip").when(F.col("__age") >= rebal_days, "weekly")
+            .when(entering, "entering").when(exiting, "exiting").otherwise("size_chg"),
+            "size_reason": F.when(F.col("new_pos") == 0, "flat").otherwise(F.concat(quartile, F.lit(" quartile"))),
             "cost": F.abs(F.col("new_pos") - F.col("old_pos")) * _lit(cost) * F.col("capital_before"),
             "stock_value": F.col("capital_before") * F.col("new_pos"),
             "cash_value": F.col("capital_before") * (1 - F.col("new_pos")),
         }
-    )
+    ).drop("__rn", "__moved", "__age")
 
 
 def days_held(df: DataFrame, by: Sequence[str] = BY, date: str = "date", position: str = "position") -> DataFrame:
