@@ -215,8 +215,8 @@ def i23(spark, sf):
        + "), z AS (SELECT *, " + zscore("a") + " - " + zscore("b") + " AS d FROM s " + windows(252) + ") " + KEY + rnd(zscore("d"), "divergence", 4) + " FROM z " + windows(252))
 def i24(spark, sf):
     df = px(spark, sf).withColumns({"a": ind.log_return("close", 5), "b": ind.difference("volume", 5)})
-    gap = rolling_z_all(df.select("symbol", "date", "a", "b"), ["a", "b"]).withColumn("d", F.col("a") - F.col("b"))
-    return out(rolling_z_all(gap, ["d"]), "symbol date", 4, divergence="d")
+    scored = rolling_z_all(df.select("symbol", "date", "a", "b"), ["a", "b"], gaps={"divergence": ("a", "b")})
+    return out(scored, "symbol date", 4, divergence="divergence")
 
 
 @query("I25_vol_adjusted_momentum", PX + ", r AS (SELECT *, ln(close/lag(close) OVER w) AS r1, ln(close/lag(close,21) OVER w) AS r21, ln(close/lag(close,63) OVER w) AS r63, ln(close/lag(close,126) OVER w) AS r126 FROM prices "

@@ -8,7 +8,7 @@ same partitioning, so it adds no shuffle; its group is one symbol's history, at
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -23,14 +23,26 @@ def rolling_z_all(
     min_rows: int | None = None,
     by: Sequence[str] = ("symbol",),
     order: str = "date",
+    gaps: Mapping[str, tuple[str, str]] | None = None,
 ) -> DataFrame:
-    """Replaces double columns by (x - mean) / (std + eps) over the last ``n`` rows, half of them filled (I8)."""
+    """Replaces double columns by (x - mean) / (std + eps) over the last ``n`` rows, half of them filled (I8).
+
+    ``gaps`` adds ``{name: (a, b)}``, the score of scored ``a`` less ``b`` (I24), in the same pass over the
+    group: ``b`` may be another scored column or one that arrived as a score.
+    """
     columns, need = list(columns), n // 2 if min_rows is None else min_rows
 
-    def score(table):
-        x = table.select(columns).to_pandas()
+    gaps = dict(gaps or {})
+
+    def score(x):
         frame = x.rolling(n, min_periods=need)
-        z = (x - frame.mean()) / (frame.std() + EPS)
-        return {c: z[c] for c in columns}
+        return (x - frame.mean()) / (frame.std() + EPS)
+
+    def kernel(table):
+        z = score(table.select(columns).to_pandas())
+        out = {c: z[c] for c in columns}
+        for name, (a, b) in gaps.items():
+            out[name] = score(z[a] - (z[b] if b in out else table.column(b).to_pandas()))
+        return out
 
-    return with_group_columns(df, by, order, dict.fromkeys(columns, "double"), score)
+    return with_group_columns(df, by, order, dict.fromkeys([*columns, *gaps], "double"), kernel)

@@ -12,7 +12,7 @@ built and scored once on the trading calendar, one row per day, and broadcast to
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +23,7 @@ from ..functions.dates import cyclic, season_flags
 from ..functions.expr import EPS, TRADING_DAYS, ratio, safe_ln
 from ..operators.panel import asof_join
 from ..operators.rolling import rolling_z_all
+from ..session import materialize
 
 Build = Callable[[Sequence[str]], Column]
 
@@ -166,19 +167,18 @@ def chase_block(change: str = "attention_raw_chg4") -> list[Feature]:
     return [_f("attention_chase", 1, chase, change, "close")]
 
 
-def divergence_block(macro: Sequence[str]) -> list[Feature]:
-    """Score of the 5-row return less the score of a series' 5-row change (I24); built on scored columns and
-    scored again."""
-    return [_f(f"{m}_divergence", 1, lambda by, m=m: F.col("r5") - F.col(f"{m}_chg5"), "r5", f"{m}_chg5") for m in macro]
+def divergences(macro: Sequence[str]) -> dict[str, tuple[str, str]]:
+    """Score of the 5-row return less the score of a series' 5-row change, scored again."""
+    return {f"{m}_divergence": ("r5", f"{m}_chg5") for m in macro}
 
 
 @dataclass(frozen=True)
 class Variant:
-    """Feature lists of one family of instruments: per symbol, market-wide, and on scored columns."""
+    """Feature lists of one family of instruments: per symbol, market-wide, and gaps between scored columns."""
 
     symbol: tuple[Feature, ...]
     market: tuple[Feature, ...]
-    rescored: tuple[Feature, ...] = ()
+    gaps: tuple[tuple[str, tuple[str, str]], ...] = ()
 
 
 def variant(kind: str, anchor: str = "anchor", macro: Sequence[str] = ("gpr",)) -> Variant:
@@ -187,7 +187,7 @@ def variant(kind: str, anchor: str = "anchor", macro: Sequence[str] = ("gpr",))
     for m in macro:
         market += level_block(m, changes=(5, 21))
     if kind == "metals":
-        return Variant(tuple(symbol), tuple(market + positions_block() + holdings_block()), tuple(divergence_block(macro)))
+        return Variant(tuple(symbol), tuple(market + positions_block() + holdings_block()), tuple(divergences(macro).items()))
     if kind == "technology":
         return Variant(tuple(symbol + momentum_block()), tuple(market))
     if kind == "energy":
@@ -221,6 +221,7 @@ def build_features(
     window: int = TRADING_DAYS,
     target_horizons: Sequence[int] = (17, 18, 19, 20),
     carry: Sequence[str] = (),
+    gaps: Mapping[str, tuple[str, str]] | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """``symbol, date, features..., target`` and the feature names; incomplete rows are kept for the caller.
 
@@ -231,7 +232,10 @@ def build_features(
     df = df.withColumn("target", ind.smoothed_target("close", target_horizons, by))
     names = [f.name for f in kept]
     df = df.select(*by, date, *carry, *names, "target")
-    return rolling_z_all(df, [f.name for f in kept if f.score], window, by=by, order=date), names
+    have = {f.name for f in kept if f.score} | set(carry)
+    gaps = {g: pair for g, pair in (gaps or {}).items() if set(pair) <= have}
+    scored = rolling_z_all(df, [f.name for f in kept if f.score], window, by=by, order=date, gaps=gaps)
+    return scored, [*names, *gaps]
 
 
 def market_features(days: DataFrame, features: Sequence[Feature], date: str = "date", carry: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
@@ -251,8 +255,9 @@ def attach_series(days: DataFrame, series: DataFrame, name: str, value: str = "v
 def build_variant(panel: DataFrame, market_days: DataFrame, kind: Variant, anchor: str = "anchor") -> tuple[DataFrame, list[str]]:
     """The full table of a variant from a price panel and the market-wide series per trading day.
 
-    Both the raw market columns a symbol feature reads and the scored market features come from one broadcast
-    table of the calendar's size; the panel is shuffled by symbol only.
+    The scored market table has the calendar's size and is written once.  Only the columns that symbol
+    features read are broadcast to the panel before its windows; the rest follow after the scores, so they are
+    not carried through sorts, windows and kernels.
     """
     days = market_days
     if "attention" in days.columns:
@@ -260,10 +265,10 @@ def build_variant(panel: DataFrame, market_days: DataFrame, kind: Variant, ancho
         days = keyed.withColumn("attention_raw_chg4", ind.difference("attention", 4, ["__b"])).drop("__b")
     raw = [c for c in (anchor, "attention_raw_chg4") if c in days.columns]
     scored, market_names = market_features(days, kind.market, carry=raw)
-    joined = panel.join(F.broadcast(scored), "date", "left")
-    df, names = build_features(joined, kind.symbol, carry=market_names)
-    extra = usable(kind.rescored, df.columns)
-    if extra:
-        df = df.withColumns({f.name: f.build(["symbol"]) for f in extra})
-        df = rolling_z_all(df, [f.name for f in extra])
-    return df, [*names, *market_names, *[f.name for f in extra]]
+    scored = materialize(scored, "market")
+    early = [b for _, (_, b) in kind.gaps if b in market_names]
+    late = [c for c in market_names if c not in early]
+    joined = panel.join(F.broadcast(scored.select("date", *raw, *early)), "date", "left")
+    df, names = build_features(joined, kind.symbol, carry=early, gaps=dict(kind.gaps))
+    df = df.join(F.broadcast(scored.select("date", *late)), "date", "left")
+    return df, [*names, *early, *late]
