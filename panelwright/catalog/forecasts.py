@@ -93,9 +93,9 @@ def trials(spark, sf):
     e AS (SELECT *, start<3 AND ic>=0.15 AND dir_acc>=0.60 AS done FROM a WHERE re=1),
     b AS (SELECT a.symbol, a.fold, a.ic, a.dir_acc, a.score, a.start, e.done AS early_exit FROM a JOIN e ON a.symbol=e.symbol AND a.fold=e.fold WHERE (e.done AND a.re=1) OR (NOT e.done AND a.ra=1)),
     p AS (SELECT *, (ic<-0.10 OR dir_acc<0.40) AND fold>=1 AS abandoned FROM b), s AS (SELECT symbol, min(fold) AS stop FROM p WHERE abandoned GROUP BY 1)
-    SELECT p.symbol, p.fold, p.start, early_exit, abandoned, """ + rnd("ic", "ic") + ", " + rnd("score", "score") + " FROM p LEFT JOIN s ON p.symbol=s.symbol WHERE stop IS NULL OR p.fold<=stop")
+    SELECT p.symbol, p.fold, p.start, early_exit, abandoned, ic, score FROM p LEFT JOIN s ON p.symbol=s.symbol WHERE stop IS NULL OR p.fold<=stop""")
 def m5(spark, sf):
-    return out(fc.pick_best(trials(spark, sf)), "symbol fold start early_exit abandoned", ic="ic", score="score")
+    return fc.pick_best(trials(spark, sf)).select("symbol", "fold", "start", "early_exit", "abandoned", "ic", "score")
 
 
 @query("M6_holdout", PX + " SELECT symbol, part, count(*) AS n, min(date) AS first_date FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY date)<=floor(count(*) OVER (PARTITION BY symbol)*0.85) THEN 'train' ELSE 'test' END AS part FROM prices) GROUP BY 1,2")
