@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_windows, exact_dedup, license_scan, packing, quality_rules, secret_scan  # noqa: F401
+from . import chat_windows, exact_dedup, license_scan, line_dedup, packing, quality_rules, secret_scan, simhash_join  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
