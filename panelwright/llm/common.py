@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+#: Most files whose names are sent along to number rows, and the bits that are left for a row's place in its file.
+MAX_FILES, FILE_BITS = 100_000, 40
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,9 +48,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def per_batch(fn: Callable, schema: str, df: DataFrame) -> DataFrame:
+def per_batch(fn: Callable, schema: str, df: DataFrame, rows: int = 1 << 20) -> DataFrame:
     """Maps each Arrow batch to a dict of columns; ``fn(batch) -> dict`` sees bounded batches, never a group.
 
+    ``rows`` cuts batches further, for functions whose results are much larger than what they read.
+
     Spark cuts batches by rows and by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``), so memory is bounded
     by the batch and by the longest single text.
     """
@@ -58,7 +64,7 @@ def per_batch(fn: Callable, schema: str, df: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (b.slice(a, rows) for b in batches for a in range(0, max(b.num_rows, 1), rows)):
             out = fn(batch)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
@@ -71,4 +77,22 @@ def keyed(df: DataFrame, name: str) -> DataFrame:
     return materialize(df.withColumn("__row", F.monotonically_increasing_id()), name)
 
 
-__all__ = ["ORACLES", "QUERIES", "ascii_lower", "keyed", "materialize", "per_batch", "query", "table", "utf8"]
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with a unique ``__row`` that is the same whenever the table is read again.
+
+    Rows of files are numbered by file and place: files are few, so their ranks by name go with the query, a table of
+    two columns.  Anything else is written first.
+    """
+    try:
+        files = df.select(F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__at"), "*")
+    except AnalysisException:
+        return keyed(df, "numbered")
+    paths = sorted(files.select("__path").distinct().toPandas()["__path"])
+    if len(paths) > MAX_FILES:
+        return keyed(df, "numbered")
+    ranks = df.sparkSession.createDataFrame([(p, i << FILE_BITS) for i, p in enumerate(paths)], "__path string, __first bigint")
+    rows = files.join(F.broadcast(ranks), "__path", "left")
+    return rows.select(*df.columns, (F.col("__first") + F.col("__at")).alias("__row"))
+
+
+__all__ = ["ORACLES", "QUERIES", "ascii_lower", "keyed", "materialize", "numbered", "per_batch", "query", "table", "utf8"]

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, per_batch, query, table, utf8
+from .common import keyed, materialize, numbered, per_batch, query, table, utf8
 from .graph import components
 
 #: Edits that two lines of a class may be apart, and the code points below which lines are left alone.
@@ -254,8 +254,8 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     but white space would be left go, unless nothing was there before (null and empty texts stay).
     """
     names = docs.columns
-    numbered = keyed(docs, "line-dedup-input")
-    gone = line_classes(numbered, id_col, text_col, tau, least).filter(~F.col("kept")).select("__row", "line")
+    rows = numbered(docs)
+    gone = line_classes(rows, id_col, text_col, tau, least).filter(~F.col("kept")).select("__row", "line")
     # A row's lines are bounded by its text.
     gone = gone.groupBy("__row").agg(F.collect_list("line").alias("__gone"))
     where = names.index(text_col)
@@ -275,11 +275,11 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns[where] = pa.array(texts, columns[where].type)
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
 
-    return numbered.join(gone, "__row", "left").select(*names, "__gone").mapInArrow(run, docs.schema)
+    return rows.join(gone, "__row", "left").select(*names, "__gone").mapInArrow(run, docs.schema)
 
 
 @query("op9_line_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = keyed(table(spark, sf_dir, "documents").select("doc_id", "text"), "documents")
+    docs = numbered(table(spark, sf_dir, "documents"))
     out = line_classes(docs)
     return out.select(F.col("id").alias("doc_id"), "line", F.col("first_id").alias("class_doc"), F.col("first_line").alias("class_line"), "n_links", "kept")

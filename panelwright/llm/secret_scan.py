@@ -136,6 +136,55 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 LIVE_SPAN = SPAN[:-1] + ",n_owners:bigint,n_repos:bigint,n_places:bigint,live:boolean>"
+MARK = "[SECRET]"
+
+
+def cut_spans(text: str, spans: list[tuple[int, int]], mark: str = MARK) -> str:
+    """``text`` with ``mark`` in place of the ranges, overlapping ones taken together."""
+    out, at = [], 0
+    for start, end in sorted(spans):
+        if end <= at:
+            continue
+        if start >= at:
+            out += [text[at:start], mark]
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
+    """``docs`` with live-looking secrets replaced by ``MARK``; all rows and columns stay.
+
+    Only texts with a candidate leave their task, to meet the corpus-wide counts; the others pass through.
+    """
+    names = docs.columns
+
+    def some(present: bool):
+        def run(batches):
+            import pyarrow as pa
+
+            patterns = compiled()
+            for batch in batches:
+                texts = batch.column(text_col).cast(pa.binary()).to_pylist()
+                yield batch.filter(pa.array([bool(t and spans_of(t, patterns)) == present for t in texts], pa.bool_()))
+
+        return run
+
+    held = keyed(docs.mapInArrow(some(True), docs.schema), "secret-texts")
+    found = secret_scan(held, "__row", text_col, owner_col, id_col if repo_col is None else repo_col)
+    live = F.transform(F.filter("spans", lambda s: s["live"]), lambda s: F.struct(s["start"], s["end"]))
+    joined = held.join(found.select(F.col("id").alias("__row"), live.alias("__live")), "__row").select(*names, "__live")
+    where = names.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            pairs = zip(batch.column(text_col).to_pylist(), batch.column("__live").to_pylist(), strict=True)
+            columns = [batch.column(c) for c in names]
+            columns[where] = pa.array([cut_spans(t, [(x["start"], x["end"]) for x in s]) for t, s in pairs], columns[where].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.mapInArrow(some(False), docs.schema).unionByName(joined.mapInArrow(run, docs.schema))
 
 
 def _digest(spans):

@@ -15,7 +15,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, per_batch, query, table, utf8
+from .common import keyed, materialize, numbered, per_batch, query, table, utf8
 from .graph import components
 
 BITS = 64
@@ -249,6 +249,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(named, "fp").select("id", "fp", "component")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one row of each near-duplicate group, the first by row number."""
+    rows = numbered(docs)
+    groups = near_groups(rows, "__row", text_col)
+    gone = groups.filter(F.col("id") != F.col("component")).select(F.col("id").alias("__row"))
+    return rows.join(materialize(gone, "near-duplicates"), "__row", "left_anti").select(*docs.columns)
+
+
 @query("op2_simhash_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_groups(table(spark, sf_dir, "documents"))
