@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_windows, exact_dedup, license_scan, line_dedup, packing, quality_rules, secret_scan, simhash_join  # noqa: F401
+from . import (  # noqa: F401
+    chat_windows, exact_dedup, license_scan, line_dedup, lm_scoring, merge_dropout, packing, quality_rules, secret_scan, simhash_join,
+)
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -18,11 +18,15 @@ from .common import per_batch, query, table
 
 DROPOUT, SEED, VARIANTS = 0.1, 17, 4
 #: Words up to this length are remembered, the first so many per variant; the others are worked out each time.
-REMEMBERED_CHARS, REMEMBERED = 24, 1 << 17
+REMEMBERED_CHARS, REMEMBERED = 24, 160_000
 SPACE = "▁"
 #: A literal SPACE in the text; no piece has this string, so it is spelt in bytes.
 LITERAL_SPACE = "\0" + SPACE
 UNITS = re.compile(r" *[^ \n]+|\n| +")
+#: Finer units, for models without a piece in which a letter is followed by one of these marks.
+LETTER, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[.,;:!?]"
+FINE_UNITS = re.compile(rf" *{LETTER}+(?={MARKS})| *[^ \n]+|\n| +")
+CROSSING = re.compile(LETTER + MARKS)
 _MASK = (1 << 64) - 1
 PLACE_BITS = 40
 
@@ -34,11 +38,6 @@ def mix(x: int) -> int:
     return x ^ (x >> 31)
 
 
-def skipped(entry: int, key: int, rate: float) -> bool:
-    """Whether the keyed hash drops an agenda entry."""
-    return ((entry ^ key) * 0xD6E8FEB86659FD93 & _MASK) >> 32 < rate * 4294967296.0
-
-
 def model_path() -> str:
     import public_tokenizers
 
@@ -57,6 +56,7 @@ class Pieces:
         # Pieces by rank, best score first; an agenda entry is a rank and a place in one number.
         self.ranked = sorted(self.ids, key=lambda p: (-sp.get_score(self.ids[p]), p))
         self.ranks = {p: r << PLACE_BITS for r, p in enumerate(self.ranked)}
+        self.units = UNITS if any(map(CROSSING.search, self.ids)) else FINE_UNITS
         self.first_byte = next(i for i in range(sp.get_piece_size()) if sp.is_byte(i))
         self.texts = [""] * sp.get_piece_size()
         for p, i in self.ids.items():
@@ -69,8 +69,8 @@ class Pieces:
             return [i]
         return [self.first_byte + b for b in (SPACE if symbol == LITERAL_SPACE else symbol).encode("utf-8", "surrogatepass")]
 
-    def encode_unit(self, unit: str, rate: float = 0.0, key: int = 0, path: list[int] | None = None) -> list[int]:
-        """Ids of one word with the blanks before it; ``path`` collects the agenda entries that are merged."""
+    def encode_unit(self, unit: str, rate: float = 0.0, key: int = 0) -> list[int]:
+        """Ids of one word with the blanks before it."""
         ranks, ranked = self.ranks, self.ranked
         symbols = list(unit.replace(" ", SPACE)) if SPACE not in unit else [SPACE if c == " " else LITERAL_SPACE if c == SPACE else c for c in unit]
         n = len(symbols)
@@ -81,7 +81,7 @@ class Pieces:
             if rank is not None:
                 agenda.append(rank + i)
         heapify(agenda)
-        place = (1 << PLACE_BITS) - 1
+        limit, place = int(rate * (1 << 32)), (1 << PLACE_BITS) - 1
         while agenda:
             entry = heappop(agenda)
             i = entry & place
@@ -89,10 +89,8 @@ class Pieces:
             piece = ranked[entry >> PLACE_BITS]
             if j >= n or symbols[i] + symbols[j] != piece or not symbols[i]:
                 continue  # one of the two has been merged elsewhere
-            if rate and skipped(entry, key, rate):
+            if limit and ((entry ^ key) * 0xD6E8FEB86659FD93 & _MASK) >> 32 < limit:
                 continue
-            if path is not None:
-                path.append(entry)
             symbols[i], symbols[j] = piece, ""
             k = after[i] = after[j]
             if k < n:
@@ -130,22 +128,12 @@ class Encoder:
     def __init__(self, pieces: Pieces, rate: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
         self.pieces, self.rate, self.seed = pieces, rate, seed
         self.known: list[dict[str, list[int]]] = [{} for _ in range(variants)]
-        self.whole: dict[str, tuple[list[int], list[int]]] = {}
 
     def unit(self, unit: str, variant: int) -> list[int]:
         import zlib
 
         key = mix(self.seed * 0x9E3779B97F4A7C15 + variant & _MASK) ^ zlib.crc32(unit.encode("utf-8", "surrogatepass")) << 20
-        whole = self.whole.get(unit)
-        if whole is None:
-            path: list[int] = []
-            whole = (self.pieces.encode_unit(unit, path=path), path)
-            if len(unit) <= REMEMBERED_CHARS and len(self.whole) < REMEMBERED:
-                self.whole[unit] = whole
-        # Where the hash drops none of the merges made without dropout, the agenda runs the same course.
-        ids, rate = whole[0], self.rate
-        if any(skipped(e, key, rate) for e in whole[1]):
-            ids = self.pieces.encode_unit(unit, rate, key)
+        ids = self.pieces.encode_unit(unit, self.rate, key)
         if len(unit) <= REMEMBERED_CHARS:
             known = self.known[variant]
             if len(known) < REMEMBERED:
@@ -158,7 +146,7 @@ class Encoder:
 
         if not text:
             return []
-        units = UNITS.findall(" " + text)
+        units = self.pieces.units.findall(" " + text)
         x = np.arange(len(units), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(mix((self.seed << 32 ^ number) & _MASK))
         x ^= x >> np.uint64(29)
         x *= np.uint64(0xBF58476D1CE4E5B9)
