@@ -70,7 +70,7 @@ CHUNK_IDS = (fast_id, strong_id)
 
 def cut(text: bytes, gear) -> list[bytes]:
     ends = chunk_ends(text, gear)
-    return [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def chunk_table(docs: DataFrame, name) -> DataFrame:

@@ -3,8 +3,8 @@
 Two lines within ``tau`` edits: cut the shorter one into ``tau + 1`` segments, and at least one stands unchanged in the
 longer one, near its own place.  Every distinct line is indexed by its segments and probes the few substrings at which
 a segment of a line of its length, or up to ``tau`` shorter, can stand.  Keys are 64-bit hashes of (length, segment
-number, characters), taken for a whole batch from prefix sums; pairs that share a key are verified with a banded
-bit-parallel edit distance.  Linked lines form classes, of which the first line in the corpus stays.
+number, characters), taken for a whole batch from prefix sums.  Pairs that share a key and whose character parities
+allow ``tau`` edits are verified with a banded bit-parallel edit distance.  Linked lines form classes, of which the first line in the corpus stays.
 """
 
 from __future__ import annotations
@@ -12,13 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, numbered, per_batch, query, table, utf8
+from .common import materialize, numbered, per_batch, query, table, utf8
 from .graph import components
 
 #: Edits that two lines of a class may be apart, and the code points below which lines are left alone.
 TAU, MIN_CHARS = 2, 24
 #: Cells of the character matrix that one verification step holds.
 CELLS = 1 << 22
+#: Bytes of lines whose keys are taken at a time, and most line ids that are sent to every task.
+PARCEL, SENT_IDS = 1 << 20, 2_000_000
 
 
 def segments(length: int, tau: int = TAU) -> list[tuple[int, int]]:
@@ -38,13 +40,13 @@ def probe_starts(start: int, i: int, delta: int, tau: int = TAU) -> range:
     return range(max(start - i, start + delta - (tau - i)), min(start + i, start + delta + (tau - i)) + 1)
 
 
-def segment_keys(texts: list[str], tau: int = TAU):
-    """``number, key`` of index rows and of probe rows for a list of lines: four arrays."""
+def segment_keys(texts: list[str], probe: bool, tau: int = TAU):
+    """``number, key`` of the index rows or of the probe rows for a list of lines, as two arrays."""
     import numpy as np
 
     length = np.array([len(t) for t in texts], np.int64)
     begin = np.concatenate([[0], np.cumsum(length)[:-1]])
-    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    chars = code_points("".join(texts)).astype(np.uint64)
     base = 0x9E3779B97F4A7C15
     inverse = pow(base, -1, 1 << 64)
     mixed = (chars + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -61,22 +63,44 @@ def segment_keys(texts: list[str], tau: int = TAU):
         h ^= h >> np.uint64(32)
         return h.view(np.int64)
 
-    small, more = np.divmod(length, tau + 1)
-    number = np.arange(len(texts))
-    index, probes = [], []
+    def place(i: int, of_length):
+        """Segment ``i`` of lines of ``of_length``, as in segments()."""
+        small, more = np.divmod(of_length, tau + 1)
+        return i * small + np.maximum(i - (tau + 1 - more), 0), small + (i >= tau + 1 - more)
+
+    number, out = np.arange(len(texts)), []
     for i in range(tau + 1):
-        # A segment's place in a line of any length, as in segments().
-        place = lambda n, m, i=i: (i * n + np.maximum(i - (tau + 1 - m), 0), n + (i >= tau + 1 - m))
-        start, size = place(small, more)
-        index.append((number, keys(begin + start, size, length, i)))
-        for delta in range(tau + 1):
-            start, size = place(*np.divmod(length - delta, tau + 1))
-            for shift in probe_starts(0, i, delta, tau):
+        for delta in range(tau + 1) if probe else (0,):
+            start, size = place(i, length - delta)
+            for shift in probe_starts(0, i, delta, tau) if probe else (0,):
                 at = start + shift
                 ok = (at >= 0) & (at + size <= length) & (length - delta > 0)
-                probes.append((number[ok], keys((begin + at)[ok], size[ok], (length - delta)[ok], i)))
-    join = lambda rows: [np.concatenate(x) for x in zip(*rows, strict=True)]
-    return (*join(index), *join(probes))
+                out.append((number[ok], keys((begin + at)[ok], size[ok], (length - delta)[ok], i)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def code_points(text: str):
+    import numpy as np
+
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def signatures(texts: list[str]):
+    """Parities of hashed characters (low 32 bits) and of hashed pairs of neighbours (high 32 bits) of each line.
+
+    An edit changes at most 2 characters and 4 pairs of the line's multisets, each of which flips one bit.
+    """
+    import numpy as np
+
+    length = np.array([len(t) for t in texts], np.int64)
+    begin = np.concatenate([[0], np.cumsum(length)[:-1]])
+    chars = code_points("".join(texts)).astype(np.uint64)
+    one, mul = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
+    bits = one << (chars * mul >> np.uint64(59))
+    pairs = one << (np.uint64(32) + ((chars[:-1] * mul ^ chars[1:]) * mul >> np.uint64(59)))
+    pairs = np.append(pairs, np.uint64(0))
+    pairs[begin[1:] - 1] = 0  # no pair reaches into the next line
+    return np.bitwise_xor.reduceat(bits ^ pairs, begin).view(np.int64)
 
 
 def within_edits(left: list[str], right: list[str], tau: int = TAU):
@@ -104,7 +128,7 @@ def _matrix(texts: list[str], pad_left: int, pad_right: int, fill: int):
     width = max(map(len, texts)) + pad_left + pad_right
     m = np.full((len(texts), width), fill, np.uint32)
     for row, t in zip(m, texts, strict=True):
-        row[pad_left : pad_left + len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+        row[pad_left : pad_left + len(t)] = code_points(t)
     return m
 
 
@@ -174,53 +198,83 @@ def occurrences(docs: DataFrame, least: int) -> DataFrame:
     return per_batch(run, "__row bigint, id bigint, line int, h binary", docs)
 
 
-def distinct_lines(docs: DataFrame, least: int) -> DataFrame:
-    """``h, line``: each line once; the bytes move once per batch that has them."""
+def parcels(texts: list[bytes], least: int):
+    """The different lines of some texts as ``bytes`` lists of about ``PARCEL`` bytes each."""
+    own, size = [], 0
+    for line in {x for text in texts for _, x in known_lines(text, least)}:
+        own.append(line)
+        size += len(line)
+        if size >= PARCEL:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
 
-    def run(batch):
-        seen = {x for text in batch.column("text").to_pylist() for _, x in known_lines(text, least)}
-        return {"h": list(map(digest, seen)), "line": list(seen)}
 
-    return per_batch(run, "h binary, line binary", docs.select("text")).groupBy("h").agg(F.min("line").alias("line"))
+def short_id(h: bytes) -> int:
+    return int.from_bytes(h[:8], "little", signed=True)
+
 
+def key_rows(docs: DataFrame, probe: bool, tau: int, least: int) -> DataFrame:
+    """Index or probe rows ``n, key, sig`` of all lines; ``n`` is the front of the line's digest.
 
-def key_rows(lines: DataFrame, tau: int) -> tuple[DataFrame, DataFrame]:
-    """Index and probe rows, ``n, key`` each, of ``lines`` (``__row, line``)."""
+    A line comes once per batch that has it.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
-    def rows(probe: bool):
-        def run(batch):
-            import numpy as np
+        for batch in batches:
+            for own in parcels(batch.column("text").to_pylist(), least):
+                texts = [x.decode("utf-8", "replace") for x in own]
+                at, key = segment_keys(texts, probe, tau)
+                n, sig = np.array([short_id(digest(x)) for x in own]), signatures(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (n[at], key, sig[at])], ["n", "key", "sig"])
 
-            numbers = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = [x.decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
-            if not texts:
-                return {"n": [], "key": []}
-            i, ik, p, pk = segment_keys(texts, tau)
-            at, key = (p, pk) if probe else (i, ik)
-            return {"n": numbers[at].astype(np.int64), "key": key}
+    return docs.select("text").mapInArrow(run, "n bigint, key bigint, sig bigint")
 
-        return per_batch(run, "n bigint, key bigint", lines.select("__row", "line"))
 
-    return rows(False), rows(True)
+def line_texts(docs: DataFrame, ids: DataFrame, least: int) -> DataFrame:
+    """``n, h, line`` of the lines whose ``n`` is in ``ids``, each once."""
 
+    def run(batches):
+        import pyarrow as pa
 
-def edit_links(lines: DataFrame, tau: int = TAU) -> DataFrame:
-    """``a, b``: numbers of all pairs of different lines within ``tau`` edits, each pair once, ``a > b``."""
-    index, probes = key_rows(lines, tau)
-    pairs = index.withColumnRenamed("n", "x").join(probes.withColumnRenamed("n", "y"), "key").filter("x <> y")
-    pairs = materialize(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "line-candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("__row")).distinct()
-    texts = materialize(lines.join(ids, "__row", "left_semi").select("__row", "line"), "candidate-lines")
+        for batch in batches:
+            for own in parcels(batch.column("text").to_pylist(), least):
+                h = list(map(digest, own))
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(short_id, h)), pa.int64()), pa.array(h, pa.binary()), pa.array(own, pa.binary())], ["n", "h", "line"])
+
+    # A list of ids goes to every task while it is small; beyond that the lines are dealt by id.
+    few = ids if ids.count() > SENT_IDS else F.broadcast(ids)
+    found = docs.select("text").mapInArrow(run, "n bigint, h binary, line binary").join(few, "n", "left_semi")
+    return found.groupBy("n", "h").agg(F.min("line").alias("line"))
+
+
+def edit_links(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> DataFrame:
+    """``a, b``: digests of all pairs of different lines of ``docs`` (``text``: bytes) within ``tau`` edits, each pair
+    once, ``a > b``."""
+    x, y = key_rows(docs, False, tau, least).alias("x"), key_rows(docs, True, tau, least).alias("y")
+    apart = F.col("x.sig").bitwiseXOR(F.col("y.sig"))
+    near = (F.bit_count(apart.bitwiseAND(F.lit(0xFFFFFFFF))) <= 2 * tau) & (F.bit_count(F.shiftrightunsigned(apart, 32)) <= 4 * tau)
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.n") != F.col("y.n")) & near)
+    pairs = materialize(pairs.select(F.greatest("x.n", "y.n").alias("a"), F.least("x.n", "y.n").alias("b")).distinct(), "line-candidates")
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct(), "candidate-ids")
+    texts = materialize(line_texts(docs, ids, least), "candidate-lines")
 
     def run(batch):
         import numpy as np
 
         left, right = ([x.decode("utf-8", "replace") for x in batch.column(c).to_pylist()] for c in ("left", "right"))
-        ok = np.zeros(0, bool) if not left else within_edits(left, right, tau) <= tau
-        return {c: batch.column(c).to_numpy(zero_copy_only=False)[ok] for c in ("a", "b")}
+        ok = within_edits(left, right, tau) <= tau if left else np.zeros(0, bool)
+        each = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), ok, strict=True)
+        links = [(max(a, b), min(a, b)) for a, b, k in each if k]
+        return {"a": [a for a, _ in links], "b": [b for _, b in links]}
 
-    side = lambda k, name: texts.select(F.col("__row").alias(k), F.col("line").alias(name))
-    return per_batch(run, "a bigint, b bigint", pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right"))
+    side = lambda k, h, name: texts.select(F.col("n").alias(k), F.col("h").alias(h), F.col("line").alias(name))
+    both = pairs.join(side("a", "x", "left"), "a").join(side("b", "y", "right"), "b").select("x", "y", "left", "right")
+    return per_batch(run, "a binary, b binary", both, rows=2048)
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = MIN_CHARS) -> DataFrame:
@@ -232,20 +286,21 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     texts = docs.select("__row", F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
     places = materialize(occurrences(texts, least), "line-places")
-    lines = keyed(distinct_lines(texts, least), "distinct-lines")
-    links = materialize(edit_links(lines, tau), "line-links")
-    roots = components(links).select(F.col("a").alias("__row"), F.col("b").alias("root"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("__row")).groupBy("__row").agg(F.count(F.lit(1)).alias("n_links"))
-    first = places.groupBy("h").agg(F.min(F.struct("id", F.col("__row").alias("row"), "line")).alias("first"))
-    rooted = lines.select("__row", "h").join(first, "h").join(roots, "__row", "left").join(degree, "__row", "left")
-    rooted = materialize(rooted.select("h", "first", F.coalesce("root", "__row").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "line-roots")
-    # Only classes of several lines need another look for their first line.
-    many = rooted.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("best"))
-    named = materialize(rooted.join(many, "root", "left").select("h", F.coalesce("best", "first").alias("first"), "n_links"), "line-classes")
-    out = places.join(named, "h")
+    links = materialize(edit_links(texts, tau, least), "line-links")
+    roots = components(links).select(F.col("a").alias("h"), F.col("b").alias("root"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_links"))
+    linked = materialize(degree.join(roots, "h", "left").select("h", F.coalesce("root", "h").alias("root"), "n_links"), "linked-lines")
+    first = places.groupBy("h").agg(F.min(F.struct("id", F.col("__row").alias("row"), "line")).alias("first"), F.count(F.lit(1)).alias("n"))
+    known = first.join(linked, "h", "left").filter((F.col("n") > 1) | F.col("root").isNotNull())
+    known = materialize(known.select("h", "first", F.coalesce("root", "h").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "repeated-lines")
+    best = known.groupBy("root").agg(F.min("first").alias("best"))
+    # Written, so that the places of a very common line can be split among tasks.  All other lines are alone.
+    named = materialize(known.join(best, "root").select("h", F.col("best").alias("first"), "n_links"), "line-classes")
+    out = places.join(named, "h", "left")
+    place = F.coalesce("first", F.struct("id", F.col("__row").alias("row"), "line"))
     return out.select(
-        "__row", "id", "line", F.col("first.row").alias("first_row"), F.col("first.id").alias("first_id"), F.col("first.line").alias("first_line"), "n_links",
-        ((F.col("first.row") == F.col("__row")) & (F.col("first.line") == F.col("line"))).alias("kept"),
+        "__row", "id", "line", place["row"].alias("first_row"), place["id"].alias("first_id"), place["line"].alias("first_line"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        ((place["row"] == F.col("__row")) & (place["line"] == F.col("line"))).alias("kept"),
     )
 
 

@@ -176,7 +176,7 @@ def forest(a, b, distance: int):
 
     values = np.unique(np.concatenate([a, b]))
     ia, ib = np.searchsorted(values, a), np.searchsorted(values, b)
-    near = np.bitwise_count(a[:, None] ^ b[None, :]) <= distance
+    near = np.bitwise_count((a[:, None] ^ b[None, :]).view(np.uint64)) <= distance  # of signed numbers it would count the magnitude's bits
     label = np.arange(len(values))
     while True:
         new = label.copy()
