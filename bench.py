@@ -14,7 +14,7 @@ from panelwright.session import local_session  # noqa: E402
 
 HEADLINE = (
     "E0_momentum_backtest", "F0_build_features", "F0_all_blocks_metals", "F3_rank_ic", "C4_panel_align", "J3_asof_join",
-    "I8_rolling_z_wide", "G1_confidence_whole", "L5_perf", "L9_sweep", "L9_sweep_with_stops", "R3_rotation_ledger",
+    "I8_rolling_z_wide", "G1_confidence_whole", "L5_perf", "L9_sweep", "R3_rotation_ledger",
     "X3_screen", "X5_basis_risk", "M4_walk_forward", "M14_ensemble", "V3_oof_validation", "T3_headline_dedup",
 )
 

@@ -95,7 +95,7 @@ MACRO_SQL = """macro AS (SELECT 'order_value' AS series, CAST(o_orderdate AS DAT
 INTEREST_SQL = """interest AS (SELECT o_orderpriority AS keyword, CAST(date_trunc('week', o_orderdate) AS DATE) AS date,
     CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 1,2)"""
 
-HEADLINES_SQL = """headlines AS (SELECT source AS category, left(text,120) AS title,
+HEADLINES_SQL = """headlines AS (SELECT source AS category, text AS title,
     DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS date, doc_id AS url FROM documents)"""
 
 # Business days with their running index from Monday 1970-01-05, counted rather than computed.

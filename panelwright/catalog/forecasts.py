@@ -79,7 +79,7 @@ def m4_pooled(spark, sf):
 
 # Trials: each month of a symbol's predictions is a fold, each weekday a start.
 TRIAL_SQL = """tr AS (SELECT symbol, CAST(year(date)-1995 AS INTEGER) AS fold, CAST(isodow(date)-1 AS INTEGER) AS start, round(corr(pred,actual),8) AS ic, round(avg(CASE WHEN sign(pred)=sign(actual) THEN 1.0 ELSE 0.0 END),8) AS dir_acc FROM predictions GROUP BY 1,2,3),
-    t5 AS (SELECT *, ic+2*greatest(dir_acc-0.5,0) AS score FROM tr WHERE start<5 AND NOT isnan(ic) AND ic IS NOT NULL)"""
+    t5 AS (SELECT *, ic+2*greatest(dir_acc-0.5,0) AS score FROM tr WHERE NOT isnan(ic) AND ic IS NOT NULL)"""
 
 
 def trials(spark, sf):
@@ -116,11 +116,10 @@ def metrics(spark, sf):
     return fc.forecast_metrics(p, ["symbol", "fold"])
 
 
-# A handful of rows can leave a group's deviation at zero up to noise; Sharpe is compared where it has meaning.
-@query("M7_forecast_metrics", MET + " SELECT symbol, fold, n, " + cols("mae", "rmse", "dir_acc", "ic") + ", " + rnd("CASE WHEN n>=5 THEN sharpe END", "sharpe", 5) + " FROM mt")
+@query("M7_forecast_metrics", MET + " SELECT symbol, fold, n, " + cols("mae", "rmse", "dir_acc", "ic") + ", " + rnd("sharpe", "sharpe", 5) + " FROM mt")
 def m7(spark, sf):
     m = metrics(spark, sf)
-    return m.select("symbol", "fold", "n", *[r(c).alias(c) for c in NAMES[:4]], r(F.when(F.col("n") >= 5, F.col("sharpe")), 5).alias("sharpe"))
+    return m.select("symbol", "fold", "n", *[r(c).alias(c) for c in NAMES[:4]], r("sharpe", 5).alias("sharpe"))
 
 
 @query("M8_label_metrics", MET + """ SELECT symbol, fold, CASE WHEN round(ic,9)>=0.30 THEN 'exceptional' WHEN round(ic,9)>=0.10 THEN 'strong' WHEN round(ic,9)>=0.05 THEN 'useful' WHEN round(ic,9)>=0 THEN 'weak positive' ELSE 'negative' END AS ic_label,
@@ -131,11 +130,11 @@ def m8(spark, sf):
     return fc.label_metrics(m).select("symbol", "fold", "ic_label", "sharpe_label", "fold_flag")
 
 
-SUM = MET + ", m9 AS (SELECT * FROM mt WHERE n>=10), sm AS (SELECT symbol, " + ", ".join(f"avg({m}) AS {m}_mean, stddev_pop({m}) AS {m}_std, min({m}) AS {m}_min, max({m}) AS {m}_max" for m in NAMES) + ", CAST(arg_min(fold, (-round(dir_acc,9), fold)) AS INTEGER) AS best_fold, count(*) AS n_folds FROM m9 GROUP BY 1)"
+SUM = MET + ", m9 AS (SELECT * FROM mt), sm AS (SELECT symbol, " + ", ".join(f"avg({m}) AS {m}_mean, stddev_pop({m}) AS {m}_std, min({m}) AS {m}_min, max({m}) AS {m}_max" for m in NAMES) + ", CAST(arg_min(fold, (-round(dir_acc,9), fold)) AS INTEGER) AS best_fold, count(*) AS n_folds FROM m9 GROUP BY 1)"
 
 
 def summary(spark, sf):
-    m = metrics(spark, sf).filter("n >= 10").withColumn("dir_acc", F.round("dir_acc", 9))
+    m = metrics(spark, sf).withColumn("dir_acc", F.round("dir_acc", 9))
     return fc.fold_summary(m)
 
 
@@ -154,9 +153,9 @@ def m10(spark, sf):
     return fc.gate(s, RULES).select("symbol", "passes", F.size("failed").alias("n_failed"))
 
 
-@query("M11_best_run", MET + ", b AS (SELECT fold AS config, symbol AS seed, round(ic,9) AS ic_mean FROM mt WHERE ic IS NOT NULL AND n>=10), rb AS (SELECT *, row_number() OVER (PARTITION BY config ORDER BY ic_mean DESC, CAST(substr(seed,2) AS INTEGER)) AS rn FROM b) SELECT config, CAST(substr(seed,2) AS INTEGER) AS seed, " + cols("ic_mean") + " FROM rb WHERE rn=1")
+@query("M11_best_run", MET + ", b AS (SELECT fold AS config, symbol AS seed, round(ic,9) AS ic_mean FROM mt WHERE ic IS NOT NULL), rb AS (SELECT *, row_number() OVER (PARTITION BY config ORDER BY ic_mean DESC, CAST(substr(seed,2) AS BIGINT)) AS rn FROM b) SELECT config, CAST(substr(seed,2) AS BIGINT) AS seed, " + cols("ic_mean") + " FROM rb WHERE rn=1")
 def m11(spark, sf):
-    runs = metrics(spark, sf).filter("ic IS NOT NULL AND n >= 10").select(F.col("fold").alias("config"), F.substring("symbol", 2, 12).cast("int").alias("seed"), F.round("ic", 9).alias("ic_mean"))
+    runs = metrics(spark, sf).filter("ic IS NOT NULL").select(F.col("fold").alias("config"), F.expr("substring(symbol, 2)").cast("bigint").alias("seed"), F.round("ic", 9).alias("ic_mean"))
     return out(fc.best_run(runs), "config seed", ic_mean="ic_mean")
 
 

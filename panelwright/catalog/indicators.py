@@ -159,7 +159,7 @@ def with_market(spark, sf):
     """Panel beside the market series: aggregated map-side to one row per day and broadcast."""
     panel = px(spark, sf).select("symbol", "date", "close")
     market = panel.groupBy("date").agg((F.round(F.sum("close"), 4) / F.count(F.lit(1))).alias("market"))
-    return panel.join(F.broadcast(market), "date")
+    return panel.join(market, "date")
 
 
 @query("I17_symbol_ratio", PX + ", " + MARKET + ", q AS (SELECT *, close/(market+1e-9) AS rel FROM pm) " + KEY + rnd("rel", "rel", 4) + ", " + rnd("ln(rel/lag(rel,5) OVER w)", "rel_mom5", 4) + " FROM q " + windows())

@@ -118,16 +118,6 @@ def g8(spark, sf):
     return df.select(*KEYS.split(), sig.trend_floor("position", "raw_direction", "above_ma", 0.10).alias("position"))
 
 
-@query("G8_trend_path")
-def g8_path(spark, sf):
-    """Soft and hard overlays hold the previous position: folded paths, checked against a replay in the tests."""
-    above = led.above_average(driver.prices(spark, sf), 50).select("symbol", "date", "above_ma")
-    df = signals(spark, sf).join(above, ["symbol", "date"])
-    soft = led.path_ledger(df, led.PathRules(stop=None, trend="soft")).select(*KEYS.split(), F.lit("soft").alias("trend"), "position")
-    hard = led.path_ledger(df, led.PathRules(stop=None, trend="hard")).select(*KEYS.split(), F.lit("hard").alias("trend"), "position")
-    return soft.unionByName(hard)
-
-
 TRADES = LED + """, tr AS (SELECT *, coalesce(lag(position) OVER (PARTITION BY strategy, symbol ORDER BY date),0) AS old_pos, coalesce(lag(capital) OVER (PARTITION BY strategy, symbol ORDER BY date),100000) AS before FROM ledger)"""
 
 
@@ -151,18 +141,6 @@ def l3(spark, sf):
     return led.days_held(signals(spark, sf)).select(*KEYS.split(), "days_held")
 
 
-@query("L4_stop_ledger")
-def l4(spark, sf):
-    """Path-dependent stop; checked against a replay in the tests."""
-    return out(led.path_ledger(signals(spark, sf)), KEYS + " position stopped", log_capital="log_capital")
-
-
-@query("L4_no_stop_path", LED + SEL + "position, " + rnd("ln(capital)", "log_capital") + " FROM ledger")
-def l4_no_stop(spark, sf):
-    """The folded path without a stop equals the window ledger."""
-    return out(led.path_ledger(signals(spark, sf), led.PathRules(stop=None)), KEYS + " position", log_capital="log_capital")
-
-
 @query("L5_perf", PERF + " SELECT strategy, symbol, n_trades, total_days, " + cols(*PERF_COLUMNS, digits=5) + " FROM perf")
 def l5(spark, sf):
     return out(led.perf(ledger(spark, sf)), "strategy symbol n_trades total_days", 5, **{c: c for c in PERF_COLUMNS})
@@ -221,14 +199,7 @@ CFG = ", cfg AS (SELECT * FROM (VALUES " + ", ".join(f"('{c[0]}', {float(c[1])}:
 def l9(spark, sf):
     """The ten shipped configurations without stops and overlays: one window query."""
     grid = [(*c[:5], None, "off", 0.0) for c in led.CONFIGS]
-    return out(led.sweep(preds(spark, sf), grid, use_stops=False), "config strategy symbol n_trades total_days", 5, **{c: c for c in PERF_COLUMNS})
-
-
-@query("L9_sweep_with_stops")
-def l9_stops(spark, sf):
-    above = led.above_average(driver.prices(spark, sf), 50).select("symbol", "date", "above_ma")
-    p = preds(spark, sf).join(above, ["symbol", "date"])
-    return out(led.sweep(p), "config strategy symbol n_trades total_days", 5, **{c: c for c in PERF_COLUMNS})
+    return out(led.sweep(preds(spark, sf), grid), "config strategy symbol n_trades total_days", 5, **{c: c for c in PERF_COLUMNS})
 
 
 @query("L10_transitions", SIG + ", t AS (SELECT *, coalesce(lag(position) OVER (PARTITION BY strategy, symbol ORDER BY date),0) AS prev FROM signals)" + SEL + "CASE WHEN prev<=0 THEN 'entry' ELSE 'exit' END AS marker FROM t WHERE (prev<=0 AND position>0) OR (prev>0 AND position<=0)")
@@ -254,9 +225,9 @@ def l13(spark, sf):
 
 @query("L14_extend_ledger", LED + """, la AS (SELECT symbol, max(date) AS d, arg_max(capital,date) AS cap, arg_max(position,date) AS pos FROM ledger GROUP BY 1),
     nw AS (SELECT p.symbol, p.date, la.pos, la.cap, p.ret FROM (SELECT *, close/lag(close) OVER (PARTITION BY symbol ORDER BY date)-1 AS ret FROM prices) p JOIN la ON la.symbol=p.symbol AND p.date>la.d)
-    SELECT symbol, date, pos AS position, true AS extended, """ + rnd("ln(cap)+sum(ln((1+CASE WHEN pos>0 THEN ret*pos ELSE 0 END)*(1+(1-pos)*0.05/252))) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "log_capital") + " FROM nw")
+, al AS (SELECT symbol, date, pos AS position, true AS extended, """ + rnd("ln(cap)+sum(ln((1+CASE WHEN pos>0 THEN ret*pos ELSE 0 END)*(1+(1-pos)*0.05/252))) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "log_capital") + " FROM nw) SELECT * FROM al UNION ALL SELECT symbol, date, position, false, " + rnd("ln(capital)", "log_capital") + " FROM ledger")
 def l14(spark, sf):
-    ext = led.extend_ledger(ledger(spark, sf), driver.prices(spark, sf), cash_rate=0.05).filter("extended")
+    ext = led.extend_ledger(ledger(spark, sf), driver.prices(spark, sf), cash_rate=0.05)
     return out(ext, "symbol date position extended", log_capital=F.ln("capital"))
 
 

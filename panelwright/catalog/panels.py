@@ -296,7 +296,7 @@ def j10(spark, sf):
 def j11(spark, sf):
     anchor = driver.prices(spark, sf, "cell").filter("symbol = 'AF'").select("date", F.col("close").alias("anchor_close"))
     sup = driver.table(spark, sf, "lineitem").groupBy(driver.symbol_of("supplier").alias("symbol"), F.to_date("l_shipdate").alias("date")).agg(F.sum("l_quantity").alias("q"))
-    return sup.join(F.broadcast(anchor), "date", "left").select("symbol", "date", "q", "anchor_close")
+    return sup.join(anchor, "date", "left").select("symbol", "date", "q", "anchor_close")
 
 
 CHUNKS_SQL = """blk AS (SELECT symbol, min(date) AS start, max(date) AS "end" FROM (SELECT symbol, date, sum(CASE WHEN date-prev>30 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b

@@ -65,7 +65,10 @@ def r2(spark, sf):
 def rot_sql(lag: int, cost: float, cash: float, log_returns: bool) -> str:
     held = f"coalesce(lag(weight,{lag}) OVER s,0)" if lag else "weight"
     grow = (lambda g: f"exp({g})") if log_returns else (lambda g: f"(1+{g})")
-    return f"""hd AS (SELECT *, {held} AS held FROM weights WINDOW s AS (PARTITION BY book, sleeve ORDER BY date)),
+    return f"""gr AS (SELECT d.book, d.date, s.sleeve, s.is_primary FROM (SELECT DISTINCT book, date FROM weights) d
+        JOIN (SELECT book, sleeve, bool_or(is_primary) AS is_primary FROM weights GROUP BY 1,2) s ON s.book=d.book),
+    fg AS (SELECT gr.*, coalesce(w.weight,0) AS weight, coalesce(w.ret,0) AS ret FROM gr LEFT JOIN weights w ON w.book=gr.book AND w.date=gr.date AND w.sleeve=gr.sleeve),
+    hd AS (SELECT *, {held} AS held FROM fg WINDOW s AS (PARTITION BY book, sleeve ORDER BY date)),
     tu AS (SELECT *, abs(held-coalesce(lag(held) OVER (PARTITION BY book, sleeve ORDER BY date),0)) AS turn, CASE WHEN held>0 THEN held*ret/20 ELSE 0 END AS g FROM hd),
     dy AS (SELECT book, date, sum(held) AS invested, sum(g) AS gain, sum(CASE WHEN is_primary THEN g ELSE 0 END) AS pg, sum(turn) AS turnover, sum(CASE WHEN is_primary THEN held ELSE 0 END) AS primary_pos FROM tu GROUP BY 1,2),
     rled AS (SELECT *, sum(ln({grow('gain')}+(1-invested)*{cash}/252-turnover*{cost})) OVER bw AS lr, sum(ln({grow('pg')})) OVER bw AS lp FROM dy
@@ -263,7 +266,7 @@ def t2(spark, sf):
     return news.headline_sentiment(driver.headlines(spark, sf), UP, DOWN).select("url", "n_bullish", "n_bearish", "sentiment")
 
 
-DEDUP = NEWS + ", k AS (SELECT *, row_number() OVER (PARTITION BY lower(substring(title,1,60)) ORDER BY date DESC, url DESC) AS rn FROM headlines)"
+DEDUP = NEWS + ", k AS (SELECT *, row_number() OVER (PARTITION BY lower(title) ORDER BY date DESC, url DESC) AS rn FROM headlines)"
 
 
 @query("T3_headline_dedup", DEDUP + " SELECT url, date FROM k WHERE rn=1")

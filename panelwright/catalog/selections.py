@@ -61,9 +61,14 @@ def f5(spark, sf):
     return out(sel.importance(sel.rank_ic(features(spark, sf), FEATS), 4), "symbol rank feature selected", abs_ic="abs_ic")
 
 
-@query("F1_feature_corr_matrix")
+LONG = [f"r{n}" for n in range(1, 19)]
+MATRIX = "WITH " + prices_sql() + ", f AS (SELECT " + ", ".join(f"ln(close/lag(close,{n}) OVER w) AS r{n}" for n in range(1, 19)) + " FROM prices " + windows() + "), c AS (SELECT " + ", ".join(
+    f"corr({a},{b}) AS p{i}_{j}" for (i, a), (j, b) in combinations(enumerate(LONG), 2)) + " FROM f) " + " UNION ALL ".join(
+    f"SELECT {i} AS i, {j} AS j, '{a}' AS fi, '{b}' AS fj, round(p{i}_{j},6)+0.0 AS rho FROM c" for (i, a), (j, b) in combinations(enumerate(LONG), 2))
+
+
+@query("F1_feature_corr_matrix", MATRIX)
 def f1_matrix(spark, sf):
-    """Pooled matrix through the Gram routine, as for feature lists too long for one aggregation."""
-    names = [f"r{n}" for n in range(1, 19)]
-    df = driver.prices(spark, sf).withColumns({f"r{n}": ind.log_return("close", n) for n in range(1, 19)})
-    return sel.feature_corr(df.dropna("any", subset=names), names).withColumn("rho", r("rho"))
+    """Pooled matrix of a long feature list, with the NULLs at the start of every symbol."""
+    df = driver.prices(spark, sf).withColumns({name: ind.log_return("close", n + 1) for n, name in enumerate(LONG)})
+    return sel.feature_corr(df, LONG).withColumn("rho", r("rho"))

@@ -15,8 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .expr import EPS, TRADING_DAYS, clip, col, last_rows, ordered, ratio, safe_ln
-from .grouped import with_group_columns
+from .expr import EPS, TRADING_DAYS, as_list, clip, col, last_rows, ordered, ratio, safe_ln
 
 ANNUAL = math.sqrt(TRADING_DAYS)
 BY = ("symbol",)
@@ -71,25 +70,9 @@ def gated(agg: Column, c, n: int, min_rows: int | None = None, by=BY, order="dat
     return F.when(F.count(col(c)).over(w) >= (n if min_rows is None else min_rows), agg.over(w))
 
 
-# Windows longer than this take their mean from running sums.
-SHORT_WINDOW = 32
-
-
 def rolling_mean(c, n: int, min_rows=None, by=BY, order="date") -> Column:
-    """(I6; I33 with ``min_rows=1``)
-
-    Spark recomputes a sliding frame for every row, but extends one that starts at the first row in place.  A
-    long mean is therefore the difference of two running sums: constant work per row, at a relative error of
-    about 1e-12 for a series that keeps its order of magnitude.
-    """
-    if n <= SHORT_WINDOW:
-        return gated(F.avg(col(c)), c, n, min_rows, by, order)
-    c, w = col(c), ordered(by, order)
-    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -n)
-    count = F.count(c).over(upto) - F.count(c).over(before)
-    total = F.sum(c).over(upto) - F.coalesce(F.sum(c).over(before), F.lit(0.0))
-    need = n if min_rows is None else min_rows
-    return F.when(count >= need, total / count)
+    """Mean of the last ``n`` rows (I6; I33 with ``min_rows=1``), the same at every window length."""
+    return gated(F.avg(col(c)), c, n, min_rows, by, order)
 
 
 def rolling_std(c, n: int, min_rows=None, by=BY, order="date") -> Column:
@@ -194,28 +177,44 @@ def positioning(df: DataFrame) -> DataFrame:
     )
 
 
-def ema_columns(df: DataFrame, columns: dict[str, tuple[str, int]], by=BY, order="date") -> DataFrame:
-    """Exponential means ``{new: (source, span)}`` with weight 2 / (span + 1) from the first row on.
+# Rows of a block within which an exponential mean is one running sum of scaled terms.
+EMA_BLOCK = 32
 
-    A recursion over rows is no window aggregate; each symbol's series (one row per day) is smoothed in its
-    own task.
-    """
 
-    def smooth(table):
-        return {
-            name: table.column(source).to_pandas().ewm(span=span, adjust=False).mean()
-            for name, (source, span) in columns.items()
-        }
+def ema_columns(df: DataFrame, columns: dict[str, tuple[str, int]], by=BY, order="date") -> DataFrame:
+    """Exponential means ``{new: (source, span)}`` with weight a = 2 / (span + 1) from the first row on.
 
-    return with_group_columns(df, by, order, dict.fromkeys(columns, "double"), smooth)
+    The recursion ``e = a x + (1 - a) e'`` is unrolled: within a block of rows it is a running sum of terms that are
+    scaled by powers of ``1 - a``; the value before a block is the sum of the earlier blocks' ends, which fade by
+    ``(1 - a) ** EMA_BLOCK`` each, so those that can still move the last digit are added.  Series without gaps only:
+    a NULL has no weight of its own.
+    """
+    by, w = as_list(by), ordered(by, order)
+    at = F.row_number().over(w) - 1
+    df = df.withColumn("__at", at).withColumns({"__block": F.floor(F.col("__at") / EMA_BLOCK), "__in": F.col("__at") % EMA_BLOCK})
+    inside = ordered([*by, "__block"], order).rowsBetween(Window.unboundedPreceding, 0)
+    for name, (source, span) in columns.items():
+        a = 2.0 / (span + 1)
+        keep = 1.0 - a
+        # The first value of a series counts in full, as if all values before it were the same.
+        term = F.when(F.col("__at") == 0, col(source)).otherwise(a * col(source))
+        part = F.sum(term * F.pow(F.lit(keep), -F.col("__in"))).over(inside) * F.pow(F.lit(keep), F.col("__in"))
+        df = df.withColumn(f"__s_{name}", part)
+        fades = keep**EMA_BLOCK
+        blocks = next(k for k in range(1, 10_000) if fades**k < 1e-18)
+        # One value per block: its end; earlier ends are found at a fixed distance in rows.
+        before = F.lit(0.0)
+        for k in range(blocks):
+            end = F.lag(F.when(F.col("__in") == EMA_BLOCK - 1, F.col(f"__s_{name}")), 1 + k * EMA_BLOCK).over(w)
+            before = before + F.coalesce(end, F.lit(0.0)) * fades**k
+        start = F.max(F.when(F.col("__in") == 0, F.col(f"__b_{name}"))).over(ordered([*by, "__block"], order).rowsBetween(Window.unboundedPreceding, 0))
+        df = df.withColumn(f"__b_{name}", before)
+        df = df.withColumn(name, F.col(f"__s_{name}") + start * F.pow(F.lit(keep), F.col("__in") + 1)).drop(f"__s_{name}", f"__b_{name}")
+    return df.drop("__at", "__block", "__in")
 
 
 def macd(df: DataFrame, c: str = "close", fast=12, slow=26, signal=9, by=BY, order="date", name="macd_hist") -> DataFrame:
     """Fast minus slow exponential mean, less the exponential mean of that difference."""
-
-    def histogram(table):
-        x = table.column(c).to_pandas()
-        line = x.ewm(span=fast, adjust=False).mean() - x.ewm(span=slow, adjust=False).mean()
-        return {name: line - line.ewm(span=signal, adjust=False).mean()}
-
-    return with_group_columns(df, by, order, {name: "double"}, histogram)
+    df = ema_columns(df, {"__fast": (c, fast), "__slow": (c, slow)}, by, order).withColumn("__line", F.col("__fast") - F.col("__slow"))
+    df = ema_columns(df, {"__signal": ("__line", signal)}, by, order).withColumn(name, F.col("__line") - F.col("__signal"))
+    return df.drop("__fast", "__slow", "__line", "__signal")

@@ -72,7 +72,7 @@ def panel_align(
     is broadcast twice; the panel is shuffled once, by symbol.
     """
     by = as_list(by)
-    cal = F.broadcast(trading_days(prices, date) if calendar is None else calendar)
+    cal = trading_days(prices, date) if calendar is None else calendar
     rest = [c for c in prices.columns if c not in {*by, date}]
     placed = prices.join(cal.withColumnRenamed("date", date), date)
     nxt = F.coalesce(F.lead("day_idx").over(ordered(by, "day_idx")), F.col("n_days") + 1)

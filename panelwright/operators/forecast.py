@@ -190,24 +190,25 @@ def best_run(runs: DataFrame, config: Sequence[str] = ("config",), metric: str =
     return keep_by_max(runs, as_list(config), [F.col(metric), -F.col(tiebreak)])
 
 
-# Starts per fold, early-exit and abandon limits.
-MIN_STARTS, MAX_STARTS = 3, 5
+# Starts that decide alone, early-exit and abandon limits.
+MIN_STARTS = 3
 EXIT_IC, EXIT_DA, ABANDON_IC, ABANDON_DA = 0.15, 0.60, -0.10, 0.40
 
 
-def pick_best(trials: DataFrame, by: Sequence[str] = ("symbol",), fold: str = "fold", start: str = "start") -> DataFrame:
+def pick_best(trials: DataFrame, by: Sequence[str] = ("symbol",), fold: str = "fold", start: str = "start", min_starts: int = MIN_STARTS, max_starts: int | None = None) -> DataFrame:
     """Best trial per fold by IC + 2 * max(0, accuracy - 0.5), earliest start on a tie (M5).
 
-    The first three starts decide unless their best misses the early-exit limits; then up to five count.  A
+    The first ``min_starts`` starts decide unless their best misses the early-exit limits; then all count, or the first
+    ``max_starts``.  A
     fold after the first whose best is poor is marked, and the folds after it in the same run are dropped.
     """
     by = as_list(by)
     keys = [*by, fold]
     score = F.col("ic") + 2.0 * F.greatest(F.col("dir_acc") - 0.5, F.lit(0.0))
-    scored = trials.filter(F.col(start) < MAX_STARTS).withColumn("score", score)
+    scored = (trials if max_starts is None else trials.filter(F.col(start) < max_starts)).withColumn("score", score)
     rank = F.struct(F.col("score"), -F.col(start))
     row = F.struct("ic", "dir_acc", "score", start)
-    early = F.col(start) < MIN_STARTS
+    early = F.col(start) < min_starts
     best = scored.groupBy(*keys).agg(
         F.max_by(F.when(early, row), F.when(early, rank)).alias("__early"), F.max_by(row, rank).alias("__all")
     )

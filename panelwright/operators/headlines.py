@@ -18,7 +18,6 @@ KEYWORDS = (
 )
 BULLISH = ("rise", "rally", "surge", "gain", "high", "bull", "support", "strong", "jump", "up")
 BEARISH = ("fall", "drop", "slump", "decline", "low", "bear", "weak", "slide", "down", "sell")
-KEY_CHARS = 60
 
 
 def _hits(text: Column, words: Sequence[str]) -> Column:
@@ -49,14 +48,17 @@ def headline_sentiment(df: DataFrame, bullish=BULLISH, bearish=BEARISH, title: s
 
 
 def headline_dedup(
-    df: DataFrame, top: int | None = 20, title: str = "title", date: str = "date", tiebreak: Sequence[str] = ("url",)
+    df: DataFrame, top: int | None = 20, title: str = "title", date: str = "date", tiebreak: Sequence[str] = ("url",),
+    key_chars: int | None = None,
 ) -> DataFrame:
-    """Newest title per lower-case prefix, then the newest ``top``.
+    """Newest title per lower-case text, then the newest ``top``.
 
-    The prefix key is aggregated map-side, so a title copied into a third of all rows is one row per task
+    ``key_chars`` compares the first characters only.
+
+    The key is aggregated map-side, so a title copied into a third of all rows is one row per task
     before the shuffle; the report's head is a distributed top-k.
     """
-    keyed = df.withColumn("title_key", F.lower(F.substring(title, 1, KEY_CHARS)))
+    keyed = df.withColumn("title_key", F.lower(F.col(title) if key_chars is None else F.substring(title, 1, key_chars)))
     kept = keep_by_max(keyed, ["title_key"], [F.col(date), *[F.col(c) for c in tiebreak]])
     if top is None:
         return kept

@@ -1,22 +1,19 @@
 """Positions to equity: trades, mark-to-market, performance, benchmark, parameter sweeps.
 
-A ledger's group is one strategy on one symbol under one configuration, at most one row per day.  Without a
-stop the held position is the target position, and capital is a running product: a pure window query.  With
-a stop or with a trend overlay that holds the previous position the next row depends on the whole path; those
-groups are folded in a small helper, in parallel over groups.
+A ledger's group is one strategy on one symbol under one configuration, at most one row per day.  The held
+position is the target position, and capital is a running product: a pure window query.  Stops and overlays that
+hold the previous position depend on the whole path day by day; such simulations are not built.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import EPS, TRADING_DAYS, as_list, ordered, ratio, safe_ln, up_to_now
-from ..functions.grouped import with_group_columns
 from ..functions.indicators import rolling_mean
 from .panel import asof_join
 from .signals import BOND_YIELD, TIERS, build_signals, confidence
@@ -63,8 +60,9 @@ def trades(
 ) -> DataFrame:
     """One row per position change: type, reason, sizing note, cost and the split after it (L1).
 
-    Reasons in order of precedence: a stop (path ledgers), a change of side, a rebalance due after
-    ``rebal_days`` rows without a trade, then entering, exiting or a change of size.
+    Reasons in order of precedence: a stop (where the ledger has a column ``stopped``), a change of side, a
+    rebalance due after ``rebal_days`` rows without a trade, then entering, exiting or a change of size.  The
+    names of trades, reasons and sizes are fixed values.
     """
     w = ordered(by, date)
     old = F.coalesce(F.lag("position").over(w), F.lit(0.0))
@@ -101,109 +99,6 @@ def days_held(df: DataFrame, by: Sequence[str] = BY, date: str = "date", positio
     return df.withColumn("days_held", F.row_number().over(ordered([*as_list(by), "run_id"], date)))
 
 
-_PATH_COLUMNS = {
-    "position": "double", "stopped": "boolean", "stop_loss_pct": "double", "ret_gross": "double",
-    "ret_net": "double", "capital": "double",
-}
-CONFIG_BATCH = 16
-
-
-@dataclass(frozen=True)
-class PathRules:
-    """What one configuration adds to the positions: costs, stop and trend overlay."""
-
-    cost: float = COST + SLIPPAGE
-    stop: float | None = 0.08
-    trend: str = "off"
-    floor: float = 0.25
-    mode: str = "cash_long"
-    hold: int = HOLD
-    capital: float = CAPITAL
-    rebal_days: int = 10
-    threshold: float = 0.25
-
-
-def _walk(days: Iterable[tuple], rules: PathRules) -> list[tuple]:
-    """One strategy's path, a few scalars carried from day to day, one output tuple per day."""
-    trend, floor, hold, cost, limit = rules.trend, rules.floor, rules.hold, rules.cost, rules.stop
-    flat = BOND_DAILY if rules.mode == "cash_bonds" else 0.0
-    pos = last_size = last_side = 0.0
-    cap = entry = rules.capital
-    age, out = 0, []
-    for want, size, side, raw, conf, actual, above in days:
-        if above and pos > 0 and ((trend == "soft" and raw < 0 and conf < 0.40) or (trend == "hard" and raw <= 0)):
-            want, size, side = pos, last_size, last_side
-        elif trend == "floor" and above and raw < 0 and want < floor:
-            want = size = floor
-            side = 1
-        elif trend == "hard" and not above and pos == 0:
-            want = size = side = 0.0
-        stopped, loss = False, None
-        if limit is not None and abs(pos) > 1e-6 and cap / entry - 1 < -limit:
-            stopped, loss = True, (cap / entry - 1) * 100
-            want = size = side = 0.0
-        paid = 0.0
-        if abs(want - pos) > 1e-6 and (
-            stopped or (pos == 0) != (want == 0) or abs(size - last_size) >= rules.threshold
-            or side * last_side < 0 or age >= rules.rebal_days
-        ):
-            paid = abs(want - pos) * cost
-            pos, last_size, last_side, age, entry = want, size, side, 0, cap
-        age += 1
-        gross = pos * actual / hold if pos else flat
-        nxt = max(cap * (math.exp(gross) - paid), 1.0)
-        out.append((pos, stopped, loss, gross, math.log(nxt / cap), nxt))
-        cap = nxt
-    return out
-
-
-_WALKED = ("position", "size_frac", "direction", "raw_direction", "conf_pct", "actual", "above_ma")
-
-
-def path_ledger(
-    signals: DataFrame, rules: PathRules = PathRules(), by: Sequence[str] = BY, date: str = "date",
-    configs: dict[str, PathRules] | None = None,
-) -> DataFrame:
-    """Ledger with a hard stop and trend overlays (L4, G8 soft/hard/floor).
-
-    A stop leaves the position for the day once capital is more than ``stop`` below the capital at the last
-    trade.  ``configs`` maps the values of a ``config`` key column to their rules; configurations are walked
-    together in batches of at most ``CONFIG_BATCH`` per symbol, which bounds a task's group whatever the grid.
-    """
-    by = as_list(by)
-    rows = signals if "above_ma" in signals.columns else signals.withColumn("above_ma", F.lit(True))
-    group, order = by, [date]
-    if configs is not None:
-        batch = {c: i // CONFIG_BATCH for i, c in enumerate(configs)}
-        if max(batch.values()) > 0:
-            index = F.create_map(*[F.lit(x) for c, i in batch.items() for x in (c, i)])
-            rows = rows.withColumn("__batch", F.element_at(index, F.col("config")))
-        else:
-            rows = rows.withColumn("__batch", F.lit(0))
-        group, order = [k for k in by if k != "config"] + ["__batch"], ["config", date]
-
-    def walk(table):
-        days = list(zip(*(table.column(c).to_pylist() for c in _WALKED)))
-        path: list[tuple] = []
-        if configs is None:
-            path = _walk(days, rules)
-        else:
-            start = 0
-            for run in table.column("config").combine_chunks().value_counts().to_pylist():
-                path += _walk(days[start:start + run["counts"]], configs[run["values"]])
-                start += run["counts"]
-        return dict(zip(_PATH_COLUMNS, zip(*path)))
-
-    out = with_group_columns(rows, group, order, _PATH_COLUMNS, walk)
-    change = F.col("position") - F.coalesce(F.lag("position").over(ordered(by, date)), F.lit(0.0))
-    return out.drop("__batch").withColumn("pos_change", change).withColumn("log_capital", F.ln("capital"))
-
-
-def stops(led: DataFrame, by: Sequence[str] = BY, date: str = "date") -> DataFrame:
-    """Stop log of a path ledger (L4)."""
-    return led.filter("stopped").select(*as_list(by), date, "stop_loss_pct", "capital")
-
-
 def drawdown(led: DataFrame, by: Sequence[str] = BY, capital: str = "capital", initial: float | None = None, date="date") -> DataFrame:
     """Capital relative to its running peak (L6); the initial capital counts as a peak when given."""
     peak = F.max(capital).over(up_to_now(by, date))
@@ -338,26 +233,19 @@ def with_configs(df: DataFrame, configs: Sequence[tuple] = CONFIGS) -> DataFrame
 
 
 def sweep(
-    preds: DataFrame, configs: Sequence[tuple] = CONFIGS, by: Sequence[str] = BY, hold: int = HOLD, use_stops: bool = True,
+    preds: DataFrame, configs: Sequence[tuple] = CONFIGS, by: Sequence[str] = BY, hold: int = HOLD,
 ) -> DataFrame:
     """Metrics per configuration and group.
 
     Confidence does not depend on the configuration and is ranked once, before the grid multiplies the rows.
-    ``use_stops=False`` ignores stops and path-dependent overlays and stays a pure window query; otherwise
-    the groups are folded.  ``preds`` may carry ``above_ma`` for the trend configurations.
+    Stops and overlays of a configuration are not simulated.
     """
     keys = ["config", *as_list(by)]
     ranked = confidence(preds, "whole", by)
     grid = build_signals(
         with_configs(ranked, configs), F.col("min_signal"), F.col("mode"), F.col("max_pos"), TIERS, None, keys
     )
-    if use_stops:
-        rules = {c[0]: PathRules(c[4] + SLIPPAGE, c[5], c[6], c[7], c[3], hold) for c in configs}
-        slim = grid.select(*keys, "date", *[c for c in _WALKED if c in grid.columns])
-        led = path_ledger(slim, by=keys, configs=rules)
-    else:
-        led = ledger(grid, keys, hold, F.col("tc") + SLIPPAGE, mode=F.col("mode"))
-    return perf(led, keys)
+    return perf(ledger(grid, keys, hold, F.col("tc") + SLIPPAGE, mode=F.col("mode")), keys)
 
 
 def above_average(prices: DataFrame, n: int = 50, by: Sequence[str] = ("symbol",)) -> DataFrame:

@@ -154,7 +154,7 @@ def asof_join(
         fresh = F.datediff(F.col(date), F.col("__hit.__obs")) <= max_age_days
         found = found.withColumn("__hit", F.when(fresh, F.col("__hit")))
     found = found.select(*by, date, *[F.col(f"__hit.{v}").alias(v) for v in values])
-    return left.join(found if by else F.broadcast(found), [*by, date], "left")
+    return left.join(found, [*by, date], "left")
 
 
 def nearest_join(
@@ -180,7 +180,7 @@ def nearest_join(
     picked = best.select(
         *by, date, F.col("__hit.__obs").alias("matched_date"), *[F.col(f"__hit.{v}").alias(v) for v in values]
     )
-    return left.join(picked if by else F.broadcast(picked), [*by, date], "left")
+    return left.join(picked, [*by, date], "left")
 
 
 def align_pair(a: DataFrame, b: DataFrame, on: Sequence[str] = ("date",)) -> DataFrame:

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import as_list
 
-# Slices a value range is cut into; also the most rows the table of slice totals has per key.
-SLICES = 64
+# Rows of a slice that a value range is cut into, so that a slice fits a task at any size of the table.
+SLICE_ROWS = 200_000
 
 
 def distributed_ranks(
-    df: DataFrame, columns: Mapping[str, str], by: Sequence[str] = (), descending: bool = True, slices: int = SLICES
+    df: DataFrame, columns: Mapping[str, str], by: Sequence[str] = (), descending: bool = True, slices: int | None = None
 ) -> DataFrame:
     """``rank()`` of double columns, ``{value: new name}``, without gathering a key's rows in one task.
 
@@ -24,6 +24,7 @@ def distributed_ranks(
     input is read once for the cut points of all columns and once per column.
     """
     by = as_list(by)
+    slices = max(8, df.count() // SLICE_ROWS) if slices is None else slices
     shares = [i / slices for i in range(1, slices)]
     cuts = df.agg(*[F.percentile_approx(c, shares, 10_000).alias(c) for c in columns]).first()
     out = df

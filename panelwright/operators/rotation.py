@@ -60,6 +60,16 @@ def cascade(
     return df.withColumn("weight", weight).drop("__passes", "__want", "__primary", "__left")
 
 
+def on_book_days(weights: DataFrame, by: Sequence[str] = BOOK, date: str = "date") -> DataFrame:
+    """One row per sleeve and day of its book; added rows have weight 0 and no return."""
+    by = as_list(by)
+    days = weights.select(*by, date).distinct()
+    sleeves = weights.groupBy(*by, "sleeve").agg(F.max("is_primary").alias("is_primary"))
+    grid = days.join(sleeves, by)
+    rows = weights.select(*by, date, "sleeve", "weight", "ret")
+    return grid.join(rows, [*by, date, "sleeve"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+
+
 def rotation_ledger(
     weights: DataFrame,
     by: Sequence[str] = BOOK,
@@ -73,11 +83,13 @@ def rotation_ledger(
 ) -> DataFrame:
     """Daily books from rows with ``weight`` and ``ret``.
 
-    A weight set on one day earns the return ``lag`` rows later (0 reproduces the same-day replay).  Simple
+    A weight set on one day earns the return ``lag`` of the book's days later (0 reproduces the same-day replay): a
+    sleeve without a row on a day of its book has no weight and no return there.  Simple
     returns add up over sleeves; log returns spread over ``hold`` days are summed and exponentiated.  The
     primary-only book runs beside the rotation.  The per-day sums combine map-side before the book's window.
     """
     by = as_list(by)
+    weights = on_book_days(weights, by, date)
     series = ordered([*by, "sleeve"], date)
     held = F.coalesce(F.lag("weight", lag).over(series), F.lit(0.0)) if lag else F.col("weight")
     rows = weights.withColumn("held", held)

@@ -40,7 +40,7 @@ def against_anchor(returns: DataFrame, anchor: str) -> DataFrame:
     ref = returns.filter(F.col("symbol") == anchor).select(
         "date", F.col("fwd").alias("anchor_fwd"), F.col("daily").alias("anchor_daily")
     )
-    return returns.filter(F.col("symbol") != anchor).join(F.broadcast(ref), "date", "left")
+    return returns.filter(F.col("symbol") != anchor).join(ref, "date", "left")
 
 
 def regimes(df: DataFrame, value: str = "anchor_fwd") -> DataFrame:

@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,33 +12,56 @@ from ..functions.expr import as_list, avg_rank, ordered, whole
 # Correlation limit, share of history used for ranking, features kept, smallest |IC|.
 CORR_LIMIT, RANK_SHARE, TOP_N, MIN_IC = 0.85, 0.7, 45, 0.02
 
-# Up to this many features the pairs fit one aggregation; beyond it the matrix routine is used.
-DIRECT_PAIRS = 16
+# Columns of the moment table of a pair of features.
+MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def pair_moments(df: DataFrame, features: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Counts and sums of every feature pair over the rows that have both, per key: one row per key, pair and batch.
+
+    Each batch is a few matrix products of values and presence; features are shifted by ``df``'s means first, so the
+    sums do not cancel.
+    """
+    features, by = list(features), as_list(by)
+    means = df.agg(*[F.avg(F.col(f).cast("double")).alias(f"m{i}") for i, f in enumerate(features)]).first()
+    centre = [m if m is not None and m == m and abs(m) != float("inf") else 0.0 for m in means]
+    rows = df.select(*by, *[F.col(f).cast("double").alias(f"__{i}") for i, f in enumerate(features)])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in by), "i int, j int", *(f"{m} double" for m in MOMENTS)])
+
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        k = len(features)
+        i, j = np.triu_indices(k, 1)
+        for frame in frames:
+            for key, own in frame.groupby(by, dropna=False, sort=False) if by else [((), frame)]:
+                x = own[[f"__{f}" for f in range(k)]].to_numpy(float) - centre
+                has = (~np.isnan(x)).astype(float)
+                x = np.nan_to_num(x, nan=0.0)
+                sums = (has.T @ has, x.T @ has, has.T @ x, (x * x).T @ has, has.T @ (x * x), x.T @ x)
+                cells = pd.DataFrame({"i": i, "j": j, **{m: v[i, j] for m, v in zip(MOMENTS, sums)}})
+                for name, value in zip(by, key):
+                    cells[name] = value
+                yield cells[[*by, "i", "j", *MOMENTS]]
+
+    return rows.mapInPandas(run, schema)
 
 
 def feature_corr(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Pearson correlation of every pair ``i < j`` in list order (F1), as rows ``(i, j, fi, fj, rho)``.
+    """Pearson correlation of every pair ``i < j`` in list order (F1), as rows ``(i, j, fi, fj, rho)``, per key if wanted.
 
-    Few features: one ``corr`` per pair in a single aggregation, pairwise NULLs left out, per key if wanted.
-    Many: the distributed Gram-matrix routine over complete rows; only the k x k result reaches the driver.
+    Each pair uses the rows that have both features, whatever the number of features; NULL where one does not vary.
     """
     by, features = as_list(by), list(features)
-    pairs = list(combinations(range(len(features)), 2))
-    if by or len(features) <= DIRECT_PAIRS:
-        cells = [
-            F.struct(
-                F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(features[i]).alias("fi"), F.lit(features[j]).alias("fj"),
-                F.corr(features[i], features[j]).alias("rho"),
-            ).alias(f"p{i}_{j}")
-            for i, j in pairs
-        ]
-        one = df.groupBy(*by).agg(*cells)
-        cell_names = [f"p{i}_{j}" for i, j in pairs]
-        return one.select(*by, F.explode(F.array(*cell_names)).alias("c")).select(*by, "c.*")
-    vectors = VectorAssembler(inputCols=features, outputCol="v", handleInvalid="skip").transform(df.select(*features))
-    m = Correlation.corr(vectors.select("v"), "v").first()[0].toArray()
-    rows = [(i, j, features[i], features[j], float(m[i][j])) for i, j in pairs]
-    return df.sparkSession.createDataFrame(rows, "i int, j int, fi string, fj string, rho double")
+    sums = pair_moments(df, features, by).groupBy(*by, "i", "j").agg(*[F.sum(m).alias(m) for m in MOMENTS])
+    n = F.col("n")
+    vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
+    # Below the rounding error of the sums a feature does not vary.
+    varies = (n > 1) & (vx > 1e-12 * F.col("sxx")) & (vy > 1e-12 * F.col("syy"))
+    rho = F.when(varies, (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(vx * vy))
+    name = lambda k: F.element_at(F.array(*map(F.lit, features)), F.col(k) + 1)
+    return sums.filter(n > 0).select(*by, "i", "j", name("i").alias("fi"), name("j").alias("fj"), rho.alias("rho"))
 
 
 def redundant(corr: DataFrame, limit: float = CORR_LIMIT, by: Sequence[str] = ()) -> DataFrame:

@@ -29,12 +29,17 @@ def backfill_outcomes(
     path = prices.select(*by, date, "close").withColumns(
         {"__exit": F.lead("close", horizon).over(w), "__prev": F.lag(date).over(w)}
     )
-    # A price serves the signals dated after the previous price up to its own date.
-    after = F.coalesce(F.date_add("__prev", 1), F.date_sub(F.col(date), 7))
+    # A price serves the signals dated after the previous price up to its own date; the first one all before it.
+    after = F.coalesce(F.date_add("__prev", 1), F.col(date))
     entry = path.select(
         *by, F.explode(F.sequence(after, F.col(date), F.expr("interval 1 day"))).alias(date), F.col("close").alias("__entry"), "__exit"
     )
-    out = log.join(entry, [*by, date], "left")
+    head = path.groupBy(*by).agg(F.min_by(F.struct(F.col(date).alias("date"), "close", "__exit"), date).alias("__head"))
+    out = log.join(entry, [*by, date], "left").join(head, by, "left")
+    early = F.col(date) < F.col("__head.date")
+    out = out.withColumns(
+        {"__entry": F.when(early, F.col("__head.close")).otherwise(F.col("__entry")), "__exit": F.when(early, F.col("__head.__exit")).otherwise(F.col("__exit"))}
+    ).drop("__head")
     if today is None:
         out = out.join(prices.groupBy(*by).agg(F.max(date).alias("__today")), by, "left")
     else:

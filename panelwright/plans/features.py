@@ -268,7 +268,7 @@ def build_variant(panel: DataFrame, market_days: DataFrame, kind: Variant, ancho
     scored = materialize(scored, "market")
     early = [b for _, (_, b) in kind.gaps if b in market_names]
     late = [c for c in market_names if c not in early]
-    joined = panel.join(F.broadcast(scored.select("date", *raw, *early)), "date", "left")
+    joined = panel.join(scored.select("date", *raw, *early), "date", "left")
     df, names = build_features(joined, kind.symbol, carry=early, gaps=dict(kind.gaps))
-    df = df.join(F.broadcast(scored.select("date", *late)), "date", "left")
+    df = df.join(scored.select("date", *late), "date", "left")
     return df, [*names, *early, *late]

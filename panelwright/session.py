@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -34,11 +35,17 @@ def local_session(app: str = "panelwright", cores: str = "*", shuffle_partitions
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A fresh folder under the cluster's ``spark.checkpoint.dir``.
+
+    Where that is unset, a session on this machine alone gets a temporary folder; a cluster gets an error, as its
+    executors would each write to their own disk.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = jvm_dir.get() if jvm_dir.isDefined() else None
+    if not root and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="panelwright-")
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")

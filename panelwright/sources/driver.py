@@ -96,7 +96,7 @@ def interest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select(
-        F.col("source").alias("category"), F.substring("text", 1, 120).alias("title"),
+        F.col("source").alias("category"), F.col("text").alias("title"),
         F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 30).cast("int")).alias("date"),
         F.col("doc_id").alias("url"),
     )
