@@ -198,15 +198,16 @@ def c7(spark, sf):
     return cal.last_window(driver.prices(spark, sf), 730, ["symbol"]).select("symbol", "date", "close")
 
 
-@query("J1_outer_align", "WITH " + PX_CELL + """, p AS (SELECT date, max(CASE WHEN symbol='AF' THEN close END) AS af, max(CASE WHEN symbol='NO' THEN close END) AS no_,
-    max(CASE WHEN symbol='RF' THEN close END) AS rf FROM prices WHERE symbol IN ('AF','NO','RF') GROUP BY 1)
-    SELECT date, last_value(af IGNORE NULLS) OVER u AS af, last_value(no_ IGNORE NULLS) OVER u AS no_, last_value(rf IGNORE NULLS) OVER u AS rf
+CELLS = ("AF", "AO", "NF", "NO", "RF", "RO")
+
+
+@query("J1_outer_align", "WITH " + PX_CELL + ", p AS (SELECT date, " + ", ".join(f"max(CASE WHEN symbol='{c}' THEN close END) AS {c.lower()}_" for c in CELLS) + """ FROM prices GROUP BY 1)
+    SELECT date, """ + ", ".join(f"last_value({c.lower()}_ IGNORE NULLS) OVER u AS {c.lower()}_" for c in CELLS) + """
     FROM p WINDOW u AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def j1(spark, sf):
-    px = driver.prices(spark, sf, "cell").filter(F.col("symbol").isin("AF", "NO", "RF"))
-    wide = px.groupBy("date").pivot("symbol", ["AF", "NO", "RF"]).agg(F.first("close")).withColumn("board", F.lit(1))
-    named = wide.withColumnsRenamed({"AF": "af", "NO": "no_", "RF": "rf"})
-    return pnl.ffill(named, ["af", "no_", "rf"], ["board"]).drop("board")
+    wide = driver.prices(spark, sf, "cell").groupBy("date").pivot("symbol", list(CELLS)).agg(F.first("close")).withColumn("board", F.lit(1))
+    named = wide.withColumnsRenamed({c: f"{c.lower()}_" for c in CELLS})
+    return pnl.ffill(named, [f"{c.lower()}_" for c in CELLS], ["board"]).drop("board")
 
 
 @query("J2_align_pair", "WITH " + PX + """, o AS (SELECT 'S'||CAST(l_suppkey AS VARCHAR) AS symbol, CAST(l_shipdate AS DATE) AS date, max(CASE WHEN l_tax>0 THEN l_tax END) AS tax FROM lineitem GROUP BY 1,2)
@@ -219,32 +220,36 @@ def j2(spark, sf):
     return pnl.align_pair(a, tax, ["symbol", "date"])
 
 
+MARKETS = ("F", "O", "P")
+
+
 @query("J3_asof_join", "WITH " + PX + ", " + POSITIONS_SQL + ", " + MACRO_SQL + ", " + BDAYS_SQL + """,
-    pub AS (SELECT b2.date AS date, max(p.report_date) AS report_date, arg_max(p.spec_long-p.spec_short, p.report_date) AS net_spec
-        FROM positions p JOIN bdays b1 ON b1.date=p.report_date JOIN bdays b2 ON b2.idx=b1.idx+3 WHERE p.market='F' GROUP BY 1),
+    pub AS (SELECT p.market, b2.date AS date, max(p.report_date) AS report_date, arg_max(p.spec_long-p.spec_short, p.report_date) AS net_spec
+        FROM positions p JOIN bdays b1 ON b1.date=p.report_date JOIN bdays b2 ON b2.idx=b1.idx+3 GROUP BY 1,2),
     mi AS (SELECT m.date, m.value, max(b.idx) AS idx FROM macro m JOIN bdays b ON b.date<=m.date AND b.date>m.date-3 GROUP BY 1,2),
-    mp AS (SELECT b.date, arg_max(mi.value, mi.date) AS value, max(mi.date) AS seen FROM mi JOIN bdays b ON b.idx=mi.idx+1 GROUP BY 1)
-    SELECT x.symbol, x.date, x.net_spec, CASE WHEN x.date-mp.seen<=5 THEN mp.value END AS order_value FROM
-    (SELECT p.symbol, p.date, pub.net_spec FROM prices p ASOF LEFT JOIN pub ON p.date>=pub.date) x ASOF LEFT JOIN mp ON x.date>=mp.date""")
+    mp AS (SELECT b.date, arg_max(mi.value, mi.date) AS value, max(mi.date) AS seen FROM mi JOIN bdays b ON b.idx=mi.idx+1 GROUP BY 1),
+    """ + ", ".join(f"pub{m} AS (SELECT * FROM pub WHERE market='{m}')" for m in MARKETS) + """
+    SELECT x.symbol, x.date, x.net_spec_f, x.net_spec_o, x.net_spec_p, CASE WHEN x.date-mp.seen<=5 THEN mp.value END AS order_value FROM
+    (SELECT p.symbol, p.date, """ + ", ".join(f"pub{m}.net_spec AS net_spec_{m.lower()}" for m in MARKETS) + " FROM prices p " + " ".join(f"ASOF LEFT JOIN pub{m} ON p.date>=pub{m}.date" for m in MARKETS) + """) x
+    ASOF LEFT JOIN mp ON x.date>=mp.date""")
 def j3(spark, sf):
-    px = driver.prices(spark, sf).select("symbol", "date")
-    pos = driver.positions(spark, sf).filter("market = 'F'").select(
-        F.col("report_date").alias("date"), (F.col("spec_long") - F.col("spec_short")).alias("net_spec")
-    )
+    both = driver.prices(spark, sf).select("symbol", "date")
+    pos = driver.positions(spark, sf)
+    for m in MARKETS:
+        own = pos.filter(F.col("market") == m).select(F.col("report_date").alias("date"), (F.col("spec_long") - F.col("spec_short")).alias(f"net_spec_{m.lower()}"))
+        both = pnl.asof_join(both, own, [f"net_spec_{m.lower()}"], lag_bdays=3)
     value = driver.macro(spark, sf).select("date", F.col("value").alias("order_value"))
-    both = pnl.asof_join(px, pos, ["net_spec"], lag_bdays=3)
     return pnl.asof_join(both, value, ["order_value"], lag_bdays=1, max_age_days=5)
 
 
-@query("J4_nearest_join", "WITH " + PX + """, o AS (SELECT o_orderstatus, CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) AS v FROM orders WHERE o_orderpriority='1-URGENT' AND o_orderstatus='P' GROUP BY 1,2),
+@query("J4_nearest_join", "WITH " + PX + """, o AS (SELECT CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) AS v FROM orders GROUP BY 1),
     d AS (SELECT DISTINCT symbol, date FROM prices),
     c AS (SELECT d.symbol, d.date, o.date AS od, o.v, row_number() OVER (PARTITION BY d.symbol, d.date ORDER BY abs(d.date-o.date), o.date) AS rn
         FROM d LEFT JOIN o ON o.date BETWEEN d.date-3 AND d.date+3)
     SELECT symbol, date, od AS matched_date, """ + rnd("v", "order_sum", 2) + " FROM c WHERE rn=1")
 def j4(spark, sf):
     px = driver.prices(spark, sf).select("symbol", "date")
-    urgent = driver.table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'")
-    daily = urgent.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.sum("o_totalprice").alias("order_sum"))
+    daily = driver.table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.sum("o_totalprice").alias("order_sum"))
     return out(pnl.nearest_join(px, daily, ["order_sum"]), "symbol date matched_date", 2, order_sum="order_sum")
 
 

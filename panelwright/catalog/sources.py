@@ -28,11 +28,11 @@ BARS_SQL = """SELECT 'S'||CAST(l_suppkey AS VARCHAR) AS symbol, CAST(l_shipdate
 
 
 @query("S2_read_bars", "WITH b AS (" + BARS_SQL + """) SELECT symbol, date, max(CASE WHEN a=1 THEN u END) AS open, max(u) AS high, min(u) AS low, max(CASE WHEN b=1 THEN u END) AS close, sum(l_quantity) AS volume
-    FROM b WHERE date>=DATE '1996-01-01' AND date<=DATE '1999-12-31' GROUP BY 1,2""")
+    FROM b GROUP BY 1,2""")
 def s2(spark, sf):
     path = shared_folder(spark, "bars")
     driver.bars(spark, sf).withColumn("date", F.to_timestamp("date")).write.parquet(path)
-    return readers.read_bars(spark, path, "1996-01-01", "1999-12-31").select("symbol", "date", "open", "high", "low", "close", "volume")
+    return readers.read_bars(spark, path).select("symbol", "date", "open", "high", "low", "close", "volume")
 
 
 @query("S3_read_macro", """WITH w AS (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS a, count(*) FILTER (WHERE o_orderpriority='1-URGENT') AS b,
@@ -83,10 +83,10 @@ def s4(spark, sf):
     return out(pos, "market report_date net_spec net_comm open_int", spec_oi_ratio="spec_oi_ratio")
 
 
-@query("S5_read_series", """WITH a AS (SELECT CAST(o_orderdate AS DATE) AS date, CAST(count(*) AS DOUBLE) AS value FROM orders WHERE o_orderpriority='1-URGENT' AND o_orderstatus='P' GROUP BY 1),
+@query("S5_read_series", """WITH a AS (SELECT CAST(o_orderdate AS DATE) AS date, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 1),
     b AS (SELECT CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS value FROM lineitem GROUP BY 1) SELECT date, coalesce(a.value, b.value) AS value FROM a FULL JOIN b USING (date)""")
 def s5(spark, sf):
-    held = driver.table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'").groupBy(
+    held = driver.table(spark, sf, "orders").groupBy(
         F.to_date("o_orderdate").alias("day")
     ).agg(F.lit("x").alias("note"), F.count(F.lit(1)).alias("Total Holdings"))
     path = shared_folder(spark, "holdings")
@@ -95,9 +95,15 @@ def s5(spark, sf):
     return readers.read_series(spark, path, fallback=volume)
 
 
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
 @query("S6_read_interest", "WITH " + INTEREST_SQL + " SELECT keyword, date, " + rnd("value", "value") + " FROM interest UNION ALL SELECT 'attention', date, round(avg(value),6)+0.0 FROM interest GROUP BY date")
 def s6(spark, sf):
-    return out(readers.add_mean_series(driver.interest(spark, sf)), "keyword date", value="value")
+    wide = driver.interest(spark, sf).groupBy("date").pivot("keyword", PRIORITIES).agg(F.first("value"))
+    path = shared_folder(spark, "interest")
+    wide.write.option("header", True).csv(path)
+    return out(readers.read_interest(spark, path), "keyword date", value="value")
 
 
 @query("S7_read_predictions", """WITH x AS (SELECT o_orderstatus AS strategy, o_orderpriority AS symbol, o_orderdate + to_microseconds(o_orderkey) AS ts,
@@ -163,7 +169,7 @@ def candidate_blocks(spark, sf):
         "\nCandidate: fwd20_lb30_IC0.4120_DA0.7235_Sh3.19_seed%d\n  Annual return     :  %+.2f%%  (calendar-time CAGR)   B&H annual return :  %+.2f%%  (CAGR)   Annual return    :  %+.2f%%  (CAGR)\n"
         "  Sharpe ratio      :  %.3f\n  Max drawdown      :  %.2f%%\n  Win rate          :  %.1f%%  (active days)\n  Days long         :  50.6%%\n"
     )
-    seed = F.substring("symbol", 2, 12).cast("int")
+    seed = F.expr("substring(symbol, 2)").cast("bigint")
     return stats.select(F.format_string(fmt, seed, "ret", "bh", "dd", "sharpe", "dd", F.lit(75.5)).alias("value"))
 
 
@@ -185,7 +191,10 @@ def s12(spark, sf):
 def s13(spark, sf):
     stats = driver.predictions(spark, sf).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("d"))
     lines = stats.select("symbol", F.explode(F.array(F.concat(F.lit("n="), F.col("n").cast("string")), F.concat(F.lit("first_date="), F.col("d").cast("string")))).alias("value"))
-    return texts.parse_kv(lines, ["n", "first_date"], by="symbol")
+    path = shared_folder(spark, "notes")
+    lines.repartition("symbol").write.partitionBy("symbol").text(path)  # one file per symbol
+    got = texts.read_kv(spark, path, ["n", "first_date"])
+    return got.select(F.regexp_extract("file", "symbol=([^/]+)", 1).alias("symbol"), "n", "first_date")
 
 
 @query("S14_time_slice", "SELECT CAST(l_shipdate AS DATE) AS date, count(*) AS n, round(sum(l_extendedprice),2)+0.0 AS amount FROM lineitem WHERE l_shipdate>=TIMESTAMP '1997-01-01' AND l_shipdate<TIMESTAMP '1998-07-01' GROUP BY 1")

@@ -138,14 +138,14 @@ def asof_join(
 
     The lookup is resolved once per distinct (key, day) of the left side, in a window whose group is bounded
     by the number of days, and joined back by equality.  However many left rows share a key, none of them
-    passes through the window.  Without keys the lookup table is one row per day and is broadcast.
+    passes through the window.
     """
     by, values = as_list(by), list(values)
     published = right.withColumn("__obs", F.col(date))
     if lag_bdays:
         published = published.withColumn(date, add_bdays(date, lag_bdays))
     payload = F.struct(F.col("__obs"), *[F.col(v) for v in values])
-    published = published.groupBy(*by, date).agg(F.max_by(payload, "__obs").alias("__hit"))
+    published = published.groupBy(*by, date).agg(F.max(payload).alias("__hit"))  # the newest; of several, the largest values
     asked = left.select(*by, date).distinct().withColumn("__asked", F.lit(True))
     both = published.withColumn("__asked", F.lit(False)).unionByName(asked, allowMissingColumns=True)
     w = ordered(by, date, "__asked").rowsBetween(Window.unboundedPreceding, 0)
@@ -174,9 +174,7 @@ def nearest_join(
     offset = F.explode(F.sequence(F.lit(-tol_days), F.lit(tol_days)))
     offered = right.select(*by, F.col(date).alias("__obs"), *values, offset.alias("__off"))
     offered = offered.withColumn(date, F.date_add("__obs", F.col("__off")))
-    best = offered.groupBy(*by, date).agg(
-        F.min_by(F.struct("__obs", *values), F.struct(F.abs("__off"), F.col("__obs"))).alias("__hit")
-    )
+    best = offered.groupBy(*by, date).agg(F.min(F.struct(F.abs("__off").alias("__far"), "__obs", *values)).alias("__hit"))
     picked = best.select(
         *by, date, F.col("__hit.__obs").alias("matched_date"), *[F.col(f"__hit.{v}").alias(v) for v in values]
     )
@@ -201,16 +199,16 @@ def non_members(df: DataFrame, members: DataFrame, on: Sequence[str]) -> DataFra
 
 
 def overlay(full: DataFrame, oof: DataFrame, on: Sequence[str], value: str = "pred") -> DataFrame:
-    """Out-of-fold value where there is one, the model's fill elsewhere."""
+    """Out-of-fold value where there is one (the largest of several), the model's fill elsewhere."""
     on = as_list(on)
-    over = oof.select(*on, F.col(value).alias("__oof"))
+    over = oof.groupBy(*on).agg(F.max(value).alias("__oof"))
     return full.join(over, on, "left").withColumn(value, F.coalesce("__oof", value)).drop("__oof")
 
 
 def lookup0(df: DataFrame, table: DataFrame, on: Sequence[str], value: str) -> DataFrame:
-    """Left lookup with 0 for a miss."""
+    """Left lookup with 0 for a miss; the largest of several values."""
     on = as_list(on)
-    return df.join(table.select(*on, value), on, "left").withColumn(value, F.coalesce(F.col(value), F.lit(0.0)))
+    return df.join(table.groupBy(*on).agg(F.max(value).alias(value)), on, "left").withColumn(value, F.coalesce(F.col(value), F.lit(0.0)))
 
 
 def union_dates(a: DataFrame, b: DataFrame, date: str = "date") -> DataFrame:

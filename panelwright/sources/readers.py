@@ -39,11 +39,11 @@ HOLDING_PARTS = ("tonn", "oz", "holding", "tonne")
 
 
 def load(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
-    """Parquet, or CSV with a header when the path says so."""
-    paths = as_list(path)
-    if paths[0].rstrip("/").endswith(".csv"):
-        return spark.read.csv(paths, schema=schema, header=True)
-    return spark.read.schema(schema).parquet(*paths)
+    """Parquet, and CSV with a header for those paths that say so."""
+    csv = [p for p in as_list(path) if p.rstrip("/").endswith(".csv")]
+    parquet = [p for p in as_list(path) if p not in csv]
+    parts = ([spark.read.csv(csv, schema=schema, header=True)] if csv else []) + ([spark.read.schema(schema).parquet(*parquet)] if parquet else [])
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def clean_prices(df: DataFrame, min_rows: int = 0) -> DataFrame:

@@ -58,10 +58,11 @@ def read_candidates(spark: SparkSession, path) -> DataFrame:
 
 
 def parse_kv(lines: DataFrame, keys: list[str], by: str = "file", text: str = "value") -> DataFrame:
-    """``key=value`` lines to one row per file; the keys are given, so the pivot needs no extra pass."""
+    """``key=value`` lines to one row per file; the keys are given, so the pivot needs no extra pass; of a repeated key
+    the largest value counts (S13)."""
     pair = F.split(F.trim(F.col(text)), "=", 2)
     kv = lines.filter(F.col(text).contains("=")).select(by, F.trim(pair[0]).alias("k"), F.trim(pair[1]).alias("v"))
-    return kv.groupBy(by).pivot("k", keys).agg(F.first("v"))
+    return kv.groupBy(by).pivot("k", keys).agg(F.max("v"))
 
 
 def read_kv(spark: SparkSession, path, keys: list[str]) -> DataFrame:
