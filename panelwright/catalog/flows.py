@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expr import r
+from ..operators import forecast as fc
 from ..plans import flows
 from ..sources import driver
 from .base import ORACLES, PERF_COLUMNS, cols, ledger_sql, out, perf_sql, prices_sql, query, rnd, signals_sql, windows, zscore
-from .forecasts import FEATS, FOLDS, regression_rows
+from .forecasts import FOLD, METRICS_SQL, NAMES, RIDGE_SQL, TWO, two_feature_folds
 from .ledgers import BENCH
 from .rotations import FLOOR, primary_prices, screen_panel, sleeves
 
@@ -25,9 +26,18 @@ def e0(spark, sf):
     return out(perf, "strategy symbol n_trades total_days", 4, **{c: c for c in PERF_COLUMNS})
 
 
-@query("E1_train_evaluate")
+def _failed_sql():
+    rules = [f"CASE WHEN coalesce({n}{op}{limit},false) THEN NULL ELSE '{n}{op}{limit:g}' END" for n, op, limit in fc.GATE_RULES]
+    return "concat_ws(';', " + ", ".join(rules) + ")"
+
+
+E1_SQL = RIDGE_SQL + ", " + METRICS_SQL.replace("y AS (SELECT *, CAST(year(date)-1995 AS INTEGER) AS fold FROM predictions)", "y2 AS (SELECT * FROM oof)").replace("FROM y)", "FROM y2)") + ", sm AS (SELECT symbol, " + ", ".join(
+    f"round(avg({m}),9) AS {m}_mean, round(stddev_pop({m}),9) AS {m}_std, round(min({m}),9) AS {m}_min" for m in NAMES) + ", CAST(arg_min(fold, (-round(dir_acc,9), fold)) AS INTEGER) AS best_fold, count(*) AS n_folds FROM mt GROUP BY 1)"
+
+
+@query("E1_train_evaluate", E1_SQL + f" SELECT symbol, n_folds, best_fold, {_failed_sql()}='' AS passes, {_failed_sql()} AS failed, " + cols("ic_mean", digits=5) + " FROM sm")
 def e1(spark, sf):
-    _, summary = flows.train_evaluate(regression_rows(spark, sf), FEATS, FOLDS)
+    _, summary = flows.train_evaluate(two_feature_folds(spark, sf), TWO)
     return summary.select("symbol", "n_folds", "best_fold", "passes", F.concat_ws(";", "failed").alias("failed"), r("ic_mean", 5).alias("ic_mean"))
 
 
@@ -42,7 +52,7 @@ def e2(spark, sf):
 
 @query("E2_validation_report")
 def e2_validation(spark, sf):
-    v = flows.validation_report(driver.predictions(spark, sf, "cell"))
+    v = flows.validation_report(driver.predictions(spark, sf))
     return v.select("strategy", "symbol", "n_trades", "verdict", r("sharpe", 5).alias("sharpe"), r("ic", 5).alias("ic"))
 
 
@@ -58,7 +68,12 @@ def e4(spark, sf):
     return out(best, "symbol regime rank", 5, value="value")
 
 
-@query("E3_live_signals")
+LIVE_SQL = FOLD + """, b AS (SELECT * FROM (SELECT symbol, date, n_folds, round(ensemble,9) AS ensemble, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM en) WHERE rn<=60),
+    c AS (SELECT *, (rank() OVER (PARTITION BY symbol ORDER BY abs(ensemble))-1)/count(*) OVER (PARTITION BY symbol) AS conf_pct FROM b) SELECT symbol, date, CASE WHEN ensemble>0 THEN 'BULLISH' ELSE 'BEARISH' END AS direction, n_folds, """ + cols("ensemble", "conf_pct") + """,
+    CASE WHEN abs(ensemble)>=0.008 AND ensemble>0 THEN (CASE WHEN conf_pct<0.25 THEN 0.25 WHEN conf_pct<0.5 THEN 0.5 WHEN conf_pct<0.75 THEN 0.75 ELSE 1.0 END) ELSE 0.0 END::DOUBLE AS position FROM c"""
+
+
+@query("E3_live_signals", LIVE_SQL)
 def e3(spark, sf):
     folds = driver.fold_predictions(spark, sf)
     quality = folds.groupBy("symbol", "fold").agg(F.max("dir_acc").alias("dir_acc"), F.max("ic").alias("ic"))

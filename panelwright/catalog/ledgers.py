@@ -254,8 +254,8 @@ def v1(spark, sf):
     return val.block_table(preds(spark, sf).filter("is_oof"))
 
 
-PRED_CELL = "WITH RECURSIVE " + predictions_sql("cell")
-WALK = PRED_CELL + ", " + BDAYS_SQL + """, cand AS (SELECT p.*, max(b.idx) AS idx FROM predictions p JOIN bdays b ON b.date<=p.date AND b.date>p.date-3 WHERE is_oof AND abs(pred)>=0.008 AND pred>0 GROUP BY ALL),
+PRED_ALL = "WITH RECURSIVE " + predictions_sql()
+WALK = PRED_ALL + ", " + BDAYS_SQL + """, cand AS (SELECT p.*, max(b.idx) AS idx FROM predictions p JOIN bdays b ON b.date<=p.date AND b.date>p.date-3 WHERE is_oof AND abs(pred)>=0.008 AND pred>0 GROUP BY ALL),
     cf AS (SELECT c.*, b.date AS free FROM cand c JOIN bdays b ON b.idx=c.idx+20),
     nx AS (SELECT c.symbol, c.date, (SELECT min(d.date) FROM cand d WHERE d.symbol=c.symbol AND d.date>=c.free) AS nxt FROM cf c),
     wk AS (SELECT symbol, min(date) AS date FROM cand GROUP BY 1 UNION ALL SELECT wk.symbol, nx.nxt FROM wk JOIN nx ON nx.symbol=wk.symbol AND nx.date=wk.date WHERE nx.nxt IS NOT NULL),
@@ -264,7 +264,7 @@ WALK = PRED_CELL + ", " + BDAYS_SQL + """, cand AS (SELECT p.*, max(b.idx) AS id
 
 @query("V2_non_overlapping", WALK + " SELECT strategy, symbol, date, actual AS trade_ret FROM taken")
 def v2(spark, sf):
-    p = driver.predictions(spark, sf, "cell").filter("is_oof")
+    p = preds(spark, sf).filter("is_oof")
     return val.non_overlapping(p).select(*KEYS.split(), "trade_ret")
 
 
@@ -276,7 +276,7 @@ def v2(spark, sf):
     SELECT symbol, n_predictions, n_trades, """ + cols("ic", "win_rate", digits=5) + ", " + rnd("(exp(lg)-1)*100", "total_return_pct", 5) + ", " + rnd("(exp(lg/years)-1)*100", "annual_return_pct", 5) + ", " + rnd("CASE WHEN sd>0 THEN m/sd*sqrt(greatest(n_trades/years,1)) ELSE 0 END", "sharpe", 5)
        + ", " + rnd("least(dd,0)*100", "max_drawdown_pct", 5) + ", " + rnd("n_trades/years", "trades_per_year", 5) + ", " + rnd("least(n_trades*20/greatest((hi-lo)*252/365.25,1),1)*100", "time_in_market_pct", 5) + " FROM j")
 def v3(spark, sf):
-    v = val.oof_validation(driver.predictions(spark, sf, "cell"))
+    v = val.oof_validation(preds(spark, sf))
     names = ("ic", "win_rate", "total_return_pct", "annual_return_pct", "sharpe", "max_drawdown_pct", "trades_per_year", "time_in_market_pct")
     return out(v, "symbol n_predictions n_trades", 5, **{c: c for c in names})
 
@@ -284,12 +284,12 @@ def v3(spark, sf):
 @query("V4_bootstrap")
 def v4(spark, sf):
     """Resampled chunks have no counterpart in SQL; the tests check length, seeds and that no chunk touches a block."""
-    return out(val.bootstrap(driver.predictions(spark, sf, "cell")), "strategy symbol chunk is_oof n_trades", ic="ic", win_rate="win_rate", pct_return="pct_return")
+    return out(val.bootstrap(preds(spark, sf)), "strategy symbol chunk is_oof n_trades", ic="ic", win_rate="win_rate", pct_return="pct_return")
 
 
 @query("V5_perm_test")
 def v5(spark, sf):
-    t = val.perm_test(val.bootstrap(driver.predictions(spark, sf, "cell")))
+    t = val.perm_test(val.bootstrap(preds(spark, sf)))
     return t.select("strategy", "symbol", "n_oof", "n_boot", "n_sig_flags", "verdict", *[r(f"{m}_{s}").alias(f"{m}_{s}") for m in val.METRICS for s in ("oof_mean", "nonoof_mean", "oof_pctile", "perm_p")])
 
 

@@ -60,17 +60,22 @@ def validation_report(preds: DataFrame, n_boot: int = 300, n_perm: int = 1000) -
 def train_evaluate(
     table: DataFrame, features: Sequence[str], cfg: splits.WalkForward = splits.WalkForward(), ridge: float = 1.0
 ) -> tuple[DataFrame, DataFrame]:
-    """Out-of-fold forecasts of a feature table and the gated summary per symbol."""
-    folded = splits.assign_folds(complete_cases(table, features, "target"), cfg)
+    """Out-of-fold forecasts of a feature table (with or without folds) and the gated summary per symbol."""
+    folded = table if "role" in table.columns else splits.assign_folds(complete_cases(table, features, "target"), cfg)
     oof = fc.ridge_walk_forward(folded, features, ridge=ridge)
-    summary = fc.gate(fc.fold_summary(fc.forecast_metrics(oof, ["symbol", "fold"])))
+    metrics = fc.forecast_metrics(oof, ["symbol", "fold"]).withColumn("dir_acc", F.round("dir_acc", 9))
+    summary = fc.fold_summary(metrics)
+    # Limits are compared to nine digits, so that a value on a limit passes whatever the order of summation.
+    summary = fc.gate(summary.withColumns({c: F.round(c, 9) for c, kind in summary.dtypes if kind == "double"}))
     return oof, summary
 
 
 def live_signals(fold_preds: DataFrame, fold_metrics: DataFrame, n: int = 60) -> DataFrame:
     """The last ``n`` ensemble signals per symbol."""
     weights = ens.ensemble_weights(fold_metrics)
-    return ens.recent_signals(ens.ensemble(fold_preds, weights), n)
+    merged = ens.ensemble(fold_preds, weights)
+    # Rounding makes equal forecasts tie whatever the order of summation.
+    return ens.recent_signals(merged.withColumn("ensemble", F.round("ensemble", 9)), n)
 
 
 def rotation_report(sleeves: DataFrame, prices: DataFrame, priority: str = "confidence", lag: int = 1) -> DataFrame:
