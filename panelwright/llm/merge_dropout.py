@@ -28,7 +28,8 @@ LETTER, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[.,;:!?]"
 FINE_UNITS = re.compile(rf" *{LETTER}+(?={MARKS})| *[^ \n]+|\n| +")
 CROSSING = re.compile(LETTER + MARKS)
 _MASK = (1 << 64) - 1
-PLACE_BITS = 40
+#: Bits of an agenda entry that hold the place, a number above all entries, and the longest word without a heap.
+PLACE_BITS, NEVER, SHORT = 40, 1 << 62, 20
 
 
 def mix(x: int) -> int:
@@ -70,18 +71,51 @@ class Pieces:
         return [self.first_byte + b for b in (SPACE if symbol == LITERAL_SPACE else symbol).encode("utf-8", "surrogatepass")]
 
     def encode_unit(self, unit: str, rate: float = 0.0, key: int = 0) -> list[int]:
-        """Ids of one word with the blanks before it."""
-        ranks, ranked = self.ranks, self.ranked
+        """Ids of one word with the blanks before it.
+
+        The agenda holds a number per candidate: the piece's rank above the place of its first character, so the
+        least number is the best piece, leftmost.  A merge takes its own candidate off and renews the two beside it.
+        """
         symbols = list(unit.replace(" ", SPACE)) if SPACE not in unit else [SPACE if c == " " else LITERAL_SPACE if c == SPACE else c for c in unit]
+        merge = self._merge_short if len(symbols) <= SHORT else self._merge_long
+        ids, out = self.ids, []
+        for x in merge(symbols, int(rate * (1 << 32)), key):
+            i = ids.get(x)
+            if i is None:
+                out += self.spell(x)
+            else:
+                out.append(i)
+        return out
+
+    def _merge_short(self, symbols: list[str], limit: int, key: int) -> list[str]:
+        """A plain list is the agenda: ``agenda[i]`` is the candidate of symbols ``i`` and ``i + 1``."""
+        ranks, ranked = self.ranks.get, self.ranked
+        starts = list(range(len(symbols)))
+        agenda = [ranks(a + b, NEVER) + i for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False))]
+        while agenda:
+            entry = min(agenda)
+            if entry >= NEVER:
+                break
+            i = agenda.index(entry)
+            if limit and ((entry ^ key) * 0xD6E8FEB86659FD93 & _MASK) >> 32 < limit:
+                agenda[i] = NEVER
+                continue
+            symbols[i] = piece = ranked[entry >> PLACE_BITS]
+            del symbols[i + 1], starts[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = ranks(piece + symbols[i + 1], NEVER) + starts[i]
+            if i:
+                agenda[i - 1] = ranks(symbols[i - 1] + piece, NEVER) + starts[i - 1]
+        return symbols
+
+    def _merge_long(self, symbols: list[str], limit: int, key: int) -> list[str]:
+        """A heap is the agenda; merged symbols stay as empty strings, linked over."""
+        ranks, ranked = self.ranks, self.ranked
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = []
-        for i, pair in enumerate(map(str.__add__, symbols, symbols[1:])):
-            rank = ranks.get(pair)
-            if rank is not None:
-                agenda.append(rank + i)
+        agenda = [ranks[pair] + i for i, pair in enumerate(map(str.__add__, symbols, symbols[1:])) if pair in ranks]
         heapify(agenda)
-        limit, place = int(rate * (1 << 32)), (1 << PLACE_BITS) - 1
+        place = (1 << PLACE_BITS) - 1
         while agenda:
             entry = heappop(agenda)
             i = entry & place
@@ -103,7 +137,7 @@ class Pieces:
                 rank = ranks.get(symbols[h] + piece)
                 if rank is not None:
                     heappush(agenda, rank + h)
-        return [x for s in symbols if s for x in self.spell(s)]
+        return [x for x in symbols if x]
 
     def decode(self, ids) -> str:
         """The text that ``ids`` were made from."""
@@ -127,12 +161,13 @@ class Encoder:
 
     def __init__(self, pieces: Pieces, rate: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
         self.pieces, self.rate, self.seed = pieces, rate, seed
+        self.keys = [mix(seed * 0x9E3779B97F4A7C15 + v & _MASK) for v in range(variants)]
         self.known: list[dict[str, list[int]]] = [{} for _ in range(variants)]
 
     def unit(self, unit: str, variant: int) -> list[int]:
         import zlib
 
-        key = mix(self.seed * 0x9E3779B97F4A7C15 + variant & _MASK) ^ zlib.crc32(unit.encode("utf-8", "surrogatepass")) << 20
+        key = self.keys[variant] ^ zlib.crc32(unit.encode("utf-8", "surrogatepass")) << 20
         ids = self.pieces.encode_unit(unit, self.rate, key)
         if len(unit) <= REMEMBERED_CHARS:
             known = self.known[variant]

@@ -58,3 +58,10 @@ def test_tables(texts, no_texts):
 @pytest.mark.parametrize("text", ["", " ", "\n"])
 def test_blank(text):
     assert PIECES.decode(Encoder(PIECES).encode(text)) == text
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from([*" theinrdoa._🙂"]), min_size=1, max_size=30), st.integers(0, 2**63), st.sampled_from([0.0, 0.3, 0.9]))
+def test_both_agendas_agree(word, key, rate):
+    merged = [f(list(word.replace(" ", "▁")), int(rate * (1 << 32)), key) for f in (PIECES._merge_short, PIECES._merge_long)]
+    assert merged[0] == merged[1]
