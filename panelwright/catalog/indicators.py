@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from ..functions import indicators as ind
@@ -309,11 +311,43 @@ def f0(spark, sf):
     return df.select("symbol", "date", r("target").alias("target"), *[r(c, 4).alias(c) for c in FEATURES])
 
 
+CELL_OF = dict(zip(feat.REFERENCES, ("AF", "NO", "RF")))
+
+
+def reference_days(spark, sf):
+    """Three reference series on the trading calendar."""
+    wide = driver.prices(spark, sf, "cell").groupBy("date").agg(*[F.max(F.when(F.col("symbol") == s, F.col("close"))).alias(c) for c, s in CELL_OF.items()])
+    return pnl.ffill(wide.withColumn("board", F.lit(1)), list(CELL_OF), ["board"]).drop("board")
+
+
+def _reference_sql():
+    refs, pairs = list(CELL_OF), list(combinations(CELL_OF, 2))
+    raw = [f"ln({c}/lag({c},{n}) OVER w) AS {c}_r{n}" for c in refs for n in (1, 5, 21)] + [f"{a}/({b}+1e-9) AS {a}_{b}_level" for a, b in pairs]
+    raw += ["second/(third+1e-9) AS second_curve", "anchor-second AS anchor_second_spread"]
+    two = [f"{gated(f'stddev_samp({c}_r1)', f'{c}_r1', 20)}*sqrt(252) AS {c}_vol20" for c in refs]
+    two += [f"CASE WHEN regr_count({a}_r1,{b}_r1) OVER w20>=20 AND NOT isnan(corr({a}_r1,{b}_r1) OVER w20) THEN corr({a}_r1,{b}_r1) OVER w20 END AS {a}_{b}_corr20" for a, b in pairs]
+    two += ["second_curve-lag(second_curve,5) OVER w AS second_curve_chg5", gated("avg(CASE WHEN second_curve>1 THEN 1.0 ELSE 0.0 END)", "1", 5) + " AS second_inverted"]
+    two += ["ln(greatest(anchor_second_spread,1)/lag(greatest(anchor_second_spread,1),5) OVER w) AS anchor_second_spread_r5"]
+    return "WITH " + prices_sql("cell") + ", p AS (SELECT date, " + ", ".join(f"max(CASE WHEN symbol='{s}' THEN close END) AS {c}" for c, s in CELL_OF.items()) + (
+        " FROM prices GROUP BY 1), m AS (SELECT 'm' AS symbol, date, " + ", ".join(f"last_value({c} IGNORE NULLS) OVER u AS {c}" for c in refs)
+        + " FROM p WINDOW u AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), a AS (SELECT *, " + ", ".join(raw) + " FROM m " + windows() + "), b AS (SELECT *, " + ", ".join(two) + " FROM a " + windows(5, 20)
+        + ") SELECT date, " + ", ".join(f"round({zscore(c)},4)+0.0 AS {c}" for c in REFERENCE_NAMES) + " FROM b " + windows(252))
+
+
+REFERENCE_SPECS = feat.reference_block(feat.REFERENCES) + feat.term_structure_block("second", "third") + feat.spread_block("anchor", "second")
+REFERENCE_NAMES = [f.name for f in REFERENCE_SPECS if f.keep]
+
+
+@query("F0_reference_blocks", _reference_sql())
+def f0_references(spark, sf):
+    """Returns, volatilities, ratios and correlations of three references, their curve and spread, scored."""
+    df, names = feat.market_features(reference_days(spark, sf), REFERENCE_SPECS)
+    return df.select("date", *[r(c, 4).alias(c) for c in names])
+
+
 def market_days(spark, sf):
     """The market-wide series on the trading calendar: anchor, macro, positioning, holdings, attention."""
-    anchor = driver.prices(spark, sf, "cell").filter("symbol = 'AF'").select("date", F.col("close").alias("anchor"))
-    days = driver.table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct()
-    days = pnl.asof_join(days, anchor, ["anchor"])
+    days = reference_days(spark, sf)
     days = feat.attach_series(days, driver.macro(spark, sf).drop("series"), "gpr", lag_bdays=1)
     pos = ind.positioning(driver.positions(spark, sf).filter("market = 'F'")).withColumnRenamed("report_date", "date")
     days = pnl.asof_join(days, pos, ["net_spec", "net_comm", "spec_oi_ratio"], lag_bdays=3)

@@ -109,10 +109,12 @@ def rolling_z(c, n: int = TRADING_DAYS, min_rows: int | None = None, by=BY, orde
 
 
 def rolling_corr(a, b, n: int, by=BY, order="date") -> Column:
-    """Pearson correlation of two columns over the last ``n`` rows."""
-    a, b = col(a), col(b)
-    both = F.when(a.isNotNull() & b.isNotNull(), F.lit(1))
-    return gated(F.corr(a, b), both, n, None, by, order)
+    """Pearson correlation of two columns over the last ``n`` rows (I10); NULL where one of them does not vary."""
+    a, b, w = col(a), col(b), last_rows(by, n, order)
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.var_pop(F.when(both, a)).over(w) * F.var_pop(F.when(both, b)).over(w)
+    rho = F.try_divide(F.covar_pop(a, b).over(w), F.sqrt(spread))
+    return F.when(F.count(F.when(both, F.lit(1))).over(w) >= n, rho)
 
 
 def rolling_pct_rank(c, n: int = TRADING_DAYS, min_rows: int | None = None, by=BY, order="date") -> Column:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -142,6 +143,19 @@ def spread_block(a: str, b: str, scale: float = 1.0) -> list[Feature]:
     ]
 
 
+def reference_block(references: Sequence[str]) -> list[Feature]:
+    """Returns and volatility of every reference series, level ratio and correlation of every pair."""
+    out = []
+    for c in references:
+        out += [_step(f"_{c}_ret", 1, lambda by, c=c: ind.log_return(c, 1, by), c)]
+        out += [_f(f"{c}_r{n}", 1, lambda by, c=c, n=n: ind.log_return(c, n, by), c) for n in (5, 21)]
+        out += [_f(f"{c}_vol20", 2, lambda by, c=c: ind.rolling_vol(f"_{c}_ret", 20, by), f"_{c}_ret")]
+    for a, b in combinations(references, 2):
+        out += [_f(f"{a}_{b}_level", 1, lambda by, a=a, b=b: F.col(a) / (F.col(b) + EPS), a, b)]
+        out += [_f(f"{a}_{b}_corr20", 2, lambda by, a=a, b=b: ind.rolling_corr(f"_{a}_ret", f"_{b}_ret", 20, by), f"_{a}_ret", f"_{b}_ret")]
+    return out
+
+
 def positions_block() -> list[Feature]:
     out = level_block("net_spec", changes=(4, 13)) + level_block("net_comm", changes=(4,)) + level_block("spec_oi_ratio", changes=(4,))
     out += [_f("net_spec_extreme", 1, lambda by: ind.rolling_pct_rank("net_spec", TRADING_DAYS, by=by), "net_spec")]
@@ -179,19 +193,28 @@ class Variant:
     symbol: tuple[Feature, ...]
     market: tuple[Feature, ...]
     gaps: tuple[tuple[str, tuple[str, str]], ...] = ()
+    references: tuple[str, ...] = ("anchor",)
+
+
+REFERENCES = ("anchor", "second", "third")
 
 
-def variant(kind: str, anchor: str = "anchor", macro: Sequence[str] = ("gpr",)) -> Variant:
-    symbol = price_block() + relation_block(anchor) + chase_block()
-    market = interest_block()
+def variant(kind: str, references: Sequence[str] = REFERENCES, macro: Sequence[str] = ("gpr",)) -> Variant:
+    """The first reference is the anchor; curve and spread need a second and third one and are left out without."""
+    symbol = price_block() + chase_block()
+    for c in references:
+        symbol += relation_block(c)
+    market = interest_block() + reference_block(references)
+    if len(references) > 2:
+        market += term_structure_block(references[1], references[2]) + spread_block(references[0], references[1])
     for m in macro:
         market += level_block(m, changes=(5, 21))
     if kind == "metals":
-        return Variant(tuple(symbol), tuple(market + positions_block() + holdings_block()), tuple(divergences(macro).items()))
+        return Variant(tuple(symbol), tuple(market + positions_block() + holdings_block()), tuple(divergences(macro).items()), tuple(references))
     if kind == "technology":
-        return Variant(tuple(symbol + momentum_block()), tuple(market))
+        return Variant(tuple(symbol + momentum_block()), tuple(market), references=tuple(references))
     if kind == "energy":
-        return Variant(tuple(symbol + season_block()), tuple(market + positions_block()))
+        return Variant(tuple(symbol + season_block()), tuple(market + positions_block()), references=tuple(references))
     raise ValueError(f"unknown variant {kind!r}")
 
 
@@ -252,7 +275,7 @@ def attach_series(days: DataFrame, series: DataFrame, name: str, value: str = "v
     return asof_join(days, series.withColumnRenamed(value, name), [name], lag_bdays=lag_bdays)
 
 
-def build_variant(panel: DataFrame, market_days: DataFrame, kind: Variant, anchor: str = "anchor") -> tuple[DataFrame, list[str]]:
+def build_variant(panel: DataFrame, market_days: DataFrame, kind: Variant) -> tuple[DataFrame, list[str]]:
     """The full table of a variant from a price panel and the market-wide series per trading day.
 
     The scored market table has the calendar's size and is written once.  Only the columns that symbol
@@ -263,7 +286,7 @@ def build_variant(panel: DataFrame, market_days: DataFrame, kind: Variant, ancho
     if "attention" in days.columns:
         keyed = days.withColumn("__b", F.lit(1))
         days = keyed.withColumn("attention_raw_chg4", ind.difference("attention", 4, ["__b"])).drop("__b")
-    raw = [c for c in (anchor, "attention_raw_chg4") if c in days.columns]
+    raw = [c for c in (*kind.references, "attention_raw_chg4") if c in days.columns]
     scored, market_names = market_features(days, kind.market, carry=raw)
     scored = materialize(scored, "market")
     early = [b for _, (_, b) in kind.gaps if b in market_names]
