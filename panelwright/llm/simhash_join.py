@@ -24,30 +24,49 @@ SHINGLE, DISTANCE, SEED = 3, 3, 42
 PARTITIONS, PROBE_COST = (2, 3, 4), 4.0
 #: Buckets of more fingerprints than this are compared in blocks, which give a spanning forest in place of all pairs.
 LARGE_BUCKET, BLOCK = 128, 1024
+#: Near duplicates of whole texts: fingerprints over different pairs of words within so many bits find the candidates, of
+#: which those stay whose sets of five-word shingles have this Jaccard similarity.
+SIMILAR_WIDTH, SIMILAR_DISTANCE, SIMILAR_PARTITIONS = 2, 8, (3, 4, 5, 6, 8)
+JACCARD_WIDTH, JACCARD = 5, 0.8
+#: Most row numbers that are sent to every task, and shingles of a block that are compared at a time.
+SENT_IDS, COLUMNS = 2_000_000, 4096
 
 
-def fingerprint(text: bytes, width: int = SHINGLE) -> int:
-    """64 majority bits over the hashes of word shingles, as a signed integer; zero without words."""
-    import numpy as np
+def shingle_hashes(text: bytes, width: int) -> list[int]:
+    """XXH64 of every word shingle, repeats included; of the whole sequence if it has fewer words; none without words."""
     import xxhash
 
     words = text.lower().split()  # bytes: A-Z and ASCII white space only
     digest = xxhash.xxh64_intdigest
     if len(words) >= width:
-        hashes = [digest(b" ".join(w), SEED) for w in zip(*(words[k:] for k in range(width)))]
-    elif words:
-        hashes = [digest(b" ".join(words), SEED)]
-    else:
+        return [digest(b" ".join(w), SEED) for w in zip(*(words[k:] for k in range(width)))]
+    return [digest(b" ".join(words), SEED)] if words else []
+
+
+def majority(hashes) -> int:
+    """The bits that are set in over half of the hashes, as a signed integer; zero without hashes."""
+    import numpy as np
+
+    if not len(hashes):
         return 0
-    bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(np.asarray(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     return int(np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """``id, fp`` of every row."""
+def fingerprint(text: bytes, width: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, width))
+
+
+def fingerprint_of_set(text: bytes, width: int = SIMILAR_WIDTH) -> int:
+    """The fingerprint over different shingles, each once."""
+    return majority(sorted(set(shingle_hashes(text, width))))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of=fingerprint) -> DataFrame:
+    """``id, fp`` of every row; ``of(text)`` is the fingerprint."""
 
     def run(batch):
-        return {"id": batch.column(0), "fp": [fingerprint(t, width) for t in batch.column(1).to_pylist()]}
+        return {"id": batch.column(0), "fp": [of(t) for t in batch.column(1).to_pylist()]}
 
     return per_batch(run, "id bigint, fp bigint", docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text")))
 
@@ -169,20 +188,19 @@ def _probes(distinct: DataFrame, plan) -> DataFrame:
     return distinct.select("fp", F.explode(all_near).alias("p")).select("fp", "p.part", "p.key")
 
 
-def forest(a, b, distance: int):
-    """Edges that connect what the pairs of ``a`` x ``b`` within ``distance`` connect: every value with the smallest
+def forest(a, b, near):
+    """Edges that connect what the pairs of ``near`` (a matrix over ``a`` x ``b``) connect: every value with the smallest
     one of its component."""
     import numpy as np
 
     values = np.unique(np.concatenate([a, b]))
     ia, ib = np.searchsorted(values, a), np.searchsorted(values, b)
-    near = np.bitwise_count((a[:, None] ^ b[None, :]).view(np.uint64)) <= distance  # of signed numbers it would count the magnitude's bits
     label = np.arange(len(values))
     while True:
         new = label.copy()
-        rows = np.where(near, label[ib][None, :], len(values)).min(1)
+        rows = np.where(near, label[ib][None, :], len(values)).min(1, initial=len(values))
         np.minimum.at(new, ia, rows)
-        cols = np.where(near, new[ia][:, None], len(values)).min(0)
+        cols = np.where(near, new[ia][:, None], len(values)).min(0, initial=len(values))
         np.minimum.at(new, ib, cols)
         if (new == label).all():
             break
@@ -191,21 +209,63 @@ def forest(a, b, distance: int):
     return values[moved], values[label[moved]]
 
 
-def large_bucket_edges(index: DataFrame, probes: DataFrame, large: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
+def within_bits(a, b, distance: int):
+    """Which pairs of ``a`` x ``b`` differ in ``distance`` bits at most."""
+    import numpy as np
+
+    return np.bitwise_count((a[:, None] ^ b[None, :]).view(np.uint64)) <= distance  # of signed numbers it would count the magnitude's bits
+
+
+def jaccard_matrix(left: list, right: list):
+    """Jaccard similarity of every pair of two lists of sorted integer sets.
+
+    Shared members are counted by products of membership matrices, ``COLUMNS`` members at a time.
+    """
+    import numpy as np
+
+    sizes = [np.array([len(x) for x in side], float) for side in (left, right)]
+    flat = [np.concatenate([*side, np.zeros(0, np.int64)]) for side in (left, right)]
+    owner = [np.repeat(np.arange(len(side)), n.astype(int)) for side, n in zip((left, right), sizes, strict=True)]
+    both = np.intersect1d(*flat)
+    shared = np.zeros((len(left), len(right)))
+    for at in range(0, len(both), COLUMNS):
+        part = both[at : at + COLUMNS]
+        has = []
+        for values, own, side in zip(flat, owner, (left, right), strict=True):
+            col = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[col] == values
+            m = np.zeros((len(side), len(part)), np.float32)
+            m[own[hit], col[hit]] = 1
+            has.append(m)
+        shared += has[0] @ has[1].T
+    union = sizes[0][:, None] + sizes[1][None, :] - shared
+    return np.where(union > 0, shared / np.maximum(union, 1), 1.0)
+
+
+def large_bucket_edges(index: DataFrame, probes: DataFrame, large: DataFrame, distance: int, sets: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """Edges within the buckets of ``large`` (``part, key, n``): pairs of blocks, of bounded size, are compared in one
-    task each, which gives at most one edge per member."""
+    task each, which gives at most one edge per member.  With ``sets`` (``fp, shingles``) pairs also have to be alike
+    in their shingles."""
     import numpy as np
 
+    alike = sets is not None
+
     def dealt(df: DataFrame, side: str, mine: str, other: str) -> DataFrame:
         rows = df.join(large, ["part", "key"]).withColumn(mine, F.pmod(F.xxhash64("fp"), F.col(f"{mine}_blocks")))
-        return rows.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_blocks") - 1))).select("part", "key", "i", "j", F.lit(side).alias("side"), "fp")
+        rows = rows.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_blocks") - 1))).select("part", "key", "i", "j", F.lit(side).alias("side"), "fp")
+        return rows.join(sets, "fp") if alike else rows
 
     def compare(group):
         import pyarrow as pa
 
-        side, fp = group.column("side").to_pylist(), group.column("fp").to_numpy().astype(np.int64)
-        is_index = np.array([s == "i" for s in side])
-        edges = forest(fp[is_index], fp[~is_index], distance)
+        fp = group.column("fp").to_numpy().astype(np.int64)
+        is_index = np.array([s == "i" for s in group.column("side").to_pylist()], bool)
+        a, b = fp[is_index], fp[~is_index]
+        near = within_bits(a, b, distance)
+        if alike and near.any():
+            own = [np.asarray(x, np.int64) for x in group.column("shingles").to_pylist()]
+            near &= jaccard_matrix([x for x, i in zip(own, is_index, strict=True) if i], [x for x, i in zip(own, is_index, strict=True) if not i]) >= JACCARD
+        edges = forest(a, b, near)
         return pa.table({"a": edges[0].astype(np.int64), "b": edges[1].astype(np.int64)})
 
     n_probes = probes.join(large, ["part", "key"], "left_semi").groupBy("part", "key").agg(F.count(F.lit(1)).alias("p"))
@@ -214,33 +274,70 @@ def large_bucket_edges(index: DataFrame, probes: DataFrame, large: DataFrame, di
     return rows.groupBy("part", "key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
-def near_links(distinct: DataFrame, plan, distance: int = DISTANCE, large_bucket: int = LARGE_BUCKET) -> DataFrame:
-    """``a, b``: links between fingerprints, enough of them to connect all that lie within ``distance``."""
+def buckets(distinct: DataFrame, plan, distance: int, large_bucket: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """``index, probes, links, large``: links ``a, b`` of all pairs within ``distance`` in buckets of moderate size, and
+    the buckets that are larger (None without any)."""
     index, probes = _index(distinct, plan), _probes(distinct, plan)
     sizes = index.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n"))
     large = materialize(sizes.filter(F.col("n") > large_bucket), "large-buckets")
     some = not large.isEmpty()
-    if some:
-        few_index, few_probes = (x.join(large, ["part", "key"], "left_anti") for x in (index, probes))
-    else:
-        few_index, few_probes = index, probes
-    i, p = few_index.alias("i"), few_probes.alias("p")
+    few = [x.join(large, ["part", "key"], "left_anti") if some else x for x in (index, probes)]
+    i, p = few[0].alias("i"), few[1].alias("p")
     same = (F.col("i.part") == F.col("p.part")) & (F.col("i.key") == F.col("p.key"))
     near = (F.col("i.fp") < F.col("p.fp")) & (differing(F.col("i.fp"), F.col("p.fp")) <= distance)
-    links = i.join(p, same & near).select(F.col("p.fp").alias("a"), F.col("i.fp").alias("b"))
-    return links.unionByName(large_bucket_edges(index, probes, large, distance)) if some else links
+    return index, probes, i.join(p, same & near).select(F.col("p.fp").alias("a"), F.col("i.fp").alias("b")), large if some else None
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, distance: int = DISTANCE, large_bucket: int = LARGE_BUCKET) -> DataFrame:
-    """``id, fp, component`` of every row; ``component`` is the smallest id that links reach, its own included.
+def near_links(distinct: DataFrame, plan, distance: int = DISTANCE, large_bucket: int = LARGE_BUCKET) -> DataFrame:
+    """``a, b``: links between fingerprints, enough of them to connect all that lie within ``distance``."""
+    index, probes, links, large = buckets(distinct, plan, distance, large_bucket)
+    return links if large is None else links.unionByName(large_bucket_edges(index, probes, large, distance))
 
-    Null texts count as empty; texts without words have fingerprint zero and link like any other.  Null ids join
-    groups but never name one that has another id; repeated rows are one document each; an empty table gives an
-    empty result.
-    """
-    rows = keyed(fingerprints(docs, id_col, text_col, width), "fingerprints").drop("__row")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
-    roots = components(near_links(distinct.select("fp"), plan_partitions(distinct.select("fp"), distance), distance, large_bucket))
+
+def shingle_sets(docs: DataFrame, rows: DataFrame, text_col: str, width: int) -> DataFrame:
+    """``first, shingles``: sorted different shingle hashes of the texts of ``docs`` whose ``__row`` is in ``rows``."""
+
+    def run(batch):
+        hashes = [sorted(x - (1 << 64) if x >> 63 else x for x in set(shingle_hashes(t, width))) for t in batch.column(1).to_pylist()]
+        return {"first": batch.column(0), "shingles": hashes}
+
+    # A list of row numbers goes to every task while it is small; beyond that the texts are dealt by number.
+    few = rows if rows.count() > SENT_IDS else F.broadcast(rows)
+    own = docs.select(F.col("__row").alias("first"), utf8(text_col).alias("text")).join(few, "first", "left_semi")
+    return per_batch(run, "first bigint, shingles array<bigint>", own, rows=2048)
+
+
+def similar_links(distinct: DataFrame, docs: DataFrame, text_col: str = "text", large_bucket: int = LARGE_BUCKET) -> DataFrame:
+    """``a, b``: links between fingerprints of ``distinct`` (``fp, first``: a row number of ``docs``) within
+    ``SIMILAR_DISTANCE`` bits whose texts have a Jaccard similarity of ``JACCARD`` at least."""
+    import numpy as np
+
+    prints = distinct.select("fp")
+    plan = plan_partitions(prints, SIMILAR_DISTANCE, SIMILAR_PARTITIONS)
+    index, probes, links, large = buckets(prints, plan, SIMILAR_DISTANCE, large_bucket)
+    pairs = materialize(links.distinct(), "similar-candidates")
+    members = pairs.select(F.explode(F.array("a", "b")).alias("fp"))
+    if large is not None:
+        members = members.union(index.join(large, ["part", "key"], "left_semi").select("fp")).union(probes.join(large, ["part", "key"], "left_semi").select("fp"))
+    wanted = materialize(distinct.join(members.distinct(), "fp", "left_semi"), "similar-members")
+    sets = materialize(wanted.join(shingle_sets(docs, wanted.select("first"), text_col, JACCARD_WIDTH), "first").select("fp", "shingles"), "shingle-sets")
+
+    def run(batch):
+        left, right = (batch.column(c).to_pylist() for c in ("left", "right"))
+        ok = np.zeros(batch.num_rows, bool)
+        for k, (x, y) in enumerate(zip(left, right, strict=True)):
+            shared = len(set(x).intersection(y))
+            ok[k] = shared >= JACCARD * (len(x) + len(y) - shared)
+        return {c: batch.column(c).to_numpy(zero_copy_only=False)[ok] for c in ("a", "b")}
+
+    side = lambda k, name: sets.select(F.col("fp").alias(k), F.col("shingles").alias(name))
+    alike = per_batch(run, "a bigint, b bigint", pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right"), rows=1024)
+    return alike if large is None else alike.unionByName(large_bucket_edges(index, probes, large, SIMILAR_DISTANCE, sets))
+
+
+def named_groups(rows: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """``id, fp, component`` of ``rows`` (``id, fp``): the smallest ``first`` that links between fingerprints reach."""
+    roots = components(links)
     rooted = distinct.join(roots.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = materialize(rooted, "rooted-fingerprints")
     names = rooted.groupBy("root").agg(F.min("first").alias("component"))
@@ -249,10 +346,33 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(named, "fp").select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with one row of each near-duplicate group, the first by row number."""
+def _distinct(rows: DataFrame) -> DataFrame:
+    return materialize(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, large_bucket: int = LARGE_BUCKET) -> DataFrame:
+    """``id, fp, component`` of every row; ``component`` is the smallest id that links reach, its own included.
+
+    Null texts count as empty; texts without words have fingerprint zero and link like any other.  Null ids join
+    groups but never name one that has another id; repeated rows are one document each; an empty table gives an
+    empty result.
+    """
+    rows = keyed(fingerprints(docs, id_col, text_col), "fingerprints").drop("__row")
+    distinct = _distinct(rows)
+    return named_groups(rows, distinct, near_links(distinct.select("fp"), plan_partitions(distinct.select("fp"), distance), distance, large_bucket))
+
+
+def keep_one(docs: DataFrame, text_col: str = "text", large_bucket: int = LARGE_BUCKET) -> DataFrame:
+    """The rows of ``docs`` with one row of each group of near duplicates, the first by row number.
+
+    Near duplicates have a Jaccard similarity of ``JACCARD`` on ``JACCARD_WIDTH``-word shingles, or reach each other
+    through such pairs; texts with one fingerprint over their pairs of words count as alike.  Candidates are all pairs
+    whose fingerprints differ in ``SIMILAR_DISTANCE`` bits at most.
+    """
     rows = numbered(docs)
-    groups = near_groups(rows, "__row", text_col)
+    prints = keyed(fingerprints(rows, "__row", text_col, fingerprint_of_set).withColumnRenamed("id", "at"), "set-fingerprints").select(F.col("at").alias("id"), "fp")
+    distinct = _distinct(prints)
+    groups = named_groups(prints, distinct, similar_links(distinct, rows, text_col, large_bucket))
     gone = groups.filter(F.col("id") != F.col("component")).select(F.col("id").alias("__row"))
     return rows.join(materialize(gone, "near-duplicates"), "__row", "left_anti").select(*docs.columns)
 

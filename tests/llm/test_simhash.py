@@ -9,7 +9,9 @@ from cases import TEXTS
 from pyspark.sql import functions as F
 
 from panelwright.llm.graph import components
-from panelwright.llm.simhash_join import allocate, fingerprint, forest, group_bits, keep_one, near_groups, near_links, plan_partitions
+from panelwright.llm.simhash_join import (
+    allocate, fingerprint, forest, group_bits, jaccard_matrix, keep_one, near_groups, near_links, plan_partitions, shingle_hashes, within_bits,
+)
 
 
 def slow_fingerprint(text: str) -> int:
@@ -70,7 +72,8 @@ def test_groups(texts, no_texts, spark):
     assert all(r.component == want.get(classes[r.fp]) for r in rows)
     assert near_groups(no_texts).collect() == []
     kept = keep_one(texts)
-    assert kept.columns == texts.columns and kept.count() == len(set(classes.values()))
+    assert kept.columns == texts.columns and kept.count() == len({(t or "").strip() for _, t in TEXTS})
+    assert keep_one(no_texts).collect() == []
 
 
 def test_components(spark):
@@ -95,6 +98,38 @@ def test_forest_spans_components():
     rng = np.random.default_rng(2)
     base = rng.integers(-(2**62), 2**62, 5)
     v = np.unique(np.concatenate([base ^ (1 << int(b)) for b in rng.integers(0, 20, 12)]))
-    edges = list(zip(*(x.tolist() for x in forest(v[::2], v[1::2], 3)), strict=True))
+    edges = list(zip(*(x.tolist() for x in forest(v[::2], v[1::2], within_bits(v[::2], v[1::2], 3))), strict=True))
     near = [(a, b) for a in v[::2].tolist() for b in v[1::2].tolist() if ((a ^ b) % 2**64).bit_count() <= 3]
     assert roots(v.tolist(), edges) == roots(v.tolist(), near) and len(edges) < len(v)
+
+
+def jaccard(a: str, b: str) -> float:
+    x, y = (set(shingle_hashes(t.encode(), 5)) for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+@pytest.mark.parametrize("large", [2, 128])
+def test_one_of_each_group_of_similar_texts_stays(spark, large):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(25):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(60, 300))]
+        for _ in range(rng.choice([1, 1, 2, 6])):
+            own = list(words)
+            for _ in range(rng.randint(0, max(1, len(own) // 60))):
+                own[rng.randrange(len(own))] = "changed" + str(rng.randrange(99))
+            rows.append((len(rows), " ".join(own)))
+    kept = {r.doc_id for r in keep_one(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), large_bucket=large).collect()}
+    near = [(i, j) for i, a in rows for j, b in rows[:i] if jaccard(a, b) >= 0.8]
+    want = {i for i, r in roots([i for i, _ in rows], near).items() if i == r}
+    assert kept == want and len(want) < len(rows)
+
+
+def test_jaccard_matrix(monkeypatch):
+    from panelwright.llm import simhash_join
+
+    monkeypatch.setattr(simhash_join, "COLUMNS", 3)
+    rng = np.random.default_rng(1)
+    left, right = ([np.unique(rng.integers(0, 12, rng.integers(0, 8))) for _ in range(n)] for n in (5, 7))
+    want = [[len(set(a) & set(b)) / len(set(a) | set(b)) if len(a) + len(b) else 1.0 for b in right] for a in left]
+    assert np.allclose(jaccard_matrix(left, right), want)
