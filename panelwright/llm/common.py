@@ -17,6 +17,9 @@ ORACLES: dict[str, str] = {}
 #: Most files whose names are sent along to number rows, and the bits that are left for a row's place in its file.
 MAX_FILES, FILE_BITS = 100_000, 40
 
+#: Rows that a function over texts handles at a time.
+ROWS = 2048
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,10 +51,15 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def per_batch(fn: Callable, schema: str, df: DataFrame, rows: int = 1 << 20) -> DataFrame:
+def sliced(batches, rows: int = ROWS):
+    """Batches of at most ``rows`` rows."""
+    return (b.slice(a, rows) for b in batches for a in range(0, max(b.num_rows, 1), rows))
+
+
+def per_batch(fn: Callable, schema: str, df: DataFrame, rows: int = ROWS) -> DataFrame:
     """Maps each Arrow batch to a dict of columns; ``fn(batch) -> dict`` sees bounded batches, never a group.
 
-    ``rows`` cuts batches further, for functions whose results are much larger than what they read.
+    ``rows`` cuts batches further, so that few texts at a time are Python objects.
 
     Spark cuts batches by rows and by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``), so memory is bounded
     by the batch and by the longest single text.
@@ -64,7 +72,7 @@ def per_batch(fn: Callable, schema: str, df: DataFrame, rows: int = 1 << 20) ->
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in (b.slice(a, rows) for b in batches for a in range(0, max(b.num_rows, 1), rows)):
+        for batch in sliced(batches, rows):
             out = fn(batch)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
@@ -95,4 +103,4 @@ def numbered(df: DataFrame) -> DataFrame:
     return rows.select(*df.columns, (F.col("__first") + F.col("__at")).alias("__row"))
 
 
-__all__ = ["ORACLES", "QUERIES", "ascii_lower", "keyed", "materialize", "numbered", "per_batch", "query", "table", "utf8"]
+__all__ = ["ORACLES", "QUERIES", "ascii_lower", "keyed", "materialize", "numbered", "per_batch", "query", "sliced", "table", "utf8"]

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered, per_batch, query, table, utf8
+from .common import materialize, numbered, per_batch, query, sliced, table, utf8
 from .graph import components
 
 #: Edits that two lines of a class may be apart, and the code points below which lines are left alone.
@@ -211,11 +211,6 @@ def parcels(texts: list[bytes], least: int):
         yield own
 
 
-def sliced(batches, rows: int = 4096):
-    """Batches of at most ``rows`` rows, to hold fewer texts as Python objects at a time."""
-    return (b.slice(a, rows) for b in batches for a in range(0, b.num_rows, rows))
-
-
 def short_id(h: bytes) -> int:
     return int.from_bytes(h[:8], "little", signed=True)
 
@@ -230,7 +225,7 @@ def key_rows(docs: DataFrame, probe: bool, tau: int, least: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in sliced(batches):
+        for batch in sliced(batches, 4096):
             for own in parcels(batch.column("text").to_pylist(), least):
                 texts = [x.decode("utf-8", "replace") for x in own]
                 at, key = segment_keys(texts, probe, tau)
@@ -246,7 +241,7 @@ def line_texts(docs: DataFrame, ids: DataFrame, least: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in sliced(batches):
+        for batch in sliced(batches, 4096):
             for own in parcels(batch.column("text").to_pylist(), least):
                 h = list(map(digest, own))
                 yield pa.RecordBatch.from_arrays([pa.array(list(map(short_id, h)), pa.int64()), pa.array(h, pa.binary()), pa.array(own, pa.binary())], ["n", "h", "line"])
@@ -323,7 +318,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             texts, keep = [], []
             for text, drop in zip(batch.column(text_col).to_pylist(), batch.column("__gone").to_pylist(), strict=True):
                 if drop:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_ids import Encoder
-from .common import query, table, utf8
+from .common import query, sliced, table, utf8
 
 LENGTH, END = 1024, 0
 #: Penalties in padding tokens: a cut between sentences of a document, a cut inside a sentence.
@@ -155,7 +155,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
             columns = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-        for batch in batches:
+        for batch in sliced(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(encoder.encode(text.decode("utf-8", "replace")), np.uint32(END))
                 for a in range(0, len(ids), BLOCK):

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, per_batch, query, table, utf8
+from .common import keyed, materialize, per_batch, query, sliced, table, utf8
 
 # The three base kinds with their least lengths.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -163,7 +163,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
             import pyarrow as pa
 
             patterns = compiled()
-            for batch in batches:
+            for batch in sliced(batches):
                 texts = batch.column(text_col).cast(pa.binary()).to_pylist()
                 yield batch.filter(pa.array([bool(t and spans_of(t, patterns)) == present for t in texts], pa.bool_()))
 
@@ -178,7 +178,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             pairs = zip(batch.column(text_col).to_pylist(), batch.column("__live").to_pylist(), strict=True)
             columns = [batch.column(c) for c in names]
             columns[where] = pa.array([cut_spans(t, [(x["start"], x["end"]) for x in s]) for t, s in pairs], columns[where].type)
