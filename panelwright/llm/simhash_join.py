@@ -28,6 +28,8 @@ LARGE_BUCKET, BLOCK = 128, 1024
 #: which those stay whose sets of five-word shingles have this Jaccard similarity.
 SIMILAR_WIDTH, SIMILAR_DISTANCE, SIMILAR_PARTITIONS = 2, 8, (3, 4, 5, 6, 8)
 JACCARD_WIDTH, JACCARD = 5, 0.8
+#: As LARGE_BUCKET and BLOCK, where whole shingle sets are compared.
+SIMILAR_BUCKET, SIMILAR_BLOCK = 64, 256
 #: Most row numbers that are sent to every task, and shingles of a block that are compared at a time.
 SENT_IDS, COLUMNS = 2_000_000, 4096
 
@@ -307,7 +309,7 @@ def shingle_sets(docs: DataFrame, rows: DataFrame, text_col: str, width: int) ->
     return per_batch(run, "first bigint, shingles array<bigint>", own, rows=2048)
 
 
-def similar_links(distinct: DataFrame, docs: DataFrame, text_col: str = "text", large_bucket: int = LARGE_BUCKET) -> DataFrame:
+def similar_links(distinct: DataFrame, docs: DataFrame, text_col: str = "text", large_bucket: int = SIMILAR_BUCKET) -> DataFrame:
     """``a, b``: links between fingerprints of ``distinct`` (``fp, first``: a row number of ``docs``) within
     ``SIMILAR_DISTANCE`` bits whose texts have a Jaccard similarity of ``JACCARD`` at least."""
     import numpy as np
@@ -332,7 +334,7 @@ def similar_links(distinct: DataFrame, docs: DataFrame, text_col: str = "text",
 
     side = lambda k, name: sets.select(F.col("fp").alias(k), F.col("shingles").alias(name))
     alike = per_batch(run, "a bigint, b bigint", pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right"), rows=1024)
-    return alike if large is None else alike.unionByName(large_bucket_edges(index, probes, large, SIMILAR_DISTANCE, sets))
+    return alike if large is None else alike.unionByName(large_bucket_edges(index, probes, large, SIMILAR_DISTANCE, sets, SIMILAR_BLOCK))
 
 
 def named_groups(rows: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
@@ -362,7 +364,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return named_groups(rows, distinct, near_links(distinct.select("fp"), plan_partitions(distinct.select("fp"), distance), distance, large_bucket))
 
 
-def keep_one(docs: DataFrame, text_col: str = "text", large_bucket: int = LARGE_BUCKET) -> DataFrame:
+def keep_one(docs: DataFrame, text_col: str = "text", large_bucket: int = SIMILAR_BUCKET) -> DataFrame:
     """The rows of ``docs`` with one row of each group of near duplicates, the first by row number.
 
     Near duplicates have a Jaccard similarity of ``JACCARD`` on ``JACCARD_WIDTH``-word shingles, or reach each other
