@@ -19,7 +19,6 @@ def test_stages_against_brute_force(spark, sf_dir):
 
     two = corpus_pipeline.lines(spark, one, sf_dir)
     assert two.columns == docs.columns
-    classes: list[list[str]] = []
     want = {}
     parts = {d: [x.strip() for x in rows[d].split("\n")] for d in sorted(good)}
     lines = sorted({x for p in parts.values() for x in p if len(x) >= 24})
@@ -40,7 +39,7 @@ def test_stages_against_brute_force(spark, sf_dir):
                     seen.add(x)
         if "\n".join(out).strip():
             want[d] = "\n".join(out)
-    assert {r.doc_id: r.text for r in two.collect()} == want and not classes
+    assert {r.doc_id: r.text for r in two.collect()} == want
     assert all(r.n_chars == len(r.text) for r in two.collect())
 
     three = corpus_pipeline.near_duplicates(spark, two, sf_dir)
