@@ -6,7 +6,7 @@ non-positive number is NULL.  Missing values are always NULL, never NaN.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable
 
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -69,10 +69,6 @@ def up_to_now(by, order="date") -> WindowSpec:
     return ordered(by, order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def from_now_on(by, order="date") -> WindowSpec:
-    return ordered(by, order).rowsBetween(0, Window.unboundedFollowing)
-
-
 def whole(by) -> WindowSpec:
     return Window.partitionBy(*as_list(by))
 
@@ -86,8 +82,3 @@ def avg_rank(by, value) -> Column:
     """1-based rank with ties averaged, from one sort: ``rank + (ties - 1) / 2``."""
     value = col(value)
     return F.rank().over(ordered(by, value)) + (F.count(F.lit(1)).over(ties(by, value)) - 1) / F.lit(2.0)
-
-
-def in_order(names: Sequence[str], available: Iterable[str]) -> list[str]:
-    have = set(available)
-    return [n for n in names if n in have]

@@ -139,15 +139,6 @@ def rsi(change, n: int = 14, by=BY, order="date") -> Column:
     return 100 - 100 / (1 + gain / (loss + EPS))
 
 
-def ma_distance(c, n: int, by=BY, order="date") -> Column:
-    """x / moving average - 1."""
-    return ratio(c, rolling_mean(c, n, by=by, order=order)) - 1
-
-
-def ma_cross(c, fast: int = 50, slow: int = 200, by=BY, order="date") -> Column:
-    return rolling_mean(c, fast, by=by, order=order) / (rolling_mean(c, slow, by=by, order=order) + EPS) - 1
-
-
 def above_low(c, n: int = 10, by=BY, order="date") -> Column:
     """Distance from the rolling minimum."""
     low = rolling_min(c, n, by=by, order=order)
