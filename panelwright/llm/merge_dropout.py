@@ -1,9 +1,10 @@
 """SentencePiece encoding with seeded merge-dropout, and its decoding.
 
 Merges of a public merge-type (BPE) model are worked off an agenda, best score first.  Each candidate that comes up is
-skipped if a keyed hash of the seed, the word, its variant, the place and the piece falls below the dropout rate, so the
-same text is cut in many ways, all of which decode to the same characters.  A word has ``VARIANTS`` segmentations; which
-one stands where depends on the document and the place, so results can be remembered and repeated.
+skipped with the dropout rate, on its own wherever the word stands: keyed hashes of the seed, the document and the
+word's place tell how many candidates are taken before the next skip.  What is remembered of a word are its candidates
+and ids after given skips, so every occurrence draws for itself and results can be repeated.  All of them decode to the
+same characters.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import per_batch, query, table
 
-DROPOUT, SEED, VARIANTS = 0.1, 17, 4
-#: Words up to this length are remembered, the first so many per variant; the others are worked out each time.
-REMEMBERED_CHARS, REMEMBERED = 24, 160_000
+DROPOUT, SEED = 0.1, 17
+#: Words up to this length are remembered, the first so many as they are and with given skips; the others are worked out
+#: each time.
+REMEMBERED_CHARS, REMEMBERED, REMEMBERED_SKIPS = 24, 160_000, 480_000
 SPACE = "▁"
 #: A literal SPACE in the text; no piece has this string, so it is spelt in bytes.
 LITERAL_SPACE = "\0" + SPACE
@@ -28,6 +30,7 @@ LETTER, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[.,;:!?]"
 FINE_UNITS = re.compile(rf" *{LETTER}+(?={MARKS})| *[^ \n]+|\n| +")
 CROSSING = re.compile(LETTER + MARKS)
 _MASK = (1 << 64) - 1
+_STEP = 0x9E3779B97F4A7C15
 #: Bits of an agenda entry that hold the place, a number above all entries, and the longest word without a heap.
 PLACE_BITS, NEVER, SHORT = 40, 1 << 62, 20
 
@@ -108,6 +111,30 @@ class Pieces:
                 agenda[i - 1] = ranks(symbols[i - 1] + piece, NEVER) + starts[i - 1]
         return symbols
 
+    def cut_unit(self, unit: str, skips: tuple[int, ...]) -> tuple[int, list[int]]:
+        """How many candidates come up after the last of ``skips``, and the ids, if just those are skipped (by number)."""
+        symbols = [SPACE if c == " " else LITERAL_SPACE if c == SPACE else c for c in unit]
+        ranks, ranked = self.ranks.get, self.ranked
+        starts = list(range(len(symbols)))
+        agenda = [ranks(a + b, NEVER) + i for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False))]
+        n = 0
+        while agenda:
+            entry = min(agenda)
+            if entry >= NEVER:
+                break
+            i = agenda.index(entry)
+            n += 1
+            if n - 1 in skips:
+                agenda[i] = NEVER
+                continue
+            symbols[i] = piece = ranked[entry >> PLACE_BITS]
+            del symbols[i + 1], starts[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = ranks(piece + symbols[i + 1], NEVER) + starts[i]
+            if i:
+                agenda[i - 1] = ranks(symbols[i - 1] + piece, NEVER) + starts[i - 1]
+        return n - (skips[-1] + 1 if skips else 0), [i for x in symbols for i in self.spell(x)]
+
     def _merge_long(self, symbols: list[str], limit: int, key: int) -> list[str]:
         """A heap is the agenda; merged symbols stay as empty strings, linked over."""
         ranks, ranked = self.ranks, self.ranked
@@ -157,23 +184,66 @@ class Pieces:
 
 
 class Encoder:
-    """Encodes texts, remembering words per variant."""
+    """Encodes texts; every occurrence of a word draws its own dropout."""
+
+    def __init__(self, pieces: Pieces, rate: float = DROPOUT, seed: int = SEED):
+        from math import inf, log1p
 
-    def __init__(self, pieces: Pieces, rate: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
         self.pieces, self.rate, self.seed = pieces, rate, seed
-        self.keys = [mix(seed * 0x9E3779B97F4A7C15 + v & _MASK) for v in range(variants)]
-        self.known: list[dict[str, list[int]]] = [{} for _ in range(variants)]
+        # Candidates taken before a skip are geometric: the logarithm of a uniform number over that of 1 - rate.
+        self.scale = -inf if rate <= 0 else 0.0 if rate >= 1 else 1 / log1p(-rate)
+        self.known: dict[str, tuple[int, list[int]]] = {}
+        self.skipped: dict[tuple[str, tuple[int, ...]], tuple[int, list[int]]] = {}
 
-    def unit(self, unit: str, variant: int) -> list[int]:
-        import zlib
+    def draws(self, places, number: int):
+        """A 64-bit hash per place of a document, as mix() makes it."""
+        import numpy as np
+
+        x = np.asarray(places).astype(np.uint64) * np.uint64(_STEP) + np.uint64(mix((self.seed << 32 ^ number) & _MASK))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    def taken(self, draws):
+        """How many candidates are taken before the next skip, not rounded down."""
+        import numpy as np
 
-        key = self.keys[variant] ^ zlib.crc32(unit.encode("utf-8", "surrogatepass")) << 20
-        ids = self.pieces.encode_unit(unit, self.rate, key)
-        if len(unit) <= REMEMBERED_CHARS:
-            known = self.known[variant]
-            if len(known) < REMEMBERED:
-                known[unit] = ids
-        return ids
+        return np.log(((draws >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) * self.scale
+
+    def plain(self, unit: str) -> tuple[int, list[int]]:
+        """``cut_unit`` without skips."""
+        got = self.pieces.cut_unit(unit, ())
+        if len(self.known) < REMEMBERED:
+            self.known[unit] = got
+        return got
+
+    def dropped(self, unit: str, first: int, draw: int) -> list[int]:
+        """Ids of a word of which candidate ``first`` is the first to be skipped."""
+        from math import log
+
+        skips, known = (first,), self.skipped
+        while True:
+            got = known.get((unit, skips))
+            if got is None:
+                got = self.pieces.cut_unit(unit, skips)
+                if len(known) < REMEMBERED_SKIPS:
+                    known[unit, skips] = got
+            draw = mix(draw + _STEP & _MASK)
+            more = log(((draw >> 11) + 0.5) * 2.0**-53) * self.scale
+            if more >= got[0]:
+                return got[1]
+            skips += (skips[-1] + 1 + int(more),)
+
+    def unit(self, unit: str, place: int, number: int = 0) -> list[int]:
+        """Ids of the word at ``place`` of a document."""
+        draws = self.draws([place], number)
+        return self._occurrence(unit, self.taken(draws).tolist()[0], draws.tolist()[0])
+
+    def _occurrence(self, unit: str, taken: float, draw: int) -> list[int]:
+        if len(unit) > REMEMBERED_CHARS:
+            return self.pieces.encode_unit(unit, self.rate, draw)
+        n, ids = self.known.get(unit) or self.plain(unit)
+        return ids if taken >= n else self.dropped(unit, int(taken), draw)
 
     def encode(self, text: str, number: int = 0) -> list[int]:
         """Ids of ``text``; ``number`` tells documents apart."""
@@ -182,12 +252,11 @@ class Encoder:
         if not text:
             return []
         units = self.pieces.units.findall(" " + text)
-        x = np.arange(len(units), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(mix((self.seed << 32 ^ number) & _MASK))
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        known, out = self.known, []
-        for u, v in zip(units, ((x >> np.uint64(40)) % np.uint64(len(known))).tolist(), strict=True):
-            out += known[v].get(u) or self.unit(u, v)
+        draws = self.draws(np.arange(len(units)), number)
+        known, out = self.known.get, []
+        for u, taken, draw in zip(units, self.taken(draws).tolist(), draws.tolist(), strict=True):
+            got = known(u)
+            out += got[1] if got is not None and taken >= got[0] else self._occurrence(u, taken, draw)
         return out
 
 

@@ -65,3 +65,27 @@ def test_blank(text):
 def test_both_agendas_agree(word, key, rate):
     merged = [f(list(word.replace(" ", "▁")), int(rate * (1 << 32)), key) for f in (PIECES._merge_short, PIECES._merge_long)]
     assert merged[0] == merged[1]
+
+
+def test_every_occurrence_draws_for_itself():
+    """A word's occurrences take all its segmentations, each as often as independent skips of 10 % give it."""
+    word, n = " understanding", 20_000
+    candidates = PIECES.cut_unit(word, ())[0]
+    encoder = Encoder(PIECES)
+    cuts = [tuple(encoder.unit(word, k, 5)) for k in range(n)]
+    assert len(set(cuts)) > 8 and {PIECES.decode(c) for c in cuts} == {word[1:]}
+    alone = [tuple(PIECES.encode_unit(word, 0.1, int(k))) for k in encoder.draws(range(n), 6)]
+    taken = encoder.taken(encoder.draws(range(n), 5))
+    assert abs((taken >= candidates).sum() - n * 0.9**candidates) < 5 * (n / 4) ** 0.5
+    for cut in set(cuts) | set(alone):
+        assert abs(cuts.count(cut) - alone.count(cut)) < 5 * (n / 2) ** 0.5
+    text = word * n
+    assert Encoder(PIECES).encode(text[1:], 5) == [i for c in cuts for i in c]
+
+
+@pytest.mark.parametrize("word", [" understanding", " a▁b", "🙂é", "\n", "   "])
+def test_given_skips(word):
+    n, ids = PIECES.cut_unit(word, ())
+    assert ids == PIECES.encode_unit(word)
+    assert all(PIECES.decode([0, *PIECES.cut_unit(word, (k,))[1]]) in (word, word[1:]) for k in range(n))
+    assert PIECES.cut_unit(word, tuple(range(1000)))[1] == PIECES.encode_unit(word, 1.0)
