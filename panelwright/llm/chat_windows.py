@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, query, table
+from .common import materialize, per_batch, query, sliced, table
 
 # Fixed values of the template.  ESCAPE followed by a letter stands for ESCAPE itself and for each control string.
 BOS, EOS, INST, END_INST, SYS, END_SYS = "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"
@@ -66,22 +67,58 @@ def spans(costs: list[int], budget: int, history: int) -> list[tuple[int, int, i
     return out
 
 
+def formatted(turns: Iterable[tuple[str, str, bool]]) -> tuple[str, list[tuple[int, int]]]:
+    """A window's text and the ranges that are trained on, from ``role, text, new`` of its turns."""
+    parts, mask, at = [BOS], [], len(BOS)
+    for role, text, new in turns:
+        head, body = f"{TURN}{escape(role).replace(chr(10), BREAK)}\n", escape(text)
+        if new and role == TARGET_ROLE:
+            mask.append((at + len(head), at + len(head) + len(body)))
+        parts += [head, body, END_TURN]
+        at += len(head) + len(body) + len(END_TURN)
+    return "".join([*parts, EOS]), mask
+
+
+def stream_windows(turns: Iterable[tuple[str, str, int]], budget: int = BUDGET, history: int = HISTORY) -> Iterator[tuple[str, list[tuple[int, int]], int, int, bool]]:
+    """``text, mask, start, repeated, has_lead`` per window from ``role, text, cost`` of a conversation's turns in order.
+
+    The spans are those of ``spans``; held are the lead and the turns of one window, whose last ones are the history of
+    the next.
+    """
+    turns = iter(turns)
+    lead, shown, filled, start, first = [], deque(), 0, 0, True
+    repeated = 0  # of ``shown``, the turns that an earlier window has trained on
+
+    def window():
+        new = len(shown) - repeated
+        text, mask = formatted([(r, t, False) for r, t, _ in lead] + [(r, t, i >= repeated) for i, (r, t, _) in enumerate(shown)])
+        return (text, mask, -1 if lead and not start else start, repeated, bool(lead)), new
+
+    room = max(budget, 1)
+    for turn in turns:
+        if first and turn[0] == SYSTEM_ROLE:
+            lead, room, first = [turn], max(budget - turn[2], 1), False
+            continue
+        first = False
+        if len(shown) > repeated and filled + turn[2] > room:
+            out, new = window()
+            yield out
+            start += new
+            # History goes back to the first turn whose sum still fits, and gives way to the next turn.
+            left = min(history, room - turn[2])
+            while shown and filled > max(left, 0):
+                filled -= shown.popleft()[2]
+            repeated = len(shown)
+        shown.append(turn)
+        filled += turn[2]
+    if shown or lead:
+        yield window()[0]
+
+
 def windows(turns: list[tuple[str, str]], budget: int = BUDGET, history: int = HISTORY) -> Iterator[tuple[str, list[tuple[int, int]], int]]:
     """``text, mask, start`` per window: the formatted text, the code point ranges that are trained on, and the number
     of the first turn that is new in it (-1 for the system turn, which leads every window)."""
-    lead = turns[:1] if turns and turns[0][0] == SYSTEM_ROLE else []
-    rest = turns[len(lead):]
-    room = budget - sum(tokens(t) for _, t in lead)
-    plan = spans([tokens(t) for _, t in rest], max(room, 1), history) or ([(0, 0, 0)] if lead else [])
-    for k, (shown, start, end) in enumerate(plan):
-        parts, mask, at = [BOS], [], len(BOS)
-        for i, (role, text) in [(-1, t) for t in lead] + list(enumerate(rest))[shown:end]:
-            head, body = f"{TURN}{escape(role).replace(chr(10), BREAK)}\n", escape(text)
-            if i >= start and role == TARGET_ROLE:
-                mask.append((at + len(head), at + len(head) + len(body)))
-            parts += [head, body, END_TURN]
-            at += len(head) + len(body) + len(END_TURN)
-        yield "".join([*parts, EOS]), mask, -1 if lead and not k else start
+    return (w[:3] for w in stream_windows(((r, t, tokens(t)) for r, t in turns), budget, history))
 
 
 _TURN = re.compile(re.escape(TURN) + r"(.*?)\n(.*?)" + re.escape(END_TURN), re.DOTALL)
@@ -110,8 +147,9 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY)
 
     Turns go by number, ties by role, then text; null roles and texts count as empty, a null conversation id is a
     conversation of its own, repeated rows are turns.  A system turn leads only if it comes first; later ones are
-    ordinary.  Conversations are read one after the other from partitions sorted by id and turn; a window that is
-    complete leaves at once, so memory is bounded by the batch and by one conversation's turns.
+    ordinary.  Tokens are counted before the sort.  Conversations are read one after the other from partitions sorted
+    by id and turn, and of a conversation only its lead, the history and the window that is being filled are held, so
+    memory is bounded by the batch, the budget and the longest single turn.
     """
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
@@ -125,18 +163,13 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY)
         schema = to_arrow()
 
         def each():
-            for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True)
+            for batch in sliced(batches):
+                yield from zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text", "cost")), strict=True)
 
         out: list[dict] = []
         size = 0
         for conv, group in groupby(each(), key=lambda x: x[0]):
-            said = [(role, text) for _, role, text in group]
-            lead = said[0][0] == SYSTEM_ROLE
-            costs = [tokens(t) for _, t in said[lead:]]
-            room = max(budget - (tokens(said[0][1]) if lead else 0), 1)
-            repeats = [start - shown for shown, start, _ in spans(costs, room, history)] or [0]
-            for k, ((text, mask, _), again) in enumerate(zip(windows(said, budget, history), repeats, strict=True)):
+            for k, (text, mask, _, again, lead) in enumerate(stream_windows((x[1:] for x in group), budget, history)):
                 out.append({"conv_id": conv, "window": k, "repeated": again, "has_lead": lead, "text": text, "loss": [{"start": a, "end": b} for a, b in mask]})
                 size += len(text)
                 if size > 1 << 22:
@@ -152,7 +185,11 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY)
             ("loss", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
         ])
 
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, WINDOW_SCHEMA)
+    def count(batch):
+        return {**{c: batch.column(c) for c in ("conv_id", "turn", "role", "text")}, "cost": [tokens(t) for t in batch.column("text").to_pylist()]}
+
+    counted = per_batch(count, "conv_id bigint, turn bigint, role string, text string, cost bigint", rows)
+    return counted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, WINDOW_SCHEMA)
 
 
 DIGEST_SCHEMA = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_windows bigint"

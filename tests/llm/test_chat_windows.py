@@ -6,7 +6,7 @@ from hashlib import sha256
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from panelwright.llm.chat_windows import CONTROLS, TURN, chat_windows, escape, read_back, spans, tokens, unescape, window_digests, windows
+from panelwright.llm.chat_windows import CONTROLS, TURN, chat_windows, escape, read_back, spans, stream_windows, tokens, unescape, window_digests, windows
 
 TEXT = st.lists(st.sampled_from([*"ab \n\\<>|[]/sé🙂", *CONTROLS]), max_size=12).map("".join)
 
@@ -55,3 +55,30 @@ def test_query_columns(table_of):
     assert r.turns_sha256 == sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
     assert got[1].turns_sha256 == sha256(b"assistant\n\nuser\n\nuser\nb\n").hexdigest() and got[None].loss_chars == 1
     assert window_digests(chat_windows(table_of([], "conv_id bigint, turn bigint, role string, text string"))).collect() == []
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["system", "user", "assistant"]), TEXT), min_size=1, max_size=20), st.integers(5, 90), st.integers(0, 60))
+def test_streamed_spans(turns, budget, history):
+    lead = turns[0][0] == "system"
+    costs = [tokens(t) for _, t in turns]
+    want = [(start - shown, end - start) for shown, start, end in spans(costs[lead:], max(budget - (costs[0] if lead else 0), 1), history)] or [(0, 0)]
+    got = list(stream_windows(((r, t, c) for (r, t), c in zip(turns, costs, strict=True)), budget, history))
+    assert [(w[3], w[0].count(TURN) - lead - w[3]) for w in got] == want and all(w[4] == lead for w in got)
+
+
+def test_long_conversation_is_streamed():
+    """Windows leave while turns still come: few turns at a time are out of the source and not yet in a window."""
+    read = 0
+
+    def turns(n):
+        nonlocal read
+        for read in range(1, n + 1):
+            text = "one two three"
+            yield ("user", "assistant")[read % 2], text, tokens(text)
+
+    done = 0
+    for w in stream_windows(turns(50_000)):
+        done += w[0].count(TURN) - w[3]
+        assert read - done <= 512 // 11 + 1
+    assert done == 50_000
