@@ -4,7 +4,8 @@ Two lines within ``tau`` edits: cut the shorter one into ``tau + 1`` segments, a
 longer one, near its own place.  Every distinct line is indexed by its segments and probes the few substrings at which
 a segment of a line of its length, or up to ``tau`` shorter, can stand.  Keys are 64-bit hashes of (length, segment
 number, characters), taken for a whole batch from prefix sums.  Pairs that share a key and whose character parities
-allow ``tau`` edits are verified with a banded bit-parallel edit distance.  Linked lines form classes, of which the first line in the corpus stays.
+allow ``tau`` edits are verified with a banded bit-parallel edit distance.  Linked lines form classes, which are named by their first line in the corpus.  Where lines
+are dropped, a chain of links is not enough: each that goes has a line that stays within ``tau`` edits.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ TAU, MIN_CHARS = 2, 24
 CELLS = 1 << 22
 #: Bytes of lines whose keys are taken at a time, and most line ids that are sent to every task.
 PARCEL, SENT_IDS = 1 << 20, 2_000_000
+#: Rounds in which earlier lines come before later ones when lines are dropped; a long chain's rest goes by hash, which
+#: takes a number of rounds that grows with the logarithm of its length.
+ORDERED_ROUNDS = 3
 
 
 def segments(length: int, tau: int = TAU) -> list[tuple[int, int]]:
@@ -277,6 +281,15 @@ def edit_links(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> DataF
     return per_batch(run, "a binary, b binary", both, rows=2048)
 
 
+def line_tables(docs: DataFrame, id_col: str, text_col: str, tau: int, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All places of lines, the links between different lines, and ``h, first, n``: each line's first place and count."""
+    texts = docs.select("__row", F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
+    places = materialize(occurrences(texts, least), "line-places")
+    links = materialize(edit_links(texts, tau, least), "line-links")
+    first = places.groupBy("h").agg(F.min(F.struct("id", F.col("__row").alias("row"), "line")).alias("first"), F.count(F.lit(1)).alias("n"))
+    return places, links, first
+
+
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = MIN_CHARS) -> DataFrame:
     """``__row, id, line, first_row, first_id, first_line, n_links, kept`` for every line that takes part.
 
@@ -284,13 +297,10 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     that column.  The class of a line is everything that links of at most ``tau`` edits reach; its first line by
     (id, row, line) stays.  ``n_links`` counts the different lines within ``tau`` edits.
     """
-    texts = docs.select("__row", F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
-    places = materialize(occurrences(texts, least), "line-places")
-    links = materialize(edit_links(texts, tau, least), "line-links")
+    places, links, first = line_tables(docs, id_col, text_col, tau, least)
     roots = components(links).select(F.col("a").alias("h"), F.col("b").alias("root"))
     degree = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_links"))
     linked = materialize(degree.join(roots, "h", "left").select("h", F.coalesce("root", "h").alias("root"), "n_links"), "linked-lines")
-    first = places.groupBy("h").agg(F.min(F.struct("id", F.col("__row").alias("row"), "line")).alias("first"), F.count(F.lit(1)).alias("n"))
     known = first.join(linked, "h", "left").filter((F.col("n") > 1) | F.col("root").isNotNull())
     known = materialize(known.select("h", "first", F.coalesce("root", "h").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "repeated-lines")
     best = known.groupBy("root").agg(F.min("first").alias("best"))
@@ -304,13 +314,44 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def covered_lines(links: DataFrame, first: DataFrame) -> DataFrame:
+    """``h`` of the lines that go: each has a link to a line that stays, and no two lines that stay are linked.
+
+    A maximal independent set.  In every round the lines that come before all their undecided neighbours stay and those
+    neighbours go; a line without undecided neighbours stays.
+    """
+    place = first.select(F.col("h").alias("a"), F.col("first").alias("p"))
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = both.join(place, "a").join(place.select(F.col("a").alias("b"), F.col("p").alias("q")), "b").select("a", "b", "p", "q")
+    open_, gone, step = materialize(both, "open-links"), None, 0
+    while not open_.isEmpty():
+        if step < ORDERED_ROUNDS:
+            own, other = F.col("p"), F.col("q")
+        else:
+            own, other = (F.struct(F.xxhash64(c, F.lit(step)).alias("x"), F.col(c).alias("h")) for c in ("a", "b"))
+        stay = open_.select("a", own.alias("own"), other.alias("other")).groupBy("a").agg(F.first("own").alias("own"), F.min("other").alias("other"))
+        stay = materialize(stay.filter(F.col("own") < F.col("other")).select("a"), "staying-lines")
+        now = materialize(open_.join(stay, "a", "left_semi").select(F.col("b").alias("h")).distinct(), "covered-lines")
+        gone = now if gone is None else gone.unionByName(now)
+        done = stay.select(F.col("a").alias("h")).unionByName(now)
+        left = open_.join(done, open_["a"] == done["h"], "left_anti").join(done.select(F.col("h").alias("b")), "b", "left_anti")
+        open_, step = materialize(left.select("a", "b", "p", "q"), "open-links"), step + 1
+    return first.select("h").limit(0) if gone is None else gone
+
+
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with the same columns, without the lines that are not the first of their class; rows of which nothing
-    but white space would be left go, unless nothing was there before (null and empty texts stay).
+    """``docs`` with the same columns, without the lines that equal a line that stays or are within ``tau`` edits of it;
+    rows of which nothing but white space would be left go, unless nothing was there before (null and empty texts stay).
     """
     names = docs.columns
     rows = numbered(docs)
-    gone = line_classes(rows, id_col, text_col, tau, least).filter(~F.col("kept")).select("__row", "line")
+    places, links, first = line_tables(rows, id_col, text_col, tau, least)
+    covered = covered_lines(links, first).withColumn("covered", F.lit(True))
+    known = first.join(covered, "h", "left").filter((F.col("n") > 1) | F.col("covered"))
+    # Written, so that the places of a very common line can be split among tasks.
+    known = materialize(known.select("h", "first", F.coalesce("covered", F.lit(False)).alias("covered")), "repeated-lines")
+    at_first = (F.col("first.row") == F.col("__row")) & (F.col("first.line") == F.col("line"))
+    gone = places.join(known, "h").filter(F.col("covered") | ~at_first).select("__row", "line")
     # A row's lines are bounded by its text.
     gone = gone.groupBy("__row").agg(F.collect_list("line").alias("__gone"))
     where = names.index(text_col)

@@ -112,3 +112,20 @@ def test_dropped_lines(spark, texts, no_texts):
     assert got == {1: rows[0][1], 2: "short", 4: "", 5: None}
     assert drop_lines(texts).columns == texts.columns
     assert drop_lines(no_texts).collect() == []
+
+
+def test_lines_at_the_end_of_a_chain_stay(spark):
+    """Rows that differ by two edits from the next one only: those two links away from a line that stays are no repeats."""
+    chain = ["y" * (2 * i) + "x" * (30 - 2 * i) for i in range(6)]
+    docs = spark.createDataFrame(list(enumerate(chain)), "doc_id bigint, text string")
+    assert {r.doc_id for r in drop_lines(docs).collect()} == {0, 2, 4}
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_dropped_lines_are_near_lines_that_stay(spark, monkeypatch, rounds):
+    monkeypatch.setattr(line_dedup, "ORDERED_ROUNDS", rounds)
+    rows = [(i, f"{i % 45:06b} of the rows of this long table") for i in range(60)] + [(None, "000000 of the rows of this long tables")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = [r.text for r in drop_lines(docs).collect()]
+    assert all(min(edits(t, k) for k in kept) <= 2 for _, t in rows)
+    assert all(edits(a, b) > 2 for i, a in enumerate(kept) for b in kept[:i])
