@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from .common import materialize, numbered, per_batch, query, sliced, table, utf8
 from .graph import components
 
-#: Edits that two lines of a class may be apart, and the code points below which lines are left alone.
+#: Edits that two lines of a class may be apart, and the code points below which lines are left alone unless asked for.
 TAU, MIN_CHARS = 2, 24
+#: Where shorter lines take part: from so many code points with one edit, below that as exact repeats only.
+ONE_EDIT_CHARS = 12
 #: Cells of the character matrix that one verification step holds.
 CELLS = 1 << 22
 #: Bytes of lines whose keys are taken at a time, and most line ids that are sent to every task.
@@ -202,10 +204,13 @@ def occurrences(docs: DataFrame, least: int) -> DataFrame:
     return per_batch(run, "__row bigint, id bigint, line int, h binary", docs)
 
 
-def parcels(texts: list[bytes], least: int):
-    """The different lines of some texts as ``bytes`` lists of about ``PARCEL`` bytes each."""
+def parcels(texts: list[bytes], least: int, most: int | None = None):
+    """The different lines of some texts, of at most ``most`` code points, as ``bytes`` lists of about ``PARCEL`` bytes
+    each."""
     own, size = [], 0
     for line in {x for text in texts for _, x in known_lines(text, least)}:
+        if most is not None and (len(line) > 4 * most or len(line.decode("utf-8", "replace")) > most):
+            continue
         own.append(line)
         size += len(line)
         if size >= PARCEL:
@@ -219,7 +224,7 @@ def short_id(h: bytes) -> int:
     return int.from_bytes(h[:8], "little", signed=True)
 
 
-def key_rows(docs: DataFrame, probe: bool, tau: int, least: int) -> DataFrame:
+def key_rows(docs: DataFrame, probe: bool, tau: int, least: int, most: int | None = None) -> DataFrame:
     """Index or probe rows ``n, key, sig`` of all lines; ``n`` is the front of the line's digest.
 
     A line comes once per batch that has it.
@@ -230,7 +235,7 @@ def key_rows(docs: DataFrame, probe: bool, tau: int, least: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in sliced(batches, 4096):
-            for own in parcels(batch.column("text").to_pylist(), least):
+            for own in parcels(batch.column("text").to_pylist(), least, most):
                 texts = [x.decode("utf-8", "replace") for x in own]
                 at, key = segment_keys(texts, probe, tau)
                 n, sig = np.array([short_id(digest(x)) for x in own]), signatures(texts)
@@ -239,14 +244,14 @@ def key_rows(docs: DataFrame, probe: bool, tau: int, least: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "n bigint, key bigint, sig bigint")
 
 
-def line_texts(docs: DataFrame, ids: DataFrame, least: int) -> DataFrame:
+def line_texts(docs: DataFrame, ids: DataFrame, least: int, most: int | None = None) -> DataFrame:
     """``n, h, line`` of the lines whose ``n`` is in ``ids``, each once."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in sliced(batches, 4096):
-            for own in parcels(batch.column("text").to_pylist(), least):
+            for own in parcels(batch.column("text").to_pylist(), least, most):
                 h = list(map(digest, own))
                 yield pa.RecordBatch.from_arrays([pa.array(list(map(short_id, h)), pa.int64()), pa.array(h, pa.binary()), pa.array(own, pa.binary())], ["n", "h", "line"])
 
@@ -256,22 +261,25 @@ def line_texts(docs: DataFrame, ids: DataFrame, least: int) -> DataFrame:
     return found.groupBy("n", "h").agg(F.min("line").alias("line"))
 
 
-def edit_links(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> DataFrame:
+def edit_links(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS, below: int | None = None) -> DataFrame:
     """``a, b``: digests of all pairs of different lines of ``docs`` (``text``: bytes) within ``tau`` edits, each pair
-    once, ``a > b``."""
-    x, y = key_rows(docs, False, tau, least).alias("x"), key_rows(docs, True, tau, least).alias("y")
+    once, ``a > b``; with ``below`` those whose shorter line has fewer code points than that."""
+    most = None if below is None else below - 1 + tau
+    x, y = key_rows(docs, False, tau, least, most).alias("x"), key_rows(docs, True, tau, least, most).alias("y")
     apart = F.col("x.sig").bitwiseXOR(F.col("y.sig"))
     near = (F.bit_count(apart.bitwiseAND(F.lit(0xFFFFFFFF))) <= 2 * tau) & (F.bit_count(F.shiftrightunsigned(apart, 32)) <= 4 * tau)
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.n") != F.col("y.n")) & near)
     pairs = materialize(pairs.select(F.greatest("x.n", "y.n").alias("a"), F.least("x.n", "y.n").alias("b")).distinct(), "line-candidates")
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct(), "candidate-ids")
-    texts = materialize(line_texts(docs, ids, least), "candidate-lines")
+    texts = materialize(line_texts(docs, ids, least, most), "candidate-lines")
 
     def run(batch):
         import numpy as np
 
         left, right = ([x.decode("utf-8", "replace") for x in batch.column(c).to_pylist()] for c in ("left", "right"))
         ok = within_edits(left, right, tau) <= tau if left else np.zeros(0, bool)
+        if below is not None:
+            ok &= np.array([min(len(a), len(b)) < below for a, b in zip(left, right, strict=True)], bool)
         each = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), ok, strict=True)
         links = [(max(a, b), min(a, b)) for a, b, k in each if k]
         return {"a": [a for a, _ in links], "b": [b for _, b in links]}
@@ -285,7 +293,11 @@ def line_tables(docs: DataFrame, id_col: str, text_col: str, tau: int, least: in
     """All places of lines, the links between different lines, and ``h, first, n``: each line's first place and count."""
     texts = docs.select("__row", F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
     places = materialize(occurrences(texts, least), "line-places")
-    links = materialize(edit_links(texts, tau, least), "line-links")
+    links = edit_links(texts, tau, max(least, MIN_CHARS))
+    if least < MIN_CHARS:
+        # Pairs whose shorter line is short; a pair's edits go by its shorter line.
+        links = links.unionByName(edit_links(texts, 1, max(least, ONE_EDIT_CHARS), MIN_CHARS))
+    links = materialize(links, "line-links")
     first = places.groupBy("h").agg(F.min(F.struct("id", F.col("__row").alias("row"), "line")).alias("first"), F.count(F.lit(1)).alias("n"))
     return places, links, first
 
@@ -293,7 +305,9 @@ def line_tables(docs: DataFrame, id_col: str, text_col: str, tau: int, least: in
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = MIN_CHARS) -> DataFrame:
     """``__row, id, line, first_row, first_id, first_line, n_links, kept`` for every line that takes part.
 
-    Lines are compared without white space around them.  ``__row`` numbers the rows of ``docs``, which has to have
+    Lines are compared without white space around them.  Where ``least`` is below ``MIN_CHARS``, a pair whose shorter
+    line has fewer code points than that is linked by one edit from ``ONE_EDIT_CHARS`` on and not at all below; equal
+    lines are one line at any length.  ``__row`` numbers the rows of ``docs``, which has to have
     that column.  The class of a line is everything that links of at most ``tau`` edits reach; its first line by
     (id, row, line) stays.  ``n_links`` counts the different lines within ``tau`` edits.
     """
@@ -377,5 +391,5 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 @query("op9_line_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = numbered(table(spark, sf_dir, "documents"))
-    out = line_classes(docs)
+    out = line_classes(docs, least=1)
     return out.select(F.col("id").alias("doc_id"), "line", F.col("first_id").alias("class_doc"), F.col("first_line").alias("class_line"), "n_links", "kept")

@@ -129,3 +129,28 @@ def test_dropped_lines_are_near_lines_that_stay(spark, monkeypatch, rounds):
     kept = [r.text for r in drop_lines(docs).collect()]
     assert all(min(edits(t, k) for k in kept) <= 2 for _, t in rows)
     assert all(edits(a, b) > 2 for i, a in enumerate(kept) for b in kept[:i])
+
+
+def test_short_lines_take_part(spark):
+    """Every line but blank ones has a row; two edits from 24 code points, one from 12, exact repeats below."""
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcd句") for _ in range(n)) for n in (1, 2, 3, 8, 11, 12, 13, 14, 22, 23, 24, 25, 26, 30)]
+    rows = [(i, "\n".join([*(changed(rng, rng.choice(base), rng.choice([0, 0, 1, 2])) for _ in range(5)), " ", ""])) for i in range(60)]
+    docs = keyed(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), "short")
+    text = {r["__row"]: r.text for r in docs.collect()}
+    lines = {(row, i): x.strip() for row, t in text.items() for i, x in enumerate(t.split("\n")) if x.strip()}
+    got = {(r["__row"], r.line): r for r in line_classes(docs, least=1).collect()}
+    assert set(got) == set(lines)
+    distinct = sorted(set(lines.values()))
+    allowed = lambda a, b: 2 if (n := min(len(a), len(b))) >= 24 else 1 if n >= 12 else 0
+    near = [(a, b) for k, a in enumerate(distinct) for b in distinct[:k] if edits(a, b) <= allowed(a, b)]
+    assert any(min(len(a), len(b)) < 24 for a, b in near)
+    assert all(r.n_links == sum(lines[k] in p for p in near) for k, r in got.items())
+    own = {k: x for k, x in lines.items() if len(x) < 12}
+    assert all(got[k].kept == (k == min(j for j, y in own.items() if y == x)) for k, x in own.items())
+
+
+def test_query_returns_short_lines(spark, tmp_path):
+    spark.createDataFrame([(1, "Les.\nAll rights reserved."), (2, "All rights reserved.\n\nLes.")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.line, r.class_doc, r.class_line, r.kept) for r in line_dedup.op9(spark, str(tmp_path)).collect())
+    assert got == [(1, 0, 1, 0, True), (1, 1, 1, 1, True), (2, 0, 1, 1, False), (2, 2, 1, 0, False)]
