@@ -16,7 +16,7 @@ METRICS = ("annual_return_pct", "sharpe", "max_drawdown_pct", "win_rate_pct")
 def leaderboard(candidates: DataFrame, metrics: Sequence[str] = METRICS, by: Sequence[str] = ("board",)) -> DataFrame:
     """Ranks by Sharpe, growth and drawdown; identical metrics are flagged as duplicates.
 
-    A board may hold any number of candidates: ranks are taken in slices, and the duplicate count is an
+    A board may hold any number of candidates: ranks are taken by range exchange, and the duplicate count is an
     aggregation joined back by the metrics.  The parsed candidates are written once, because each rank reads
     them again.
     """
