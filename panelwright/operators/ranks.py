@@ -40,7 +40,7 @@ def positions(df: DataFrame, order: Sequence[Column], name: str = "position", pa
     placed = _dealt(df, order, partitions, "positions")
     counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__ahead"))
     ahead = counts.select("__part", F.coalesce(F.sum("__ahead").over(_earlier_parts()), F.lit(0)).alias("__ahead"))
-    return placed.join(ahead, "__part").withColumn(name, F.col("__ahead") + F.col("__at")).drop("__part", "__at", "__ahead")
+    return placed.join(ahead, "__part").select(*df.columns, (F.col("__ahead") + F.col("__at")).alias(name))
 
 
 def totals_before(
