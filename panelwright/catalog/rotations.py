@@ -13,8 +13,10 @@ from ..operators import rotation as rot
 from ..operators import screen as scr
 from ..operators import signal_log as log
 from ..operators import signals as sig
+from ..session import shared_folder
 from ..sources import driver, texts
-from .base import BDAYS_SQL, HEADLINES_SQL, cols, out, predictions_sql, prices_sql, query, rnd, signals_sql, windows
+from ..streaming import outcomes
+from .base import BDAYS_SQL, HEADLINES_SQL, ORACLES, cols, out, predictions_sql, prices_sql, query, rnd, signals_sql, windows
 from .sources import CAND_SQL, candidate_blocks
 
 # Every supplier leads a book of its own, with the next two suppliers by number as sleeves; a book trades on
@@ -279,6 +281,14 @@ def t3_top(spark, sf):
     return news.headline_dedup(driver.headlines(spark, sf), 20).select("url", "date")
 
 
+def signal_rows(spark, sf):
+    """A signal log from the predictions, dated a day later; out-of-fold ones have an outcome already."""
+    return driver.predictions(spark, sf).select(
+        "symbol", F.date_add("date", 1).alias("date"), F.when(F.col("pred") > 0, "BULLISH").otherwise("BEARISH").alias("direction"),
+        F.when(F.col("is_oof"), 7.5).alias("outcome_actual"), F.lit(None).cast("boolean").alias("outcome_correct"),
+    )
+
+
 @query("K1_backfill_outcomes", "WITH " + predictions_sql() + ", " + BDAYS_SQL + """, lg AS (SELECT symbol, date+1 AS date, CASE WHEN pred>0 THEN 'BULLISH' ELSE 'BEARISH' END AS direction, CASE WHEN is_oof THEN 7.5 END AS logged FROM predictions),
     px AS (SELECT *, lead(close,10) OVER (PARTITION BY symbol ORDER BY date) AS ex FROM prices), td AS (SELECT symbol, max(date) AS t FROM prices GROUP BY 1),
     ct AS (SELECT td.symbol, b2.date AS c FROM td JOIN bdays b2 ON b2.idx=(SELECT max(b1.idx)-12 FROM bdays b1 WHERE b1.date<=td.t)),
@@ -286,14 +296,25 @@ def t3_top(spark, sf):
     SELECT symbol, date, direction, CASE WHEN logged IS NOT NULL THEN logged WHEN date<=c AND ex IS NOT NULL THEN round((ex/close-1)*100,2)+0.0 END AS outcome_actual,
     CASE WHEN logged IS NULL AND date<=c AND ex IS NOT NULL THEN sign(ex/close-1)=CASE WHEN direction='BULLISH' THEN 1 ELSE -1 END END AS outcome_correct FROM jn""")
 def k1(spark, sf):
-    rows = driver.predictions(spark, sf).select(
-        "symbol", F.date_add("date", 1).alias("date"), F.when(F.col("pred") > 0, "BULLISH").otherwise("BEARISH").alias("direction"),
-        F.when(F.col("is_oof"), 7.5).alias("outcome_actual"), F.lit(None).cast("boolean").alias("outcome_correct"),
-    )
-    done = log.backfill_outcomes(rows, driver.prices(spark, sf))
+    done = log.backfill_outcomes(signal_rows(spark, sf), driver.prices(spark, sf))
     return done.select("symbol", "date", "direction", (F.col("outcome_actual") + F.lit(0.0)).alias("outcome_actual"), "outcome_correct")
 
 
+@query("K1_outcome_stream", ORACLES["K1_backfill_outcomes"])
+def k1_stream(spark, sf):
+    """The same outcomes from files that arrive in three parts; the stream is started anew for each part."""
+    root = shared_folder(spark, "outcome-stream")
+    open_rows, px = signal_rows(spark, sf), driver.prices(spark, sf)
+    schemas = {"signals": open_rows.schema, "prices": px.schema}
+    for part in (F.col("date") < "1994-03-01", F.col("date").between("1994-03-01", "1996-05-31"), F.col("date") > "1996-05-31"):
+        open_rows.filter(part & F.col("outcome_actual").isNull()).write.mode("append").parquet(f"{root}/signals")
+        px.filter(part).write.mode("append").parquet(f"{root}/prices")
+        arriving = [spark.readStream.schema(s).parquet(f"{root}/{name}") for name, s in schemas.items()]
+        outcomes.write_outcomes(outcomes.outcome_stream(*arriving), f"{root}/outcomes", f"{root}/progress").awaitTermination()
+    filled = outcomes.with_outcomes(open_rows, spark.read.parquet(f"{root}/outcomes"))
+    return filled.select("symbol", "date", "direction", (F.col("outcome_actual") + F.lit(0.0)).alias("outcome_actual"), "outcome_correct")
+
+
 @query("K2_signal_hits", "WITH " + predictions_sql() + """, rl AS (SELECT symbol, date+2 AS date, actual FROM predictions WHERE is_oof), jn AS (SELECT p.symbol, p.date, p.pred, CASE WHEN p.date-r.date<=3 THEN r.actual END AS a FROM predictions p ASOF LEFT JOIN rl r ON r.symbol=p.symbol AND p.date>=r.date)
     SELECT symbol, date, CASE WHEN a IS NULL THEN 'pending' WHEN (pred>0 AND a>0) OR (pred<0 AND a<0) THEN 'hit' ELSE 'miss' END AS mark FROM jn""")
 def k2(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import add_bdays
@@ -15,6 +15,13 @@ from .panel import asof_join
 MIN_AGE, HORIZON = 12, 10
 
 
+def outcome(entry: str, exit_: str) -> dict[str, Column]:
+    """Return between two prices in percent, and whether ``direction`` foresaw its sign."""
+    ret = (F.col(exit_) / F.col(entry) - 1) * 100
+    side = F.when(F.col("direction") == "BULLISH", 1.0).otherwise(-1.0)
+    return {"outcome_correct": F.signum(ret) == side, "outcome_actual": F.round(ret, 2)}
+
+
 def backfill_outcomes(
     log: DataFrame, prices: DataFrame, today=None, min_age: int = MIN_AGE, horizon: int = HORIZON,
     by: Sequence[str] = ("symbol",), date: str = "date",
@@ -45,14 +52,8 @@ def backfill_outcomes(
     else:
         out = out.withColumn("__today", F.to_date(F.lit(today)))
     ripe = F.col("outcome_actual").isNull() & (F.col(date) <= add_bdays("__today", -min_age)) & F.col("__exit").isNotNull()
-    ret = (F.col("__exit") / F.col("__entry") - 1) * 100
-    side = F.when(F.col("direction") == "BULLISH", 1.0).otherwise(-1.0)
-    return out.withColumns(
-        {
-            "outcome_correct": F.when(ripe, F.signum(ret) == side).otherwise(F.col("outcome_correct")),
-            "outcome_actual": F.when(ripe, F.round(ret, 2)).otherwise(F.col("outcome_actual")),
-        }
-    ).drop("__entry", "__exit", "__today")
+    found = outcome("__entry", "__exit")
+    return out.withColumns({c: F.when(ripe, v).otherwise(F.col(c)) for c, v in found.items()}).drop("__entry", "__exit", "__today")
 
 
 def signal_hits(
