@@ -10,6 +10,7 @@ from ..functions import indicators as ind
 from ..functions.expr import EPS, r, ratio
 from ..operators import panel as pnl
 from ..operators import screen as scr
+from ..operators.order_stats import rank_so_far
 from ..operators.rolling import rolling_z_all
 from ..plans import features as feat
 from ..sources import driver
@@ -111,7 +112,7 @@ def i10(spark, sf):
 @query("I11_rolling_pct_rank", PX + ", l AS (SELECT symbol, date, close, list(close) OVER w252 AS v FROM prices " + windows(252) + ") " + KEY + rnd(
     "CASE WHEN len(v)>=252 THEN (len(list_filter(v, lambda x: x<close))+(len(list_filter(v, lambda x: x=close))+1)/2.0)/len(v) END", "pct") + " FROM l")
 def i11(spark, sf):
-    return out(px(spark, sf), "symbol date", pct=ind.rolling_pct_rank("close"))
+    return out(rank_so_far(px(spark, sf), {"pct": "close"}, 252, 252), "symbol date", pct="pct")
 
 
 CHG = "c AS (SELECT *, close-lag(close) OVER w AS chg FROM prices " + windows() + ")"

@@ -117,20 +117,6 @@ def rolling_corr(a, b, n: int, by=BY, order="date") -> Column:
     return F.when(F.count(F.when(both, F.lit(1))).over(w) >= n, rho)
 
 
-def rolling_pct_rank(c, n: int = TRADING_DAYS, min_rows: int | None = None, by=BY, order="date") -> Column:
-    """Average-tie percentile of the current value among the last ``n``.
-
-    Ranking functions take no sliding frame, so the frame (at most ``n`` values) is gathered and counted.
-    """
-    c = col(c)
-    w = last_rows(by, n, order)
-    frame = F.collect_list(c).over(w)
-    less = F.size(F.filter(frame, lambda x: x < c))
-    same = F.size(F.filter(frame, lambda x: x == c))
-    need = n if min_rows is None else min_rows
-    return F.when(c.isNotNull() & (F.size(frame) >= need), (less + (same + 1) / F.lit(2.0)) / F.size(frame))
-
-
 def rsi(change, n: int = 14, by=BY, order="date") -> Column:
     """Relative strength index from a one-row change column, simple means."""
     up, down = clip(change, lower=0.0), -clip(change, upper=0.0)

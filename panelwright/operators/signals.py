@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import as_list, avg_rank, col, last_rows, ordered, up_to_now, whole
+from ..functions.expr import as_list, avg_rank, col, ordered, whole
+from .order_stats import rank_so_far
 
 BY = ("strategy", "symbol")
 
@@ -39,11 +40,7 @@ def confidence(
     elif mode == "batch":
         conf = (F.rank().over(ordered(by, "__abs")) - 1) / size
     elif mode in ("trailing", "expanding"):
-        w = last_rows(by, window, date) if mode == "trailing" else up_to_now(by, date)
-        seen = F.collect_list("__abs").over(w)
-        less = F.size(F.filter(seen, lambda x: x < F.col("__abs")))
-        same = F.size(F.filter(seen, lambda x: x == F.col("__abs")))
-        conf = (less + (same + 1) / F.lit(2.0)) / F.size(seen)
+        return rank_so_far(df, {name: "__abs"}, window if mode == "trailing" else None, by=by, order=date).drop("__abs")
     else:
         raise ValueError(f"unknown confidence mode {mode!r}")
     return df.withColumn(name, conf).drop("__abs")

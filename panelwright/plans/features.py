@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import indicators as ind
 from ..functions.dates import cyclic, season_flags
 from ..functions.expr import EPS, TRADING_DAYS, ratio, safe_ln
+from ..operators.order_stats import rank_so_far
 from ..operators.panel import asof_join
 from ..operators.rolling import rolling_z_all
 from ..session import materialize
@@ -37,6 +38,7 @@ class Feature:
     needs: tuple[str, ...] = ()
     score: bool = True
     keep: bool = True
+    ranked: str | None = None
 
 
 def _f(name, stage, build, *needs, score=True, keep=True) -> Feature:
@@ -48,6 +50,11 @@ def _step(name, stage, build, *needs) -> Feature:
     return Feature(name, stage, build, tuple(needs), False, False)
 
 
+def _extreme(name, column) -> Feature:
+    """Percentile of a column of the panel among its last 252 rows; counted, not built from an expression."""
+    return Feature(name, 1, lambda by: F.lit(None).cast("double"), (column,), ranked=column)
+
+
 # Return horizons, volatility windows, averages, lags.
 RETURNS, VOLS, AVERAGES, ROCS, LAGS = (1, 3, 5, 10, 21), (10, 20, 60), (20, 50, 200), (5, 10, 20), (1, 2, 3, 5, 10)
 
@@ -158,7 +165,7 @@ def reference_block(references: Sequence[str]) -> list[Feature]:
 
 def positions_block() -> list[Feature]:
     out = level_block("net_spec", changes=(4, 13)) + level_block("net_comm", changes=(4,)) + level_block("spec_oi_ratio", changes=(4,))
-    out += [_f("net_spec_extreme", 1, lambda by: ind.rolling_pct_rank("net_spec", TRADING_DAYS, by=by), "net_spec")]
+    out += [_extreme("net_spec_extreme", "net_spec")]
     out += [_f("spec_comm_gap", 1, lambda by: F.col("net_spec") - F.col("net_comm"), "net_spec", "net_comm")]
     return out
 
@@ -167,7 +174,7 @@ def holdings_block(name: str = "holdings") -> list[Feature]:
     out = level_block(name, changes=(5, 21), accel=True)
     out += [_step(f"_{name}_ma63", 1, lambda by: ind.rolling_mean(name, 63, by=by), name)]
     out += [_f(f"{name}_trend", 2, lambda by: (F.col(name) - F.col(f"_{name}_ma63")) / (F.col(f"_{name}_ma63") + EPS), f"_{name}_ma63")]
-    out += [_f(f"{name}_pct", 1, lambda by: ind.rolling_pct_rank(name, TRADING_DAYS, by=by), name)]
+    out += [_extreme(f"{name}_pct", name)]
     return out
 
 
@@ -230,8 +237,10 @@ def usable(features: Sequence[Feature], columns: Iterable[str]) -> list[Feature]
 
 def raw_features(df: DataFrame, features: Sequence[Feature], by: Sequence[str] = ("symbol",)) -> tuple[DataFrame, list[Feature]]:
     chosen = usable(features, df.columns)
+    counted = {f.name: f.ranked for f in chosen if f.ranked}
+    df = rank_so_far(df, counted, TRADING_DAYS, TRADING_DAYS, by) if counted else df
     for stage in sorted({f.stage for f in chosen}):
-        df = df.withColumns({f.name: f.build(by) for f in chosen if f.stage == stage})
+        df = df.withColumns({f.name: f.build(by) for f in chosen if f.stage == stage and not f.ranked})
     kept = [f for f in chosen if f.keep]
     return df, kept
 
