@@ -6,18 +6,20 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import bday_index
 from ..functions.expr import as_list, ordered, up_to_now
-from ..functions.grouped import with_group_columns
 from ..session import materialize
 
 BY = ("strategy", "symbol")
 METRICS = ("ic", "win_rate", "pct_return")
 
+#: Longest history of a key, some 250 years; a longer one is an error, not a cut.
+MAX_BDAYS = 1 << 16
+
 
 def blocks(df: DataFrame, gap: int = 30, by: Sequence[str] = BY, date: str = "date") -> DataFrame:
     """Numbers runs of rows; a gap of more than ``gap`` days starts a new one (V1)."""
@@ -36,33 +38,57 @@ def non_overlapping(
 ) -> DataFrame:
     """Trades entered only when the previous one has run ``hold`` business days (V2).
 
-    Which day is next free depends on every earlier choice, so each group's qualifying days (one per day at
-    most) are walked once, jumping from entry to entry by binary search on the business-day index.
+    Which day is next free depends on every earlier choice.  One sorted pass gives each qualifying day its successor, the
+    next day that is free if it is entered; then pointer doubling marks what the first day reaches: with the jumps over
+    1, 2, 4, ... successors in turn, the marked days and where they jump to, so that n trades take log n steps.  A key's
+    successors are an array in one row, bounded by its days.
     """
     by = as_list(by)
     enters = F.abs("pred") >= min_signal
     if mode in ("cash_long", "long_only"):
         enters = enters & (F.col("pred") > 0)
-    picked = df.filter(enters).withColumns(
-        {
-            "bday_idx": bday_index(date), "side": F.when(F.col("pred") > 0, 1.0).otherwise(-1.0),
-            "__weekend": (F.weekday(date) >= 5).cast("int"),
-        }
-    )
+    side = F.when(F.col("pred") > 0, 1.0).otherwise(-1.0)
+    picked = df.filter(enters).withColumns({"bday_idx": bday_index(date), "side": side, "trade_ret": side * F.col("actual")})
+    return picked if hold < 1 else reached(successors(picked, hold, by, date), "__next", hold, by).drop("__at", "__next")
+
 
-    def walk(table):
-        # An entry on a weekend frees up on the business day `hold` after the Friday before it; a weekend
-        # day is free from the Saturday after that day on.
-        idx = table.column("bday_idx").to_numpy()
-        at = idx * 2 + table.column("__weekend").to_numpy()
-        taken, i = np.zeros(len(at), bool), 0
-        while i < len(at):
-            taken[i] = True
-            i = max(i + 1, int(np.searchsorted(at, (idx[i] + hold) * 2, side="left")))
-        return {"__taken": taken}
-
-    out = with_group_columns(picked, by, date, {"__taken": "boolean"}, walk).filter("__taken").drop("__taken", "__weekend")
-    return out.withColumn("trade_ret", F.col("side") * F.col("actual"))
+def successors(df: DataFrame, hold: int, by: Sequence[str], date: str = "date") -> DataFrame:
+    """Adds ``__at``, the row's place in its key by date from 0, and ``__next``, that of the first row that is free after it.
+
+    An entry on a weekend frees up on the business day ``hold`` after the Friday before it; a weekend day is free from the
+    Saturday after that day on.  Backwards in time the rows after a day are a frame that only grows, so both passes read
+    each row once.
+    """
+    weekend = (F.weekday(date) >= 5).cast("int")
+    placed = df.withColumns({"__at": F.row_number().over(ordered(by, date)) - 1, "__weekend": weekend, "__half": F.col("bday_idx") * 2 + weekend})
+    back = Window.partitionBy(*by).orderBy(F.col("__half").desc())
+    free = {w: F.min("__at").over(back.rangeBetween(Window.unboundedPreceding, w - 2 * hold)) for w in (0, 1)}
+    return placed.withColumn("__next", F.when(F.col("__weekend") == 0, free[0]).otherwise(free[1])).drop("__weekend", "__half")
+
+
+def reached(df: DataFrame, successor: str, hold: int, by: Sequence[str]) -> DataFrame:
+    """The rows that the key's first row reaches by way of ``successor``, a later place (``__at``) in the key or null."""
+    by = as_list(by)
+    names = ["__at", *[c for c in df.columns if c not in (*by, "__at")]]
+    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("__rows"))
+    steps = F.sequence(F.lit(1), F.lit((MAX_BDAYS // hold + 1).bit_length()))
+    start = F.struct(F.array(F.lit(0)).alias("path"), F.col(f"__rows.{successor}").alias("jump"))
+
+    def step(state: Column, _: Column) -> Column:
+        jump = state["jump"]
+        return F.struct(
+            F.concat(state["path"], F.array_compact(F.transform(state["path"], lambda p: F.get(jump, p)))).alias("path"),
+            F.transform(jump, lambda p: F.get(jump, p)).alias("jump"),
+        )
+
+    def whole(state: Column) -> Column:
+        # A jump that is left would lead to trades beyond the last step's reach.
+        longer = F.raise_error(F.lit(f"a key of more than {MAX_BDAYS} business days"))
+        return F.when(F.get(state["jump"], F.lit(0)).isNull(), state["path"]).otherwise(longer.cast("array<int>"))
+
+    path = F.aggregate(steps, start, step, whole)
+    taken = rows.select(*by, F.explode(F.transform(path, lambda p: F.get("__rows", p))).alias("__row"))
+    return taken.select(*[F.col(c) if c in by else F.col(f"__row.{c}").alias(c) for c in df.columns])
 
 
 def oof_validation(
