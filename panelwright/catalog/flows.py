@@ -10,7 +10,7 @@ from ..plans import flows
 from ..sources import driver
 from .base import ORACLES, PERF_COLUMNS, cols, ledger_sql, out, perf_sql, prices_sql, query, rnd, signals_sql, windows, zscore
 from .forecasts import FOLD, METRICS_SQL, NAMES, RIDGE_SQL, TWO, two_feature_folds
-from .ledgers import BENCH
+from .ledgers import BENCH, PERM_SQL
 from .rotations import FLOOR, primary_prices, screen_panel, sleeves
 
 E0_SQL = "WITH " + prices_sql() + """, d AS (SELECT DISTINCT date FROM prices), s AS (SELECT symbol, min(date) AS lo FROM prices GROUP BY 1), grid AS (SELECT symbol, date FROM d JOIN s ON date>=lo),
@@ -50,7 +50,17 @@ def e2(spark, sf):
     return report.select("strategy", "symbol", r("alpha_pct", 5).alias("alpha_pct"), r("sharpe", 5).alias("sharpe"), r("max_drawdown_pct", 5).alias("max_drawdown_pct"))
 
 
-@query("E2_validation_report")
+# The trades of the honest report: cash and longs only, on out-of-fold days.
+E2_SQL = PERM_SQL + """,
+    cl2 AS (SELECT * FROM cd WHERE is_oof AND date IN (SELECT date FROM predictions p WHERE p.symbol=cd.symbol AND p.pred>=0.008 AND p.is_oof)),
+    nl AS MATERIALIZED (SELECT c.symbol, c.date, d.date AS nxt FROM cf c ASOF JOIN cl2 d ON d.symbol=c.symbol AND c.free<=d.date WHERE c.is_oof),
+    wl AS (SELECT symbol, min(date) AS date FROM cl2 GROUP BY 1 UNION ALL SELECT wl.symbol, nl.nxt FROM wl JOIN nl ON nl.symbol=wl.symbol AND nl.date=wl.date),
+    tk AS (SELECT symbol, count(*) AS n_trades, avg(ret) AS m, stddev_pop(ret) AS sd FROM wl JOIN cl2 USING (symbol, date) GROUP BY 1),
+    hn AS (SELECT strategy, symbol, corr(pred,actual) AS ic, greatest((max(date)-min(date))/365.25,0.01) AS years FROM predictions WHERE is_oof GROUP BY 1,2 HAVING count(*)>=5)"""
+
+
+@query("E2_validation_report", E2_SQL + " SELECT hn.strategy, symbol, n_trades, verdict, " + rnd("CASE WHEN sd>0 THEN m/sd*sqrt(greatest(n_trades/years,1)) ELSE 0 END", "sharpe", 5) + ", " + rnd("coalesce(CASE WHEN NOT isnan(ic) THEN ic END,0)", "ic", 5)
+       + " FROM hn JOIN tk USING (symbol) LEFT JOIN (SELECT symbol, verdict FROM vd) USING (symbol) WHERE n_trades>=2")
 def e2_validation(spark, sf):
     v = flows.validation_report(driver.predictions(spark, sf))
     return v.select("strategy", "symbol", "n_trades", "verdict", r("sharpe", 5).alias("sharpe"), r("ic", 5).alias("ic"))

@@ -281,15 +281,58 @@ def v3(spark, sf):
     return out(v, "symbol n_predictions n_trades", 5, **{c: c for c in names})
 
 
-@query("V4_bootstrap")
+N_BOOT, N_PERM, SEED, DRAWS = 300, 1000, 42, 9000
+ON = "USING (strategy, symbol)"
+# Draws are made up to DRAWS times; every key of the test tables is full well before.
+CHUNKS_SQL = PRED_ALL + ", " + BDAYS_SQL + BLOCKS.removeprefix(PRED) + f""",
+    bt AS (SELECT strategy, symbol, block, min(date) AS s, max(date) AS e, count(*) AS n FROM bl GROUP BY 1,2,3),
+    sz AS (SELECT strategy, symbol, CAST(floor(median(n)) AS BIGINT) AS len FROM bt GROUP BY 1,2 HAVING count(*)>=4 AND sum(n)>=30),
+    mk AS (SELECT strategy, symbol, date, false AS is_row, 1 AS st, 0 AS en FROM (SELECT strategy, symbol, s AS date FROM bt) UNION ALL SELECT strategy, symbol, e, false, 0, 1 FROM bt
+        UNION ALL SELECT strategy, symbol, date, true, 0, 0 FROM predictions WHERE NOT is_oof),
+    cn AS (SELECT *, sum(st) OVER (PARTITION BY strategy, symbol ORDER BY date) AS started, coalesce(sum(en) OVER (PARTITION BY strategy, symbol ORDER BY date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING),0) AS ended FROM mk),
+    fr AS (SELECT *, row_number() OVER (PARTITION BY strategy, symbol ORDER BY date)-1 AS pos FROM cn WHERE is_row),
+    ky AS (SELECT strategy, symbol, any_value(len) AS len, count(*)-any_value(len) AS places FROM fr JOIN sz {ON} GROUP BY 1,2 HAVING count(*)>=any_value(len)+1),
+    cl AS (SELECT a.strategy, a.symbol, a.pos AS id, a.date AS lo, b.date AS hi FROM fr a JOIN ky k {ON} JOIN fr b ON b.strategy=a.strategy AND b.symbol=a.symbol AND b.pos=a.pos+k.len-1 WHERE a.pos<k.places AND b.started=a.ended),
+    ch AS (SELECT strategy, symbol, false AS is_oof, id, lo, hi FROM cl UNION ALL SELECT strategy, symbol, true, block, s, e FROM bt),
+    cd AS (SELECT p.strategy, p.symbol, p.is_oof, p.date, sign(p.pred)*p.actual AS ret, max(b.idx) AS idx FROM predictions p JOIN bdays b ON b.date<=p.date AND b.date>p.date-3 WHERE abs(pred)>=0.008 GROUP BY ALL),
+    cf AS (SELECT c.*, b.date AS free FROM cd c JOIN bdays b ON b.idx=c.idx+20),
+    nx AS MATERIALIZED (SELECT c.strategy, c.symbol, c.is_oof, c.date, d.date AS nxt FROM cf c ASOF JOIN cd d ON d.strategy=c.strategy AND d.symbol=c.symbol AND d.is_oof=c.is_oof AND c.free<=d.date),
+    c0 AS MATERIALIZED (SELECT ch.*, d.date FROM ch ASOF JOIN cd d ON d.strategy=ch.strategy AND d.symbol=ch.symbol AND d.is_oof=ch.is_oof AND ch.lo<=d.date),
+    wk AS (SELECT * FROM c0 UNION ALL SELECT wk.strategy, wk.symbol, wk.is_oof, wk.id, wk.lo, wk.hi, nx.nxt FROM wk JOIN nx ON nx.strategy=wk.strategy AND nx.symbol=wk.symbol AND nx.is_oof=wk.is_oof AND nx.date=wk.date WHERE nx.nxt<=wk.hi),
+    mt AS (SELECT strategy, symbol, is_oof, id, count(*) AS n_trades, avg(CASE WHEN ret>0 THEN 1.0 ELSE 0.0 END) AS win_rate, (exp(sum(ret))-1)*100 AS pct_return FROM wk JOIN cd USING (strategy, symbol, is_oof, date) WHERE date<=hi GROUP BY 1,2,3,4),
+    ic AS (SELECT ch.strategy, ch.symbol, ch.is_oof, ch.id, coalesce(CASE WHEN NOT isnan(corr(pred,actual)) THEN corr(pred,actual) END,0) AS ic FROM ch JOIN predictions p ON p.strategy=ch.strategy AND p.symbol=ch.symbol AND p.is_oof=ch.is_oof AND p.date BETWEEN ch.lo AND ch.hi GROUP BY 1,2,3,4 HAVING count(*)>=5),
+    sc AS (SELECT * FROM mt JOIN ic USING (strategy, symbol, is_oof, id)),
+    dr AS (SELECT strategy, symbol, a AS attempt, ('0x'||substr(md5(concat_ws('|',strategy,symbol,a,{SEED})),1,15))::BIGINT%places AS id FROM ky, range({DRAWS}) t(a)),
+    bs AS (SELECT sc.*, row_number() OVER (PARTITION BY strategy, symbol ORDER BY attempt) AS chunk FROM dr JOIN sc USING (strategy, symbol, id) WHERE NOT is_oof QUALIFY chunk<={N_BOOT}),
+    sm AS (SELECT strategy, symbol, is_oof, CAST(id AS BIGINT) AS chunk, n_trades, ic, win_rate, pct_return, NULL::BIGINT AS shortfall FROM sc WHERE is_oof
+        UNION ALL SELECT k.strategy, k.symbol, false, chunk, n_trades, ic, win_rate, pct_return, {N_BOOT}-count(chunk) OVER (PARTITION BY k.strategy, k.symbol) FROM ky k LEFT JOIN bs {ON})"""
+
+
+@query("V4_bootstrap", CHUNKS_SQL + " SELECT strategy, symbol, is_oof, chunk, n_trades, CAST(shortfall AS BIGINT) AS shortfall, " + cols("ic", "win_rate", "pct_return") + " FROM sm")
 def v4(spark, sf):
-    """Resampled chunks have no counterpart in SQL; the tests check length, seeds and that no chunk touches a block."""
-    return out(val.bootstrap(preds(spark, sf)), "strategy symbol chunk is_oof n_trades", ic="ic", win_rate="win_rate", pct_return="pct_return")
+    return out(val.bootstrap(preds(spark, sf), N_BOOT, SEED), "strategy symbol chunk is_oof n_trades shortfall", ic="ic", win_rate="win_rate", pct_return="pct_return")
 
 
-@query("V5_perm_test")
+def _each(text: str) -> str:
+    return ", ".join(text.format(m=m) for m in val.METRICS)
+
+
+PERM_SQL = CHUNKS_SQL + f""",
+    gp AS (SELECT strategy, symbol, count(*) FILTER (WHERE is_oof) AS n_oof, count(*) FILTER (WHERE NOT is_oof) AS n_boot, {_each("avg({m}) FILTER (WHERE is_oof) AS {m}_a, avg({m}) FILTER (WHERE NOT is_oof) AS {m}_b, sum({m}) AS {m}_t")}
+        FROM sm WHERE chunk IS NOT NULL GROUP BY 1,2 HAVING n_oof>=3 AND n_boot>=30),
+    rw AS (SELECT sm.*, n_oof, row_number() OVER (PARTITION BY strategy, symbol ORDER BY NOT is_oof, chunk)-1 AS i FROM sm JOIN gp {ON} WHERE chunk IS NOT NULL),
+    hs AS (SELECT strategy, symbol, i, n_oof, b, md5(concat_ws('|',strategy,symbol,i,b,{SEED})) AS h FROM rw, range({-(-N_PERM // 4)}) t(b)),
+    pm AS (SELECT strategy, symbol, b*4+q AS p, i FROM hs, range(4) u(q) WHERE b*4+q<{N_PERM} QUALIFY row_number() OVER (PARTITION BY strategy, symbol, b*4+q ORDER BY substr(h,CAST(1+8*q AS INTEGER),8), i)<=any_value(n_oof) OVER (PARTITION BY strategy, symbol, b*4+q)),
+    sp AS (SELECT strategy, symbol, p, {_each("sum({m}) AS {m}_s")} FROM pm JOIN rw USING (strategy, symbol, i) GROUP BY 1,2,3),
+    pp AS (SELECT strategy, symbol, {_each("count(*) FILTER (WHERE abs({m}_s/n_oof-({m}_t-{m}_s)/n_boot)>=abs({m}_a-{m}_b)-1e-9)/" + f"{float(N_PERM)}" + "::DOUBLE AS {m}_p")} FROM sp JOIN gp {ON} GROUP BY 1,2),
+    pc AS (SELECT strategy, symbol, {_each("avg(CASE WHEN {m}<{m}_a-1e-9 THEN 100.0 ELSE 0.0 END) AS {m}_c")} FROM sm JOIN gp {ON} WHERE NOT is_oof AND chunk IS NOT NULL GROUP BY 1,2),
+    vd AS (SELECT *, {"+".join(f"({m}_p<0.05)::BIGINT" for m in val.METRICS)} AS n_sig_flags, CASE n_sig_flags WHEN 0 THEN 'GENERALIZES' WHEN 1 THEN 'MARGINAL' ELSE 'OVERFIT' END AS verdict FROM gp JOIN pp {ON} JOIN pc {ON})"""
+
+
+@query("V5_perm_test", PERM_SQL + " SELECT strategy, symbol, n_oof, n_boot, n_sig_flags, verdict, " + ", ".join(
+    rnd(f"{m}_{c}", f"{m}_{n}") for m in val.METRICS for c, n in zip("abcp", ("oof_mean", "nonoof_mean", "oof_pctile", "perm_p"), strict=True)) + " FROM vd")
 def v5(spark, sf):
-    t = val.perm_test(val.bootstrap(preds(spark, sf)))
+    t = val.perm_test(val.bootstrap(preds(spark, sf), N_BOOT, SEED), N_PERM, SEED)
     return t.select("strategy", "symbol", "n_oof", "n_boot", "n_sig_flags", "verdict", *[r(f"{m}_{s}").alias(f"{m}_{s}") for m in val.METRICS for s in ("oof_mean", "nonoof_mean", "oof_pctile", "perm_p")])
 
 

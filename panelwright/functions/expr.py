@@ -36,6 +36,13 @@ def finite(c) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != inf), c)
 
 
+def correlation(a, b) -> Column:
+    """Pearson correlation as an aggregate; NULL where either does not vary, for which ``corr`` raises under ANSI."""
+    a, b = col(a), col(b)
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+
+
 def clip(c, lower=None, upper=None) -> Column:
     """Bounds that leave NULL alone; ``greatest``/``least`` would skip it."""
     c = col(c)

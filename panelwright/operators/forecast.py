@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expr import EPS, TRADING_DAYS, as_list, avg_rank, col
+from ..functions.expr import EPS, TRADING_DAYS, as_list, avg_rank, col, correlation
 from ..session import materialize
 from .panel import keep_by_max
 
@@ -108,7 +108,7 @@ def forecast_metrics(preds: DataFrame, by: Sequence[str], horizon: int = 10) ->
     ranked = preds.withColumns({"__rp": avg_rank(by, "pred"), "__ra": avg_rank(by, "actual")})
     err = F.col("pred") - F.col("actual")
     gain = F.signum("pred") * F.col("actual")
-    ic = F.corr("__rp", "__ra")
+    ic = correlation("__rp", "__ra")
     return ranked.groupBy(*by).agg(
         F.avg(F.abs(err)).alias("mae"),
         F.sqrt(F.avg(err * err)).alias("rmse"),

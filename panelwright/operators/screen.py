@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import TRADING_DAYS, ordered
+from ..functions.expr import TRADING_DAYS, correlation, ordered
 from ..functions.indicators import forward_log_return, gated, log_return
 
 # Regimes of the anchor's forward return; they overlap on purpose.
@@ -121,7 +121,7 @@ def screen(
     pair = F.col("daily").isNotNull() & F.col("anchor_daily").isNotNull()
     fwd = F.when(joint, F.col("fwd"))
     volume = F.coalesce(F.avg("dollar_volume"), F.lit(0.0))
-    corr = F.corr(F.when(pair, F.col("daily")), F.when(pair, F.col("anchor_daily")))
+    corr = correlation(F.when(pair, F.col("daily")), F.when(pair, F.col("anchor_daily")))
     stats = both.groupBy("symbol").agg(
         F.count(fwd).alias("n_obs"),
         (volume / 1e6).alias("avg_daily_dollar_vol_M"),
@@ -194,10 +194,10 @@ def basis_risk(panel: DataFrame, pairs: DataFrame, horizon: int = 20, windows=BA
     o, s = F.when(daily, F.col("__ro")), F.when(daily, F.col("__rs"))
     fwd = F.col("__fo").isNotNull() & F.col("__fs").isNotNull()
     stats = df.groupBy(*keys, "window").agg(
-        F.count(F.lit(1)).alias("__rows"), F.count(o).alias("n"), F.corr(o, s).alias("daily_corr"),
+        F.count(F.lit(1)).alias("__rows"), F.count(o).alias("n"), correlation(o, s).alias("daily_corr"),
         F.covar_samp(o, s).alias("__cov"), F.var_samp(o).alias("__vo"), F.var_samp(s).alias("__vs"),
         F.avg(o).alias("__mo"), F.avg(s).alias("__ms"),
-        F.when(F.count(F.when(fwd, 1)) > 20, F.corr(F.when(fwd, F.col("__fo")), F.when(fwd, F.col("__fs")))).alias("fwd_corr"),
+        F.when(F.count(F.when(fwd, 1)) > 20, correlation(F.when(fwd, F.col("__fo")), F.when(fwd, F.col("__fs")))).alias("fwd_corr"),
     ).filter(F.col("__rows") >= MIN_WINDOW_ROWS)
     beta = F.try_divide("__cov", "__vo")
     annual = math.sqrt(TRADING_DAYS) * 100

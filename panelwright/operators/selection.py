@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import as_list, avg_rank, ordered, whole
+from ..functions.expr import as_list, avg_rank, correlation, ordered, whole
 
 # Correlation limit, share of history used for ranking, features kept, smallest |IC|.
 CORR_LIMIT, RANK_SHARE, TOP_N, MIN_IC = 0.85, 0.7, 45, 0.02
@@ -102,7 +102,7 @@ def rank_ic(
     keys = [*by, "feature"]
     long = melt(rows, features, [*by, date, target]).dropna("any", subset=["value", target])
     ranked = long.withColumns({"__rx": avg_rank(keys, "value"), "__ry": avg_rank(keys, target)})
-    ic = F.corr("__rx", "__ry")
+    ic = correlation("__rx", "__ry")
     return ranked.groupBy(*keys).agg(
         F.when(ic.isNull() | F.isnan(ic), 0.0).otherwise(ic).alias("ic"), F.count(F.lit(1)).alias("n")
     ).withColumn("abs_ic", F.abs("ic"))

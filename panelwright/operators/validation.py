@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.dates import bday_index
-from ..functions.expr import as_list, ordered, up_to_now
+from ..functions.expr import as_list, correlation, ordered, up_to_now
 from ..session import materialize
 
 BY = ("strategy", "symbol")
 METRICS = ("ic", "win_rate", "pct_return")
 
+# Blocks and out-of-fold rows a key needs for chunks, blocks and chunks it needs for the test.
+MIN_BLOCKS, MIN_OOF, MIN_SAMPLES = 4, 30, (3, 30)
+
+#: Fours of permutations of a group that a task takes at a time.
+STRETCH = 10
+
+#: Differences below this are rounding of sums in another order, so ties stay ties.
+SAME = 1e-9
+
 #: Longest history of a key, some 250 years; a longer one is an error, not a cut.
 MAX_BDAYS = 1 << 16
 
@@ -100,7 +107,7 @@ def oof_validation(
     oof = preds.filter("is_oof")
     base = oof.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_predictions"), F.min(date).alias("__lo"), F.max(date).alias("__hi"),
-        F.corr("pred", "actual").alias("ic"),
+        correlation("pred", "actual").alias("ic"),
     ).filter("n_predictions >= 5")
     taken = non_overlapping(oof, hold, min_signal, mode, by, date)
     taken = taken.withColumn("__eq", F.sum("trade_ret").over(up_to_now(by, date)))
@@ -117,7 +124,7 @@ def oof_validation(
     open_days = F.greatest(days * 252 / F.lit(365.25), F.lit(1.0))
     out = out.withColumns(
         {
-            "ic": F.coalesce(F.when(~F.isnan("ic"), F.col("ic")), F.lit(0.0)),
+            "ic": F.coalesce("ic", F.lit(0.0)),
             "total_return_pct": (F.exp("__log") - 1) * 100,
             "annual_return_pct": (F.exp(F.col("__log") / years) - 1) * 100,
             "sharpe": F.when(F.col("__std") > 0, F.col("__mean") / F.col("__std") * F.sqrt(F.greatest(per_year, F.lit(1.0)))).otherwise(0.0),
@@ -139,24 +146,28 @@ def chunk_metrics(rows: DataFrame, by: Sequence[str], hold: int, min_signal: flo
         ((F.exp(F.sum("trade_ret")) - 1) * 100).alias("pct_return"),
         F.count(F.lit(1)).alias("n_trades"),
     )
-    ics = rows.groupBy(*by).agg(F.corr("pred", "actual").alias("ic"), F.count(F.lit(1)).alias("n_rows"))
-    ics = ics.filter("n_rows >= 5").withColumn("ic", F.coalesce(F.when(~F.isnan("ic"), F.col("ic")), F.lit(0.0)))
+    ics = rows.groupBy(*by).agg(correlation("pred", "actual").alias("ic"), F.count(F.lit(1)).alias("n_rows"))
+    ics = ics.filter("n_rows >= 5").withColumn("ic", F.coalesce("ic", F.lit(0.0)))
     return sums.join(ics, by)
 
 
-def bootstrap_chunks(
-    preds: DataFrame, n_boot: int = 300, seed: int = 42, gap: int = 30, by: Sequence[str] = BY, date: str = "date"
-) -> DataFrame:
-    """Random runs of non-out-of-fold rows as long as the median block (V4).
+def keyed_number(*parts) -> Column:
+    """A number of 60 bits from the MD5 of the parts, which SQL engines agree on."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 15), 16, 10).cast("long")
 
-    Start positions are a hash of (key, attempt, seed), so a retried or repartitioned task draws the same
-    ones.  Chunks that touch a block are rejected without comparing pairs: a chunk is clean when as many
-    blocks ended before its first day as have started by its last.  Up to six attempts per wanted chunk.
+
+def chunk_places(preds: DataFrame, gap: int, by: Sequence[str], date: str = "date") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Where chunks as long as the median block may lie among a key's rows that are not out of fold (V4).
+
+    ``free``: those rows with their place; ``keys``: length and number of places of each key with four blocks, 30
+    out-of-fold rows and more free rows than a chunk; ``clean``: the places whose chunk touches no block, found without
+    comparing pairs: as many blocks have ended before its first day as have started by its last.
     """
-    by = as_list(by)
     w = ordered(by, date)
     oof_blocks = block_table(preds.filter("is_oof"), gap, by, date)
-    size = oof_blocks.groupBy(*by).agg(F.floor(F.median("n")).cast("int").alias("len"), F.count(F.lit(1)).alias("n_blocks"))
+    size = oof_blocks.groupBy(*by).agg(
+        F.floor(F.median("n")).cast("int").alias("len"), F.count(F.lit(1)).alias("n_blocks"), F.sum("n").alias("n_oof")
+    ).filter((F.col("n_blocks") >= MIN_BLOCKS) & (F.col("n_oof") >= MIN_OOF))
     spans = oof_blocks.select(*by, "start", "end")
     marks = spans.select(*by, F.col("start").alias(date), F.lit(1).alias("__s"), F.lit(0).alias("__e")).unionByName(
         spans.select(*by, F.col("end").alias(date), F.lit(0).alias("__s"), F.lit(1).alias("__e"))
@@ -169,71 +180,124 @@ def bootstrap_chunks(
             "__ended": F.coalesce(F.sum("__e").over(earlier), F.lit(0)),
         }
     ).drop("__s", "__e")
-    free = rows.filter(~F.col("is_oof")).withColumn("__pos", F.row_number().over(w) - 1)
-    draws = free.groupBy(*by).agg(F.count(F.lit(1)).alias("n_free")).join(size, by)
-    draws = draws.filter((F.col("n_blocks") >= 4) & (F.col("n_free") >= F.col("len") + 1))
-    draws = draws.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(6 * n_boot - 1))))
-    start = F.pmod(F.xxhash64(*by, F.col("attempt"), F.lit(seed)), (F.col("n_free") - F.col("len")).cast("bigint"))
-    draws = draws.withColumn("__first", start.cast("int")).withColumn("__last", F.col("__first") + F.col("len") - 1)
-    first = free.select(*by, F.col("__pos").alias("__first"), "__ended")
+    free = materialize(rows.filter(~F.col("is_oof")).withColumn("__pos", F.row_number().over(w) - 1), "free-rows")
+    keys = free.groupBy(*by).agg(F.count(F.lit(1)).alias("n_free")).join(size, by).filter("n_free >= len + 1")
+    keys = keys.select(*by, "len", (F.col("n_free") - F.col("len")).cast("long").alias("n_places"))
+    first = free.select(*by, F.col("__pos").alias("place"), "__ended").join(keys, by).filter("place < n_places")
     last = free.select(*by, F.col("__pos").alias("__last"), "__started")
-    tested = draws.join(first, [*by, "__first"]).join(last, [*by, "__last"])
-    clean = tested.filter("__started = __ended").withColumn("chunk", F.row_number().over(ordered(by, "attempt")))
-    clean = clean.filter(F.col("chunk") <= n_boot)
-    spread = clean.select(*by, "chunk", F.explode(F.sequence("__first", "__last")).alias("__pos"))
-    return spread.join(free.drop("__started", "__ended"), [*by, "__pos"]).drop("__pos")
+    tested = first.withColumn("__last", F.col("place") + F.col("len") - 1).join(last, [*by, "__last"])
+    clean = materialize(tested.filter("__started = __ended").select(*by, "place"), "clean-places")
+    n_clean = clean.groupBy(*by).agg(F.count(F.lit(1)).alias("n_clean"))
+    keys = keys.join(n_clean, by, "left").withColumn("n_clean", F.coalesce("n_clean", F.lit(0)))
+    return free.drop("__started", "__ended", "is_oof"), materialize(keys, "chunk-keys"), clean
+
+
+def score_places(places: DataFrame, free: DataFrame, keys: DataFrame, hold: int, min_signal: float, by: Sequence[str], date: str) -> DataFrame:
+    """``places`` with the metrics of the chunk that starts there; null where it has no trade or under five rows."""
+    spread = places.join(keys.select(*by, "len"), by).withColumn("__pos", F.explode(F.sequence("place", F.col("place") + F.col("len") - 1)))
+    rows = spread.drop("len").join(free, [*by, "__pos"]).drop("__pos")
+    return places.join(chunk_metrics(rows, [*by, "place"], hold, min_signal, date), [*by, "place"], "left")
+
+
+def draw_chunks(
+    free: DataFrame, keys: DataFrame, clean: DataFrame, n_boot: int, seed: int, hold: int, min_signal: float, by: Sequence[str], date: str
+) -> DataFrame:
+    """The first ``n_boot`` draws of each key that hit a clean place whose chunk scores, with the key's ``shortfall``.
+
+    Draw ``i`` is a hash of key, ``i`` and seed over the key's places, so the result depends neither on rounds nor on
+    tasks.  A round draws for the keys that are not full yet and scores the places that no round before has; what was
+    drawn and scored is carried on.  A key is given up only when all its clean places are known and none scores.
+    """
+    on, drawn, known = [*by, "place"], [], []
+    waiting, start, size = keys, 0, 2 * n_boot
+    while True:
+        attempts = waiting.select(*by, "n_places", F.explode(F.sequence(F.lit(start), F.lit(start + size - 1))).alias("attempt"))
+        place = keyed_number(*by, F.col("attempt").cast("string"), F.lit(str(seed))) % F.col("n_places")
+        drawn.append(materialize(attempts.withColumn("place", place.cast("int")).join(clean, on).select(*on, "attempt"), "draws"))
+        new = drawn[-1].select(*on).distinct()
+        for scored in known:
+            new = new.join(scored.select(*on), on, "left_anti")
+        known.append(materialize(score_places(materialize(new, "new-places"), free, keys, hold, min_signal, by, date), "scored-places"))
+        places, draws = reduce(DataFrame.unionByName, known), reduce(DataFrame.unionByName, drawn)
+        chunks = draws.join(places.filter("n_trades IS NOT NULL"), on).withColumn("chunk", F.row_number().over(ordered(by, "attempt")).cast("long"))
+        chunks = chunks.filter(F.col("chunk") <= n_boot).drop("place", "attempt")
+        full = chunks.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+        seen = places.groupBy(*by).agg(F.count(F.lit(1)).alias("__tried"), F.count("n_trades").alias("__good"))
+        state = keys.join(full, by, "left").join(seen, by, "left").fillna(0, ["__n", "__tried", "__good"])
+        state = materialize(state.withColumn("shortfall", (F.lit(n_boot) - F.col("__n")).cast("long")), "draw-state")
+        waiting = state.filter((F.col("shortfall") > 0) & ~((F.col("__tried") == F.col("n_clean")) & (F.col("__good") == 0)))
+        if waiting.isEmpty():
+            return state.select(*by, "shortfall").join(chunks, by, "left")
+        start, size = start + size, 2 * size
 
 
 def bootstrap(
     preds: DataFrame, n_boot: int = 300, seed: int = 42, hold: int = 20, min_signal: float = 0.008,
     gap: int = 30, by: Sequence[str] = BY, date: str = "date",
 ) -> DataFrame:
-    """Metrics of every out-of-fold block (``is_oof``) and of every bootstrap chunk (V4).
+    """Metrics of every out-of-fold block (``is_oof``) and of ``n_boot`` random chunks per key (V4).
 
-    The predictions and the drawn rows are written once to the shared folder: both are read several times.
+    Each key has exactly ``n_boot`` scored chunks, or a ``shortfall``: a key none of whose places scores is one row without
+    a chunk.  Keys too short for chunks have their blocks only.  The predictions are written once, as they are read several
+    times.
     """
     by = as_list(by)
     preds = materialize(preds.select(*by, date, "pred", "actual", "is_oof"), "predictions")
-    oof = blocks(preds.filter("is_oof"), gap, by, date).withColumnRenamed("block", "chunk")
-    a = chunk_metrics(oof, [*by, "chunk"], hold, min_signal, date).withColumn("is_oof", F.lit(True))
-    b = materialize(bootstrap_chunks(preds, n_boot, seed, gap, by, date), "chunks")
-    b = chunk_metrics(b, [*by, "chunk"], hold, min_signal, date).withColumn("is_oof", F.lit(False))
-    return a.unionByName(b.withColumn("chunk", F.col("chunk").cast("bigint")).select(*a.columns))
+    oof = blocks(preds.filter("is_oof"), gap, by, date).withColumn("chunk", F.col("block").cast("long")).drop("block")
+    a = chunk_metrics(oof, [*by, "chunk"], hold, min_signal, date).withColumns({"is_oof": F.lit(True), "shortfall": F.lit(None).cast("long")})
+    b = materialize(draw_chunks(*chunk_places(preds, gap, by, date), n_boot, seed, hold, min_signal, by, date), "chunks")
+    return a.unionByName(b.withColumn("is_oof", F.lit(False)))
 
 
 def perm_test(samples: DataFrame, n_perm: int = 1000, seed: int = 42, by: Sequence[str] = BY, metrics=METRICS) -> DataFrame:
     """Permutation p-value of the mean difference, percentile and verdict per group (V5).
 
-    A group holds one number per block or chunk (a few hundred by construction), so its permutations are
-    drawn inside the task, seeded by the group's key.
+    A permutation is an order of the group's rows by a hash of the row, the permutation and the seed; its first ``n_oof``
+    rows stand for the blocks, so only they are summed: the rest is what the total leaves.  One MD5 serves four
+    permutations, eight digits each.  A group is a few hundred rows by construction, one per block or chunk; its
+    permutations are exploded and their counts combined before the shuffle.
     """
     by = as_list(by)
-    fields = [samples.schema[c] for c in by] + [T.StructField("n_oof", T.LongType()), T.StructField("n_boot", T.LongType())]
+    rows = samples.filter("chunk IS NOT NULL")
+    first, own = F.struct((~F.col("is_oof")).alias("later"), "chunk", *metrics), {}
+    for m in metrics:
+        own |= {f"{m}_oof_mean": F.avg(F.when(F.col("is_oof"), F.col(m))), f"{m}_nonoof_mean": F.avg(F.when(~F.col("is_oof"), F.col(m))), f"__{m}_sum": F.sum(m)}
+    groups = rows.groupBy(*by).agg(
+        F.count_if("is_oof").alias("n_oof"), F.count_if(~F.col("is_oof")).alias("n_boot"), F.array_sort(F.collect_list(first)).alias("__rows"),
+        *[c.alias(n) for n, c in own.items()],
+    ).filter((F.col("n_oof") >= MIN_SAMPLES[0]) & (F.col("n_boot") >= MIN_SAMPLES[1]))
+    groups = groups.withColumns({f"__{m}": F.col(f"__rows.{m}") for m in metrics})
     for m in metrics:
-        fields += [T.StructField(f"{m}_{s}", T.DoubleType()) for s in ("oof_mean", "nonoof_mean", "oof_pctile", "perm_p")]
-    fields += [T.StructField("n_sig_flags", T.LongType()), T.StructField("verdict", T.StringType())]
-    schema = T.StructType(fields)
-    seeded = samples.withColumn("__seed", F.abs(F.xxhash64(*by, F.lit(seed)) % 2**31))
-
-    def test(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["is_oof", "chunk"], ascending=[False, True])
-        a, b = pdf[pdf["is_oof"]], pdf[~pdf["is_oof"]]
-        if len(a) < 3 or len(b) < 30:
-            return pd.DataFrame(columns=schema.names)
-        rng = np.random.default_rng(int(pdf["__seed"].iloc[0]))
-        order = rng.permuted(np.tile(np.arange(len(pdf)), (n_perm, 1)), axis=1)
-        row, flags = [*key, len(a), len(b)], 0
-        for m in metrics:
-            pool, observed = pdf[m].to_numpy(float), a[m].mean() - b[m].mean()
-            mixed = pool[order]
-            diff = mixed[:, : len(a)].mean(axis=1) - mixed[:, len(a):].mean(axis=1)
-            p = float((np.abs(diff) >= abs(observed)).mean())
-            flags += p < 0.05
-            row += [a[m].mean(), b[m].mean(), float((b[m] < a[m].mean()).mean() * 100), p]
-        verdict = "GENERALIZES" if flags == 0 else "MARGINAL" if flags == 1 else "OVERFIT"
-        return pd.DataFrame([[*row, int(flags), verdict]], columns=schema.names)
-
-    return seeded.groupBy(*by).applyInPandas(test, schema)
+        rest = F.slice(f"__{m}", (F.col("n_oof") + 1).cast("int"), F.col("n_boot").cast("int"))
+        below = F.size(F.filter(rest, lambda v: v < F.col(f"{m}_oof_mean") - SAME))  # noqa: B023
+        groups = groups.withColumn(f"{m}_oof_pctile", below / F.col("n_boot") * 100)
+
+    # The groups are few and small, what they are exploded to is not: their permutations are dealt out in stretches.
+    tasks, fours = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), (n_perm + 3) // 4
+    stretches = F.explode(F.sequence(F.lit(0), F.lit(fours - 1), F.lit(STRETCH)))
+    places = F.sequence(F.lit(0), (F.col("n_oof") + F.col("n_boot") - 1).cast("int"))
+    named = groups.drop("__rows").withColumn("__names", F.transform(places, lambda i: F.lpad(i.cast("string"), 9, "0")))
+    dealt = named.withColumn("__from", stretches).repartition(tasks)
+    several = dealt.withColumn("__four", F.explode(F.sequence("__from", F.least(F.col("__from") + STRETCH, F.lit(fours)) - 1)))
+    hashed = F.transform(places, lambda i: F.md5(F.concat_ws("|", *by, i.cast("string"), F.col("__four").cast("string"), F.lit(str(seed))).cast("binary")))
+    several = several.withColumn("__hashes", hashed)
+    # Exploded rather than projected: a projection would be folded into each of its uses and sort anew for every metric.
+    digits = lambda q: F.zip_with("__hashes", "__names", lambda h, i: F.concat(F.substr(h, q * 8 + 1, F.lit(8)), i))
+    first = lambda q: F.slice(F.sort_array(digits(q)), F.lit(1), F.col("n_oof").cast("int"))
+    last = F.least(F.lit(3), F.lit(n_perm - 1) - F.col("__four") * 4)
+    each = several.withColumn("__chosen", F.explode(F.transform(F.sequence(F.lit(0), last), first)))
+
+    def as_far(m: str) -> Column:
+        picked = F.aggregate("__chosen", F.lit(0.0), lambda total, s: total + F.get(f"__{m}", F.substr(s, F.lit(9)).cast("int")))
+        apart = picked / F.col("n_oof") - (F.col(f"__{m}_sum") - picked) / F.col("n_boot")
+        return F.abs(apart) >= F.abs(F.col(f"{m}_oof_mean") - F.col(f"{m}_nonoof_mean")) - SAME
+
+    counts = each.groupBy(*by).agg(*[(F.count_if(as_far(m)) / F.lit(float(n_perm))).alias(f"{m}_perm_p") for m in metrics])
+    out = groups.drop("__rows").join(counts, by)
+    flags = reduce(Column.__add__, [(F.col(f"{m}_perm_p") < 0.05).cast("long") for m in metrics])
+    verdict = F.when(F.col("n_sig_flags") == 0, "GENERALIZES").when(F.col("n_sig_flags") == 1, "MARGINAL").otherwise("OVERFIT")
+    names = [f"{m}_{c}" for m in metrics for c in ("oof_mean", "nonoof_mean", "oof_pctile", "perm_p")]
+    return out.withColumn("n_sig_flags", flags).withColumn("verdict", verdict).select(*by, "n_oof", "n_boot", *names, "n_sig_flags", "verdict")
 
 
 def sharpe_ratio_check(oof: DataFrame, full: DataFrame, by: Sequence[str] = BY) -> DataFrame:
