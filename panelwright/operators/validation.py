@@ -259,16 +259,16 @@ def perm_test(samples: DataFrame, n_perm: int = 1000, seed: int = 42, by: Sequen
     """
     by = as_list(by)
     rows = samples.filter("chunk IS NOT NULL")
-    first, own = F.struct((~F.col("is_oof")).alias("later"), "chunk", *metrics), {}
-    for m in metrics:
-        own |= {f"{m}_oof_mean": F.avg(F.when(F.col("is_oof"), F.col(m))), f"{m}_nonoof_mean": F.avg(F.when(~F.col("is_oof"), F.col(m))), f"__{m}_sum": F.sum(m)}
+    first = F.struct((~F.col("is_oof")).alias("later"), "chunk", *metrics)
     groups = rows.groupBy(*by).agg(
-        F.count_if("is_oof").alias("n_oof"), F.count_if(~F.col("is_oof")).alias("n_boot"), F.array_sort(F.collect_list(first)).alias("__rows"),
-        *[c.alias(n) for n, c in own.items()],
+        F.count_if("is_oof").alias("n_oof"), F.count_if(~F.col("is_oof")).alias("n_boot"), F.array_sort(F.collect_list(first)).alias("__rows")
     ).filter((F.col("n_oof") >= MIN_SAMPLES[0]) & (F.col("n_boot") >= MIN_SAMPLES[1]))
-    groups = groups.withColumns({f"__{m}": F.col(f"__rows.{m}") for m in metrics})
+    # Summed in the rows' order, so that no digit depends on the tasks.
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda t, v: t + v)
     for m in metrics:
-        rest = F.slice(f"__{m}", (F.col("n_oof") + 1).cast("int"), F.col("n_boot").cast("int"))
+        groups = groups.withColumn(f"__{m}", F.col(f"__rows.{m}"))
+        own, rest = F.slice(f"__{m}", F.lit(1), F.col("n_oof").cast("int")), F.slice(f"__{m}", (F.col("n_oof") + 1).cast("int"), F.col("n_boot").cast("int"))
+        groups = groups.withColumns({f"{m}_oof_mean": total(own) / F.col("n_oof"), f"{m}_nonoof_mean": total(rest) / F.col("n_boot"), f"__{m}_sum": total(f"__{m}")})
         below = F.size(F.filter(rest, lambda v: v < F.col(f"{m}_oof_mean") - SAME))  # noqa: B023
         groups = groups.withColumn(f"{m}_oof_pctile", below / F.col("n_boot") * 100)
 
