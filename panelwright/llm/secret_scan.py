@@ -24,7 +24,8 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 
 # Further kinds of this operator: well-known shapes of keys that the base leaves out.
 ADDED = {
-    "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    # A run of the alphabet is tried at its start only and never given back, so that a text of headers is read once.
+    "jwt": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
     "pem": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{40,}?-----END [A-Z ]{0,20}PRIVATE KEY-----",
     "prefixed": r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,})",
     "userinfo": r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{6,128}@",
