@@ -9,7 +9,7 @@ probed and pairs verified on all 64 bits inside the join.  Equal fingerprints ar
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, islice
 from math import comb
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,36 +32,46 @@ JACCARD_WIDTH, JACCARD = 5, 0.8
 SIMILAR_BUCKET, SIMILAR_BLOCK = 64, 256
 #: Most row numbers that are sent to every task, and shingles of a block that are compared at a time.
 SENT_IDS, COLUMNS = 2_000_000, 4096
+#: Hashes whose bits are counted at a time.
+AT_A_TIME = 1 << 16
 
 
-def shingle_hashes(text: bytes, width: int) -> list[int]:
-    """XXH64 of every word shingle, repeats included; of the whole sequence if it has fewer words; none without words."""
+def shingle_digests(text: bytes, width: int):
+    """XXH64 of every word shingle, repeats included, one after the other; of the whole sequence if it has fewer words."""
     import xxhash
 
     words = text.lower().split()  # bytes: A-Z and ASCII white space only
     digest = xxhash.xxh64_intdigest
     if len(words) >= width:
-        return [digest(b" ".join(w), SEED) for w in zip(*(words[k:] for k in range(width)))]
-    return [digest(b" ".join(words), SEED)] if words else []
+        return (digest(b" ".join(w), SEED) for w in zip(*(islice(words, k, None) for k in range(width))))
+    return iter([digest(b" ".join(words), SEED)] if words else [])
+
+
+def shingle_hashes(text: bytes, width: int) -> list[int]:
+    return list(shingle_digests(text, width))
 
 
 def majority(hashes) -> int:
-    """The bits that are set in over half of the hashes, as a signed integer; zero without hashes."""
+    """The bits that are set in over half of the hashes, as a signed integer; zero without hashes.
+
+    The hashes are taken ``AT_A_TIME``, so that a long text is never held as a byte per bit.
+    """
     import numpy as np
 
-    if not len(hashes):
-        return 0
-    bits = np.unpackbits(np.asarray(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return int(np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+    hashes, n, ones = iter(hashes), 0, np.zeros(BITS, np.int64)
+    while some := list(islice(hashes, AT_A_TIME)):
+        n += len(some)
+        ones += np.unpackbits(np.array(some, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
 
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
-    return majority(shingle_hashes(text, width))
+    return majority(shingle_digests(text, width))
 
 
 def fingerprint_of_set(text: bytes, width: int = SIMILAR_WIDTH) -> int:
     """The fingerprint over different shingles, each once."""
-    return majority(sorted(set(shingle_hashes(text, width))))
+    return majority(set(shingle_digests(text, width)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of=fingerprint) -> DataFrame:
