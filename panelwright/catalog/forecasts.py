@@ -11,6 +11,7 @@ from ..operators import ensemble as ens
 from ..operators import forecast as fc
 from ..operators import panel as pnl
 from ..operators import splits
+from ..plans import flows
 from ..sources import driver
 from .base import cols, out, predictions_sql, prices_sql, query, rnd, windows
 from .panels import FOLDS, FOLDS_SQL
@@ -188,6 +189,29 @@ def m12(spark, sf):
     return out(fc.score_history(seq, lambda x: x.astype("float64").mean(axis=(1, 2))), "symbol date", 5, pred="pred")
 
 
+MODELS_SQL = RIDGE_SQL + """, md AS (SELECT fit.*, ri.date AS effective FROM fit JOIN folds f ON fit.symbol=f.symbol AND fit.fold=f.fold JOIN ri ON ri.symbol=f.symbol AND ri.i=f.val_start),
+    sd AS (SELECT r.symbol, r.date, CAST(md.fold AS INTEGER) AS fold, my+ca*(r5-ma)+cb*(v-mb) AS pred, y FROM r ASOF JOIN md ON md.symbol=r.symbol AND md.effective<=r.date WHERE r5 IS NOT NULL AND v IS NOT NULL)"""
+
+
+def two_features(spark, sf):
+    """Every day with its two features; the last days have no target yet."""
+    df = driver.prices(spark, sf).withColumns({"r1": ind.log_return("close"), "r5": ind.log_return("close", 5)})
+    return df.withColumns({"vol20": ind.rolling_vol("r1", 20), "target": ind.smoothed_target("close")}).select("symbol", "date", *TWO, "target")
+
+
+@query("M12_history_by_models", MODELS_SQL + " SELECT symbol, date, fold, " + cols("pred") + " FROM sd")
+def m12_models(spark, sf):
+    """Every day by the last ridge model trained before it."""
+    models = fc.ridge_models(two_feature_folds(spark, sf), TWO)
+    return out(fc.score_by_models(two_features(spark, sf), models, TWO), "symbol date fold", pred="pred")
+
+
+@query("E1_full_predictions", MODELS_SQL + """ SELECT sd.symbol, sd.date, sd.fold, round(coalesce(oof.pred, sd.pred),6)+0.0 AS pred, round(y,6)+0.0 AS actual, oof.pred IS NOT NULL AS is_oof
+    FROM sd LEFT JOIN oof ON oof.symbol=sd.symbol AND oof.date=sd.date""")
+def e1_full(spark, sf):
+    return out(flows.full_predictions(two_features(spark, sf), TWO, FOLDS), "symbol date fold is_oof", pred="pred", actual="actual")
+
+
 FOLD_SQL = """fp AS (SELECT symbol, date, CAST(g AS INTEGER) AS fold, pred*(1+0.05*(g-4)) AS pred FROM predictions, range(9) t(g)),
     fm AS (SELECT symbol, CAST(g AS INTEGER) AS fold, round(0.38+0.04*g,6)::DOUBLE AS dir_acc, round(-0.2+0.06*g,6)::DOUBLE AS ic FROM (SELECT DISTINCT symbol FROM predictions), range(9) t(g)),
     kp AS (SELECT *, greatest(dir_acc-0.5,0.01) AS acc, exp(2.0*(row_number() OVER (PARTITION BY symbol ORDER BY fold)-1)/nullif(count(*) OVER (PARTITION BY symbol)-1,0)) AS rec FROM fm WHERE dir_acc>=0.40 AND ic>=-0.15),

@@ -15,26 +15,33 @@ from pyspark.sql import types as T
 
 from ..functions.expr import EPS, TRADING_DAYS, as_list, avg_rank, col, correlation
 from ..session import materialize
-from .panel import keep_by_max
+from .panel import asof_join, keep_by_max
 
 
-def ridge_walk_forward(
+def ridge_models(
     folded: DataFrame, features: Sequence[str], target: str = "target", ridge: float = 1.0,
     by: Sequence[str] = ("symbol",), date: str = "date",
 ) -> DataFrame:
-    """One ridge regression per (key, fold) and its out-of-fold forecasts (M4).
+    """``by, fold, coef, trained_until, effective``: one ridge regression per (key, fold) as a table of models.
 
     A fit needs only the cross products of the training rows.  They are sums, so Spark combines them
     map-side and a key with any number of rows never meets in one task; each small system is solved where
-    its sums land and the coefficients are joined to the validation rows.
+    its sums land.  ``coef`` is the intercept and a slope per feature.  A model is in effect from the first validation
+    day of its fold: the gap that the folds keep before it covers the days its targets look ahead.  Folds without
+    training or validation rows have no model.
     """
     by, features = as_list(by), list(features)
     k = len(features)
+    train, val = F.col("role") == "train", F.col("role") == "val"
     terms = [F.lit(1.0), *[F.col(f) for f in features]]
-    upper = [F.sum(terms[i] * terms[j]) for i in range(k + 1) for j in range(i, k + 1)]
-    right = [F.sum(t * F.col(target)) for t in terms]
+    over = lambda c: F.sum(F.when(train, c))
+    upper = [over(terms[i] * terms[j]) for i in range(k + 1) for j in range(i, k + 1)]
+    right = [over(t * F.col(target)) for t in terms]
     clean = folded.dropna("any", subset=[*features, target])
-    sums = clean.filter("role = 'train'").groupBy(*by, "fold").agg(F.array(*upper).alias("xtx"), F.array(*right).alias("xty"))
+    sums = clean.groupBy(*by, "fold").agg(
+        F.array(*upper).alias("xtx"), F.array(*right).alias("xty"), F.max(F.when(train, F.col(date))).alias("trained_until"),
+        F.min(F.when(val, F.col(date))).alias("effective"),
+    ).filter("trained_until IS NOT NULL AND effective IS NOT NULL")
     iu = np.triu_indices(k + 1)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -47,12 +54,41 @@ def ridge_walk_forward(
             out.append(np.linalg.lstsq(m, np.asarray(b), rcond=None)[0].tolist())
         return pd.Series(out)
 
-    fits = sums.select(*by, "fold", solve("xtx", "xty").alias("coef"))
-    pred = F.element_at("coef", 1)
+    return sums.select(*by, "fold", solve("xtx", "xty").alias("coef"), "trained_until", "effective")
+
+
+def linear(coef: str, features: Sequence[str]) -> Column:
+    """Intercept and slopes applied to the features of the row."""
+    pred = F.element_at(coef, 1)
     for i, f in enumerate(features):
-        pred = pred + F.element_at("coef", i + 2) * F.col(f)
-    val = clean.filter("role = 'val'").join(fits, [*by, "fold"])
-    return val.select(*by, date, "fold", pred.alias("pred"), F.col(target).alias("actual"))
+        pred = pred + F.element_at(coef, i + 2) * F.col(f)
+    return pred
+
+
+def ridge_walk_forward(
+    folded: DataFrame, features: Sequence[str], target: str = "target", ridge: float = 1.0,
+    by: Sequence[str] = ("symbol",), date: str = "date",
+) -> DataFrame:
+    """Out-of-fold forecasts of each (key, fold)'s ridge regression (M4): its coefficients joined to the validation rows."""
+    by, features = as_list(by), list(features)
+    models = ridge_models(folded, features, target, ridge, by, date).select(*by, "fold", "coef")
+    val = folded.dropna("any", subset=[*features, target]).filter("role = 'val'").join(models, [*by, "fold"])
+    return val.select(*by, date, "fold", linear("coef", features).alias("pred"), F.col(target).alias("actual"))
+
+
+def score_by_models(
+    rows: DataFrame, models: DataFrame, features: Sequence[str], by: Sequence[str] = ("symbol",), date: str = "date"
+) -> DataFrame:
+    """Every day's forecast by the last model in effect on it: ``by, date, fold, trained_until, pred``.
+
+    The model is found by an as-of join on the table of models, so no day uses one that was trained on later days.  Rows
+    need no target; those with a missing feature and days before the first model have no forecast and are left out.
+    """
+    by, features = as_list(by), list(features)
+    known = rows.dropna("any", subset=features).select(*by, date, *features)
+    in_effect = models.select(*by, F.col("effective").alias(date), "trained_until", "fold", "coef")
+    scored = asof_join(known, in_effect, ["trained_until", "fold", "coef"], by, date).filter("coef IS NOT NULL")
+    return scored.select(*by, date, "fold", "trained_until", linear("coef", features).alias("pred"))
 
 
 def ml_walk_forward(

@@ -18,8 +18,9 @@ from ..operators import signals as sig
 from ..operators import splits
 from ..operators import validation as val
 from ..operators.calendar import panel_align
-from ..operators.panel import complete_cases
+from ..operators.panel import complete_cases, overlay
 from ..operators.rolling import rolling_z_all
+from ..session import materialize
 
 
 def momentum_predictions(prices: DataFrame, horizon: int = 20, scale: float = 0.01) -> DataFrame:
@@ -70,6 +71,25 @@ def train_evaluate(
     return oof, summary
 
 
+def full_predictions(
+    table: DataFrame, features: Sequence[str], cfg: splits.WalkForward = splits.WalkForward(), ridge: float = 1.0
+) -> DataFrame:
+    """``symbol, date, fold, pred, actual, is_oof`` of every day that a model was in effect on.
+
+    The out-of-fold forecast where there is one, the last model trained before the day elsewhere; recent days, whose
+    target is not known yet, included.
+    """
+    folded = splits.assign_folds(complete_cases(table, features, "target"), cfg)
+    models = materialize(fc.ridge_models(folded, features, ridge=ridge), "models")
+    oof = fc.ridge_walk_forward(folded, features, ridge=ridge).select("symbol", "date", "pred")
+    days = fc.score_by_models(table, models, features)
+    laid = overlay(days, oof, ["symbol", "date"])
+    held = oof.select("symbol", "date", F.lit(True).alias("is_oof")).distinct()
+    known = table.groupBy("symbol", "date").agg(F.max("target").alias("actual"))
+    out = laid.join(held, ["symbol", "date"], "left").join(known, ["symbol", "date"], "left")
+    return out.select("symbol", "date", "fold", "pred", "actual", F.coalesce("is_oof", F.lit(False)).alias("is_oof"))
+
+
 def live_signals(fold_preds: DataFrame, fold_metrics: DataFrame, n: int = 60) -> DataFrame:
     """The last ``n`` ensemble signals per symbol."""
     weights = ens.ensemble_weights(fold_metrics)
