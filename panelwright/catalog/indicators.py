@@ -350,7 +350,9 @@ def market_days(spark, sf):
     """The market-wide series on the trading calendar: anchor, macro, positioning, holdings, attention."""
     days = reference_days(spark, sf)
     days = feat.attach_series(days, driver.macro(spark, sf).drop("series"), "gpr", lag_bdays=1)
-    pos = ind.positioning(driver.positions(spark, sf).filter("market = 'F'")).withColumnRenamed("report_date", "date")
+    # One position book over all markets.
+    held = [F.sum(c).alias(c) for c in ("spec_long", "spec_short", "comm_long", "comm_short", "open_int")]
+    pos = ind.positioning(driver.positions(spark, sf).groupBy(F.col("report_date").alias("date")).agg(*held))
     days = pnl.asof_join(days, pos, ["net_spec", "net_comm", "spec_oi_ratio"], lag_bdays=3)
     held = driver.table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count(F.lit(1)).cast("double").alias("value"))
     days = feat.attach_series(days, held, "holdings", lag_bdays=1)

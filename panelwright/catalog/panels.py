@@ -256,15 +256,15 @@ def j4(spark, sf):
 OOF_SQL = "oof AS (SELECT symbol, date, pred FROM predictions WHERE is_oof)"
 
 
-@query("J5_mark_oof", "WITH " + predictions_sql() + ", " + OOF_SQL + """ SELECT p.symbol, p.date, EXISTS (SELECT 1 FROM oof o WHERE o.symbol=p.symbol AND o.date=p.date) AS is_oof
-    FROM (SELECT symbol, date FROM prices) p""")
+@query("J5_mark_oof", "WITH " + predictions_sql() + ", " + OOF_SQL + """ SELECT p.symbol, p.date, o.symbol IS NOT NULL AS is_oof
+    FROM prices p LEFT JOIN (SELECT DISTINCT symbol, date FROM oof) o ON o.symbol=p.symbol AND o.date=p.date""")
 def j5(spark, sf):
     full = driver.prices(spark, sf).select("symbol", "date")
     return pnl.mark_members(full, driver.predictions(spark, sf).filter("is_oof"), ["symbol", "date"])
 
 
-@query("J6_non_oof", "WITH " + predictions_sql() + ", " + OOF_SQL + """ SELECT symbol, date, pred FROM predictions p
-    WHERE NOT EXISTS (SELECT 1 FROM oof o WHERE o.symbol=p.symbol AND o.date=p.date)""")
+@query("J6_non_oof", "WITH " + predictions_sql() + ", " + OOF_SQL + """ SELECT p.symbol, p.date, p.pred FROM predictions p
+    LEFT JOIN (SELECT DISTINCT symbol, date FROM oof) o ON o.symbol=p.symbol AND o.date=p.date WHERE o.symbol IS NULL""")
 def j6(spark, sf):
     preds = driver.predictions(spark, sf).select("symbol", "date", "pred", "is_oof")
     return pnl.non_members(preds, preds.filter("is_oof"), ["symbol", "date"]).drop("is_oof")

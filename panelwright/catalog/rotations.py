@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import r
@@ -20,10 +19,10 @@ from .base import BDAYS_SQL, HEADLINES_SQL, ORACLES, cols, out, predictions_sql,
 from .sources import CAND_SQL, candidate_blocks
 
 # Every supplier leads a book of its own, with the next two suppliers by number as sleeves; a book trades on
-# the days of its leader.
+# the days of any of them.
 ORDER_SQL = """ex AS (SELECT g.*, CAST(substr(symbol,2) AS BIGINT)-k AS num, k FROM signals g, range(3) t(k)),
     sl AS (SELECT 'B'||CAST(num AS VARCHAR) AS book, date, symbol AS sleeve, CAST(k+1 AS INTEGER) AS rank, k=0 AS is_primary, pred, conf_pct, position AS target, actual AS ret
-    FROM ex WHERE num>=0 QUALIFY max(CASE WHEN k=0 THEN 1 ELSE 0 END) OVER (PARTITION BY num, date)=1)"""
+    FROM ex WHERE num>=0)"""
 
 
 def cascade_sql(order: str) -> str:
@@ -43,8 +42,7 @@ def sleeves(spark, sf):
     signals = sig.build_signals(driver.predictions(spark, sf))
     roles = signals.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     roles = roles.withColumn("num", F.substring("symbol", 2, 18).cast("bigint") - F.col("k")).filter("num >= 0")
-    led = F.max((F.col("k") == 0).cast("int")).over(Window.partitionBy("num", "date"))
-    return roles.withColumn("__led", led).filter("__led = 1").select(
+    return roles.select(
         F.concat(F.lit("B"), F.col("num").cast("string")).alias("book"), "date", F.col("symbol").alias("sleeve"), (F.col("k") + 1).alias("rank"),
         (F.col("k") == 0).alias("is_primary"), "pred", "conf_pct", F.col("position").alias("target"), F.col("actual").alias("ret"),
     )

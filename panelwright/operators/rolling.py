@@ -1,50 +1,59 @@
 """Rolling z-scores of a whole feature table.
 
-Spark recomputes a sliding frame for every row: a 252-row mean and deviation of a hundred features is tens of thousands
-of updates per row.  Here each symbol's rows are cut into blocks as long as the window.  A window is then the end of one
-block and the start of the next; both are frames that grow by one row, which Spark extends in place, so the work per row
-does not depend on the window, and nothing is subtracted from running totals.  The blocks subdivide the symbol, so they
-need no shuffle of their own.
+Spark recomputes a sliding frame for every row, and window expressions for a hundred features make a plan that takes longer
+to build than to run.  Here a key's days are one matrix with a column per feature.  Its rows are cut into blocks as long as
+the window, so that a window is the end of one block and the start of the next; sums that grow from both ends of each block
+give the moments of all windows of all features at once.  The work per row does not depend on the window, nothing is
+subtracted from running totals, and the plan does not grow with the features.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
-from ..functions.expr import EPS, TRADING_DAYS, as_list, ordered
+from ..functions.expr import EPS, TRADING_DAYS, as_list
+from ..functions.grouped import with_group_columns
 
 
-def _scored(df: DataFrame, columns: Sequence[str], n: int, need: int, by: Sequence[str], order: str) -> DataFrame:
-    """``df`` with each column replaced by its score; ``__at`` and ``__block`` are there already."""
-    block = [*by, "__block"]
-    ahead = ordered(block, order).rowsBetween(Window.unboundedPreceding, 0)
-    back = Window.partitionBy(*block).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
+def _moments(x: np.ndarray, back: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Count, mean and summed squares around it of each row with the rows of its block before it (after it: ``back``).
+
+    ``x`` is (blocks, rows, features) with NaN for none.  Sums are taken around the block's median, which one far value
+    does not move.
+    """
+    some = ~np.isnan(x)
+    middle = np.where(some.any(axis=1, keepdims=True), np.nanmedian(np.where(some.any(axis=1, keepdims=True), x, 0.0), axis=1, keepdims=True), 0.0)
+    off = np.where(some, x - middle, 0.0)
+    run = (lambda a: np.cumsum(a[:, ::-1], axis=1)[:, ::-1]) if back else (lambda a: np.cumsum(a, axis=1))
+    n, s, q = run(some), run(off), run(off * off)
+    mean = s / np.maximum(n, 1)
+    return n, mean + middle, np.maximum(q - s * mean, 0.0)
 
-    def moments(c: str, frame) -> Column:
-        x = F.col(c)
-        return F.struct(F.count(x).over(frame).alias("n"), F.avg(x).over(frame).alias("m"), F.var_pop(x).over(frame).alias("v"))
 
-    df = df.withColumns({f"__back_{c}": moments(c, back) for c in columns})
-    df = df.withColumns({f"__ahead_{c}": moments(c, ahead) for c in columns})
-    # What the window still holds of the block before; nothing where it is exactly one block.
-    older = F.when((F.col("__at") >= n) & ((F.col("__at") + 1) % n != 0), F.lit(True))
-    w = ordered(by, order)
-    df = df.withColumns({f"__back_{c}": F.when(older, F.lag(f"__back_{c}", n - 1).over(w)) for c in columns})
-    score = {}
-    for c in columns:
-        a, b = F.col(f"__back_{c}"), F.col(f"__ahead_{c}")
-        na, nb = F.coalesce(a["n"], F.lit(0)), b["n"]
-        ma, mb = F.when(na > 0, a["m"]).otherwise(b["m"]), F.when(nb > 0, b["m"]).otherwise(a["m"])
-        va, vb = F.when(na > 0, a["v"]).otherwise(0.0), F.when(nb > 0, b["v"]).otherwise(0.0)
-        total, gap = na + nb, mb - ma
-        mean = ma + gap * F.try_divide(nb, total)
-        squares = va * na + vb * nb + gap * gap * F.try_divide(na * nb, total)
-        std = F.sqrt(F.try_divide(squares, F.when(total > 1, total - 1)))
-        score[c] = F.when(total >= need, (F.col(c) - mean) / (std + EPS))
-    return df.withColumns(score).drop(*(f"__{side}_{c}" for side in ("back", "ahead") for c in columns))
+def rolling_scores(x: np.ndarray, n: int, need: int) -> np.ndarray:
+    """``(x - mean) / (std + eps)`` over the last ``n`` rows of each column, NaN with fewer than ``need`` values there."""
+    rows, features = x.shape
+    blocks = -(-rows // n)
+    padded = np.full((blocks * n, features), np.nan)
+    padded[:rows] = x
+    with np.errstate(invalid="ignore", over="ignore"):
+        cut = padded.reshape(blocks, n, features)
+        na, ma, qa = (m.reshape(-1, features) for m in _moments(cut, back=True))
+        nb, mb, qb = (m.reshape(-1, features)[:rows] for m in _moments(cut, back=False))
+        # What the window still holds of the block before: the row n - 1 back to that block's end; nothing where it is one block.
+        at = np.arange(rows)
+        older = (at >= n) & ((at + 1) % n != 0)
+        since = np.where(older, at - n + 1, 0)
+        na, ma, qa = (np.where(older[:, None], m[since], 0) for m in (na, ma, qa))
+        total, gap = na + nb, np.where((na > 0) & (nb > 0), mb - ma, 0.0)
+        mean = np.where(na > 0, ma, mb) + gap * nb / np.maximum(total, 1)
+        squares = np.where(na > 0, qa, 0.0) + np.where(nb > 0, qb, 0.0) + gap * gap * na * nb / np.maximum(total, 1)
+        std = np.sqrt(squares / np.where(total > 1, total - 1, np.nan))
+        return np.where(total >= need, (x - mean) / (std + EPS), np.nan)
 
 
 def rolling_z_all(
@@ -61,11 +70,20 @@ def rolling_z_all(
     ``gaps`` adds ``{name: (a, b)}``, the score of scored ``a`` less ``b`` (I24): ``b`` may be another scored column
     or one that arrived as a score.
     """
-    columns, by, need = list(columns), as_list(by), n // 2 if min_rows is None else min_rows
+    columns, need = list(columns), n // 2 if min_rows is None else min_rows
     gaps = dict(gaps or {})
-    df = df.withColumn("__at", F.row_number().over(ordered(by, order)) - 1).withColumn("__block", F.floor(F.col("__at") / n))
-    df = _scored(df, columns, n, need, by, order) if columns else df
-    if gaps:
-        df = df.withColumns({name: F.col(a) - F.col(b) for name, (a, b) in gaps.items()})
-        df = _scored(df, list(gaps), n, need, by, order)
-    return df.drop("__at", "__block")
+    names = [*columns, *gaps]
+    if not names:
+        return df
+
+    def kernel(table: pa.Table) -> dict[str, np.ndarray]:
+        plain = lambda c: table.column(c).to_numpy().astype(float)
+        out = {}
+        if columns:
+            out = dict(zip(columns, rolling_scores(np.column_stack([plain(c) for c in columns]), n, need).T, strict=True))
+        if gaps:
+            apart = [(out[a] if a in out else plain(a)) - (out[b] if b in out else plain(b)) for a, b in gaps.values()]
+            out |= dict(zip(gaps, rolling_scores(np.column_stack(apart), n, need).T, strict=True))
+        return {c: out[c] for c in names}
+
+    return with_group_columns(df, as_list(by), order, dict.fromkeys(names, "double"), kernel)

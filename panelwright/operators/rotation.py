@@ -61,13 +61,23 @@ def cascade(
 
 
 def on_book_days(weights: DataFrame, by: Sequence[str] = BOOK, date: str = "date") -> DataFrame:
-    """One row per sleeve and day of its book; added rows have weight 0 and no return."""
+    """One row per sleeve and day of its book; added rows have weight 0 and no return.
+
+    The book's sleeves are collected beside its rows and spread over its days, so the weights are read and dealt by book
+    once; what follows per book keeps that partitioning.
+    """
     by = as_list(by)
-    days = weights.select(*by, date).distinct()
-    sleeves = weights.groupBy(*by, "sleeve").agg(F.max("is_primary").alias("is_primary"))
-    grid = days.join(sleeves, by)
-    rows = weights.select(*by, date, "sleeve", "weight", "ret")
-    return grid.join(rows, [*by, date, "sleeve"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    book = Window.partitionBy(*by)
+    known = weights.withColumns(
+        {"__sleeves": F.collect_set("sleeve").over(book), "__primary": F.collect_set(F.when(F.col("is_primary"), F.col("sleeve"))).over(book)}
+    )
+    days = known.groupBy(*by, date).agg(
+        F.first("__sleeves").alias("__sleeves"), F.first("__primary").alias("__primary"), F.collect_list(F.struct("sleeve", "weight", "ret")).alias("__rows")
+    )
+    spread = days.select(*by, date, "__primary", "__rows", F.explode("__sleeves").alias("sleeve"))
+    own = F.filter("__rows", lambda x: x["sleeve"] == F.col("sleeve"))
+    rows = spread.select(*by, date, "sleeve", F.array_contains("__primary", F.col("sleeve")).alias("is_primary"), F.explode_outer(own).alias("__row"))
+    return rows.select(*by, date, "sleeve", "is_primary", F.coalesce("__row.weight", F.lit(0.0)).alias("weight"), F.col("__row.ret").alias("ret"))
 
 
 def rotation_ledger(
