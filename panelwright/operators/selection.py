@@ -17,15 +17,17 @@ MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
 def pair_moments(df: DataFrame, features: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Counts and sums of every feature pair over the rows that have both, per key: one row per key, pair and batch.
+    """Counts and sums of every feature pair over the rows that have both, per key: one row per key, pair and task.
 
-    Each batch is a few matrix products of values and presence; features are shifted by ``df``'s means first, so the
-    sums do not cancel.
+    A task sorts its rows by key and holds the matrices of one key at a time: each batch adds a few matrix products of
+    values and presence, and the sums are written when the key ends.  Features are shifted by ``df``'s means first, so
+    the sums do not cancel.
     """
     features, by = list(features), as_list(by)
     means = df.agg(*[F.avg(F.col(f).cast("double")).alias(f"m{i}") for i, f in enumerate(features)]).first()
     centre = [m if m is not None and m == m and abs(m) != float("inf") else 0.0 for m in means]
     rows = df.select(*by, *[F.col(f).cast("double").alias(f"__{i}") for i, f in enumerate(features)])
+    rows = rows.sortWithinPartitions(*by) if by else rows
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in by), "i int, j int", *(f"{m} double" for m in MOMENTS)])
 
     def run(frames):
@@ -34,16 +36,31 @@ def pair_moments(df: DataFrame, features: Sequence[str], by: Sequence[str]) -> D
 
         k = len(features)
         i, j = np.triu_indices(k, 1)
+
+        def products(own):
+            x = own[[f"__{f}" for f in range(k)]].to_numpy(float) - centre
+            has = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x, nan=0.0)
+            return np.stack([has.T @ has, x.T @ has, has.T @ x, (x * x).T @ has, has.T @ (x * x), x.T @ x])
+
+        def table(key, sums):
+            cells = pd.DataFrame({"i": i, "j": j, **{m: v[i, j] for m, v in zip(MOMENTS, sums, strict=True)}})
+            for name, value in zip(by, key, strict=True):
+                cells[name] = pd.Series([None if pd.isna(value) else value] * len(cells), dtype=object)
+            return cells[[*by, "i", "j", *MOMENTS]]
+
+        held, sums = None, None
         for frame in frames:
             for key, own in frame.groupby(by, dropna=False, sort=False) if by else [((), frame)]:
-                x = own[[f"__{f}" for f in range(k)]].to_numpy(float) - centre
-                has = (~np.isnan(x)).astype(float)
-                x = np.nan_to_num(x, nan=0.0)
-                sums = (has.T @ has, x.T @ has, has.T @ x, (x * x).T @ has, has.T @ (x * x), x.T @ x)
-                cells = pd.DataFrame({"i": i, "j": j, **{m: v[i, j] for m, v in zip(MOMENTS, sums)}})
-                for name, value in zip(by, key):
-                    cells[name] = value
-                yield cells[[*by, "i", "j", *MOMENTS]]
+                # Null keys come as values that do not equal themselves.
+                if held is not None and all(a == b or (pd.isna(a) and pd.isna(b)) for a, b in zip(held, key, strict=True)):
+                    sums += products(own)
+                    continue
+                if held is not None:
+                    yield table(held, sums)
+                held, sums = key, products(own)
+        if held is not None:
+            yield table(held, sums)
 
     return rows.mapInPandas(run, schema)
 
