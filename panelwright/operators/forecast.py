@@ -155,31 +155,36 @@ def forecast_metrics(preds: DataFrame, by: Sequence[str], horizon: int = 10) ->
     )
 
 
+# Least coefficient and least Sharpe ratio of each label, the best first; labels below zero; accuracy and
+# coefficient under which a fold is left out, weak or ordinary, with their flags.
+IC_LABELS = ((0.30, "exceptional"), (0.10, "strong"), (0.05, "useful"), (0.0, "weak positive"))
+SHARPE_LABELS = ((2.0, "excellent"), (1.0, "good"), (0.5, "moderate"), (0.0, "weak"))
+BELOW = "negative"
+EXCLUDED, WEAK, ORDINARY, BEST = (0.40, -0.15, "EXCL"), (0.52, 0.0, "WEAK"), (0.65, 0.10, "OK"), "STRONG"
+
+
+def _graded(value: Column, labels: Sequence[tuple[float, str]]) -> Column:
+    """The first label whose limit the value reaches."""
+    return F.coalesce(*[F.when(value >= least, label) for least, label in labels], F.lit(BELOW))
+
+
 def ic_label(ic) -> Column:
     """(M8)"""
-    ic = col(ic)
-    return (
-        F.when(ic >= 0.30, "exceptional").when(ic >= 0.10, "strong").when(ic >= 0.05, "useful")
-        .when(ic >= 0.0, "weak positive").otherwise("negative")
-    )
+    return _graded(col(ic), IC_LABELS)
 
 
 def sharpe_label(sharpe) -> Column:
-    s = col(sharpe)
-    return (
-        F.when(s >= 2.0, "excellent").when(s >= 1.0, "good").when(s >= 0.5, "moderate").when(s >= 0.0, "weak")
-        .otherwise("negative")
-    )
+    return _graded(col(sharpe), SHARPE_LABELS)
 
 
-def fold_flag(dir_acc, ic, min_da: float = 0.40, min_ic: float = -0.15) -> Column:
+def fold_flag(dir_acc, ic, min_da: float = EXCLUDED[0], min_ic: float = EXCLUDED[1]) -> Column:
     """Regime flag of a fold (M8)."""
     da, ic = col(dir_acc), col(ic)
     return (
-        F.when((da < min_da) | (ic < min_ic), "EXCL")
-        .when((da < 0.52) | (ic < 0.0), "WEAK")
-        .when((da < 0.65) & (ic < 0.10), "OK")
-        .otherwise("STRONG")
+        F.when((da < min_da) | (ic < min_ic), EXCLUDED[2])
+        .when((da < WEAK[0]) | (ic < WEAK[1]), WEAK[2])
+        .when((da < ORDINARY[0]) & (ic < ORDINARY[1]), ORDINARY[2])
+        .otherwise(BEST)
     )
 
 

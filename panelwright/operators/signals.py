@@ -18,6 +18,9 @@ TIERS = ((0.0, 0.25, 0.25), (0.25, 0.5, 0.5), (0.5, 0.75, 0.75), (0.75, 1.01, 1.
 # Yearly yield of the cash-and-bonds mode.
 BOND_YIELD = 0.04
 
+# Names of the two actions and of their reasons.
+ACTIONS, REASONS = ("BUY", "HOLD CASH"), ("signal below minimum threshold", "confidence and agreement")
+
 LONG_ONLY_MODES = ("long_only", "cash_long", "cash_bonds")
 
 
@@ -134,8 +137,8 @@ def decide(
         {
             "size_frac": F.when(quiet, 0.0).otherwise(size),
             "position": F.when(buy, size * max_pos).otherwise(0.0),
-            "action": F.when(buy, "BUY").otherwise("HOLD CASH"),
-            "reason": F.when(quiet, "signal below minimum threshold").otherwise("confidence and agreement"),
+            "action": F.when(buy, ACTIONS[0]).otherwise(ACTIONS[1]),
+            "reason": F.when(quiet, REASONS[0]).otherwise(REASONS[1]),
             "vol_warning": F.col("realised_vol") < low_vol,
         }
     )
