@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import bday_index
 from ..functions.expr import as_list, correlation, ordered, up_to_now
-from ..session import materialize
+from ..session import materialize, unbroadcast
 
 BY = ("strategy", "symbol")
 METRICS = ("ic", "win_rate", "pct_return")
@@ -148,7 +148,7 @@ def chunk_metrics(rows: DataFrame, by: Sequence[str], hold: int, min_signal: flo
     )
     ics = rows.groupBy(*by).agg(correlation("pred", "actual").alias("ic"), F.count(F.lit(1)).alias("n_rows"))
     ics = ics.filter("n_rows >= 5").withColumn("ic", F.coalesce("ic", F.lit(0.0)))
-    return sums.join(ics, by)
+    return sums.join(unbroadcast(ics), by)
 
 
 def keyed_number(*parts) -> Column:
@@ -183,9 +183,9 @@ def chunk_places(preds: DataFrame, gap: int, by: Sequence[str], date: str = "dat
     free = materialize(rows.filter(~F.col("is_oof")).withColumn("__pos", F.row_number().over(w) - 1), "free-rows")
     keys = free.groupBy(*by).agg(F.count(F.lit(1)).alias("n_free")).join(size, by).filter("n_free >= len + 1")
     keys = keys.select(*by, "len", (F.col("n_free") - F.col("len")).cast("long").alias("n_places"))
-    first = free.select(*by, F.col("__pos").alias("place"), "__ended").join(keys, by).filter("place < n_places")
+    first = free.select(*by, F.col("__pos").alias("place"), "__ended").join(unbroadcast(keys), by).filter("place < n_places")
     last = free.select(*by, F.col("__pos").alias("__last"), "__started")
-    tested = first.withColumn("__last", F.col("place") + F.col("len") - 1).join(last, [*by, "__last"])
+    tested = first.withColumn("__last", F.col("place") + F.col("len") - 1).join(unbroadcast(last), [*by, "__last"])
     clean = materialize(tested.filter("__started = __ended").select(*by, "place"), "clean-places")
     n_clean = clean.groupBy(*by).agg(F.count(F.lit(1)).alias("n_clean"))
     keys = keys.join(n_clean, by, "left").withColumn("n_clean", F.coalesce("n_clean", F.lit(0)))
@@ -194,9 +194,9 @@ def chunk_places(preds: DataFrame, gap: int, by: Sequence[str], date: str = "dat
 
 def score_places(places: DataFrame, free: DataFrame, keys: DataFrame, hold: int, min_signal: float, by: Sequence[str], date: str) -> DataFrame:
     """``places`` with the metrics of the chunk that starts there; null where it has no trade or under five rows."""
-    spread = places.join(keys.select(*by, "len"), by).withColumn("__pos", F.explode(F.sequence("place", F.col("place") + F.col("len") - 1)))
-    rows = spread.drop("len").join(free, [*by, "__pos"]).drop("__pos")
-    return places.join(chunk_metrics(rows, [*by, "place"], hold, min_signal, date), [*by, "place"], "left")
+    spread = places.join(unbroadcast(keys.select(*by, "len")), by).withColumn("__pos", F.explode(F.sequence("place", F.col("place") + F.col("len") - 1)))
+    rows = spread.drop("len").join(unbroadcast(free), [*by, "__pos"]).drop("__pos")
+    return places.join(unbroadcast(chunk_metrics(rows, [*by, "place"], hold, min_signal, date)), [*by, "place"], "left")
 
 
 def draw_chunks(
@@ -213,13 +213,13 @@ def draw_chunks(
     while True:
         attempts = waiting.select(*by, "n_places", F.explode(F.sequence(F.lit(start), F.lit(start + size - 1))).alias("attempt"))
         place = keyed_number(*by, F.col("attempt").cast("string"), F.lit(str(seed))) % F.col("n_places")
-        drawn.append(materialize(attempts.withColumn("place", place.cast("int")).join(clean, on).select(*on, "attempt"), "draws"))
+        drawn.append(materialize(attempts.withColumn("place", place.cast("int")).join(unbroadcast(clean), on).select(*on, "attempt"), "draws"))
         new = drawn[-1].select(*on).distinct()
         for scored in known:
-            new = new.join(scored.select(*on), on, "left_anti")
+            new = new.join(unbroadcast(scored.select(*on)), on, "left_anti")
         known.append(materialize(score_places(materialize(new, "new-places"), free, keys, hold, min_signal, by, date), "scored-places"))
         places, draws = reduce(DataFrame.unionByName, known), reduce(DataFrame.unionByName, drawn)
-        chunks = draws.join(places.filter("n_trades IS NOT NULL"), on).withColumn("chunk", F.row_number().over(ordered(by, "attempt")).cast("long"))
+        chunks = draws.join(unbroadcast(places.filter("n_trades IS NOT NULL")), on).withColumn("chunk", F.row_number().over(ordered(by, "attempt")).cast("long"))
         chunks = chunks.filter(F.col("chunk") <= n_boot).drop("place", "attempt")
         full = chunks.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
         seen = places.groupBy(*by).agg(F.count(F.lit(1)).alias("__tried"), F.count("n_trades").alias("__good"))

@@ -154,3 +154,13 @@ def test_no_python_in_the_plans(spark):
 def test_dates_are_days(spark):
     df = spark.createDataFrame([("m", "A", dt.date(2020, 1, 4), 0.5, 0.1)], "strategy string, symbol string, date date, pred double, actual double")
     assert val.non_overlapping(df).first().trade_ret == 0.1
+
+
+def test_only_keys_are_broadcast(spark, monkeypatch):
+    """Draws, places and their rows grow with the input, however small their files; the limit holds the test's tables."""
+    plans = []
+    monkeypatch.setattr(val, "materialize", lambda df, name, of=val.materialize: plans.append((name, df._jdf.queryExecution().sparkPlan().toString())) or of(df, name))
+    val.bootstrap(spark.createDataFrame(panel(1200)), 20).collect()
+    joins = {name: plan.count("BroadcastHashJoin") for name, plan in plans}
+    assert joins["draws"] == joins["scored-places"] == 0
+    assert joins["clean-places"] <= 1  # a key's rows and blocks
