@@ -46,7 +46,7 @@ LAGGED_SQL = BENCH + ", lagged AS (SELECT * FROM (SELECT strategy, symbol, date,
 
 @query("E2_backtest_report", LAGGED_SQL + " SELECT strategy, symbol, " + rnd("total_return_pct-bh_total_return_pct", "alpha_pct", 5) + ", " + cols("sharpe", "max_drawdown_pct", digits=5) + " FROM perf JOIN bp USING (symbol)")
 def e2(spark, sf):
-    report = flows.backtest_report(driver.predictions(spark, sf), driver.prices(spark, sf))
+    report = flows.backtest_report(driver.predictions(spark, sf), driver.prices(spark, sf), partitions=driver.tasks(spark, sf))
     return report.select("strategy", "symbol", r("alpha_pct", 5).alias("alpha_pct"), r("sharpe", 5).alias("sharpe"), r("max_drawdown_pct", 5).alias("max_drawdown_pct"))
 
 

@@ -58,7 +58,7 @@ def g1_expanding(spark, sf):
        + SEL + rnd("coalesce(k*1.0/nullif(n,0),0.5)", "conf_pct") + " FROM c")
 def g1_oof(spark, sf):
     p = preds(spark, sf)
-    return out(sig.confidence_against(p, p.filter("is_oof")), KEYS, conf_pct="conf_pct")
+    return out(sig.confidence_against(p, p.filter("is_oof"), partitions=driver.tasks(spark, sf)), KEYS, conf_pct="conf_pct")
 
 
 @query("G2_tier_size", SIG + SEL + rnd("CASE WHEN conf_pct<0.25 THEN 0.25 WHEN conf_pct<0.5 THEN 0.5 WHEN conf_pct<0.75 THEN 0.75 ELSE 1.0 END", "size") + " FROM ranked")
@@ -167,7 +167,7 @@ BENCH_COLUMNS = ("bh_total_return_pct", "bh_annual_return_pct", "bh_sharpe", "bh
 
 
 def bench(spark, sf):
-    return led.benchmark(driver.prices(spark, sf).drop("volume"), preds(spark, sf))
+    return led.benchmark(driver.prices(spark, sf).drop("volume"), preds(spark, sf), partitions=driver.tasks(spark, sf))
 
 
 @query("L7_benchmark", BENCH + " SELECT symbol, " + cols(*BENCH_COLUMNS, digits=5) + " FROM bp")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import r
+from ..functions.expr import dealt, r
 from ..operators import headlines as news
 from ..operators import leaderboard as board
 from ..operators import panel as pnl
@@ -42,10 +42,12 @@ def sleeves(spark, sf):
     signals = sig.build_signals(driver.predictions(spark, sf))
     roles = signals.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     roles = roles.withColumn("num", F.substring("symbol", 2, 18).cast("bigint") - F.col("k")).filter("num >= 0")
-    return roles.select(
+    books = roles.select(
         F.concat(F.lit("B"), F.col("num").cast("string")).alias("book"), "date", F.col("symbol").alias("sleeve"), (F.col("k") + 1).alias("rank"),
         (F.col("k") == 0).alias("is_primary"), "pred", "conf_pct", F.col("position").alias("target"), F.col("actual").alias("ret"),
     )
+    n = driver.tasks(spark, sf)
+    return dealt(books, n and 3 * n, "book")  # every row in three roles
 
 
 def weights(spark, sf):
@@ -318,7 +320,7 @@ def k1_stream(spark, sf):
 def k2(spark, sf):
     p = driver.predictions(spark, sf)
     realised = p.filter("is_oof").select("symbol", F.date_add("date", 2).alias("date"), "actual")
-    return log.signal_hits(p.select("symbol", "date", "pred"), realised).select("symbol", "date", "mark")
+    return log.signal_hits(p.select("symbol", "date", "pred"), realised, partitions=driver.tasks(spark, sf)).select("symbol", "date", "mark")
 
 
 @query("K3_latest", "WITH " + prices_sql() + " SELECT symbol, max(date) AS date, arg_max(close,date) AS close FROM prices GROUP BY 1")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 EPS = 1e-9
@@ -63,6 +63,11 @@ def as_list(keys: str | Iterable[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
+def dealt(df: DataFrame, partitions: int | None, by) -> DataFrame:
+    """``df`` in so many partitions by key, which Spark does not merge; as it is without a number."""
+    return df.repartition(partitions, *as_list(by)) if partitions else df
+
+
 def ordered(by, order="date", *more) -> WindowSpec:
     return Window.partitionBy(*as_list(by)).orderBy(order, *more)
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import EPS, TRADING_DAYS, as_list, ordered, ratio, safe_ln, up_to_now
+from ..functions.expr import EPS, TRADING_DAYS, as_list, dealt, ordered, ratio, safe_ln, up_to_now
 from ..functions.indicators import rolling_mean
 from .panel import asof_join
 from .signals import BOND_YIELD, TIERS, build_signals, confidence
@@ -157,14 +157,16 @@ def perf_daily(led: DataFrame, by: Sequence[str], capital: str = "capital", date
     )
 
 
-def benchmark(prices: DataFrame, dates: DataFrame, by: Sequence[str] = ("symbol",), capital: float = CAPITAL, date="date") -> DataFrame:
+def benchmark(
+    prices: DataFrame, dates: DataFrame, by: Sequence[str] = ("symbol",), capital: float = CAPITAL, date="date", partitions: int | None = None
+) -> DataFrame:
     """Buy-and-hold equity on the ledger's dates.
 
     The price in force on each date is an as-of lookup; dates before the first price take the first price,
     and a key without prices stays flat.
     """
     by = as_list(by)
-    aligned = asof_join(dates.select(*by, date).distinct(), prices, ["close"], by, date)
+    aligned = dealt(asof_join(dates.select(*by, date).distinct(), prices, ["close"], by, date, partitions=partitions), partitions, by)
     w = ordered(by, date)
     start = F.first("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     equity = F.coalesce(F.coalesce(F.col("close"), start) / start, F.lit(1.0)) * capital

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import add_bdays
-from ..functions.expr import as_list, finite, ordered, up_to_now
+from ..functions.expr import as_list, dealt, finite, ordered, up_to_now
 
 
 def keep_by_max(df: DataFrame, keys: Sequence[str], rank: Column | str | Sequence) -> DataFrame:
@@ -133,12 +133,13 @@ def asof_join(
     date: str = "date",
     lag_bdays: int = 0,
     max_age_days: int | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Last right-hand row at or before each left date, after a publication lag.
 
     The lookup is resolved once per distinct (key, day) of the left side, in a window whose group is bounded
     by the number of days, and joined back by equality.  However many left rows share a key, none of them
-    passes through the window.
+    passes through the window.  ``partitions`` sets the tasks of that window.
     """
     by, values = as_list(by), list(values)
     published = right.withColumn("__obs", F.col(date))
@@ -147,7 +148,7 @@ def asof_join(
     payload = F.struct(F.col("__obs"), *[F.col(v) for v in values])
     published = published.groupBy(*by, date).agg(F.max(payload).alias("__hit"))  # the newest; of several, the largest values
     asked = left.select(*by, date).distinct().withColumn("__asked", F.lit(True))
-    both = published.withColumn("__asked", F.lit(False)).unionByName(asked, allowMissingColumns=True)
+    both = dealt(published.withColumn("__asked", F.lit(False)).unionByName(asked, allowMissingColumns=True), partitions, by)
     w = ordered(by, date, "__asked").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("__hit", F.last("__hit", ignorenulls=True).over(w)).filter("__asked")
     if max_age_days is not None:

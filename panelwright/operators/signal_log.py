@@ -58,9 +58,9 @@ def backfill_outcomes(
 
 def signal_hits(
     signals: DataFrame, realised: DataFrame, tol_days: int = 3, by: Sequence[str] = ("symbol",), date: str = "date",
-    pred: str = "pred",
+    pred: str = "pred", partitions: int | None = None,
 ) -> DataFrame:
     """Marks past signals against the realised return last seen within the tolerance (K2)."""
-    joined = asof_join(signals, realised, ["actual"], by, date, max_age_days=tol_days)
+    joined = asof_join(signals, realised, ["actual"], by, date, max_age_days=tol_days, partitions=partitions)
     hit = ((F.col(pred) > 0) & (F.col("actual") > 0)) | ((F.col(pred) < 0) & (F.col("actual") < 0))
     return joined.withColumn("mark", F.when(F.col("actual").isNull(), "pending").when(hit, "hit").otherwise("miss"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import as_list, avg_rank, col, ordered, whole
+from ..functions.expr import as_list, avg_rank, col, dealt, ordered, whole
 from .order_stats import rank_so_far
 
 BY = ("strategy", "symbol")
@@ -51,17 +51,18 @@ def confidence(
 
 def confidence_against(
     df: DataFrame, reference: DataFrame, by: Sequence[str] = BY, pred: str = "pred", name: str = "conf_pct",
-    default: float = 0.5, ref_pred: str = "pred",
+    default: float = 0.5, ref_pred: str = "pred", partitions: int | None = None,
 ) -> DataFrame:
     """Share of the reference's |pred| that is strictly smaller, ``default`` without a reference (G1).
 
-    Both sets are counted along one sort by value; nothing is compared pairwise.
+    Both sets are counted along one sort by value, in ``partitions`` tasks; nothing is compared pairwise.
     """
     by = as_list(by)
     ask = df.select(*by, F.abs(col(pred)).alias("__v")).distinct().withColumn("__ref", F.lit(0))
     ref = reference.select(*by, F.abs(col(ref_pred)).alias("__v")).groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__ref"))
     along = ordered(by, "__v")
     both = ask.withColumn("__ask", F.lit(True)).unionByName(ref.withColumn("__ask", F.lit(False)))
+    both = dealt(both, partitions, by)
     both = both.groupBy(*by, "__v").agg(F.sum("__ref").alias("__ref"), F.max("__ask").alias("__ask"))
     smaller = F.sum("__ref").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__ref")
     total = F.sum("__ref").over(whole(by))

@@ -45,10 +45,10 @@ def momentum_backtest(prices: DataFrame) -> DataFrame:
     return led.perf(backtest(momentum_predictions(prices)))
 
 
-def backtest_report(preds: DataFrame, prices: DataFrame, lag: int = 1) -> DataFrame:
+def backtest_report(preds: DataFrame, prices: DataFrame, lag: int = 1, partitions: int | None = None) -> DataFrame:
     """Performance, benchmark and excess return per symbol."""
     performance = led.perf(backtest(preds, lag))
-    return led.alpha(performance, led.benchmark_perf(led.benchmark(prices, preds)))
+    return led.alpha(performance, led.benchmark_perf(led.benchmark(prices, preds, partitions=partitions)))
 
 
 def validation_report(preds: DataFrame, n_boot: int = 300, n_perm: int = 1000) -> DataFrame:

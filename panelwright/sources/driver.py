@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expr import ordered, r, ratio, safe_ln, up_to_now, whole
+from ..functions.expr import dealt, ordered, r, ratio, safe_ln, up_to_now, whole
 from ..functions.indicators import forward_log_return
 
 # Prices carry this many decimals, as quotes do.
 PRICE_DIGITS = 4
 
+# Line items that one task sorts and keeps at a time, in the key windows of the supplier panel.
+ROWS_PER_TASK = 250_000
+
 CELL = "cell"
 SUPPLIER = "supplier"
 
@@ -23,6 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(spark: SparkSession, sf_dir: str) -> int | None:
+    """Tasks for the key windows of the supplier panel, in proportion to the line items; None where a task per core does.
+
+    What a stage of windows keeps per row is several times its shuffled bytes, by which Spark would merge partitions.
+    """
+    n = -(-table(spark, sf_dir, "lineitem").count() // ROWS_PER_TASK)
+    return n if n > spark.sparkContext.defaultParallelism else None
+
+
 def symbol_of(kind: str):
     if kind == CELL:
         return F.concat("l_returnflag", "l_linestatus")
@@ -38,6 +50,8 @@ def prices(spark: SparkSession, sf_dir: str, kind: str = SUPPLIER) -> DataFrame:
     cell = table(spark, sf_dir, "lineitem").groupBy(symbol_of(kind).alias("symbol"), F.to_date("l_shipdate").alias("date")).agg(
         safe_ln(ratio(F.sum("l_extendedprice"), F.sum("l_quantity"))).alias("__x"), F.sum("l_quantity").alias("volume")
     )
+    if kind == SUPPLIER:
+        cell = dealt(cell, tasks(spark, sf_dir), "symbol")
     every = whole("symbol")
     shock = F.lit(0.01) * (F.col("__x") - F.avg("__x").over(every)) / F.stddev_samp("__x").over(every)
     walked = cell.withColumn("__s", shock).withColumn("close", F.sum("__s").over(up_to_now("symbol")))
