@@ -7,7 +7,7 @@ import pytest
 from panelwright.catalog import QUERIES
 from panelwright.sources import driver
 
-NAMES = ("I14_macd", "G1_confidence_oof", "L7_benchmark", "L8_alpha", "E2_backtest_report", "K2_signal_hits", "R3_wide_weights")
+NAMES = ("I14_macd", "G1_confidence_oof", "L7_benchmark", "L8_alpha", "E2_backtest_report", "K2_signal_hits", "R3_wide_weights", "R3_rotation_ledger", "R3_rotation_replay")
 
 
 @pytest.mark.parametrize("name", NAMES)
