@@ -6,12 +6,12 @@ day of one book (its sleeves), the capital windows are one row per day of one bo
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import TRADING_DAYS, as_list, ordered, up_to_now
+from ..functions.expr import TRADING_DAYS, as_list, ordered, up_to_now, whole
 
 BOOK = ("book",)
 CAPITAL = 100_000.0
@@ -50,34 +50,47 @@ def cascade(
     df = df.withColumn("__want", F.when(F.col("__passes"), F.col("target")).otherwise(0.0))
     primary = F.coalesce(F.max(F.when(F.col("is_primary"), F.col("target"))).over(Window.partitionBy(*day)), F.lit(0.0))
     before = Window.partitionBy(*day).orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)
-    left = (1 - F.col("__primary")) - F.coalesce(F.sum("__want").over(before), F.lit(0.0))
-    df = df.withColumn("__primary", primary).withColumn("__left", left)
+    # The finer order first: it serves the day's window as well.
+    df = df.withColumn("__taken", F.coalesce(F.sum("__want").over(before), F.lit(0.0))).withColumn("__primary", primary)
+    df = df.withColumn("__left", (1 - F.col("__primary")) - F.col("__taken"))
     weight = (
         F.when(F.col("is_primary"), F.col("target"))
         .when(F.col("__passes") & (F.col("__left") > min_idle), F.least(F.col("__want"), F.col("__left")))
         .otherwise(0.0)
     )
-    return df.withColumn("weight", weight).drop("__passes", "__want", "__primary", "__left")
+    return df.withColumn("weight", weight).drop("__passes", "__want", "__taken", "__primary", "__left")
 
 
-def on_book_days(weights: DataFrame, by: Sequence[str] = BOOK, date: str = "date") -> DataFrame:
-    """One row per sleeve and day of its book; added rows have weight 0 and no return.
+def book_days(weights: DataFrame, by: Sequence[str] = BOOK, date: str = "date") -> DataFrame:
+    """One row per day of each book: ``__set``, the weights other than zero set on it, ``__rets``, the sleeves' returns, and
+    ``__primary``, the sleeves that are primary on any day of the book.
 
-    The book's sleeves are collected beside its rows and spread over its days, so the weights are read and dealt by book
-    once; what follows per book keeps that partitioning.
+    Windows by book and day take the order that the cascade has left, so the rows are sorted once and not multiplied.
     """
     by = as_list(by)
-    book = Window.partitionBy(*by)
+    day, along = Window.partitionBy(*by, date), ordered(by, date)
+    weight, ret = F.col("weight").cast("double").alias("weight"), F.col("ret").cast("double").alias("ret")
+    some = F.col("sleeve").isNotNull()
     known = weights.withColumns(
-        {"__sleeves": F.collect_set("sleeve").over(book), "__primary": F.collect_set(F.when(F.col("is_primary"), F.col("sleeve"))).over(book)}
-    )
-    days = known.groupBy(*by, date).agg(
-        F.first("__sleeves").alias("__sleeves"), F.first("__primary").alias("__primary"), F.collect_list(F.struct("sleeve", "weight", "ret")).alias("__rows")
+        {
+            "__set": F.collect_list(F.when(some & (F.col("weight") != 0), F.struct("sleeve", weight))).over(day),
+            "__rets": F.collect_list(F.when(some & F.col("ret").isNotNull(), F.struct("sleeve", ret))).over(day),
+            "__primary": F.collect_set(F.when(F.col("is_primary"), F.col("sleeve"))).over(whole(by)),
+        }
     )
-    spread = days.select(*by, date, "__primary", "__rows", F.explode("__sleeves").alias("sleeve"))
-    own = F.filter("__rows", lambda x: x["sleeve"] == F.col("sleeve"))
-    rows = spread.select(*by, date, "sleeve", F.array_contains("__primary", F.col("sleeve")).alias("is_primary"), F.explode_outer(own).alias("__row"))
-    return rows.select(*by, date, "sleeve", "is_primary", F.coalesce("__row.weight", F.lit(0.0)).alias("weight"), F.col("__row.ret").alias("ret"))
+    first = (F.col("__rn") == 1) | ~F.col("__last").eqNullSafe(F.col(date))
+    marked = known.withColumns({"__rn": F.row_number().over(along), "__last": F.lag(date).over(along)}).filter(first)
+    return marked.select(*by, date, "__set", "__rets", "__primary")
+
+
+def _of(rows: str, sleeve: Column, field: str) -> Column:
+    """The sleeve's value in an array of a day's rows, 0 without one."""
+    return _total(rows, lambda x: F.when(x["sleeve"] == sleeve, x[field]).otherwise(0.0))
+
+
+def _total(rows: str, value: Callable[[Column], Column]) -> Column:
+    """Sum over an array, 0 for none."""
+    return F.coalesce(F.aggregate(rows, F.lit(0.0), lambda a, x: a + value(x)), F.lit(0.0))
 
 
 def rotation_ledger(
@@ -96,25 +109,26 @@ def rotation_ledger(
     A weight set on one day earns the return ``lag`` of the book's days later (0 reproduces the same-day replay): a
     sleeve without a row on a day of its book has no weight and no return there.  Simple
     returns add up over sleeves; log returns spread over ``hold`` days are summed and exponentiated.  The
-    primary-only book runs beside the rotation.  The per-day sums combine map-side before the book's window.
+    primary-only book runs beside the rotation.
     """
     by = as_list(by)
-    weights = on_book_days(weights, by, date)
-    series = ordered([*by, "sleeve"], date)
-    held = F.coalesce(F.lag("weight", lag).over(series), F.lit(0.0)) if lag else F.col("weight")
-    rows = weights.withColumn("held", held)
-    rows = rows.withColumn("__turn", F.abs(F.col("held") - F.coalesce(F.lag("held").over(series), F.lit(0.0))))
-    gain = F.when(F.col("held") > 0, F.col("held") * F.coalesce(F.col("ret"), F.lit(0.0)) / hold).otherwise(0.0)
-    days = rows.withColumn("__gain", gain).groupBy(*by, date).agg(
-        F.sum("held").alias("invested"),
-        F.sum("__gain").alias("gain"),
-        F.sum(F.when(F.col("is_primary"), F.col("__gain")).otherwise(0.0)).alias("primary_gain"),
-        F.sum("__turn").alias("turnover"),
-        F.sum(F.when(F.col("is_primary"), F.col("held")).otherwise(0.0)).alias("primary_pos"),
+    w = ordered(by, date)
+    days = book_days(weights, by, date)
+    days = days.withColumns({"__held": F.lag("__set", lag).over(w) if lag else F.col("__set"), "__before": F.lag("__set", lag + 1).over(w)})
+    gain = lambda x: F.when(x["weight"] > 0, x["weight"] * _of("__rets", x["sleeve"], "ret") / hold).otherwise(0.0)
+    primary = lambda x, v: F.when(F.array_contains("__primary", x["sleeve"]), v).otherwise(0.0)
+    moved = lambda x: F.abs(x["weight"] - _of("__before", x["sleeve"], "weight"))
+    left = lambda x: F.when(F.exists("__held", lambda y: y["sleeve"] == x["sleeve"]), 0.0).otherwise(F.abs(x["weight"]))
+    days = days.select(
+        *by, date,
+        _total("__held", lambda x: x["weight"]).alias("invested"),
+        _total("__held", gain).alias("gain"),
+        _total("__held", lambda x: primary(x, gain(x))).alias("primary_gain"),
+        (_total("__held", moved) + _total("__before", left)).alias("turnover"),
+        _total("__held", lambda x: primary(x, x["weight"])).alias("primary_pos"),
     )
     cash = (1 - F.col("invested")) * (cash_rate / TRADING_DAYS)
     grow = (lambda g: F.exp(g)) if returns == "log" else (lambda g: 1 + g)
-    w = up_to_now(by, date)
     days = days.withColumns(
         {
             "cash_pos": 1 - F.col("invested"),
@@ -122,7 +136,7 @@ def rotation_ledger(
             "primary_factor": grow(F.col("primary_gain")),
         }
     )
-    product = lambda c: F.exp(F.sum(F.ln(F.greatest(F.col(c), F.lit(1e-12)))).over(w)) * capital
+    product = lambda c: F.exp(F.sum(F.ln(F.greatest(F.col(c), F.lit(1e-12)))).over(up_to_now(by, date))) * capital
     return days.withColumns({"rotation": product("factor"), "primary_only": product("primary_factor")})
 
 
