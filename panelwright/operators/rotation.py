@@ -187,20 +187,24 @@ def contribution(weights: DataFrame, by: Sequence[str] = BOOK, hold: int = 20) -
     return sums.withColumn("share_pct", F.try_divide(F.col("contribution_pct"), total) * 100)
 
 
-def cagr(df: DataFrame, value: str, by: Sequence[str], initial: float | None = None, date: str = "date") -> DataFrame:
-    """Calendar-time growth rate per key."""
+def _growth(value: str, initial: float | None, date: str) -> Column:
     first = F.min_by(value, date) if initial is None else F.lit(float(initial))
     years = F.greatest(F.datediff(F.max(date), F.min(date)) / F.lit(365.25), F.lit(0.01))
-    return df.groupBy(*as_list(by)).agg(((F.exp(F.ln(F.max_by(value, date) / first) / years) - 1) * 100).alias("cagr_pct"))
+    return (F.exp(F.ln(F.max_by(value, date) / first) / years) - 1) * 100
+
+
+def cagr(df: DataFrame, value: str, by: Sequence[str], initial: float | None = None, date: str = "date") -> DataFrame:
+    """Calendar-time growth rate per key."""
+    return df.groupBy(*as_list(by)).agg(_growth(value, initial, date).alias("cagr_pct"))
 
 
-def premium(led: DataFrame, prices: DataFrame, by: Sequence[str] = BOOK, capital: float = CAPITAL) -> DataFrame:
-    """Growth of the rotation over the primary-only book and over buy-and-hold."""
+def premium(led: DataFrame, prices: DataFrame, by: Sequence[str] = BOOK, capital: float = CAPITAL, date: str = "date") -> DataFrame:
+    """Growth of the rotation over the primary-only book and over buy-and-hold (R6); the ledger is read once."""
     by = as_list(by)
-    rot = cagr(led, "rotation", by, capital).withColumnRenamed("cagr_pct", "rotation_cagr_pct")
-    pri = cagr(led, "primary_only", by, capital).withColumnRenamed("cagr_pct", "primary_cagr_pct")
-    held = cagr(prices, "close", by).withColumnRenamed("cagr_pct", "bh_cagr_pct")
-    return rot.join(pri, by).join(held, by, "left").withColumns(
+    rates = {"rotation_cagr_pct": "rotation", "primary_cagr_pct": "primary_only"}
+    both = led.groupBy(*by).agg(*[_growth(c, capital, date).alias(name) for name, c in rates.items()])
+    held = cagr(prices, "close", by, date=date).withColumnRenamed("cagr_pct", "bh_cagr_pct")
+    return both.join(held, by, "left").withColumns(
         {
             "premium_primary_pct": F.col("rotation_cagr_pct") - F.col("primary_cagr_pct"),
             "premium_bh_pct": F.col("rotation_cagr_pct") - F.col("bh_cagr_pct"),

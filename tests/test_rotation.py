@@ -73,3 +73,9 @@ def test_rows_are_sorted_once_and_not_multiplied(weights):
     assert "Generate" not in text and "Aggregate" not in text
     assert text.count("Exchange ") == 1
     assert text.count("Sort [") == 1
+
+
+def test_premium_reads_the_ledger_once(weights):
+    prices = weights.selectExpr("book", "date", "1.0D AS close").distinct()
+    led = rotation.rotation_ledger(weights)
+    assert plan(rotation.premium(led, prices)).count("__before") == plan(led.groupBy("book").agg({"rotation": "max", "primary_only": "max"})).count("__before")
