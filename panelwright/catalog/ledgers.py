@@ -199,7 +199,7 @@ CFG = ", cfg AS (SELECT * FROM (VALUES " + ", ".join(f"('{c[0]}', {float(c[1])}:
 def l9(spark, sf):
     """The ten shipped configurations without stops and overlays: one window query."""
     grid = [(*c[:5], None, "off", 0.0) for c in led.CONFIGS]
-    return out(led.sweep(preds(spark, sf), grid), "config strategy symbol n_trades total_days", 5, **{c: c for c in PERF_COLUMNS})
+    return out(led.sweep(driver.predictions(spark, sf, times=len(grid)), grid), "config strategy symbol n_trades total_days", 5, **{c: c for c in PERF_COLUMNS})
 
 
 @query("L10_transitions", SIG + ", t AS (SELECT *, coalesce(lag(position) OVER (PARTITION BY strategy, symbol ORDER BY date),0) AS prev FROM signals)" + SEL + "CASE WHEN prev<=0 THEN 'entry' ELSE 'exit' END AS marker FROM t WHERE (prev<=0 AND position>0) OR (prev>0 AND position<=0)")

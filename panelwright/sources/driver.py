@@ -26,12 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tasks(spark: SparkSession, sf_dir: str) -> int | None:
+def tasks(spark: SparkSession, sf_dir: str, times: int = 1) -> int | None:
     """Tasks for the key windows of the supplier panel, in proportion to the line items; None where a task per core does.
 
     What a stage of windows keeps per row is several times its shuffled bytes, by which Spark would merge partitions.
+    ``times`` says how often the stage repeats each row, as a sweep does.
     """
-    n = -(-table(spark, sf_dir, "lineitem").count() // ROWS_PER_TASK)
+    n = -(-table(spark, sf_dir, "lineitem").count() * times // ROWS_PER_TASK)
     return n if n > spark.sparkContext.defaultParallelism else None
 
 
@@ -41,7 +42,7 @@ def symbol_of(kind: str):
     return F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))
 
 
-def prices(spark: SparkSession, sf_dir: str, kind: str = SUPPLIER) -> DataFrame:
+def prices(spark: SparkSession, sf_dir: str, kind: str = SUPPLIER, times: int = 1) -> DataFrame:
     """``symbol, date, close, volume``: the daily mean unit price, damped to a walk of about 1 % a day.
 
     The daily cells are aggregated map-side before the shuffle by (symbol, day); the windows then run over
@@ -51,7 +52,7 @@ def prices(spark: SparkSession, sf_dir: str, kind: str = SUPPLIER) -> DataFrame:
         safe_ln(ratio(F.sum("l_extendedprice"), F.sum("l_quantity"))).alias("__x"), F.sum("l_quantity").alias("volume")
     )
     if kind == SUPPLIER:
-        cell = dealt(cell, tasks(spark, sf_dir), "symbol")
+        cell = dealt(cell, tasks(spark, sf_dir, times), "symbol")
     every = whole("symbol")
     shock = F.lit(0.01) * (F.col("__x") - F.avg("__x").over(every)) / F.stddev_samp("__x").over(every)
     walked = cell.withColumn("__s", shock).withColumn("close", F.sum("__s").over(up_to_now("symbol")))
@@ -69,9 +70,9 @@ def bars(spark: SparkSession, sf_dir: str, kind: str = SUPPLIER) -> DataFrame:
     )
 
 
-def predictions(spark: SparkSession, sf_dir: str, kind: str = SUPPLIER, horizon: int = 20) -> DataFrame:
+def predictions(spark: SparkSession, sf_dir: str, kind: str = SUPPLIER, horizon: int = 20, times: int = 1) -> DataFrame:
     """``strategy, symbol, date, pred, actual, is_oof``: a momentum forecast, every fourth 63-day block out of fold."""
-    px = prices(spark, sf_dir, kind)
+    px = prices(spark, sf_dir, kind, times)
     momentum = F.lit(0.2) * safe_ln(ratio("close", F.lag("close", horizon).over(ordered("symbol"))))
     block = F.floor(F.datediff("date", F.to_date(F.lit("1995-01-01"))) / F.lit(63.0))
     out = px.select(

@@ -21,3 +21,12 @@ def test_tasks_follow_the_rows(spark, sf_dir, monkeypatch, name):
     plan = many._jdf.queryExecution().executedPlan().toString()
     assert f", {3 * n if name[0] == 'R' else n}), REPARTITION_BY_NUM" in plan
     assert sorted(map(repr, many.collect())) == one
+
+
+def test_tasks_of_the_sweep_follow_its_grid(spark, sf_dir, monkeypatch):
+    one = sorted(map(repr, QUERIES["L9_sweep"](spark, sf_dir).collect()))
+    monkeypatch.setattr(driver, "ROWS_PER_TASK", 2_500)
+    many = QUERIES["L9_sweep"](spark, sf_dir)
+    n = -(-10 * driver.table(spark, sf_dir, "lineitem").count() // 2_500)
+    assert f", {n}), REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(repr, many.collect())) == one
