@@ -192,7 +192,9 @@ def s13(spark, sf):
     stats = driver.predictions(spark, sf).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("d"))
     lines = stats.select("symbol", F.explode(F.array(F.concat(F.lit("n="), F.col("n").cast("string")), F.concat(F.lit("first_date="), F.col("d").cast("string")))).alias("value"))
     path = shared_folder(spark, "notes")
-    lines.repartition("symbol").write.partitionBy("symbol").text(path)  # one file per symbol
+    # One file per symbol, by a fixed number of tasks: Spark would merge the few bytes into one, which opens all files in turn.
+    tasks = driver.tasks(spark, sf) or spark.sparkContext.defaultParallelism
+    lines.repartition(tasks, "symbol").write.partitionBy("symbol").text(path)
     got = texts.read_kv(spark, path, ["n", "first_date"])
     return got.select(F.regexp_extract("file", "symbol=([^/]+)", 1).alias("symbol"), "n", "first_date")
 

@@ -30,3 +30,16 @@ def test_tasks_of_the_sweep_follow_its_grid(spark, sf_dir, monkeypatch):
     n = -(-10 * driver.table(spark, sf_dir, "lineitem").count() // 2_500)
     assert f", {n}), REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(repr, many.collect())) == one
+
+
+def test_notes_are_written_by_several_tasks(spark, sf_dir, monkeypatch):
+    from pathlib import Path
+
+    from panelwright.sources import texts
+
+    seen, read = [], texts.read_kv
+    monkeypatch.setattr(texts, "read_kv", lambda s, path, keys: seen.append(path) or read(s, path, keys))
+    n = len(QUERIES["S13_read_kv"](spark, sf_dir).collect())
+    files = [f.name for f in Path(seen[0]).glob("symbol=*/part-*")]
+    assert len(files) == n
+    assert len({f.split("-")[1] for f in files}) > 1
