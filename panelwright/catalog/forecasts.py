@@ -209,7 +209,7 @@ def m12_models(spark, sf):
 @query("E1_full_predictions", MODELS_SQL + """ SELECT sd.symbol, sd.date, sd.fold, round(coalesce(oof.pred, sd.pred),6)+0.0 AS pred, round(y,6)+0.0 AS actual, oof.pred IS NOT NULL AS is_oof
     FROM sd LEFT JOIN oof ON oof.symbol=sd.symbol AND oof.date=sd.date""")
 def e1_full(spark, sf):
-    return out(flows.full_predictions(two_features(spark, sf), TWO, FOLDS), "symbol date fold is_oof", pred="pred", actual="actual")
+    return out(flows.full_predictions(two_features(spark, sf), TWO, FOLDS, partitions=driver.tasks(spark, sf)), "symbol date fold is_oof", pred="pred", actual="actual")
 
 
 FOLD_SQL = """fp AS (SELECT symbol, date, CAST(g AS INTEGER) AS fold, pred*(1+0.05*(g-4)) AS pred FROM predictions, range(9) t(g)),

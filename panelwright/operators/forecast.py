@@ -67,17 +67,21 @@ def linear(coef: str, features: Sequence[str]) -> Column:
 
 def ridge_walk_forward(
     folded: DataFrame, features: Sequence[str], target: str = "target", ridge: float = 1.0,
-    by: Sequence[str] = ("symbol",), date: str = "date",
+    by: Sequence[str] = ("symbol",), date: str = "date", models: DataFrame | None = None,
 ) -> DataFrame:
-    """Out-of-fold forecasts of each (key, fold)'s ridge regression (M4): its coefficients joined to the validation rows."""
+    """Out-of-fold forecasts of each (key, fold)'s ridge regression (M4): its coefficients joined to the validation rows.
+
+    ``models`` are those of ``ridge_models`` on the same folds, where they are at hand.
+    """
     by, features = as_list(by), list(features)
-    models = ridge_models(folded, features, target, ridge, by, date).select(*by, "fold", "coef")
-    val = folded.dropna("any", subset=[*features, target]).filter("role = 'val'").join(models, [*by, "fold"])
+    models = ridge_models(folded, features, target, ridge, by, date) if models is None else models
+    val = folded.dropna("any", subset=[*features, target]).filter("role = 'val'").join(models.select(*by, "fold", "coef"), [*by, "fold"])
     return val.select(*by, date, "fold", linear("coef", features).alias("pred"), F.col(target).alias("actual"))
 
 
 def score_by_models(
-    rows: DataFrame, models: DataFrame, features: Sequence[str], by: Sequence[str] = ("symbol",), date: str = "date"
+    rows: DataFrame, models: DataFrame, features: Sequence[str], by: Sequence[str] = ("symbol",), date: str = "date",
+    partitions: int | None = None,
 ) -> DataFrame:
     """Every day's forecast by the last model in effect on it: ``by, date, fold, trained_until, pred``.
 
@@ -87,7 +91,7 @@ def score_by_models(
     by, features = as_list(by), list(features)
     known = rows.dropna("any", subset=features).select(*by, date, *features)
     in_effect = models.select(*by, F.col("effective").alias(date), "trained_until", "fold", "coef")
-    scored = asof_join(known, in_effect, ["trained_until", "fold", "coef"], by, date).filter("coef IS NOT NULL")
+    scored = asof_join(known, in_effect, ["trained_until", "fold", "coef"], by, date, partitions=partitions).filter("coef IS NOT NULL")
     return scored.select(*by, date, "fold", "trained_until", linear("coef", features).alias("pred"))
 
 

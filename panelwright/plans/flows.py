@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import indicators as ind
-from ..functions.expr import r
+from ..functions.expr import dealt, r
 from ..operators import ensemble as ens
 from ..operators import forecast as fc
 from ..operators import ledger as led
@@ -72,17 +72,20 @@ def train_evaluate(
 
 
 def full_predictions(
-    table: DataFrame, features: Sequence[str], cfg: splits.WalkForward = splits.WalkForward(), ridge: float = 1.0
+    table: DataFrame, features: Sequence[str], cfg: splits.WalkForward = splits.WalkForward(), ridge: float = 1.0,
+    partitions: int | None = None,
 ) -> DataFrame:
     """``symbol, date, fold, pred, actual, is_oof`` of every day that a model was in effect on.
 
     The out-of-fold forecast where there is one, the last model trained before the day elsewhere; recent days, whose
-    target is not known yet, included.
+    target is not known yet, included.  ``partitions`` sets the tasks of the windows by symbol.
     """
+    # Written once: the models, their folds and the days each read the features again.
+    table = dealt(materialize(table.select("symbol", "date", *features, "target"), "features"), partitions, "symbol")
     folded = splits.assign_folds(complete_cases(table, features, "target"), cfg)
     models = materialize(fc.ridge_models(folded, features, ridge=ridge), "models")
-    oof = fc.ridge_walk_forward(folded, features, ridge=ridge).select("symbol", "date", "pred")
-    days = fc.score_by_models(table, models, features)
+    oof = fc.ridge_walk_forward(folded, features, ridge=ridge, models=models).select("symbol", "date", "pred")
+    days = fc.score_by_models(table, models, features, partitions=partitions)
     laid = overlay(days, oof, ["symbol", "date"])
     held = oof.select("symbol", "date", F.lit(True).alias("is_oof")).distinct()
     known = table.groupBy("symbol", "date").agg(F.max("target").alias("actual"))

@@ -43,3 +43,8 @@ def test_notes_are_written_by_several_tasks(spark, sf_dir, monkeypatch):
     files = [f.name for f in Path(seen[0]).glob("symbol=*/part-*")]
     assert len(files) == n
     assert len({f.split("-")[1] for f in files}) > 1
+
+
+def test_full_predictions_read_the_line_items_once(spark, sf_dir):
+    text = QUERIES["E1_full_predictions"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in text and "l_shipdate" not in text
