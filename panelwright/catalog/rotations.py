@@ -12,7 +12,7 @@ from ..operators import rotation as rot
 from ..operators import screen as scr
 from ..operators import signal_log as log
 from ..operators import signals as sig
-from ..session import shared_folder
+from ..session import materialize, shared_folder
 from ..sources import driver, texts
 from ..streaming import outcomes
 from .base import BDAYS_SQL, HEADLINES_SQL, ORACLES, cols, out, predictions_sql, prices_sql, query, rnd, signals_sql, windows
@@ -304,7 +304,9 @@ def k1(spark, sf):
 def k1_stream(spark, sf):
     """The same outcomes from files that arrive in three parts; the stream is started anew for each part."""
     root = shared_folder(spark, "outcome-stream")
-    open_rows, px = signal_rows(spark, sf), driver.prices(spark, sf)
+    # Written once: each part reads both, and the last join the log again.
+    px = materialize(driver.prices(spark, sf), "prices")
+    open_rows = materialize(signal_rows(spark, sf), "signals")
     schemas = {"signals": open_rows.schema, "prices": px.schema}
     for part in (F.col("date") < "1994-03-01", F.col("date").between("1994-03-01", "1996-05-31"), F.col("date") > "1996-05-31"):
         open_rows.filter(part & F.col("outcome_actual").isNull()).write.mode("append").parquet(f"{root}/signals")

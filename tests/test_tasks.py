@@ -48,3 +48,8 @@ def test_notes_are_written_by_several_tasks(spark, sf_dir, monkeypatch):
 def test_full_predictions_read_the_line_items_once(spark, sf_dir):
     text = QUERIES["E1_full_predictions"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "lineitem" not in text and "l_shipdate" not in text
+
+
+def test_outcome_stream_writes_its_inputs_once(spark, sf_dir):
+    text = QUERIES["K1_outcome_stream"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in text and "l_shipdate" not in text
