@@ -53,3 +53,9 @@ def test_full_predictions_read_the_line_items_once(spark, sf_dir):
 def test_outcome_stream_writes_its_inputs_once(spark, sf_dir):
     text = QUERIES["K1_outcome_stream"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "lineitem" not in text and "l_shipdate" not in text
+
+
+def test_tasks_of_the_feature_table_follow_the_rows(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(driver, "ROWS_PER_TASK", 250)
+    text = QUERIES["F0_all_blocks_metals"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert f", {driver.tasks(spark, sf_dir)}), REPARTITION_BY_NUM" in text
