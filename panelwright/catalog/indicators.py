@@ -360,16 +360,16 @@ def market_days(spark, sf):
     return feat.attach_series(days, att, "attention")
 
 
-def full_feature_table(spark, sf, kind="metals"):
+def full_feature_table(spark, sf, kind="metals", digits=None):
     """Every block of a variant: price, relation, macro, positioning, holdings, interest and calendar features."""
-    panel = ind.macd(driver.prices(spark, sf).drop("volume"))
-    return feat.build_variant(panel, market_days(spark, sf), feat.variant(kind))
+    panel = driver.prices(spark, sf).drop("volume")
+    return feat.build_variant(panel, market_days(spark, sf), feat.variant(kind), driver.tasks(spark, sf), digits)
 
 
 def _all_features(kind):
     def run(spark, sf):
-        df, names = full_feature_table(spark, sf, kind)
-        return df.select("symbol", "date", r("target").alias("target"), *[r(c, 4).alias(c) for c in names])
+        df, names = full_feature_table(spark, sf, kind, digits=4)
+        return df.select("symbol", "date", r("target").alias("target"), *names)
 
     return run
 

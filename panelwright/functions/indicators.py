@@ -122,7 +122,12 @@ def rsi(change, n: int = 14, by=BY, order="date") -> Column:
     up, down = clip(change, lower=0.0), -clip(change, upper=0.0)
     gain = rolling_mean(up, n, by=by, order=order)
     loss = rolling_mean(down, n, by=by, order=order)
-    return 100 - 100 / (1 + gain / (loss + EPS))
+    return strength(gain, loss)
+
+
+def strength(gain, loss) -> Column:
+    """Relative strength index from mean gain and loss."""
+    return 100 - 100 / (1 + col(gain) / (col(loss) + EPS))
 
 
 def above_low(c, n: int = 10, by=BY, order="date") -> Column:

@@ -2,8 +2,9 @@
 
 A feature names its stage, because window functions do not nest: stage 1 reads the panel's own columns, a
 later stage reads the columns of the stages before it.  Every stage is one ``withColumns`` over the same
-partitioning and order, so the whole table is built on one shuffle by symbol.  Features whose inputs are
-absent are left out, block by block.  All but the raw ones end as 252-row z-scores, taken together in one
+partitioning and order.  Sliding statistics of a symbol (``_rolled``) follow the first stage in one pass over its rows,
+and the stages after it are plain expressions, so the whole table is built on one shuffle by symbol.  Features whose
+inputs are absent are left out, block by block.  All but the raw ones end as 252-row z-scores, taken together in one
 pass.
 
 Market-wide series (macro, positioning, holdings, interest) do not depend on the symbol: their features are
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators as ind
 from ..functions.dates import cyclic, season_flags
-from ..functions.expr import EPS, TRADING_DAYS, ratio, safe_ln
+from ..functions.expr import EPS, TRADING_DAYS, dealt, r, ratio, safe_ln
 from ..operators.order_stats import rank_so_far
 from ..operators.panel import asof_join
-from ..operators.rolling import rolling_z_all
+from ..operators.rolling import rolled_columns, rolling_z_all
 from ..session import materialize
 
 Build = Callable[[Sequence[str]], Column]
@@ -39,6 +40,7 @@ class Feature:
     score: bool = True
     keep: bool = True
     ranked: str | None = None
+    rolled: tuple[str, int, tuple[str, ...]] | None = None
 
 
 def _f(name, stage, build, *needs, score=True, keep=True) -> Feature:
@@ -50,6 +52,11 @@ def _step(name, stage, build, *needs) -> Feature:
     return Feature(name, stage, build, tuple(needs), False, False)
 
 
+def _rolled(name, kind, n, *needs, score=False, keep=False) -> Feature:
+    """A statistic of a symbol's last rows (``operators.rolling``), taken after the expressions of the first stage."""
+    return Feature(name, 1, lambda by: F.lit(None).cast("double"), tuple(needs), score, keep, rolled=(kind, n, tuple(needs)))
+
+
 def _extreme(name, column) -> Feature:
     """Percentile of a column of the panel among its last 252 rows; counted, not built from an expression."""
     return Feature(name, 1, lambda by: F.lit(None).cast("double"), (column,), ranked=column)
@@ -62,25 +69,26 @@ RETURNS, VOLS, AVERAGES, ROCS, LAGS = (1, 3, 5, 10, 21), (10, 20, 60), (20, 50,
 def price_block() -> list[Feature]:
     """Features of a symbol's own closes."""
     out = [_step("_r1", 1, lambda by: ind.log_return("close", 1, by), "close")]
-    out += [_step(f"_ma{n}", 1, lambda by, n=n: ind.rolling_mean("close", n, by=by), "close") for n in (20, 50, 60, 200)]
     out += [_step("_chg", 1, lambda by: ind.difference("close", 1, by), "close")]
-    out += [_step(f"_vol{n}", 2, lambda by, n=n: ind.rolling_vol("_r1", n, by), "_r1") for n in VOLS]
+    out += [_rolled(f"_ma{n}", "mean", n, "close") for n in (20, 50, 60, 200)]
+    out += [_rolled(f"_std{n}", "std", n, "_r1") for n in VOLS]
+    out += [_rolled("_gain14", "gain", 14, "_chg"), _rolled("_loss14", "loss", 14, "_chg"), _rolled("_low10", "min", 10, "close")]
+    out += [_rolled("_ma50_was", "lag", 21, "_ma50"), _rolled("_std20_was", "lag", 5, "_std20")]
     out += [_f(f"r{p}", 1, lambda by, p=p: ind.log_return("close", p, by), "close") for p in RETURNS]
     out += [_f(f"roc{p}", 1, lambda by, p=p: ind.simple_return("close", p, by), "close") for p in ROCS]
+    out += [_step(f"_vol{n}", 2, lambda by, n=n: F.col(f"_std{n}") * ind.ANNUAL, f"_std{n}") for n in VOLS]
     out += [_f(f"vol{n}", 3, lambda by, n=n: F.col(f"_vol{n}"), f"_vol{n}") for n in VOLS]
     out += [_f(f"ma{n}_dist", 2, lambda by, n=n: ratio("close", f"_ma{n}") - 1, f"_ma{n}") for n in AVERAGES]
     out += [_f("ma_cross", 2, lambda by: F.col("_ma50") / (F.col("_ma200") + EPS) - 1, "_ma50", "_ma200")]
-    out += [_f("ma50_slope", 2, lambda by: ind.simple_return("_ma50", 21, by), "_ma50")]
-    out += [_f("rsi14", 2, lambda by: ind.rsi("_chg", 14, by) / 100, "_chg")]
-    out += [_f("macd", 1, lambda by: F.col("macd_hist") / (F.col("close") + EPS), "macd_hist")]
-    out += [_f(f"r1_lag{k}", 2, lambda by, k=k: ind.lagged("_r1", k, by), "_r1") for k in LAGS]
+    out += [_f("ma50_slope", 2, lambda by: ratio("_ma50", "_ma50_was") - 1, "_ma50", "_ma50_was")]
+    out += [_f("rsi14", 2, lambda by: ind.strength("_gain14", "_loss14") / 100, "_gain14", "_loss14")]
+    out += [_f("macd", 2, lambda by: F.col("macd_hist") / (F.col("close") + EPS), "macd_hist")]
+    out += [_rolled(f"r1_lag{k}", "lag", k, "_r1", score=True, keep=True) for k in LAGS]
     out += [_f("vol_regime", 3, lambda by: F.col("_vol20") / (F.col("_vol60") + EPS), "_vol20", "_vol60")]
-    out += [_f("vol_accel", 3, lambda by: ind.difference("_vol20", 5, by), "_vol20")]
+    out += [_f("vol_accel", 3, lambda by: F.col("_vol20") - F.col("_std20_was") * ind.ANNUAL, "_vol20", "_std20_was")]
     out += [_f("trend_strength", 2, lambda by: (F.col("_ma20") - F.col("_ma200")) / (F.col("_ma200") + EPS), "_ma20", "_ma200")]
-    aligned = lambda by: ((F.col("_ma20") > F.col("_ma60")) & (F.col("_ma60") > F.col("_ma200"))).cast("double")
-    out += [_step("_aligned", 2, lambda by: F.coalesce(aligned(by), F.lit(0.0)), "_ma20", "_ma60", "_ma200")]
-    out += [_f("trend_align", 3, lambda by: ind.rolling_mean("_aligned", 20, by=by), "_aligned")]
-    out += [_f("low_dist", 1, lambda by: ind.above_low("close", 10, by), "close")]
+    out += [_rolled("trend_align", "falling", 20, "_ma20", "_ma60", "_ma200", score=True, keep=True)]
+    out += [_f("low_dist", 2, lambda by: (F.col("close") - F.col("_low10")) / (F.col("_low10") + EPS), "_low10")]
     return out
 
 
@@ -88,10 +96,11 @@ def momentum_block() -> list[Feature]:
     """Long horizons, acceleration, volatility-adjusted momentum and season flags of the technology variant."""
     out = [_f(f"r{p}", 1, lambda by, p=p: ind.log_return("close", p, by), "close") for p in (63, 126)]
     out += [_step("_r21", 1, lambda by: ind.log_return("close", 21, by), "close")]
-    out += [_f("r21_chg5", 2, lambda by: ind.difference("_r21", 5, by), "_r21")]
+    out += [_rolled("_r21_was", "lag", 5, "_r21")]
+    out += [_f("r21_chg5", 2, lambda by: F.col("_r21") - F.col("_r21_was"), "_r21", "_r21_was")]
     out += [_f("vol_adj_r21", 3, lambda by: F.col("_r21") / (F.col("_vol20") + EPS), "_r21", "_vol20")]
     out += [_f(n, 1, lambda by, n=n: season_flags("date")[n], "date", score=False) for n in season_flags("date")]
-    out += [_f("season_phase", 2, lambda by: ind.rolling_sum("in_season", 5, by=by), "in_season")]
+    out += [_rolled("season_phase", "sum", 5, "in_season", score=True, keep=True)]
     return out
 
 
@@ -102,18 +111,18 @@ def season_block() -> list[Feature]:
 
 def relation_block(other: str) -> list[Feature]:
     """The symbol against a reference series in column ``other``."""
+    level = lambda: F.col("close") / (F.col(other) + EPS)
     spread = lambda by: ind.log_return("close", 5, by) - ind.log_return(other, 5, by)
     return [
-        _step(f"_{other}_ratio", 1, lambda by: F.col("close") / (F.col(other) + EPS), "close", other),
-        _f(f"{other}_ratio", 2, lambda by: F.col(f"_{other}_ratio"), f"_{other}_ratio"),
-        _f(f"{other}_mom5", 2, lambda by: ind.log_return(f"_{other}_ratio", 5, by), f"_{other}_ratio"),
-        _f(f"{other}_mom21", 2, lambda by: ind.log_return(f"_{other}_ratio", 21, by), f"_{other}_ratio"),
+        _f(f"{other}_ratio", 1, lambda by: level(), "close", other),
+        _f(f"{other}_mom5", 1, lambda by: ind.log_return(level(), 5, by), "close", other),
+        _f(f"{other}_mom21", 1, lambda by: ind.log_return(level(), 21, by), "close", other),
         _f(f"{other}_spread5", 1, spread, "close", other),
         _step(f"_{other}_r1", 1, lambda by: ind.log_return(other, 1, by), other),
-        _step(f"_{other}_corr10", 2, lambda by: ind.rolling_corr("_r1", f"_{other}_r1", 10, by), "_r1", f"_{other}_r1"),
-        _f(f"{other}_corr10", 3, lambda by: F.col(f"_{other}_corr10"), f"_{other}_corr10"),
-        _f(f"{other}_corr_chg", 3, lambda by: ind.difference(f"_{other}_corr10", 5, by), f"_{other}_corr10"),
-        _f(f"{other}_corr20", 2, lambda by: ind.rolling_corr("_r1", f"_{other}_r1", 20, by), "_r1", f"_{other}_r1"),
+        _rolled(f"{other}_corr10", "corr", 10, "_r1", f"_{other}_r1", score=True, keep=True),
+        _rolled(f"_{other}_corr10_was", "lag", 5, f"{other}_corr10"),
+        _f(f"{other}_corr_chg", 2, lambda by: F.col(f"{other}_corr10") - F.col(f"_{other}_corr10_was"), f"{other}_corr10", f"_{other}_corr10_was"),
+        _rolled(f"{other}_corr20", "corr", 20, "_r1", f"_{other}_r1", score=True, keep=True),
     ]
 
 
@@ -208,7 +217,7 @@ REFERENCES = ("anchor", "second", "third")
 
 def variant(kind: str, references: Sequence[str] = REFERENCES, macro: Sequence[str] = ("gpr",)) -> Variant:
     """The first reference is the anchor; curve and spread need a second and third one and are left out without."""
-    symbol = price_block() + chase_block()
+    symbol = [_rolled("macd_hist", "macd", 9, "close"), *price_block(), *chase_block()]
     for c in references:
         symbol += relation_block(c)
     market = interest_block() + reference_block(references)
@@ -228,19 +237,25 @@ def variant(kind: str, references: Sequence[str] = REFERENCES, macro: Sequence[s
 def usable(features: Sequence[Feature], columns: Iterable[str]) -> list[Feature]:
     """Features whose inputs exist, following dependencies stage by stage."""
     have, out = set(columns), []
-    for f in sorted(features, key=lambda f: f.stage):
+    for f in sorted(features, key=lambda f: (f.stage, f.rolled is not None)):
         if set(f.needs) <= have:
             out.append(f)
             have.add(f.name)
     return out
 
 
-def raw_features(df: DataFrame, features: Sequence[Feature], by: Sequence[str] = ("symbol",)) -> tuple[DataFrame, list[Feature]]:
+def raw_features(df: DataFrame, features: Sequence[Feature], by: Sequence[str] = ("symbol",), partitions: int | None = None) -> tuple[DataFrame, list[Feature]]:
+    """All stages; with sliding statistics the rows end in the order of key and date, in ``partitions`` tasks."""
     chosen = usable(features, df.columns)
     counted = {f.name: f.ranked for f in chosen if f.ranked}
+    rolled = {f.name: f.rolled for f in chosen if f.rolled}
     df = rank_so_far(df, counted, TRADING_DAYS, TRADING_DAYS, by) if counted else df
+    if rolled:
+        df = dealt(df, partitions, by) if partitions else df.repartition(*by)
     for stage in sorted({f.stage for f in chosen}):
-        df = df.withColumns({f.name: f.build(by) for f in chosen if f.stage == stage and not f.ranked})
+        df = df.withColumns({f.name: f.build(by) for f in chosen if f.stage == stage and not f.ranked and not f.rolled})
+        if stage == 1 and rolled:
+            df = rolled_columns(df, rolled, by)
     kept = [f for f in chosen if f.keep]
     return df, kept
 
@@ -254,19 +269,25 @@ def build_features(
     target_horizons: Sequence[int] = (17, 18, 19, 20),
     carry: Sequence[str] = (),
     gaps: Mapping[str, tuple[str, str]] | None = None,
+    partitions: int | None = None,
+    digits: int | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """``symbol, date, features..., target`` and the feature names; incomplete rows are kept for the caller.
 
     Features that read the MACD histogram need ``indicators.macd`` to have added it to the panel.  ``carry``
-    names columns to pass through.
+    names columns to pass through.  ``partitions`` sets the tasks of the windows by key,
+    ``digits`` rounds the features.
     """
-    df, kept = raw_features(panel, features, by)
-    df = df.withColumn("target", ind.smoothed_target("close", target_horizons, by))
+    aim = _step("__target", 1, lambda by: ind.smoothed_target("close", target_horizons, by), "close")
+    df, kept = raw_features(panel, [aim, *features], by, partitions)
+    in_order = any(f.rolled for f in usable(features, panel.columns))
     names = [f.name for f in kept]
-    df = df.select(*by, date, *carry, *names, "target")
+    df = df.select(*by, date, *carry, *names, F.col("__target").alias("target"))
     have = {f.name for f in kept if f.score} | set(carry)
     gaps = {g: pair for g, pair in (gaps or {}).items() if set(pair) <= have}
-    scored = rolling_z_all(df, [f.name for f in kept if f.score], window, by=by, order=date, gaps=gaps)
+    scored = rolling_z_all(df, [f.name for f in kept if f.score], window, by=by, order=date, gaps=gaps, in_order=in_order, digits=digits)
+    plain = {f.name: r(f.name, digits) for f in kept if not f.score} if digits is not None else {}
+    scored = scored.withColumns(plain) if plain else scored
     return scored, [*names, *gaps]
 
 
@@ -284,8 +305,8 @@ def attach_series(days: DataFrame, series: DataFrame, name: str, value: str = "v
     return asof_join(days, series.withColumnRenamed(value, name), [name], lag_bdays=lag_bdays)
 
 
-def build_variant(panel: DataFrame, market_days: DataFrame, kind: Variant) -> tuple[DataFrame, list[str]]:
-    """The full table of a variant from a price panel and the market-wide series per trading day.
+def build_variant(panel: DataFrame, market_days: DataFrame, kind: Variant, partitions: int | None = None, digits: int | None = None) -> tuple[DataFrame, list[str]]:
+    """The full table of a variant from a price panel and the market-wide series per trading day, rounded to ``digits``.
 
     The scored market table has the calendar's size and is written once.  Only the columns that symbol
     features read are broadcast to the panel before its windows; the rest follow after the scores, so they are
@@ -301,6 +322,9 @@ def build_variant(panel: DataFrame, market_days: DataFrame, kind: Variant) -> tu
     early = [b for _, (_, b) in kind.gaps if b in market_names]
     late = [c for c in market_names if c not in early]
     joined = panel.join(scored.select("date", *raw, *early), "date", "left")
-    df, names = build_features(joined, kind.symbol, carry=early, gaps=dict(kind.gaps))
-    df = df.join(scored.select("date", *late), "date", "left")
+    df, names = build_features(joined, kind.symbol, carry=early, gaps=dict(kind.gaps), partitions=partitions, digits=digits)
+    shown = lambda c: F.col(c) if digits is None else r(c, digits).alias(c)
+    df = df.select(*[shown(c) if c in early else c for c in df.columns])
+    # Rounded once per day, before the days meet the symbols.
+    df = df.join(scored.select("date", *[shown(c) for c in late]), "date", "left")
     return df, [*names, *early, *late]

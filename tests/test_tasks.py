@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from panelwright.catalog import QUERIES
+from panelwright.functions.expr import r
+from panelwright.operators import rolling
 from panelwright.sources import driver
 
 NAMES = ("I14_macd", "G1_confidence_oof", "L7_benchmark", "L8_alpha", "E2_backtest_report", "K2_signal_hits", "R3_wide_weights", "R3_rotation_ledger", "R3_rotation_replay")
@@ -59,3 +63,52 @@ def test_tasks_of_the_feature_table_follow_the_rows(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(driver, "ROWS_PER_TASK", 250)
     text = QUERIES["F0_all_blocks_metals"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert f", {driver.tasks(spark, sf_dir)}), REPARTITION_BY_NUM" in text
+
+
+def _walks(lengths):
+    rng = np.random.default_rng(7)
+    at = np.concatenate([np.arange(n) for n in lengths])
+    x = np.concatenate([100 * np.exp(np.cumsum(rng.normal(0, 0.01, n))) for n in lengths])
+    return pd.DataFrame({"symbol": np.repeat([f"S{i}" for i in range(len(lengths))], lengths), "at": at, "a": x, "b": rng.normal(size=len(x))})
+
+
+def test_sliding_statistics_of_many_symbols_at_once():
+    df = _walks([1, 9, 40, 253, 252, 700, 3])
+    df.loc[[60, 400, 401], "b"] = np.nan
+    df.loc[500:530, "b"] = 0.1
+    at, a, b, by = df["at"].to_numpy(), df.a.to_numpy(), df.b.to_numpy(), df.groupby("symbol", sort=False)
+    got = {k: rolling.ROLLED[k](at, 20, *c) for k, c in {"mean": [b], "sum": [b], "min": [b], "std": [b], "corr": [a, b], "lag": [b], "macd": [a]}.items()}
+    roll = lambda how: by.b.transform(lambda s: getattr(s.rolling(20), how)())
+    want = {k: roll(k) for k in ("mean", "sum", "min", "std")} | {"lag": by.b.shift(20)}
+    line = by.a.transform(lambda s: s.ewm(span=12, adjust=False).mean() - s.ewm(span=26, adjust=False).mean())
+    want["macd"] = line - line.groupby(df.symbol, sort=False).transform(lambda s: s.ewm(span=20, adjust=False).mean())
+    corr = by[["a", "b"]].apply(lambda g: g.a.rolling(20).corr(g.b)).droplevel(0)
+    want["corr"] = corr.where(roll("std") > 1e-9)
+    for k, w in want.items():
+        np.testing.assert_allclose(got[k], w.to_numpy(), rtol=1e-7, atol=1e-9, err_msg=k)
+    scores = by.b.transform(lambda s: (s - s.rolling(252, min_periods=126).mean()) / (s.rolling(252, min_periods=126).std() + 1e-9))
+    np.testing.assert_allclose(rolling.rolling_scores(b, at, 252, 126), scores.to_numpy(), rtol=1e-7, atol=1e-9)
+
+
+def test_groups_that_go_on_in_the_next_batch(spark):
+    df = _walks([30, 1, 25, 70, 2])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        rows = rolling.rolled_columns(spark.createDataFrame(df).repartition(1, "symbol"), {"m": ("mean", 5, ["b"])}, order="at").toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = rows.sort_values(["symbol", "at"], ignore_index=True)
+    np.testing.assert_allclose(rows.m, rows.groupby("symbol").b.transform(lambda s: s.rolling(5).mean()), atol=1e-12)
+
+
+def test_rounding_in_the_pass_is_that_of_spark(spark):
+    x = np.concatenate([np.arange(-200, 200) / 4e4, [0.00005, -0.00005, 1.00005, 2.5e-5, 1e17, -1e30, 12345678.90125, -1e-9, 0.0, 3e-320]])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double")
+    want = df.select("i", r("x", 4).alias("y")).orderBy("i").toPandas()["y"].to_numpy()
+    assert np.array_equal(rolling.half_up(x, 4), want)
+
+
+def test_sliding_features_are_no_window_frames(spark, sf_dir):
+    text = QUERIES["F0_all_blocks_metals"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in text and "specifiedwindowframe(RowFrame, -199" not in text
+    assert text.count("MapInArrow") == 2 and "REPARTITION_BY_COL" not in text.split("MapInArrow")[0]
