@@ -10,7 +10,10 @@ same characters.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from heapq import heapify, heappop, heappush
+from itertools import repeat
+from operator import add
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,11 +63,13 @@ class Pieces:
         # Pieces by rank, best score first; an agenda entry is a rank and a place in one number.
         self.ranked = sorted(self.ids, key=lambda p: (-sp.get_score(self.ids[p]), p))
         self.ranks = {p: r << PLACE_BITS for r, p in enumerate(self.ranked)}
+        self.orders = {p: r for r, p in enumerate(self.ranked)}
         self.units = UNITS if any(map(CROSSING.search, self.ids)) else FINE_UNITS
         self.first_byte = next(i for i in range(sp.get_piece_size()) if sp.is_byte(i))
-        self.texts = [""] * sp.get_piece_size()
+        self.raw = [b""] * sp.get_piece_size()
         for p, i in self.ids.items():
-            self.texts[i] = p.replace(SPACE, " ")
+            self.raw[i] = p.replace(SPACE, " ").encode("utf-8", "surrogatepass")
+        self.raw[self.first_byte : self.first_byte + 256] = [bytes([b]) for b in range(256)]
 
     def spell(self, symbol: str) -> list[int]:
         """The id of a symbol, or those of its bytes."""
@@ -112,28 +117,33 @@ class Pieces:
         return symbols
 
     def cut_unit(self, unit: str, skips: tuple[int, ...]) -> tuple[int, list[int]]:
-        """How many candidates come up after the last of ``skips``, and the ids, if just those are skipped (by number)."""
-        symbols = [SPACE if c == " " else LITERAL_SPACE if c == SPACE else c for c in unit]
-        ranks, ranked = self.ranks.get, self.ranked
-        starts = list(range(len(symbols)))
-        agenda = [ranks(a + b, NEVER) + i for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False))]
+        """How many candidates come up after the last of ``skips``, and the ids, if just those are skipped (by number).
+
+        The agenda holds ranks only: of equal ones the first is the leftmost.
+        """
+        symbols = list(unit.replace(" ", SPACE)) if SPACE not in unit else [SPACE if c == " " else LITERAL_SPACE if c == SPACE else c for c in unit]
+        orders, ranked = self.orders.get, self.ranked
+        agenda = list(map(orders, map(add, symbols, symbols[1:]), repeat(NEVER)))
         n = 0
         while agenda:
-            entry = min(agenda)
-            if entry >= NEVER:
+            order = min(agenda)
+            if order == NEVER:
                 break
-            i = agenda.index(entry)
+            i = agenda.index(order)
             n += 1
             if n - 1 in skips:
                 agenda[i] = NEVER
                 continue
-            symbols[i] = piece = ranked[entry >> PLACE_BITS]
-            del symbols[i + 1], starts[i + 1], agenda[i]
+            symbols[i] = piece = ranked[order]
+            del symbols[i + 1], agenda[i]
             if i < len(agenda):
-                agenda[i] = ranks(piece + symbols[i + 1], NEVER) + starts[i]
+                agenda[i] = orders(piece + symbols[i + 1], NEVER)
             if i:
-                agenda[i - 1] = ranks(symbols[i - 1] + piece, NEVER) + starts[i - 1]
-        return n - (skips[-1] + 1 if skips else 0), [i for x in symbols for i in self.spell(x)]
+                agenda[i - 1] = orders(symbols[i - 1] + piece, NEVER)
+        ids = list(map(self.ids.get, symbols))
+        if None in ids:
+            ids = [i for x in symbols for i in self.spell(x)]
+        return n - (skips[-1] + 1 if skips else 0), ids
 
     def _merge_long(self, symbols: list[str], limit: int, key: int) -> list[str]:
         """A heap is the agenda; merged symbols stay as empty strings, linked over."""
@@ -168,19 +178,7 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """The text that ``ids`` were made from."""
-        out, raw, low = [], bytearray(), self.first_byte
-        texts = self.texts
-        for i in ids:
-            if low <= i < low + 256:
-                raw.append(i - low)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "surrogatepass"))
-                raw.clear()
-            out.append(texts[i])
-        if raw:
-            out.append(raw.decode("utf-8", "surrogatepass"))
-        return "".join(out)[1:]  # without the blank that leads every text
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]  # without the blank that leads every text
 
 
 class Encoder:
@@ -192,58 +190,81 @@ class Encoder:
         self.pieces, self.rate, self.seed = pieces, rate, seed
         # Candidates taken before a skip are geometric: the logarithm of a uniform number over that of 1 - rate.
         self.scale = -inf if rate <= 0 else 0.0 if rate >= 1 else 1 / log1p(-rate)
-        self.known: dict[str, tuple[int, list[int]]] = {}
-        self.skipped: dict[tuple[str, tuple[int, ...]], tuple[int, list[int]]] = {}
+        # Candidates and ids of a word without a skip, with one by its place, and with more.  Tuples of numbers, which
+        # the collector leaves alone.
+        self.known: dict[str, tuple[int, tuple[int, ...]]] = {}
+        self.once: list[dict[str, tuple[int, tuple[int, ...]]]] = [{} for _ in range(REMEMBERED_CHARS + 1)]
+        self.often: dict[tuple[str, tuple[int, ...]], tuple[int, tuple[int, ...]]] = {}
+        self.room = REMEMBERED_SKIPS
 
     def draws(self, places, number: int):
         """A 64-bit hash per place of a document, as mix() makes it."""
         import numpy as np
 
-        x = np.asarray(places).astype(np.uint64) * np.uint64(_STEP) + np.uint64(mix((self.seed << 32 ^ number) & _MASK))
+        return self._mixed(np.asarray(places).astype(np.uint64) * np.uint64(_STEP) + np.uint64(mix((self.seed << 32 ^ number) & _MASK)))
+
+    def again(self, draws):
+        """The hash after each, for a word's next skip."""
+        import numpy as np
+
+        return self._mixed(draws + np.uint64(_STEP))
+
+    @staticmethod
+    def _mixed(x):
+        import numpy as np
+
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
 
     def taken(self, draws):
-        """How many candidates are taken before the next skip, not rounded down."""
+        """How many candidates are taken before the next skip."""
         import numpy as np
 
-        return np.log(((draws >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) * self.scale
-
-    def plain(self, unit: str) -> tuple[int, list[int]]:
-        """``cut_unit`` without skips."""
-        got = self.pieces.cut_unit(unit, ())
-        if len(self.known) < REMEMBERED:
-            self.known[unit] = got
+        return np.minimum(np.log(((draws >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) * self.scale, 1e15).astype(np.int64)
+
+    def _cut(self, unit: str, skips: tuple[int, ...]) -> tuple[int, tuple[int, ...]]:
+        n, ids = self.pieces.cut_unit(unit, skips)
+        return n, tuple(ids)
+
+    def _skipping(self, unit: str, skips: tuple[int, ...]) -> tuple[int, tuple[int, ...]]:
+        """``cut_unit``, remembered while there is room."""
+        known, key = (self.once[skips[0]], unit) if len(skips) == 1 else (self.often, (unit, skips))
+        got = known.get(key)
+        if got is None:
+            got = self._cut(unit, skips)
+            if self.room > 0:
+                self.room -= 1
+                known[key] = got
         return got
 
-    def dropped(self, unit: str, first: int, draw: int) -> list[int]:
-        """Ids of a word of which candidate ``first`` is the first to be skipped."""
+    def _occurrence(self, unit: str, first: int, second: int, draw: int, again: int) -> Sequence[int]:
+        """Ids of a word whose first skips come after ``first`` and ``second`` candidates; ``again`` draws further ones."""
         from math import log
 
-        skips, known = (first,), self.skipped
-        while True:
-            got = known.get((unit, skips))
-            if got is None:
-                got = self.pieces.cut_unit(unit, skips)
-                if len(known) < REMEMBERED_SKIPS:
-                    known[unit, skips] = got
-            draw = mix(draw + _STEP & _MASK)
-            more = log(((draw >> 11) + 0.5) * 2.0**-53) * self.scale
-            if more >= got[0]:
-                return got[1]
-            skips += (skips[-1] + 1 + int(more),)
-
-    def unit(self, unit: str, place: int, number: int = 0) -> list[int]:
-        """Ids of the word at ``place`` of a document."""
-        draws = self.draws([place], number)
-        return self._occurrence(unit, self.taken(draws).tolist()[0], draws.tolist()[0])
-
-    def _occurrence(self, unit: str, taken: float, draw: int) -> list[int]:
         if len(unit) > REMEMBERED_CHARS:
             return self.pieces.encode_unit(unit, self.rate, draw)
-        n, ids = self.known.get(unit) or self.plain(unit)
-        return ids if taken >= n else self.dropped(unit, int(taken), draw)
+        got = self.known.get(unit)
+        if got is None:
+            got = self._cut(unit, ())
+            if len(self.known) < REMEMBERED:
+                self.known[unit] = got
+        more, skips = first, ()
+        while more < got[0]:
+            skips += ((skips[-1] + 1 if skips else 0) + more,)
+            got = self._skipping(unit, skips)
+            if len(skips) == 1:
+                more = second
+            else:
+                again = mix(again + _STEP & _MASK)
+                more = int(min(log(((again >> 11) + 0.5) * 2.0**-53) * self.scale, 1e15))
+        return got[1]
+
+    def unit(self, unit: str, place: int, number: int = 0) -> Sequence[int]:
+        """Ids of the word at ``place`` of a document."""
+        first = self.draws([place], number)
+        draws = first, self.again(first)
+        return self._occurrence(unit, *(int(self.taken(d)[0]) for d in draws), *(int(d[0]) for d in draws))
 
     def encode(self, text: str, number: int = 0) -> list[int]:
         """Ids of ``text``; ``number`` tells documents apart."""
@@ -252,11 +273,21 @@ class Encoder:
         if not text:
             return []
         units = self.pieces.units.findall(" " + text)
-        draws = self.draws(np.arange(len(units)), number)
-        known, out = self.known.get, []
-        for u, taken, draw in zip(units, self.taken(draws).tolist(), draws.tolist(), strict=True):
+        first = self.draws(np.arange(len(units)), number)
+        draws = first, self.again(first)
+        known, once, out = self.known.get, [k.get for k in self.once], []
+        # Most words have no skip or one that is remembered.
+        for place, (u, first, second) in enumerate(zip(units, *(self.taken(d).tolist() for d in draws), strict=True)):
             got = known(u)
-            out += got[1] if got is not None and taken >= got[0] else self._occurrence(u, taken, draw)
+            if got is not None:
+                if first < got[0]:
+                    got = once[first](u)
+                    if got is not None and second < got[0]:
+                        got = None
+                if got is not None:
+                    out += got[1]
+                    continue
+            out += self._occurrence(u, first, second, int(draws[0][place]), int(draws[1][place]))
         return out
 
 

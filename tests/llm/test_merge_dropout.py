@@ -6,6 +6,7 @@ from cases import TEXTS
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from panelwright.llm import merge_dropout
 from panelwright.llm.merge_dropout import UNITS, Encoder, Pieces, decode, encode, model_path
 
 PIECES = Pieces()
@@ -89,3 +90,18 @@ def test_given_skips(word):
     assert ids == PIECES.encode_unit(word)
     assert all(PIECES.decode([0, *PIECES.cut_unit(word, (k,))[1]]) in (word, word[1:]) for k in range(n))
     assert PIECES.cut_unit(word, tuple(range(1000)))[1] == PIECES.encode_unit(word, 1.0)
+
+
+def test_what_is_remembered_does_not_change_the_ids(monkeypatch):
+    """The same ids with a full memory, an empty one and none, from words with no skip to many."""
+    text = " ".join(f"understanding internationalisation {w} é🙂▁" for w in ("of", "the", "rewording", "a" * 30)) * 30
+    encoder = Encoder(PIECES, 0.4)
+    first = encoder.encode(text, 3)
+    assert encoder.encode(text, 3) == first and sum(map(len, encoder.once)) and encoder.often
+    for name in ("REMEMBERED", "REMEMBERED_SKIPS"):
+        monkeypatch.setattr(merge_dropout, name, 0)
+    bare = Encoder(PIECES, 0.4)
+    assert bare.encode(text, 3) == first and not bare.known and not any(bare.once)
+    assert PIECES.decode(first) == text
+    units = PIECES.units.findall(" " + text)
+    assert [i for k, u in enumerate(units) for i in bare.unit(u, k, 3)] == first
