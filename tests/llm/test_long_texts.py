@@ -52,3 +52,16 @@ def test_a_long_text_is_counted_in_blocks():
     bits = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
     assert got == bits - (1 << 64 if bits >> 63 else 0) and len(hashes) > AT_A_TIME
     assert majority([]) == 0
+
+
+def test_slices_are_bounded_by_bytes_too():
+    import pyarrow as pa
+
+    from panelwright.llm.common import SLICE_BYTES, sliced
+
+    long = pa.RecordBatch.from_arrays([pa.array(["x" * 100_000] * 200)], ["text"])
+    short = pa.RecordBatch.from_arrays([pa.array(["y"] * 5000)], ["text"])
+    got = list(sliced([long, short, long.slice(0, 0)]))
+    assert [b.num_rows for b in got[-4:]] == [2048, 2048, 904, 0]
+    assert max(b.nbytes for b in got) <= SLICE_BYTES and len(got) > 10
+    assert pa.Table.from_batches(got).column(0).to_pylist() == long.column(0).to_pylist() + short.column(0).to_pylist()
