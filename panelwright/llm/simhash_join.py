@@ -4,10 +4,15 @@ Fingerprints are dealt into partitions of bits, correlated bits together.  If pa
 ``t[i]`` differing bits and the sum of ``t[i] + 1`` is over the threshold, no pair within the threshold is missed.  The
 ``t[i]`` are chosen by dynamic programming on candidate counts estimated from all fingerprints; partitions are then
 probed and pairs verified on all 64 bits inside the join.  Equal fingerprints are one row throughout.
+
+Near duplicates of whole texts are found by prefixes instead, whose number goes with the text and not with the pairs that
+many short keys make: in any common order of shingles, two sets with a Jaccard similarity of ``J`` share one of the first
+``n - ceil(J * n) + 1`` of each.  The fingerprints filter the pairs that share one.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations, islice
 from math import comb
@@ -15,6 +20,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import unbroadcast
 from .common import keyed, materialize, numbered, per_batch, query, table, utf8
 from .graph import components
 
@@ -24,10 +30,15 @@ SHINGLE, DISTANCE, SEED = 3, 3, 42
 PARTITIONS, PROBE_COST = (2, 3, 4), 4.0
 #: Buckets of more fingerprints than this are compared in blocks, which give a spanning forest in place of all pairs.
 LARGE_BUCKET, BLOCK = 128, 1024
-#: Near duplicates of whole texts: fingerprints over different pairs of words within so many bits find the candidates, of
-#: which those stay whose sets of five-word shingles have this Jaccard similarity.
+#: Near duplicates of whole texts: candidates are fingerprints over different pairs of words within so many bits, of which
+#: those stay whose sets of five-word shingles have this Jaccard similarity.
 SIMILAR_WIDTH, SIMILAR_DISTANCE, SIMILAR_PARTITIONS = 2, 8, (3, 4, 5, 6, 8)
 JACCARD_WIDTH, JACCARD = 5, 0.8
+#: Shingles that come last in the order of prefixes: the most frequent ones, so many at most, of those that this many texts
+#: of every so many have.  Only the order hangs on them, not which pairs are found.
+COMMON, COMMON_TEXTS, COMMON_OF = 1 << 20, 4, 16
+#: Texts that may share a shingle of their prefixes, in large buckets of fingerprints, before fingerprints are searched instead.
+SHARED = 4
 #: As LARGE_BUCKET and BLOCK, where whole shingle sets are compared.
 SIMILAR_BUCKET, SIMILAR_BLOCK = 64, 256
 #: Most row numbers that are sent to every task, and shingles of a block that are compared at a time.
@@ -319,14 +330,81 @@ def shingle_sets(docs: DataFrame, rows: DataFrame, text_col: str, width: int) ->
     return per_batch(run, "first bigint, shingles array<bigint>", own, rows=2048)
 
 
-def similar_links(distinct: DataFrame, docs: DataFrame, text_col: str = "text", large_bucket: int = SIMILAR_BUCKET) -> DataFrame:
+def prefix(hashes, common):
+    """The shingles of a text by one of which every text with a Jaccard similarity of ``JACCARD`` is found; those of the
+    sorted ``common`` ones come last in the order."""
+    import numpy as np
+
+    own = np.unique(np.fromiter(hashes, np.uint64)).view(np.int64)
+    if len(common):
+        often = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
+        own = np.concatenate([own[~often], own[often]])
+    return own[: len(own) - math.ceil(JACCARD * len(own) - 1e-9) + 1] if len(own) else own
+
+
+def common_shingles(docs: DataFrame, text_col: str, most: int = COMMON):
+    """The most frequent shingles, sorted, ``most`` at most: all above a frequency that a histogram of logarithmic classes
+    (a few hundred rows) tells, counted in one of ``COMMON_OF`` texts by row number."""
+    import numpy as np
+
+    def run(batch):
+        own = [np.unique(np.fromiter(shingle_digests(t, JACCARD_WIDTH), np.uint64)) for t in batch.column(0).to_pylist()]
+        values, n = np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]), return_counts=True)
+        return {"key": values.view(np.int64), "n": n}
+
+    some = docs.filter(F.pmod(F.xxhash64("__row"), F.lit(COMMON_OF)) == 0).select(utf8(text_col).alias("text"))
+    counts = per_batch(run, "key bigint, n bigint", some).groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_TEXTS)
+    counts = materialize(counts.withColumn("class", F.floor(F.log2("n") * 16)), "common-shingles")
+    left, lowest = most, None
+    for r in sorted(counts.groupBy("class").agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r["class"]):
+        if r["k"] > left:
+            break
+        left, lowest = left - r["k"], r["class"]
+    if lowest is None:
+        return np.zeros(0, np.int64)
+    return np.sort(counts.filter(F.col("class") >= lowest).select("key").toPandas()["key"].to_numpy(np.int64))
+
+
+def prefixed_prints(docs: DataFrame, text_col: str) -> DataFrame:
+    """``id, fp, keys``: row number, fingerprint and prefix of every text of ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col))  # bounded by COMMON
+
+    def run(batch):
+        texts = batch.column(1).to_pylist()
+        return {"id": batch.column(0), "fp": [fingerprint_of_set(t) for t in texts], "keys": [prefix(shingle_digests(t, JACCARD_WIDTH), shared.value) for t in texts]}
+
+    return per_batch(run, "id bigint, fp bigint, keys array<bigint>", docs.select(F.col("__row").alias("id"), utf8(text_col).alias("text")))
+
+
+def shared_keys(prints: DataFrame, distinct: DataFrame) -> DataFrame:
+    """``fp, key, n`` of every shingle that the prefixes of ``n`` texts share, two at least; a fingerprint's first text counts."""
+    later = materialize(prints.select("id", "fp").join(distinct, "fp").filter(F.col("id") > F.col("first")).select("id"), "later-texts")
+    later = later if later.count() > SENT_IDS else F.broadcast(later)
+    index = prints.join(later, "id", "left_anti").select("fp", F.explode("keys").alias("key"))
+    sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    return materialize(index.join(unbroadcast(sizes), "key").select("fp", "key", "n"), "shared-shingles")
+
+
+def similar_links(prints: DataFrame, distinct: DataFrame, docs: DataFrame, text_col: str = "text", large_bucket: int = SIMILAR_BUCKET) -> DataFrame:
     """``a, b``: links between fingerprints of ``distinct`` (``fp, first``: a row number of ``docs``) within
-    ``SIMILAR_DISTANCE`` bits whose texts have a Jaccard similarity of ``JACCARD`` at least."""
+    ``SIMILAR_DISTANCE`` bits whose texts have a Jaccard similarity of ``JACCARD`` at least.
+
+    Texts that share a shingle of their prefixes are compared by fingerprint.  Where too many share one, as in a large
+    group of near copies, the fingerprints of those texts are searched as by near_links().
+    """
     import numpy as np
 
-    prints = distinct.select("fp")
-    plan = plan_partitions(prints, SIMILAR_DISTANCE, SIMILAR_PARTITIONS)
-    index, probes, links, large = buckets(prints, plan, SIMILAR_DISTANCE, large_bucket)
+    keys = shared_keys(prints, distinct)
+    few = keys.filter(F.col("n") <= SHARED * large_bucket).select("fp", "key")
+    i, p = few.alias("i"), few.alias("p")
+    near = (F.col("i.fp") < F.col("p.fp")) & (differing(F.col("i.fp"), F.col("p.fp")) <= SIMILAR_DISTANCE)
+    links = i.join(unbroadcast(p), (F.col("i.key") == F.col("p.key")) & near).select(F.col("p.fp").alias("a"), F.col("i.fp").alias("b"))
+    crowd = materialize(keys.filter(F.col("n") > SHARED * large_bucket).select("fp").distinct(), "crowded-fingerprints")
+    large = None
+    if not crowd.isEmpty():
+        plan = plan_partitions(crowd, SIMILAR_DISTANCE, SIMILAR_PARTITIONS)
+        index, probes, more, large = buckets(crowd, plan, SIMILAR_DISTANCE, large_bucket)
+        links = links.unionByName(more)
     pairs = materialize(links.distinct(), "similar-candidates")
     members = pairs.select(F.explode(F.array("a", "b")).alias("fp"))
     if large is not None:
@@ -382,9 +460,9 @@ def keep_one(docs: DataFrame, text_col: str = "text", large_bucket: int = SIMILA
     whose fingerprints differ in ``SIMILAR_DISTANCE`` bits at most.
     """
     rows = numbered(docs)
-    prints = keyed(fingerprints(rows, "__row", text_col, fingerprint_of_set).withColumnRenamed("id", "at"), "set-fingerprints").select(F.col("at").alias("id"), "fp")
+    prints = materialize(prefixed_prints(rows, text_col), "set-fingerprints")
     distinct = _distinct(prints)
-    groups = named_groups(prints, distinct, similar_links(distinct, rows, text_col, large_bucket))
+    groups = named_groups(prints.select("id", "fp"), distinct, similar_links(prints, distinct, rows, text_col, large_bucket))
     gone = groups.filter(F.col("id") != F.col("component")).select(F.col("id").alias("__row"))
     return rows.join(materialize(gone, "near-duplicates"), "__row", "left_anti").select(*docs.columns)
 

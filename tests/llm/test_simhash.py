@@ -133,3 +133,44 @@ def test_jaccard_matrix(monkeypatch):
     left, right = ([np.unique(rng.integers(0, 12, rng.integers(0, 8))) for _ in range(n)] for n in (5, 7))
     want = [[len(set(a) & set(b)) / len(set(a) | set(b)) if len(a) + len(b) else 1.0 for b in right] for a in left]
     assert np.allclose(jaccard_matrix(left, right), want)
+
+
+@pytest.mark.parametrize("often", [0, 30])
+def test_similar_sets_share_a_prefix(often):
+    """Every pair with the similarity shares a shingle of its prefixes, whichever shingles come last in the order."""
+    from panelwright.llm.simhash_join import JACCARD, prefix
+
+    rng = np.random.default_rng(often)
+    common = np.sort(rng.choice(90, often, replace=False))
+    found = 0
+    for _ in range(3000):
+        a = rng.choice(90, rng.integers(1, 40), replace=False)
+        b = np.union1d(rng.choice(a, max(1, len(a) - rng.integers(0, 5)), replace=False), rng.choice(90, rng.integers(0, 4)))
+        if len(np.intersect1d(a, b)) >= JACCARD * len(np.union1d(a, b)):
+            found += 1
+            assert set(prefix(a.tolist(), common).tolist()) & set(prefix(b.tolist(), common).tolist())
+    assert found > 500 and len(prefix([], common)) == 0
+
+
+def test_unlike_texts_share_no_keys(spark):
+    """The rows that near duplicates are looked for by go with the texts and the pairs that are alike, not with the number of texts squared."""
+    from panelwright.llm.common import keyed
+    from panelwright.llm.simhash_join import _distinct, prefixed_prints, shared_keys
+
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(100))
+    docs = keyed(spark.createDataFrame([(i, text()) for i in range(400)], "doc_id bigint, text string"), "unlike")
+    prints = prefixed_prints(docs, "text")
+    assert prints.selectExpr("max(size(keys)) AS n").first().n == 96 - 77 + 1
+    assert shared_keys(prints, _distinct(prints)).isEmpty()
+
+
+def test_a_crowd_of_near_copies_is_one_group(spark, monkeypatch):
+    from panelwright.llm import simhash_join
+
+    monkeypatch.setattr(simhash_join, "SHARED", 1)
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    rows = [(i, " ".join([*words[:i], f"changed{i}", *words[i + 1 :]])) for i in range(40)] + [(40, " ".join(words[::-1]))]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), large_bucket=4).collect()
+    assert {r.doc_id for r in kept} == {0, 40}
