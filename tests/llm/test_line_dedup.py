@@ -154,3 +154,17 @@ def test_query_returns_short_lines(spark, tmp_path):
     spark.createDataFrame([(1, "Les.\nAll rights reserved."), (2, "All rights reserved.\n\nLes.")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted((r.doc_id, r.line, r.class_doc, r.class_line, r.kept) for r in line_dedup.op9(spark, str(tmp_path)).collect())
     assert got == [(1, 0, 1, 0, True), (1, 1, 1, 1, True), (2, 0, 1, 1, False), (2, 2, 1, 0, False)]
+
+
+def test_keys_and_signatures_are_taken_in_small_parts(monkeypatch):
+    """Arrays over all lines of a batch left the cache; parts of any size give the same signatures."""
+    rng = random.Random(3)
+    lines = [changed(rng, "some line of this text " * rng.randint(1, 9), 5) for _ in range(300)]
+    whole, sizes = line_dedup._signatures(lines), []
+    real = line_dedup._signatures
+    monkeypatch.setattr(line_dedup, "_signatures", lambda own: sizes.append(sum(map(len, own))) or real(own))
+    for most in (1, 500, 1 << 15):
+        sizes.clear()
+        monkeypatch.setattr(line_dedup, "SIGNED", most)
+        assert (signatures(lines) == whole).all() and max(sizes) < most + 250
+    assert line_dedup.PARCEL <= 1 << 17
