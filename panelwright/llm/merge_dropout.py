@@ -10,9 +10,10 @@ same characters.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import repeat
+from itertools import pairwise, repeat
 from operator import add
 
 from pyspark.sql import DataFrame, SparkSession
@@ -117,23 +118,32 @@ class Pieces:
         return symbols
 
     def cut_unit(self, unit: str, skips: tuple[int, ...]) -> tuple[int, list[int]]:
-        """How many candidates come up after the last of ``skips``, and the ids, if just those are skipped (by number).
+        """How many candidates come up after the last of ``skips``, and the ids, if just those are skipped (by number)."""
+        if not skips:
+            return self.cut_drawn(unit, NEVER, iter(()))
+        n, ids = self.cut_drawn(unit, skips[0], iter([b - a - 1 for a, b in pairwise(skips)] + [NEVER]))
+        return n - (skips[-1] + 1), ids
+
+    def cut_drawn(self, unit: str, first: int, further: Iterator[int]) -> tuple[int, list[int]]:
+        """How many candidates come up, and the ids, if ``first`` candidates are taken before one is skipped, and as many as
+        ``further`` tells before each later skip.
 
         The agenda holds ranks only: of equal ones the first is the leftmost.
         """
         symbols = list(unit.replace(" ", SPACE)) if SPACE not in unit else [SPACE if c == " " else LITERAL_SPACE if c == SPACE else c for c in unit]
         orders, ranked = self.orders.get, self.ranked
         agenda = list(map(orders, map(add, symbols, symbols[1:]), repeat(NEVER)))
-        n = 0
+        n, left = 0, first
         while agenda:
             order = min(agenda)
             if order == NEVER:
                 break
             i = agenda.index(order)
             n += 1
-            if n - 1 in skips:
-                agenda[i] = NEVER
+            if not left:
+                agenda[i], left = NEVER, next(further)
                 continue
+            left -= 1
             symbols[i] = piece = ranked[order]
             del symbols[i + 1], agenda[i]
             if i < len(agenda):
@@ -143,7 +153,7 @@ class Pieces:
         ids = list(map(self.ids.get, symbols))
         if None in ids:
             ids = [i for x in symbols for i in self.spell(x)]
-        return n - (skips[-1] + 1 if skips else 0), ids
+        return n, ids
 
     def _merge_long(self, symbols: list[str], limit: int, key: int) -> list[str]:
         """A heap is the agenda; merged symbols stay as empty strings, linked over."""
@@ -238,26 +248,30 @@ class Encoder:
                 known[key] = got
         return got
 
-    def _occurrence(self, unit: str, first: int, second: int, draw: int, again: int) -> Sequence[int]:
-        """Ids of a word whose first skips come after ``first`` and ``second`` candidates; ``again`` draws further ones."""
+    def _further(self, second: int, again: int) -> Iterator[int]:
+        """How many candidates are taken before each skip after a word's first."""
         from math import log
 
+        yield second
+        while True:
+            again = mix(again + _STEP & _MASK)
+            yield int(min(log(((again >> 11) + 0.5) * 2.0**-53) * self.scale, 1e15))
+
+    def _occurrence(self, unit: str, first: int, second: int, draw: int, again: int) -> Sequence[int]:
+        """Ids of a word whose first skips come after ``first`` and ``second`` candidates; ``again`` draws further ones."""
         if len(unit) > REMEMBERED_CHARS:
             return self.pieces.encode_unit(unit, self.rate, draw)
+        further = self._further(second, again)
         got = self.known.get(unit)
         if got is None:
-            got = self._cut(unit, ())
-            if len(self.known) < REMEMBERED:
-                self.known[unit] = got
+            if len(self.known) >= REMEMBERED:
+                return self.pieces.cut_drawn(unit, first, further)[1]  # a rare word, worked out once with its skips
+            got = self.known[unit] = self._cut(unit, ())
         more, skips = first, ()
         while more < got[0]:
             skips += ((skips[-1] + 1 if skips else 0) + more,)
             got = self._skipping(unit, skips)
-            if len(skips) == 1:
-                more = second
-            else:
-                again = mix(again + _STEP & _MASK)
-                more = int(min(log(((again >> 11) + 0.5) * 2.0**-53) * self.scale, 1e15))
+            more = next(further)
         return got[1]
 
     def unit(self, unit: str, place: int, number: int = 0) -> Sequence[int]:
@@ -291,17 +305,27 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=2)
+def shared_pieces(path: str | None) -> Pieces:
+    """The process's pieces, read once for all its tasks."""
+    return Pieces(path)
+
+
+@lru_cache(maxsize=1)
+def shared_encoder(path: str | None, rate: float, seed: int) -> Encoder:
+    """The process's encoder: what it remembers serves all its tasks.  It is bounded, and the ids do not hang on it."""
+    return Encoder(shared_pieces(path), rate, seed)
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = DROPOUT, seed: int = SEED, path: str | None = None) -> DataFrame:
     """``id, ids`` of every row.  Null and empty texts have no ids; equal rows have equal ids; a null id counts as 0."""
-    held: list = []
 
     def run(batch):
         import numpy as np
         import pyarrow as pa
 
-        if not held:
-            held.append(Encoder(Pieces(path), rate, seed))
-        rows = [np.array(held[0].encode(t or "", n or 0), np.int32) for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        encoder = shared_encoder(path, rate, seed)
+        rows = [np.array(encoder.encode(t or "", n or 0), np.int32) for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
         ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
         return {"id": batch.column(0), "ids": pa.ListArray.from_arrays(ends, np.concatenate([*rows, np.zeros(0, np.int32)]))}
 
@@ -310,21 +334,18 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``id, text`` of every row of ``id, ids``; no ids (or null) give an empty text."""
-    held: list = []
 
     def run(batch):
-        if not held:
-            held.append(Pieces(path))
+        pieces = shared_pieces(path)
         ids = batch.column("ids")
         flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-        return {"id": batch.column("id"), "text": [held[0].decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)]}
+        return {"id": batch.column("id"), "text": [pieces.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)]}
 
     return per_batch(run, "id bigint, text string", encoded.select("id", F.coalesce("ids", F.expr("CAST(array() AS array<int>)")).alias("ids")), rows=512)
 
 
 def _crc(encoded: DataFrame) -> DataFrame:
     """Adds number and CRC-32 (little-endian 32-bit ids) of ``ids`` and their decoded text's SHA-256."""
-    held: list = []
 
     def run(batch):
         import zlib
@@ -332,14 +353,13 @@ def _crc(encoded: DataFrame) -> DataFrame:
 
         import numpy as np
 
-        if not held:
-            held.append(Pieces())
+        pieces = shared_pieces(None)
         ids = batch.column("ids")
         flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
         rows = [flat[a:b].astype(np.int32) for a, b in zip(ends, ends[1:], strict=False)]
         return {
             "id": batch.column("id"), "n_ids": [len(r) for r in rows], "ids_crc32": [zlib.crc32(r.astype("<u4").tobytes()) for r in rows],
-            "decoded_sha256": [sha256(held[0].decode(r.tolist()).encode("utf-8", "replace")).hexdigest() for r in rows],
+            "decoded_sha256": [sha256(pieces.decode(r.tolist()).encode("utf-8", "replace")).hexdigest() for r in rows],
         }
 
     return per_batch(run, "id bigint, n_ids bigint, ids_crc32 bigint, decoded_sha256 string", encoded, rows=512)

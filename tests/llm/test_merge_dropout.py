@@ -105,3 +105,22 @@ def test_what_is_remembered_does_not_change_the_ids(monkeypatch):
     assert PIECES.decode(first) == text
     units = PIECES.units.findall(" " + text)
     assert [i for k, u in enumerate(units) for i in bare.unit(u, k, 3)] == first
+
+
+def test_tasks_of_a_process_share_what_is_remembered():
+    """Pieces were read anew, and words worked out anew, for every task."""
+    own = merge_dropout.shared_encoder(None, 0.1, 17)
+    assert own is merge_dropout.shared_encoder(None, 0.1, 17) and own.pieces is merge_dropout.shared_pieces(None)
+
+
+def test_a_word_without_room_is_worked_out_once(monkeypatch):
+    """One pass with the skips as they are drawn gives the ids of a pass per skip."""
+    words = [f"unremembered{i}words" for i in range(60)]
+    remembering = merge_dropout.Encoder(PIECES, 0.4, 5)
+    want = [list(remembering.unit(" " + w, k, 9)) for k, w in enumerate(words)]
+    assert remembering.often
+    calls, real = [], merge_dropout.Pieces.cut_drawn
+    monkeypatch.setattr(merge_dropout, "REMEMBERED", 0)
+    monkeypatch.setattr(merge_dropout.Pieces, "cut_drawn", lambda self, *a: calls.append(1) or real(self, *a))
+    bare = merge_dropout.Encoder(PIECES, 0.4, 5)
+    assert [list(bare.unit(" " + w, k, 9)) for k, w in enumerate(words)] == want and len(calls) == len(words)
