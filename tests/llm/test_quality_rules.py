@@ -57,3 +57,38 @@ def test_threshold(most):
     t = calibrate(scores, good, most)
     assert 0.3 <= t < 0.5
     assert calibrate(scores, np.ones(6, bool)) == float("inf")
+
+
+def test_every_labelled_row_takes_part(spark):
+    """The only bad row is the one that 20,000 rows by hash would leave out; repeated and unlabelled rows beside it."""
+    from pyspark.sql import functions as F
+
+    ids = spark.range(21_000).select(F.col("id").alias("doc_id"))
+    last = ids.orderBy(F.xxhash64("doc_id").desc()).first()["doc_id"]
+    word = "transform(sequence(0, 24), i -> substr(md5(concat(doc_id, '-', i)), 1, 5{}))"
+    text = F.when(F.col("doc_id") == last, F.expr(f"concat_ws('### ', {word.format('')})")).otherwise(F.expr(f"concat_ws(' ', {word.format(' + doc_id % 3')})"))
+    docs = ids.withColumn("text", text)
+    labels = ids.withColumn("quality", (F.col("doc_id") != last).cast("int"))
+    kept = {r.id: r.kept for r in quality_rules(docs.union(docs.limit(50)), labels).collect()}
+    assert not kept[last] and sum(not k for k in kept.values()) <= 22
+    assert {r.doc_id for r in keep_good(docs, labels).collect()} == {i for i, k in kept.items() if k}
+
+
+def test_fit_of_many_rows_is_that_of_the_arrays(spark):
+    """Draws and threshold of the executors against the driver's, with ties, without bad rows and without good ones."""
+    from panelwright.llm.quality_rules import RATIOS, SUBSAMPLE, TREES, drawn, grow, threshold_among
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 30, (3000, len(RATIOS))) / 10
+    good = rng.random(3000) < 0.9
+    x[~good] += 1
+    table = lambda some: spark.createDataFrame([(int(i), bool(good[i]), *map(float, x[i])) for i in np.flatnonzero(some)], "id bigint, good boolean, " + ", ".join(f"{k} double" for k in RATIOS))
+    rows = table(np.ones(3000, bool))
+    draws = drawn(rows.filter("good"), int(good.sum()))
+    assert [len(d) for d in draws] == [SUBSAMPLE] * TREES and len({d.tobytes() for d in draws}) == TREES
+    assert {tuple(r) for d in draws for r in d} <= {tuple(r) for r in x[good]}
+    forest = grow(None, x.min(0), x.max(0), draws=draws)
+    scores = forest.score(x)
+    for most in (0.0, 0.001, 0.05):
+        assert threshold_among(rows, forest, int(good.sum()), most) == calibrate(scores, good, most)
+    assert threshold_among(table(~good), forest, 0) == calibrate(scores[~good], good[~good])
