@@ -174,3 +174,28 @@ def test_a_crowd_of_near_copies_is_one_group(spark, monkeypatch):
     rows = [(i, " ".join([*words[:i], f"changed{i}", *words[i + 1 :]])) for i in range(40)] + [(40, " ".join(words[::-1]))]
     kept = keep_one(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), large_bucket=4).collect()
     assert {r.doc_id for r in kept} == {0, 40}
+
+
+def test_counted_shingles_set_the_order_only(spark, monkeypatch):
+    """The same rows stay whether shingles are counted in all texts, in a 16th of them or in none; some buckets are large."""
+    from panelwright.llm import simhash_join as sj
+
+    rng = random.Random(6)
+    often = [" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 99)) for _ in range(12)) for _ in range(3)]
+    texts = []
+    for _ in range(60):
+        words = [f"w{rng.randint(0, 9999)}" for _ in range(60)]
+        for _ in range(rng.randint(1, 5)):
+            own = list(words)
+            for _ in range(rng.randint(0, 2)):
+                own[rng.randrange(60)] = f"x{rng.randint(0, 9999)}"
+            texts.append(" ".join([rng.choice(often), *own, rng.choice(often)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    none = lambda docs, text_col, most=0: np.zeros(0, np.int64)
+    found = []
+    for of, fn in ((1, sj.common_shingles), (16, sj.common_shingles), (1, none)):
+        monkeypatch.setattr(sj, "COMMON_OF", of)
+        monkeypatch.setattr(sj, "common_shingles", fn)
+        found.append({r.doc_id for r in keep_one(docs, large_bucket=2).collect()})
+        monkeypatch.undo()
+    assert found[0] == found[1] == found[2] and 60 <= len(found[0]) < len(texts)
