@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import bday_index
 from ..functions.expr import as_list, correlation, ordered, up_to_now
-from ..session import materialize, unbroadcast
+from ..session import materialize
+from .chunks import draws, key_rows, places, scores
 
 BY = ("strategy", "symbol")
 METRICS = ("ic", "win_rate", "pct_return")
 
-# Blocks and out-of-fold rows a key needs for chunks, blocks and chunks it needs for the test.
-MIN_BLOCKS, MIN_OOF, MIN_SAMPLES = 4, 30, (3, 30)
+# Blocks and chunks a key needs for the test.
+MIN_SAMPLES = (3, 30)
 
 #: Fours of permutations of a group that a task takes at a time.
 STRETCH = 10
@@ -137,100 +138,6 @@ def oof_validation(
     return out.drop("__lo", "__hi", "__log", "__mean", "__std", "__dd")
 
 
-def chunk_metrics(rows: DataFrame, by: Sequence[str], hold: int, min_signal: float, date: str = "date") -> DataFrame:
-    """Information coefficient, win rate and return of each chunk replayed without overlap (V4)."""
-    by = as_list(by)
-    taken = non_overlapping(rows, hold, min_signal, "long_short", by, date)
-    sums = taken.groupBy(*by).agg(
-        F.avg((F.col("trade_ret") > 0).cast("double")).alias("win_rate"),
-        ((F.exp(F.sum("trade_ret")) - 1) * 100).alias("pct_return"),
-        F.count(F.lit(1)).alias("n_trades"),
-    )
-    ics = rows.groupBy(*by).agg(correlation("pred", "actual").alias("ic"), F.count(F.lit(1)).alias("n_rows"))
-    ics = ics.filter("n_rows >= 5").withColumn("ic", F.coalesce("ic", F.lit(0.0)))
-    return sums.join(unbroadcast(ics), by)
-
-
-def keyed_number(*parts) -> Column:
-    """A number of 60 bits from the MD5 of the parts, which SQL engines agree on."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 15), 16, 10).cast("long")
-
-
-def chunk_places(preds: DataFrame, gap: int, by: Sequence[str], date: str = "date") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Where chunks as long as the median block may lie among a key's rows that are not out of fold (V4).
-
-    ``free``: those rows with their place; ``keys``: length and number of places of each key with four blocks, 30
-    out-of-fold rows and more free rows than a chunk; ``clean``: the places whose chunk touches no block, found without
-    comparing pairs: as many blocks have ended before its first day as have started by its last.
-    """
-    w = ordered(by, date)
-    oof_blocks = block_table(preds.filter("is_oof"), gap, by, date)
-    size = oof_blocks.groupBy(*by).agg(
-        F.floor(F.median("n")).cast("int").alias("len"), F.count(F.lit(1)).alias("n_blocks"), F.sum("n").alias("n_oof")
-    ).filter((F.col("n_blocks") >= MIN_BLOCKS) & (F.col("n_oof") >= MIN_OOF))
-    spans = oof_blocks.select(*by, "start", "end")
-    marks = spans.select(*by, F.col("start").alias(date), F.lit(1).alias("__s"), F.lit(0).alias("__e")).unionByName(
-        spans.select(*by, F.col("end").alias(date), F.lit(0).alias("__s"), F.lit(1).alias("__e"))
-    )
-    marks = marks.groupBy(*by, date).agg(F.sum("__s").alias("__s"), F.sum("__e").alias("__e"))
-    so_far, earlier = up_to_now(by, date), w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = preds.join(marks, [*by, date], "left").withColumns(
-        {
-            "__started": F.coalesce(F.sum("__s").over(so_far), F.lit(0)),
-            "__ended": F.coalesce(F.sum("__e").over(earlier), F.lit(0)),
-        }
-    ).drop("__s", "__e")
-    free = materialize(rows.filter(~F.col("is_oof")).withColumn("__pos", F.row_number().over(w) - 1), "free-rows")
-    keys = free.groupBy(*by).agg(F.count(F.lit(1)).alias("n_free")).join(size, by).filter("n_free >= len + 1")
-    keys = keys.select(*by, "len", (F.col("n_free") - F.col("len")).cast("long").alias("n_places"))
-    first = free.select(*by, F.col("__pos").alias("place"), "__ended").join(unbroadcast(keys), by).filter("place < n_places")
-    last = free.select(*by, F.col("__pos").alias("__last"), "__started")
-    tested = first.withColumn("__last", F.col("place") + F.col("len") - 1).join(unbroadcast(last), [*by, "__last"])
-    clean = materialize(tested.filter("__started = __ended").select(*by, "place"), "clean-places")
-    n_clean = clean.groupBy(*by).agg(F.count(F.lit(1)).alias("n_clean"))
-    keys = keys.join(n_clean, by, "left").withColumn("n_clean", F.coalesce("n_clean", F.lit(0)))
-    return free.drop("__started", "__ended", "is_oof"), materialize(keys, "chunk-keys"), clean
-
-
-def score_places(places: DataFrame, free: DataFrame, keys: DataFrame, hold: int, min_signal: float, by: Sequence[str], date: str) -> DataFrame:
-    """``places`` with the metrics of the chunk that starts there; null where it has no trade or under five rows."""
-    spread = places.join(unbroadcast(keys.select(*by, "len")), by).withColumn("__pos", F.explode(F.sequence("place", F.col("place") + F.col("len") - 1)))
-    rows = spread.drop("len").join(unbroadcast(free), [*by, "__pos"]).drop("__pos")
-    return places.join(unbroadcast(chunk_metrics(rows, [*by, "place"], hold, min_signal, date)), [*by, "place"], "left")
-
-
-def draw_chunks(
-    free: DataFrame, keys: DataFrame, clean: DataFrame, n_boot: int, seed: int, hold: int, min_signal: float, by: Sequence[str], date: str
-) -> DataFrame:
-    """The first ``n_boot`` draws of each key that hit a clean place whose chunk scores, with the key's ``shortfall``.
-
-    Draw ``i`` is a hash of key, ``i`` and seed over the key's places, so the result depends neither on rounds nor on
-    tasks.  A round draws for the keys that are not full yet and scores the places that no round before has; what was
-    drawn and scored is carried on.  A key is given up only when all its clean places are known and none scores.
-    """
-    on, drawn, known = [*by, "place"], [], []
-    waiting, start, size = keys, 0, 2 * n_boot
-    while True:
-        attempts = waiting.select(*by, "n_places", F.explode(F.sequence(F.lit(start), F.lit(start + size - 1))).alias("attempt"))
-        place = keyed_number(*by, F.col("attempt").cast("string"), F.lit(str(seed))) % F.col("n_places")
-        drawn.append(materialize(attempts.withColumn("place", place.cast("int")).join(unbroadcast(clean), on).select(*on, "attempt"), "draws"))
-        new = drawn[-1].select(*on).distinct()
-        for scored in known:
-            new = new.join(unbroadcast(scored.select(*on)), on, "left_anti")
-        known.append(materialize(score_places(materialize(new, "new-places"), free, keys, hold, min_signal, by, date), "scored-places"))
-        places, draws = reduce(DataFrame.unionByName, known), reduce(DataFrame.unionByName, drawn)
-        chunks = draws.join(unbroadcast(places.filter("n_trades IS NOT NULL")), on).withColumn("chunk", F.row_number().over(ordered(by, "attempt")).cast("long"))
-        chunks = chunks.filter(F.col("chunk") <= n_boot).drop("place", "attempt")
-        full = chunks.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-        seen = places.groupBy(*by).agg(F.count(F.lit(1)).alias("__tried"), F.count("n_trades").alias("__good"))
-        state = keys.join(full, by, "left").join(seen, by, "left").fillna(0, ["__n", "__tried", "__good"])
-        state = materialize(state.withColumn("shortfall", (F.lit(n_boot) - F.col("__n")).cast("long")), "draw-state")
-        waiting = state.filter((F.col("shortfall") > 0) & ~((F.col("__tried") == F.col("n_clean")) & (F.col("__good") == 0)))
-        if waiting.isEmpty():
-            return state.select(*by, "shortfall").join(chunks, by, "left")
-        start, size = start + size, 2 * size
-
-
 def bootstrap(
     preds: DataFrame, n_boot: int = 300, seed: int = 42, hold: int = 20, min_signal: float = 0.008,
     gap: int = 30, by: Sequence[str] = BY, date: str = "date",
@@ -238,15 +145,12 @@ def bootstrap(
     """Metrics of every out-of-fold block (``is_oof``) and of ``n_boot`` random chunks per key (V4).
 
     Each key has exactly ``n_boot`` scored chunks, or a ``shortfall``: a key none of whose places scores is one row without
-    a chunk.  Keys too short for chunks have their blocks only.  The predictions are written once, as they are read several
-    times.
+    a chunk.  Keys too short for chunks have their blocks only.  Keys are dealt once; what follows takes each by itself.
     """
     by = as_list(by)
-    preds = materialize(preds.select(*by, date, "pred", "actual", "is_oof"), "predictions")
-    oof = blocks(preds.filter("is_oof"), gap, by, date).withColumn("chunk", F.col("block").cast("long")).drop("block")
-    a = chunk_metrics(oof, [*by, "chunk"], hold, min_signal, date).withColumns({"is_oof": F.lit(True), "shortfall": F.lit(None).cast("long")})
-    b = materialize(draw_chunks(*chunk_places(preds, gap, by, date), n_boot, seed, hold, min_signal, by, date), "chunks")
-    return a.unionByName(b.withColumn("is_oof", F.lit(False)))
+    clean = materialize(places(key_rows(preds, by, date), by, gap, hold, min_signal), "clean-places")
+    drawn = materialize(draws(clean, by, n_boot, seed), "draws")
+    return materialize(scores(drawn, by, n_boot, gap, hold, min_signal), "scored-places")
 
 
 def perm_test(samples: DataFrame, n_perm: int = 1000, seed: int = 42, by: Sequence[str] = BY, metrics=METRICS) -> DataFrame:

@@ -164,3 +164,48 @@ def test_only_keys_are_broadcast(spark, monkeypatch):
     joins = {name: plan.count("BroadcastHashJoin") for name, plan in plans}
     assert joins["draws"] == joins["scored-places"] == 0
     assert joins["clean-places"] <= 1  # a key's rows and blocks
+
+
+def test_chunks_are_not_spread_on_disk(spark, monkeypatch):
+    """Keys are dealt once: no draw, place or row of a chunk is exploded, joined or shuffled."""
+    plans = []
+    monkeypatch.setattr(val, "materialize", lambda df, name, of=val.materialize: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or of(df, name))
+    val.bootstrap(spark.createDataFrame(panel(1200)), 20).collect()
+    assert not any(w in plan for plan in plans for w in ("Generate", "Join", "Window"))
+
+
+@pytest.mark.parametrize("at_once", [1, 500])
+def test_chunks_in_slices(spark, sparse, monkeypatch, at_once):
+    """Slices of one key and of some, repeated days, rows without a forecast, an outcome, a key, a date or a fold mark."""
+    from panelwright.operators import chunks
+
+    pdf = pd.concat([sparse, sparse.sample(200, random_state=1)], ignore_index=True)
+    df = spark.createDataFrame(pdf)
+    at = F.pmod(F.xxhash64("symbol", "date", "pred"), F.lit(40))
+    df = df.withColumns({"pred": F.when(at != 0, F.col("pred")), "actual": F.when(at != 1, F.col("actual"))})
+    bare = df.limit(9).withColumn("symbol", F.lit(None).cast("string")).union(df.limit(9).withColumn("date", F.lit(None).cast("date"))).union(df.limit(9).withColumn("is_oof", F.lit(None).cast("boolean")))
+    whole = sorted(map(repr, val.bootstrap(df, 20).collect()))
+    monkeypatch.setattr(chunks, "AT_ONCE", at_once)
+    assert sorted(map(repr, val.bootstrap(df.union(bare), 20).collect())) == whole
+
+
+def test_metrics_of_blocks_match_pandas(spark):
+    """Blocks that are constant, short or without a trade; every trade counts, an unknown outcome in neither mean nor sum."""
+    pdf = panel(1200, symbols=("A",))
+    block = (np.arange(1200) // 160).astype(int)
+    pdf.loc[pdf.is_oof & (block == 1), "pred"] = 0.05
+    pdf.loc[pdf.is_oof & (block == 2), "pred"] = 0.001
+    pdf = pdf[~(pdf.is_oof & (block == 3) & (np.arange(1200) % 160 > 3))]
+    got = {r.chunk: r for r in val.bootstrap(spark.createDataFrame(pdf), 5).filter("is_oof").collect()}
+    oof = pdf[pdf.is_oof]
+    number = (pd.to_datetime(oof.date).diff().dt.days > 30).cumsum()
+    want = {}
+    for k, own in oof.groupby(number):
+        rets = replay(own[["date", "pred", "actual"]].itertuples(index=False))
+        if rets and len(own) >= 5:
+            ic = own.pred.corr(own.actual) if own.pred.nunique() > 1 else 0.0
+            want[k] = (len(own), len(rets), np.mean([r > 0 for r in rets]), (np.exp(sum(rets)) - 1) * 100, ic)
+    assert set(got) == set(want) == set(number) - {2, 3}
+    for k, w in want.items():
+        r = got[k]
+        assert (r.n_rows, r.n_trades, r.win_rate, r.pct_return, r.ic) == pytest.approx(w, abs=1e-9) and r.shortfall is None
