@@ -19,8 +19,8 @@ METRICS = ("ic", "win_rate", "pct_return")
 # Blocks and chunks a key needs for the test.
 MIN_SAMPLES = (3, 30)
 
-#: Fours of permutations of a group that a task takes at a time.
-STRETCH = 10
+#: Standard deviations by which the rows that are sorted in a permutation outnumber, on average, those that are taken.
+SPARE = 4
 
 #: Differences below this are rounding of sums in another order, so ties stay ties.
 SAME = 1e-9
@@ -158,13 +158,15 @@ def perm_test(samples: DataFrame, n_perm: int = 1000, seed: int = 42, by: Sequen
 
     A permutation is an order of the group's rows by a hash of the row, the permutation and the seed; its first ``n_oof``
     rows stand for the blocks, so only they are summed: the rest is what the total leaves.  One MD5 serves four
-    permutations, eight digits each.  A group is a few hundred rows by construction, one per block or chunk; its
-    permutations are exploded and their counts combined before the shuffle.
+    permutations, eight digits each.  Only rows whose digits lie below a limit are sorted, some more than ``n_oof`` by
+    chance; where they are fewer, all are.  A group is a few hundred rows by construction, one per block or chunk; groups
+    are dealt once, and their permutations are exploded and counted where they lie.
     """
     by = as_list(by)
     rows = samples.filter("chunk IS NOT NULL")
     first = F.struct((~F.col("is_oof")).alias("later"), "chunk", *metrics)
-    groups = rows.groupBy(*by).agg(
+    tasks = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = rows.select(*by, "is_oof", "chunk", *metrics).repartition(tasks, *by).groupBy(*by).agg(
         F.count_if("is_oof").alias("n_oof"), F.count_if(~F.col("is_oof")).alias("n_boot"), F.array_sort(F.collect_list(first)).alias("__rows")
     ).filter((F.col("n_oof") >= MIN_SAMPLES[0]) & (F.col("n_boot") >= MIN_SAMPLES[1]))
     # Summed in the rows' order, so that no digit depends on the tasks.
@@ -176,28 +178,41 @@ def perm_test(samples: DataFrame, n_perm: int = 1000, seed: int = 42, by: Sequen
         below = F.size(F.filter(rest, lambda v: v < F.col(f"{m}_oof_mean") - SAME))  # noqa: B023
         groups = groups.withColumn(f"{m}_oof_pctile", below / F.col("n_boot") * 100)
 
-    # The groups are few and small, what they are exploded to is not: their permutations are dealt out in stretches.
-    tasks, fours = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), (n_perm + 3) // 4
-    stretches = F.explode(F.sequence(F.lit(0), F.lit(fours - 1), F.lit(STRETCH)))
-    places = F.sequence(F.lit(0), (F.col("n_oof") + F.col("n_boot") - 1).cast("int"))
-    named = groups.drop("__rows").withColumn("__names", F.transform(places, lambda i: F.lpad(i.cast("string"), 9, "0")))
-    dealt = named.withColumn("__from", stretches).repartition(tasks)
-    several = dealt.withColumn("__four", F.explode(F.sequence("__from", F.least(F.col("__from") + STRETCH, F.lit(fours)) - 1)))
-    hashed = F.transform(places, lambda i: F.md5(F.concat_ws("|", *by, i.cast("string"), F.col("__four").cast("string"), F.lit(str(seed))).cast("binary")))
-    several = several.withColumn("__hashes", hashed)
+    # Texts as bytes, which are cut and compared without a look at their characters.
+    raw = lambda c: c.cast("binary")
+    fours, n = (n_perm + 3) // 4, F.col("n_oof") + F.col("n_boot")
+    share = F.least((F.col("n_oof") + SPARE * (F.sqrt("n_oof") + 1)) / n, F.lit(1.0))
+    limit = F.lpad(F.lower(F.hex((share * ((1 << 32) - 1)).cast("long"))), 8, "0")
+    places = F.sequence(F.lit(0), (n - 1).cast("int"))
+    named = groups.drop("__rows").withColumns(
+        {
+            "__limit": raw(limit), "__names": F.transform(places, lambda i: raw(F.lpad(i.cast("string"), 9, "0"))),
+            "__heads": F.transform(places, lambda i: raw(F.concat_ws("|", *by, i.cast("string"), F.lit("")))),
+        }
+    )
     # Exploded rather than projected: a projection would be folded into each of its uses and sort anew for every metric.
-    digits = lambda q: F.zip_with("__hashes", "__names", lambda h, i: F.concat(F.substr(h, q * 8 + 1, F.lit(8)), i))
-    first = lambda q: F.slice(F.sort_array(digits(q)), F.lit(1), F.col("n_oof").cast("int"))
-    last = F.least(F.lit(3), F.lit(n_perm - 1) - F.col("__four") * 4)
-    each = several.withColumn("__chosen", F.explode(F.transform(F.sequence(F.lit(0), last), first)))
+    tail = lambda b: raw(F.concat_ws("|", b.cast("string"), F.lit(str(seed))))
+    several = named.withColumn("__four", F.explode(F.transform(F.sequence(F.lit(0), F.lit(fours - 1)), lambda b: F.struct(b.alias("at"), tail(b).alias("tail")))))
+    several = several.withColumn("__hashes", F.zip_with("__heads", "__names", lambda head, i: F.concat(raw(F.md5(F.concat(head, F.col("__four.tail")))), i)))
+
+    def chosen(at: Column) -> Column:
+        digits = lambda h: F.substr(h, at, F.lit(8))
+        few = F.filter("__hashes", lambda h: digits(h) <= F.col("__limit"))
+        order = lambda rows: F.sort_array(F.transform(rows, lambda h: F.concat(digits(h), F.substr(h, F.lit(33)))))
+        first = lambda rows: F.slice(order(rows), F.lit(1), F.col("n_oof").cast("int"))
+        enough = F.transform(F.array(few), lambda rows: first(F.when(F.size(rows) >= F.col("n_oof"), rows).otherwise(F.col("__hashes"))))
+        return F.transform(F.get(enough, F.lit(0)), lambda s: F.substr(s, F.lit(9)).cast("string").cast("int"))
+
+    last = F.least(F.lit(3), F.lit(n_perm - 1) - F.col("__four.at") * 4)
+    each = several.withColumn("__chosen", F.explode(F.transform(F.sequence(F.lit(1), last * 8 + 1, F.lit(8)), chosen)))
 
     def as_far(m: str) -> Column:
-        picked = F.aggregate("__chosen", F.lit(0.0), lambda total, s: total + F.get(f"__{m}", F.substr(s, F.lit(9)).cast("int")))
+        picked = F.aggregate("__chosen", F.lit(0.0), lambda total, i: total + F.get(f"__{m}", i))
         apart = picked / F.col("n_oof") - (F.col(f"__{m}_sum") - picked) / F.col("n_boot")
         return F.abs(apart) >= F.abs(F.col(f"{m}_oof_mean") - F.col(f"{m}_nonoof_mean")) - SAME
 
-    counts = each.groupBy(*by).agg(*[(F.count_if(as_far(m)) / F.lit(float(n_perm))).alias(f"{m}_perm_p") for m in metrics])
-    out = groups.drop("__rows").join(counts, by)
+    kept = ["n_oof", "n_boot", *(f"{m}_{c}" for m in metrics for c in ("oof_mean", "nonoof_mean", "oof_pctile"))]
+    out = each.groupBy(*by).agg(*[F.first(c).alias(c) for c in kept], *[(F.count_if(as_far(m)) / F.lit(float(n_perm))).alias(f"{m}_perm_p") for m in metrics])
     flags = reduce(Column.__add__, [(F.col(f"{m}_perm_p") < 0.05).cast("long") for m in metrics])
     verdict = F.when(F.col("n_sig_flags") == 0, "GENERALIZES").when(F.col("n_sig_flags") == 1, "MARGINAL").otherwise("OVERFIT")
     names = [f"{m}_{c}" for m in metrics for c in ("oof_mean", "nonoof_mean", "oof_pctile", "perm_p")]

@@ -209,3 +209,20 @@ def test_metrics_of_blocks_match_pandas(spark):
     for k, w in want.items():
         r = got[k]
         assert (r.n_rows, r.n_trades, r.win_rate, r.pct_return, r.ic) == pytest.approx(w, abs=1e-9) and r.shortfall is None
+
+
+def test_permutations_with_too_few_rows_below_the_limit(spark, monkeypatch):
+    """Without spare rows about half of the permutations have to sort all of them; the result is the same."""
+    rng = np.random.default_rng(4)
+    rows = [("m", s, i, i < 6, float(rng.normal()), float(rng.integers(0, 3)) / 2, float(rng.normal())) for s in "AB" for i in range(50)]
+    df = spark.createDataFrame(rows, "strategy string, symbol string, chunk long, is_oof boolean, ic double, win_rate double, pct_return double")
+    usual = sorted(map(repr, val.perm_test(df, 203).collect()))
+    monkeypatch.setattr(val, "SPARE", 0)
+    assert sorted(map(repr, val.perm_test(df, 203).collect())) == usual
+
+
+def test_groups_are_dealt_before_they_are_exploded(spark):
+    """A group's arrays pass one shuffle, however many permutations there are, and no join."""
+    samples = spark.createDataFrame([("m", "A", i, i < 5, 0.1 * i, 0.5, 1.0) for i in range(50)], "strategy string, symbol string, chunk long, is_oof boolean, ic double, win_rate double, pct_return double")
+    plan = val.perm_test(samples, 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and "Join" not in plan and plan.rindex("Generate") < plan.index("Repartition")
